@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, tokenbin
+from . import mixing, packing, rules, simhash, substrings, tokenbin
 from .common import Scratch
 
 
@@ -29,9 +30,32 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.digests(spark, path)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(*substrings.find_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op8")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.apply_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_token_output": op3_token_output,
+    "op6_simhash": op6_simhash,
+    "op8_substrings": op8_substrings,
+    "op9_mixing": op9_mixing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL, "op10_quality_rules": rules.SQL}
