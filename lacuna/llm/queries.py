@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, rules, simhash, substrings, tokenbin
+from . import cotraining, mixing, neighbours, packing, rules, simhash, substrings, tokenbin, toxicity, wordpiece
 from .common import Scratch
 
 
@@ -20,6 +20,10 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe()))
 
@@ -30,11 +34,28 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.digests(spark, path)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"), Scratch(spark, "op4"))
+    scored = cotraining.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "text_score", "page_score", "score", "predicted")
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), Scratch(spark, "op5"), F.col("id") % 20 == 0, k=20)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), Scratch(spark, "op7"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(*substrings.find_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op8")))
 
@@ -50,9 +71,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_token_output": op3_token_output,
+    "op4_quality": op4_quality,
+    "op5_neighbours": op5_neighbours,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,

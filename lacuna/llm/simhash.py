@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, raw, slices
@@ -138,3 +138,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 3) -> DataFr
     groups = scratch.table(rooted.join(least, "root").select("fp", "component_id"), "groups")
     scratch.drop("links", "lists")
     return marked.join(groups, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, words: int = 3) -> DataFrame:
+    """The documents, with all their columns, of which each group keeps the one with the smallest id.
+
+    Rows with equal ids count as one document, of which the first by text stays; rows without an id are no group's and stay.
+    """
+    groups = near_duplicates(docs.filter("doc_id is not null"), scratch, words)
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("_again", again).filter("_again = 1").drop("_again")
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

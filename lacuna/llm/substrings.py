@@ -360,3 +360,25 @@ def digests(documents: DataFrame, cuts: DataFrame) -> DataFrame:
     return documents.join(cuts, "key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256")
     )
+
+
+def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
+    """The documents, with all their columns, without their repeated strings; ``n_chars`` is counted anew.
+
+    Bytes of a character that a cut has split go too. Documents of which no word is left are dropped; those that had none stay.
+    """
+    _, cuts = find_repeats(docs, scratch, length)
+    cuts = cuts.select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
+    joined = docs.withColumn("_key", text_key()).join(cuts, "_key", "left")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own, kept = batch.column("text").to_pylist(), batch.column("_kept").to_pylist()
+            new = [t if k is None else k.decode("utf-8", "ignore") for t, k in zip(own, kept, strict=True)]
+            stays = pa.array([k is None or bool(k.split()) for k in kept], pa.bool_())
+            columns = [pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(stays)
+
+    names = docs.columns
+    out = joined.select(*names, "_kept").mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else out
