@@ -1,13 +1,343 @@
-"""Operators on vectors."""
+"""Operators on vectors (id, vec): distances, neighbours, cohesion, alignment.
+
+Exact pair joins are meant for one small side; ``candidate_pairs`` offers hashed candidates for two large ones. Only d x d matrices
+come to the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.functions.columns import cosine, dot, euclidean, norm
+
 
 def centroid(vectors: DataFrame, *keys: str) -> DataFrame:
     """(keys, vec): the mean vector of each key."""
     each = vectors.select(*keys, F.posexplode("vec").alias("_p", "_x")).groupBy(*keys, "_p").agg(F.avg("_x").alias("_x"))
     ordered = F.array_sort(F.collect_list(F.struct("_p", "_x")))
     return each.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_x"]).alias("vec"))
+
+
+def center(vectors: DataFrame, key: str) -> DataFrame:
+    """Vectors minus the mean of their group."""
+    means = centroid(vectors, key).withColumnRenamed("vec", "_m")
+    return vectors.join(means, key).withColumn("vec", F.zip_with("vec", "_m", lambda x, m: x - m)).drop("_m")
+
+
+def sides(vectors: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """The same vectors as source and as target of pairs."""
+    extra = [c for c in keep if c not in ("id", "vec")]
+    a = vectors.select(F.col("id").alias("source"), F.col("vec").alias("_a"), *(F.col(c).alias(f"{c}_a") for c in extra))
+    b = vectors.select(F.col("id").alias("target"), F.col("vec").alias("_b"), *(F.col(c).alias(f"{c}_b") for c in extra))
+    return a, b
+
+
+def pairwise_distance(vectors: DataFrame, metric: str = "cosine", space: str | None = None) -> DataFrame:
+    """(source, target, d) of all pairs, each once with ``source < target``; within each space if there is that column."""
+    a, b = sides(vectors, *([space] if space else []))
+    pairs = a.join(b, (F.col("source") < F.col("target")) & (F.col(f"{space}_a") == F.col(f"{space}_b") if space else F.lit(True)))
+    if metric == "cosine":
+        d = F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1 - cosine("_a", "_b")))
+    elif metric == "euclidean":
+        d = euclidean("_a", "_b")
+    else:  # share of places that differ
+        d = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x != y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size("_a")
+    return pairs.select(*([F.col(f"{space}_a").alias(space)] if space else []), "source", "target", d.alias("d"))
+
+
+def mirrored(pairs: DataFrame) -> DataFrame:
+    back = pairs.withColumns({"source": F.col("target"), "target": F.col("source")})
+    return pairs.unionByName(back)
+
+
+def join_spaces(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One vector per shared id: that of ``a`` followed by that of ``b``."""
+    return a.select("id", F.col("vec").alias("_a")).join(b.select("id", F.col("vec").alias("_b")), "id").select("id", F.concat("_a", "_b").alias("vec"))
+
+
+def random_space(ids: DataFrame, dim: int, seed: int = 42) -> DataFrame:
+    """A control space: hashed numbers in [-1, 1)."""
+    return ids.select("id", F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda p: F.pmod(F.xxhash64(F.lit(seed), "id", p), F.lit(2_000_003)) / 1_000_001.5 - 1).alias("vec"))
+
+
+def nearest_neighbours(vectors: DataFrame, targets: DataFrame, k: int, group: str | None = None) -> DataFrame:
+    """(source, target, cos, rank): the ``k`` nearest rows of each target id, itself excluded; with ``group``, rows of other groups only."""
+    a, b = sides(vectors, *([group] if group else []))
+    asked = a.join(targets.select(F.col("id").alias("source")), "source", "left_semi")
+    other = F.col("source") != F.col("target")
+    pairs = asked.join(b, other & (F.col(f"{group}_a") != F.col(f"{group}_b")) if group else other).withColumn("cos", F.round(cosine("_a", "_b"), 12))
+    n = F.row_number().over(Window.partitionBy("source").orderBy(F.col("cos").desc(), "target"))
+    return pairs.withColumn("rank", n).filter(F.col("rank") <= k).select("source", "target", "cos", "rank")
+
+
+def candidate_pairs(vectors: DataFrame, length: float, tables: int = 4, seed: int = 42) -> DataFrame:
+    """(source, target, d): pairs that share a bucket of random projections, scored exactly: the approximate way for two large sides."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    points = vectors.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("point"), "vec")
+    model = BucketedRandomProjectionLSH(inputCol="point", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(points)
+    keyed = model.transform(points).select("id", "vec", F.posexplode("hashes").alias("_t", "_h")).withColumn("_k", F.hash("_t", F.col("_h").cast("string")))
+    a, b = (keyed.select(F.col("id").alias(i), F.col("vec").alias(v), "_k") for i, v in (("source", "_a"), ("target", "_b")))
+    return a.join(b, "_k").filter("source < target").dropDuplicates(["source", "target"]).select("source", "target", euclidean("_a", "_b").alias("d"))
+
+
+def silhouette(vectors: DataFrame, group: str) -> DataFrame:
+    """(id, group, s): cosine silhouette of rows in groups of two or more.
+
+    The mean cosine distance to a group is 1 minus the inner product with the group's mean unit vector, so no pairs are made.
+    """
+    from lacuna.functions.columns import normalised
+
+    unit = vectors.select("id", group, normalised("vec").alias("vec"))
+    sizes = unit.groupBy(group).agg(F.count("*").alias("_n")).filter("_n > 1")
+    unit = unit.join(sizes.select(group), group, "left_semi")
+    means = centroid(unit, group).join(sizes, group).select(F.col(group).alias("_g"), F.col("vec").alias("_m"), "_n")
+    rows = unit.crossJoin(means).withColumn("_d", 1 - dot("vec", "_m"))
+    own = F.col(group) == F.col("_g")
+    # a row's own distance, 0 for a unit vector, is taken out of its group's mean
+    inside = F.max(F.when(own, (F.col("_d") * F.col("_n") - (1 - dot("vec", "vec"))) / (F.col("_n") - 1)))
+    out = rows.groupBy("id", group).agg(inside.alias("_in"), F.min(F.when(~own, F.col("_d"))).alias("_out"))
+    return out.select("id", group, F.coalesce(F.try_divide(F.col("_out") - F.col("_in"), F.greatest("_in", "_out")), F.lit(0.0)).alias("s"))
+
+
+def neighbour_jaccard(near: DataFrame) -> DataFrame:
+    """(a, b, mean): mean Jaccard of the neighbour sets (seed, source, target) over ids, for each pair of seeds."""
+    sets = near.groupBy("seed", "source").agg(F.collect_set("target").alias("_t"))
+    x, y = (sets.select(F.col("seed").alias(s), "source", F.col("_t").alias(t)) for s, t in (("a", "_x"), ("b", "_y")))
+    share = F.size(F.array_intersect("_x", "_y")) / F.size(F.array_union("_x", "_y"))
+    return x.join(y, "source").filter("a < b").groupBy("a", "b").agg(F.avg(share).alias("mean"), F.count("*").alias("n"))
+
+
+def group_preservation(near: DataFrame, groups: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
+    """One row: share of neighbours (source, target) in the own group (id, group; groups of two or more), mean of shuffled labels, p."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("_n")).filter("_n > 1").select("group")
+    known = groups.join(sizes, "group", "left_semi").select("id", "group")
+    pairs = near.select("source", "target").join(known.select(F.col("id").alias("source")), "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi")
+    reps = near.sparkSession.range(n + 1).withColumnRenamed("id", "replicate")  # replicate 0 is the truth
+    each = known.crossJoin(F.broadcast(reps))
+    place = F.row_number().over(Window.partitionBy("replicate").orderBy("id"))
+    drawn = F.row_number().over(Window.partitionBy("replicate").orderBy(F.when(F.col("replicate") == 0, 0).otherwise(F.xxhash64(F.lit(seed), "replicate", "id")), "id"))
+    labels = each.withColumn("_p", place).select("replicate", "id", "_p").join(each.withColumn("_p", drawn).select("replicate", "_p", "group"), ["replicate", "_p"])
+    a, b = (labels.select("replicate", F.col("id").alias(i), F.col("group").alias(g)) for i, g in (("source", "_ga"), ("target", "_gb")))
+    share = pairs.join(a, "source").join(b, ["replicate", "target"]).groupBy("replicate").agg(F.avg((F.col("_ga") == F.col("_gb")).cast("double")).alias("share"))
+    truth = F.max(F.when(F.col("replicate") == 0, F.col("share")))
+    out = share.withColumn("truth", truth.over(Window.partitionBy(F.lit(0))))
+    null = F.when(F.col("replicate") > 0, F.col("share"))
+    return out.agg(F.first("truth").alias("share"), F.avg(null).alias("null_mean"), ((F.count_if((F.col("replicate") > 0) & (F.col("share") >= F.col("truth"))) + 1) / (F.count(null) + 1)).alias("p"))
+
+
+def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select("id", F.col("vec").cast("array<double>").alias("_a")).join(b.select("id", F.col("vec").cast("array<double>").alias("_b")), "id")
+
+
+def cross_products(pairs: DataFrame, *keys: str) -> list[tuple]:
+    """Sums over pairs (_a, _b) by key: n, sum a, sum b, aa, ab, bb, with matrices as flat lists; d x d numbers for each key."""
+    outer = lambda x, y: F.flatten(F.transform(x, lambda p: F.transform(y, lambda q: p * q)))
+    parts = pairs.select(*keys, F.lit(1.0).alias("_one"), F.concat(F.array(F.lit(1.0)), "_a", "_b", outer("_a", "_a"), outer("_a", "_b"), outer("_b", "_b")).alias("_all"), F.size("_a").alias("_da"), F.size("_b").alias("_db"))
+    each = parts.select(*keys, "_da", "_db", F.posexplode("_all").alias("_p", "_x")).groupBy(*keys, "_da", "_db", "_p").agg(F.sum("_x").alias("_x"))
+    rows = each.groupBy(*keys, "_da", "_db").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda s: s["_x"]).alias("_s")).collect()
+    out = []
+    for r in rows:
+        da, db, s = r["_da"], r["_db"], np.array(r["_s"])
+        cut = np.cumsum([1, da, db, da * da, da * db, db * db])
+        n, a, b, aa, ab, bb = np.split(s, cut[:-1])
+        out.append((tuple(r[k] for k in keys), float(n[0]), a, b, aa.reshape(da, da), ab.reshape(da, db), bb.reshape(db, db)))
+    return out
+
+
+def covariances(sums: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centred sums aa, ab, bb."""
+    _, n, a, b, aa, ab, bb = sums
+    return aa - np.outer(a, a) / n, ab - np.outer(a, b) / n, bb - np.outer(b, b) / n
+
+
+def disparity(sums: tuple) -> float:
+    aa, ab, bb = covariances(sums)
+    total = np.sqrt(np.trace(aa) * np.trace(bb))
+    return float(1 - (np.linalg.svd(ab, compute_uv=False).sum() / total) ** 2) if total else float("nan")
+
+
+def procrustes_disparity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: what no rotation and scale can explain of the centred spaces over shared ids."""
+    found = [(disparity(s), int(s[1])) for s in cross_products(paired(a, b))]
+    return a.sparkSession.createDataFrame(found, "disparity double, n long")
+
+
+def procrustes_permutation(a: DataFrame, b: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
+    """One row: disparity, mean over ``n`` shuffles of b's rows, p. Each shuffle costs d x d numbers."""
+    pairs = paired(a, b)
+    reps = a.sparkSession.range(n + 1).withColumnRenamed("id", "replicate")
+    each = pairs.crossJoin(F.broadcast(reps))
+    here = each.select("replicate", "_a", F.row_number().over(Window.partitionBy("replicate").orderBy("id")).alias("_p"))
+    order = F.when(F.col("replicate") == 0, 0).otherwise(F.xxhash64(F.lit(seed), "replicate", "id"))
+    there = each.select("replicate", "_b", F.row_number().over(Window.partitionBy("replicate").orderBy(order, "id")).alias("_p"))
+    found = {s[0][0]: disparity(s) for s in cross_products(here.join(there, ["replicate", "_p"]), "replicate")}
+    null = [d for r, d in found.items() if r]
+    row = (found[0], float(np.mean(null)), (sum(d <= found[0] for d in null) + 1) / (len(null) + 1)) if found else (None, None, None)
+    return a.sparkSession.createDataFrame([row], "disparity double, null_mean double, p double")
+
+
+def rotation(a: DataFrame, b: DataFrame) -> np.ndarray:
+    """The orthogonal map from a's space to b's over shared ids."""
+    _, ab, _ = covariances(cross_products(paired(a, b))[0])
+    u, _, v = np.linalg.svd(ab)
+    return u @ v
+
+
+def rotate(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
+    columns = [F.array(*(F.lit(float(x)) for x in matrix[:, j])) for j in range(matrix.shape[1])]
+    return vectors.withColumn("vec", F.array(*(dot(F.col("vec"), c) for c in columns)))
+
+
+def rotate_and_match(a: DataFrame, b: DataFrame, items_a: DataFrame, items_b: DataFrame, k: int) -> DataFrame:
+    """(source, target, cos, rank): items of a, rotated into b's space, with their ``k`` nearest items of b."""
+    turned = rotate(items_a, rotation(a, b)).select(F.col("id").alias("source"), F.col("vec").alias("_a"))
+    pairs = turned.crossJoin(items_b.select(F.col("id").alias("target"), F.col("vec").alias("_b"))).withColumn("cos", cosine("_a", "_b"))
+    n = F.row_number().over(Window.partitionBy("source").orderBy(F.col("cos").desc(), "target"))
+    return pairs.withColumn("rank", n).filter(F.col("rank") <= k).select("source", "target", "cos", "rank")
+
+
+def cca(a: DataFrame, b: DataFrame, n: int = 10, ridge: float = 1e-6) -> DataFrame:
+    """(component, correlation): canonical correlations of two spaces over shared ids."""
+    sums = cross_products(paired(a, b))
+    out: list[tuple[int, float]] = []
+    for s in sums:
+        aa, ab, bb = covariances(s)
+        root = lambda m: (lambda w, v: v @ np.diag(1 / np.sqrt(np.maximum(w, ridge))) @ v.T)(*np.linalg.eigh(m))
+        values = np.linalg.svd(root(aa) @ ab @ root(bb), compute_uv=False)[:n]
+        out = [(i + 1, float(min(1.0, x))) for i, x in enumerate(values)]
+    return a.sparkSession.createDataFrame(out, "component int, correlation double")
+
+
+def norm_summary(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: means and spreads of the norms of two spaces, their ratio, and the distance of the sorted norms (1-d Wasserstein)."""
+    size = lambda df: df.select(norm("vec").alias("_n"))
+    stat = lambda df, s: df.agg(F.avg("_n").alias(f"mean_{s}"), F.stddev_pop("_n").alias(f"std_{s}"))
+    x, y = size(a), size(b)
+    grid = F.array(*(F.lit((i + 0.5) / 200) for i in range(200)))
+    quantiles = x.agg(F.percentile("_n", grid).alias("_x")).crossJoin(y.agg(F.percentile("_n", grid).alias("_y")))
+    gap = F.aggregate(F.zip_with("_x", "_y", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, v: s + v) / 200
+    out = stat(x, "a").crossJoin(stat(y, "b")).crossJoin(quantiles.select(gap.alias("wasserstein")))
+    return out.withColumn("ratio", F.try_divide("mean_a", F.col("mean_b")))
+
+
+def cosine_summary(pairs: DataFrame) -> DataFrame:
+    """One row: mean and spread of the cosines of paired vectors (_a, _b)."""
+    return pairs.agg(F.avg(cosine("_a", "_b")).alias("mean"), F.stddev_pop(cosine("_a", "_b")).alias("std"), F.count("*").alias("n"))
+
+
+def analogy_residual(quads: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(quad columns, residual): length of (a - b) - (c - d)."""
+    out = quads
+    for c in "abcd":
+        out = out.join(vectors.select(F.col("id").alias(c), F.col("vec").alias(f"_{c}")), c)
+    minus = lambda x, y: F.zip_with(x, y, lambda p, q: p.cast("double") - q.cast("double"))
+    return out.withColumn("residual", euclidean(minus("_a", "_b"), minus("_c", "_d"))).drop(*(f"_{c}" for c in "abcd"))
+
+
+def random_quads(ids: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(a, b, c, d): ``n`` hashed draws of four ids."""
+    placed = ids.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("_p"))
+    size = ids.agg(F.count("*").alias("_n"))
+    out = ids.sparkSession.range(n).withColumnRenamed("id", "no").crossJoin(F.broadcast(size))
+    for i, c in enumerate("abcd"):
+        out = out.withColumn("_p", F.pmod(F.xxhash64(F.lit(seed + i), "no"), F.col("_n")).cast("int")).join(placed, "_p").withColumnRenamed("id", c).drop("_p")
+    return out.select("no", "a", "b", "c", "d")
+
+
+def analogy_test(quads: DataFrame, vectors: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
+    """Residuals of quadruples with the mean, 5th percentile and median of random ones, and the share of those that are as small."""
+    null = analogy_residual(random_quads(vectors.select("id"), n, seed), vectors).select(F.col("residual").alias("_r"))
+    stats = null.agg(F.avg("_r").alias("null_mean"), F.percentile("_r", F.lit(0.05)).alias("null_p5"), F.median("_r").alias("null_median"))
+    found = analogy_residual(quads, vectors)
+    p = found.join(null, F.lit(True)).groupBy(*found.columns).agg(F.avg((F.col("_r") <= F.col("residual")).cast("double")).alias("p"))
+    return p.crossJoin(F.broadcast(stats))
+
+
+def expected_value_vector(profiles: DataFrame, values: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(entity, vec): the mean over features of sum p * value vector, with weights (feature, w) if given. ``profiles`` may be masked."""
+    rows = profiles.join(values.select("feature", "value", "vec"), ["feature", "value"])
+    rows = rows.withColumn("w", F.lit(1.0)) if weights is None else rows.join(weights.select("feature", "w"), "feature")
+    totals = rows.select("entity", "feature", "w").distinct().groupBy("entity").agg(F.sum("w").alias("_w"))
+    each = rows.select("entity", (F.col("p") * F.col("w")).alias("_q"), F.posexplode("vec").alias("_p", "_x")).groupBy("entity", "_p").agg(F.sum(F.col("_q") * F.col("_x")).alias("_x"))
+    flat = each.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda s: s["_x"]).alias("vec"))
+    return flat.join(totals, "entity").select("entity", F.transform("vec", lambda x: F.coalesce(F.try_divide(x, F.col("_w")), F.lit(0.0))).alias("vec"))
+
+
+def random_mask(profiles: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """Profiles of ceil((1 - share) * F) hashed features of each entity."""
+    features = profiles.select("entity", "feature").distinct()
+    by = Window.partitionBy("entity")
+    place = F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "entity", "feature"), "feature"))
+    kept = features.withColumn("_p", place).withColumn("_n", F.count("*").over(by)).filter(F.col("_p") <= F.ceil(F.round((1 - share) * F.col("_n"), 9)))
+    return profiles.join(kept.select("entity", "feature"), ["entity", "feature"], "left_semi")
+
+
+def onehot_prediction(profiles: DataFrame, book: DataFrame) -> DataFrame:
+    """(entity, gid): the most probable value of each feature, as the places of ones in a sparse vector."""
+    n = F.row_number().over(Window.partitionBy("entity", "feature").orderBy(F.col("p").desc(), "value"))
+    return profiles.withColumn("_n", n).filter("_n = 1").join(book.select("feature", "value", "gid"), ["feature", "value"]).select("entity", "gid")
+
+
+def triplet_accuracy(triplets: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row from (anchor, near, far): share with d(anchor, near) < d(anchor, far), and triplets skipped for want of a vector."""
+    out = triplets
+    for c in ("anchor", "near", "far"):
+        out = out.join(vectors.select(F.col("id").alias(c), F.col("vec").alias(f"_{c}")), c, "left")
+    known = F.col("_anchor").isNotNull() & F.col("_near").isNotNull() & F.col("_far").isNotNull()
+    right = F.when(known, (cosine("_anchor", "_near") > cosine("_anchor", "_far")).cast("double"))
+    return out.agg(F.avg(right).alias("accuracy"), F.count(right).alias("n"), F.count_if(~known).alias("skipped"))
+
+
+def ordinal_spearman(items: DataFrame, *keys: str, least: int = 3) -> DataFrame:
+    """(keys, rho) from (keys, id, vec, place): correlation of the distance of places with the cosine distance, over pairs."""
+    from lacuna.operators.evaluate import spearman
+
+    a = items.select(*keys, F.col("id").alias("_i"), F.col("vec").alias("_a"), F.col("place").alias("_x"))
+    b = items.select(*keys, F.col("id").alias("_j"), F.col("vec").alias("_b"), F.col("place").alias("_y"))
+    pairs = a.join(b, list(keys)).filter("_i < _j").select(*keys, F.abs(F.col("_x") - F.col("_y")).cast("double").alias("gap"), F.round(1 - cosine("_a", "_b"), 12).alias("d"))
+    return spearman(pairs, "gap", "d", *keys, least=least * (least - 1) // 2)
+
+
+def feature_weights(scores: DataFrame, strategy: str, k: int = 5, floor: float = 0.1, domains: DataFrame | None = None) -> DataFrame:
+    """(feature, w) from (feature, x): positive part, rank, above mean + spread, best ``k``, or the domain's score with a floor."""
+    every = Window.partitionBy(F.lit(0))
+    if strategy == "positive":
+        return scores.select("feature", F.greatest(F.lit(0.0), F.col("x")).alias("w"))
+    if strategy == "rank":
+        n = F.row_number().over(Window.orderBy("x", F.desc("feature")))
+        return scores.select("feature", (n / F.count("*").over(every)).alias("w"))
+    if strategy == "threshold":
+        high = F.col("x") > F.avg("x").over(every) + F.stddev_pop("x").over(every)
+        return scores.select("feature", high.cast("double").alias("w"))
+    if strategy == "top_k":
+        n = F.row_number().over(Window.orderBy(F.col("x").desc(), "feature"))
+        return scores.select("feature", (n <= k).cast("double").alias("w"))
+    means = scores.join(domains, "feature").groupBy("domain").agg(F.avg("x").alias("_m"))
+    return scores.join(domains, "feature", "left").join(means, "domain", "left").select("feature", F.greatest(F.lit(floor), F.coalesce("_m", F.lit(floor))).alias("w"))
+
+
+def axis_centroid_accuracy(items: DataFrame, axis: str, cls: str) -> DataFrame:
+    """(axis, accuracy, chance, n): leave-one-out nearest class centroid per axis; centroids leave a row out by subtraction."""
+    sums = items.groupBy(axis, cls).agg(F.count("*").alias("_n"))
+    total = centroid(items, axis, cls).join(sums, [axis, cls]).select(axis, F.col(cls).alias("_c"), F.transform("vec", lambda x: x * F.col("_n")).alias("_s"), "_n")
+    rows = items.join(total, axis)
+    own = F.col(cls) == F.col("_c")
+    left = F.when(own, F.zip_with("_s", "vec", lambda s, x: s - x)).otherwise(F.col("_s"))
+    scored = rows.filter(~own | (F.col("_n") > 1)).withColumn("_cos", F.round(cosine(left, F.col("vec")), 12))
+    n = F.row_number().over(Window.partitionBy(axis, "id").orderBy(F.col("_cos").desc(), "_c"))
+    best = scored.withColumn("_r", n).filter("_r = 1")
+    chance = sums.groupBy(axis).agg((F.max("_n") / F.sum("_n")).alias("chance"))
+    return best.groupBy(axis).agg(F.avg((F.col("_c") == F.col(cls)).cast("double")).alias("accuracy"), F.count("*").alias("n")).join(chance, axis)
+
+
+def shuffled_ordinal_null(items: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
+    """(keys, mean, std): ordinal correlation over ``n`` shuffles of the places within each key; the replicate is one more key."""
+    each = items.crossJoin(F.broadcast(items.sparkSession.range(n).withColumnRenamed("id", "replicate")))
+    by = Window.partitionBy("replicate", *keys)
+    here = each.withColumn("_p", F.row_number().over(by.orderBy("id"))).drop("place")
+    drawn = each.withColumn("_p", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "replicate", "id"), "id"))).select("replicate", *keys, "_p", "place")
+    return ordinal_spearman(here.join(drawn, ["replicate", *keys, "_p"]), "replicate", *keys).groupBy(*keys).agg(F.avg("rho").alias("mean"), F.stddev_pop("rho").alias("std"))
