@@ -7,8 +7,8 @@ from lacuna.operators import trees
 from lacuna.plans.registry import query
 
 #: Words 1 to 12 of each document; word 1 is the root, the others hang on the next or on an earlier word.
-TOK = """, w AS (SELECT lang, 'all' AS split, doc_id AS sent, unnest(range(1, least(12, len(string_split(text, ' '))) + 1))::INT AS id, string_split(text, ' ') AS ws FROM documents),
-n AS (SELECT lang, split, sent, id, ws[id] AS form, max(id) OVER (PARTITION BY sent) AS last FROM w),
+TOK = r""", w AS (SELECT lang, 'all' AS split, doc_id AS sent, unnest(range(1, least(12, len(string_split(text, ' '))) + 1))::INT AS id, string_split(text, ' ') AS ws FROM documents),
+n AS (SELECT lang, split, sent, id, regexp_replace(ws[id], '\s+', '_', 'g') AS form, max(id) OVER (PARTITION BY sent) AS last FROM w),
 tok AS (SELECT lang, split, sent, id, form, CASE length(form) % 3 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' ELSE 'ADP' END AS upos, CASE WHEN id = 1 THEN 0 WHEN (sent + id) % 3 = 0 AND id < last THEN CASE WHEN (sent + id + 1) % 3 = 0 AND id + 1 < last THEN 1 ELSE id + 1 END ELSE id // 2 END::INT AS head,
     CASE WHEN (sent + id) % 2 = 0 THEN 'nsubj' ELSE 'obj' END AS deprel FROM n),
 arc AS (SELECT t.*, h.upos AS head_pos, t.id < t.head AS before, concat_ws('_', t.deprel, h.upos, t.upos) AS config FROM tok t JOIN tok h ON h.sent = t.sent AND h.lang = t.lang AND h.id = t.head),
@@ -19,7 +19,7 @@ def tokens(i):
     from pyspark.sql import Window
 
     words = i.table("documents").select("lang", F.lit("all").alias("split"), F.col("doc_id").alias("sent"), F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("id", "form"))
-    rows = words.withColumn("id", F.col("id") + 1).withColumn("last", F.max("id").over(Window.partitionBy("sent")) )
+    rows = words.withColumn("id", F.col("id") + 1).withColumn("form", F.regexp_replace("form", r"\s+", "_"))
     rows = rows.withColumn("last", F.max("id").over(Window.partitionBy("sent")))
     head = F.expr("CASE WHEN id = 1 THEN 0 WHEN (sent + id) % 3 = 0 AND id < last THEN CASE WHEN (sent + id + 1) % 3 = 0 AND id + 1 < last THEN 1 ELSE id + 1 END ELSE id DIV 2 END").cast("int")
     upos = F.expr("CASE length(form) % 3 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' ELSE 'ADP' END")
