@@ -268,3 +268,22 @@ def min_haversine_km(entities: DataFrame, training: DataFrame) -> DataFrame:
     there = training.select(F.col("entity").alias("_e"), F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"))
     km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("_la"), F.col("_lo"))
     return entities.join(there, F.col("entity") != F.col("_e")).groupBy("entity").agg(F.min(km).alias("km"))
+
+
+def grid_search(cells: DataFrame, halves: DataFrame, book: DataFrame, cooc: DataFrame, counts: DataFrame, alphas: Sequence[float], leasts: Sequence[int]) -> DataFrame:
+    """(alpha, least, score): accuracy of conditional-probability filling of target halves from context halves, for every grid point.
+
+    All points are one plan: the grid is joined to the rows. Statistics come from ``cells`` only.
+    """
+    grid = cells.sparkSession.createDataFrame([(float(a), int(n)) for a in alphas for n in leasts], "alpha double, least int")
+    context = halves.filter("half = 'context'").select("entity", F.col("feature").alias("fi"), F.col("value").alias("vi"))
+    target = halves.filter("half = 'target'").select("entity", "feature", F.col("value").alias("truth"))
+    seen = counts.select(F.col("feature").alias("fi"), F.col("value").alias("vi"), F.col("n").alias("n_i"))
+    rows = target.join(context, "entity").filter("feature <> fi").join(seen, ["fi", "vi"]).join(book.select("feature", "value", "k"), "feature")
+    joint = cooc.select("fi", "vi", F.col("fj").alias("feature"), F.col("vj").alias("value"), "n")
+    rows = rows.join(joint, ["fi", "vi", "feature", "value"], "left").crossJoin(F.broadcast(grid)).filter("n_i >= least")
+    term = F.ln((F.coalesce("n", F.lit(0)) + F.col("alpha")) / (F.col("n_i") + F.col("alpha") * F.col("k")) + 1e-12)
+    totals = rows.groupBy("alpha", "least", *CELL, "value", "truth").agg(F.round(F.sum(term), 9).alias("score"))
+    n = F.row_number().over(Window.partitionBy("alpha", "least", *CELL).orderBy(F.col("score").desc(), "value"))
+    best = totals.withColumn("_n", n).filter("_n = 1")
+    return best.groupBy("alpha", "least").agg(F.avg((F.col("value") == F.col("truth")).cast("double")).alias("score"))

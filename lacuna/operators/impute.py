@@ -277,3 +277,69 @@ def override_on_agreement(base: DataFrame, preds: DataFrame, enough: int) -> Dat
     """The base prediction, replaced where ``enough`` systems agree on a value."""
     plural = agreement_features(preds).select(*CELL, "plurality", "n_agree")
     return base.join(plural, list(CELL), "left").select(*CELL, F.when(F.col("n_agree") >= enough, F.col("plurality")).otherwise(F.col("value")).alias("value"))
+
+
+def candidate_rows(cells: DataFrame, blanks: DataFrame, book: DataFrame, p: DataFrame, entropy: DataFrame, preds: DataFrame, meta: DataFrame) -> DataFrame:
+    """One row per (blank, candidate value) with figures for a meta-classifier.
+
+    Marginal, entropy, number of values, votes and mean score of the systems for the candidate, agreement figures of the cell, the
+    candidate's share in the genus and family, the entity's number of observed features, and its distance to the nearest entity that
+    is observed on anything (0 if itself is).
+    """
+    base = blanks.select(*CELL).join(book.select("feature", "value", "k"), "feature").join(p, ["feature", "value"]).join(entropy, "feature")
+    said = preds.groupBy(*CELL, "value").agg(F.count("*").alias("n_votes"), F.avg("score").alias("mean_score"))
+    cell = agreement_features(preds).select(*CELL, "n_agree", "share", "n_systems", "n_values", "plurality")
+    rows = base.join(said, [*CELL, "value"], "left").join(cell, list(CELL), "left").join(meta.select("entity", "genus", "family", "latitude", "longitude"), "entity", "left")
+    for group in ("genus", "family"):
+        counts = cells.join(meta.select("entity", group), "entity").groupBy(group, "feature", "value").agg(F.count("*").alias("_n"))
+        total = Window.partitionBy(group, "feature")
+        shares = counts.withColumn(f"{group}_share", F.col("_n") / F.sum("_n").over(total)).drop("_n")
+        rows = rows.join(shares, [group, "feature", "value"], "left")
+    known = cells.groupBy("entity").agg(F.count("*").alias("n_known"))
+    rows = rows.join(known, "entity", "left").withColumn("is_plurality", (F.col("value") == F.col("plurality")).cast("int"))
+    zero = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FIGURES}
+    return rows.select(*CELL, "value", "genus", *(e.alias(c) for c, e in zero.items()))
+
+
+#: Columns of ``candidate_rows`` that a meta-classifier may use.
+FIGURES = (
+    "p", "h", "k", "n_votes", "mean_score", "n_agree", "share", "n_systems", "n_values", "is_plurality", "genus_share", "family_share", "n_known", "latitude", "longitude",
+)
+
+
+def stack_systems(train: DataFrame, test: DataFrame, kind: str = "gbt", seed: int = 42) -> DataFrame:
+    """Best value of each blank by a meta-classifier over candidate rows; ``train`` has a column ``right`` (0/1).
+
+    ``gbt`` is one boosted classifier of candidates; ``forest`` is one forest for all features, with the feature's number as a column.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    columns = list(FIGURES)
+    steps = []
+    if kind == "forest":
+        steps.append(StringIndexer(inputCol="feature", outputCol="feature_no", handleInvalid="keep"))
+        columns.append("feature_no")
+    steps.append(VectorAssembler(inputCols=columns, outputCol="x"))
+    common = {"featuresCol": "x", "labelCol": "right", "seed": seed, "maxDepth": 4}
+    steps.append(RandomForestClassifier(numTrees=20, **common) if kind == "forest" else GBTClassifier(maxIter=10, **common))
+    scored = Pipeline(stages=steps).fit(train).transform(test)
+    rows = scored.select(*CELL, "value", F.round(vector_to_array("probability")[1], 9).alias("score"))
+    return best_value(rows, *CELL)
+
+
+def cross_validate_stack(rows: DataFrame, folds: int = 3, kind: str = "gbt") -> DataFrame:
+    """(fold, acc, n): accuracy of the stack when each fold of genera is left out."""
+    from lacuna.operators.splits import group_kfold
+
+    dealt = group_kfold(rows, "genus", folds)
+    out = None
+    for fold in range(folds):
+        test = dealt.filter(F.col("fold") == fold)
+        best = stack_systems(dealt.filter(F.col("fold") != fold), test, kind)
+        right = best.join(test.filter("right = 1").select(*CELL, F.col("value").alias("truth")), list(CELL))
+        acc = right.agg(F.lit(fold).alias("fold"), F.avg((F.col("value") == F.col("truth")).cast("double")).alias("acc"), F.count("*").alias("n"))
+        out = acc if out is None else out.unionByName(acc)
+    return out

@@ -251,3 +251,14 @@ def e27_aggregate_over_seeds(i):
     FROM meta a JOIN meta b ON a.entity <> b.entity WHERE a.entity % 20 = 1 AND b.entity % 4 = 0 GROUP BY a.entity""")
 def g1_min_haversine_km(i):
     return rounded(evaluate.min_haversine_km(i.meta.filter("entity % 20 = 1"), i.meta.filter("entity % 4 = 0")), "km", digits=4)
+
+
+@query(""", hv AS (SELECT *, CASE WHEN r <= floor(n / 2) THEN 'context' ELSE 'target' END AS half FROM (SELECT *, count(*) OVER (PARTITION BY entity) AS n, row_number() OVER (PARTITION BY entity ORDER BY feature) AS r FROM cells WHERE entity % 5 = 0) WHERE n >= 4),
+g AS (SELECT a.alpha, b.least FROM (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS alpha) a CROSS JOIN (SELECT unnest([2, 300])::INT AS least) b), tot AS (SELECT alpha, least, t.entity, t.feature, t.value AS truth, k.value, round(sum(ln((coalesce(x.n, 0) + alpha) / (ci.n + alpha * k.k) + 1e-12)), 9) AS score FROM hv t JOIN hv c ON c.entity = t.entity AND c.half = 'context'
+    JOIN counts ci ON ci.feature = c.feature AND ci.value = c.value JOIN book k ON k.feature = t.feature LEFT JOIN cooc x ON x.fi = c.feature AND x.vi = c.value AND x.fj = k.feature AND x.vj = k.value CROSS JOIN g WHERE t.half = 'target' AND ci.n >= least GROUP BY ALL)
+SELECT alpha, least, round(avg((value = truth)::INT), 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY alpha, least, entity, feature ORDER BY score DESC, value) AS r FROM tot) WHERE r = 1 GROUP BY alpha, least""")
+def e14b_grid_search(i):
+    from lacuna.operators import splits, stats
+
+    halves = splits.context_target_halves(i.cells.filter("entity % 5 = 0"), F.lit(0))
+    return rounded(evaluate.grid_search(i.cells, halves, i.book, stats.cooccurrence(i.cells), i.counts, [0.1, 0.5, 1.0], [2, 300]), "score")

@@ -212,3 +212,31 @@ def i22_factorise(i):
 @query(AGREE + "SELECT b.entity, b.feature, CASE WHEN n_agree >= 2 THEN plurality ELSE b.value END AS value FROM preds b LEFT JOIN agr USING (entity, feature) WHERE b.system = 'freq'")
 def i24_override_on_agreement(i):
     return impute.override_on_agreement(i.preds.filter("system = 'freq'"), i.preds, 2)
+
+
+def candidates(i):
+    entropy = mi_and_entropy(i)[1]
+    rows = impute.candidate_rows(i.cells, i.blanks, i.book, i.p, entropy, i.preds, i.meta)
+    truth = i.gold.select("entity", "feature", F.col("value").alias("truth"))
+    return rows.join(truth, ["entity", "feature"]).withColumn("right", (F.col("value") == F.col("truth")).cast("int")).drop("truth")
+
+
+@query(MI + AGREE + """, said AS (SELECT entity, feature, value, count(*) AS v, avg(score) AS s FROM preds GROUP BY ALL), gs AS (SELECT genus, feature, value, n / sum(n) OVER (PARTITION BY genus, feature) AS gsh FROM (SELECT genus, feature, value, count(*) AS n FROM cells JOIN meta USING (entity) GROUP BY genus, feature, value)),
+fs AS (SELECT family, feature, value, n / sum(n) OVER (PARTITION BY family, feature) AS fsh FROM (SELECT family, feature, value, count(*) AS n FROM cells JOIN meta USING (entity) GROUP BY family, feature, value)), kn AS (SELECT entity, count(*) AS n FROM cells GROUP BY entity)
+SELECT b.entity, b.feature, k.value, round(p.p, 7) AS p, round(h.h, 7) AS h, k.k::DOUBLE AS k, coalesce(said.v, 0)::DOUBLE AS n_votes, round(coalesce(said.s, 0), 7) AS mean_score, agr.n_agree::DOUBLE AS n_agree, (k.value = agr.plurality)::INT::DOUBLE AS is_plurality,
+    round(coalesce(gsh, 0), 7) AS genus_share, round(coalesce(fsh, 0), 7) AS family_share, coalesce(kn.n, 0)::DOUBLE AS n_known FROM blanks b JOIN book k USING (feature) JOIN p ON p.feature = k.feature AND p.value = k.value JOIN h ON h.feature = b.feature JOIN meta m ON m.entity = b.entity
+    LEFT JOIN said ON said.entity = b.entity AND said.feature = b.feature AND said.value = k.value LEFT JOIN agr ON agr.entity = b.entity AND agr.feature = b.feature LEFT JOIN gs ON gs.genus = m.genus AND gs.feature = b.feature AND gs.value = k.value LEFT JOIN fs ON fs.family = m.family AND fs.feature = b.feature AND fs.value = k.value LEFT JOIN kn ON kn.entity = b.entity""")
+def g2_cell_candidate_rows(i):
+    rows = candidates(i).select("entity", "feature", "value", "p", "h", "k", "n_votes", "mean_score", "n_agree", "is_plurality", "genus_share", "family_share", "n_known")
+    return rows.withColumns({c: F.round(c, 7) for c in ("p", "h", "mean_score", "genus_share", "family_share")})
+
+
+@query()
+def i23_stack_systems(i):
+    rows = candidates(i)
+    return impute.stack_systems(rows.filter("entity % 2 = 0"), rows.filter("entity % 2 = 1"))
+
+
+@query()
+def i23b_stack_forest_cv(i):
+    return impute.cross_validate_stack(candidates(i), 2, "forest")
