@@ -318,9 +318,10 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, crowd:
     arrays = ["start", "n", "anchor", "content"]
     texts = marked.groupBy("key").agg(F.count("*").alias("copies"), F.first(F.arrays_zip(*arrays)).alias("runs"))
     each = scratch.table(texts.select("key", "copies", F.explode("runs").alias("r")).select("key", "copies", "r.*"), "runs")
-    often = each.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor")
+    # a written table, so that the join has a shuffle on both sides and adaptive execution can split an anchor with very many runs
+    often = scratch.table(each.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor"), "often")
     met = scratch.table(each.join(often, "anchor").select("key", "copies", *arrays), "met")
-    scratch.drop("runs")
+    scratch.drop("runs", "often")
     strings = met.groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("key", "start", "n")).alias("at"))
     wanted = strings.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "content", "copies", "at.start", "at.n")).alias("wanted"))
     touched = met.select("key").distinct().join(wanted, "key", "left")
