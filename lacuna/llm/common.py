@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.functions.scratch import scratch_root
+
 #: Characters of text that one slice of a batch holds at most (one document may be longer).
 SLICE_CHARS = 2_000_000
 
@@ -18,22 +19,6 @@ SLICE_CHARS = 2_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``.
-
-    Where the setting is empty, a local session (as in tests) gets a folder of its own; a cluster session must name one.
-    """
-    conf = spark.sparkContext.getConf()
-    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lacuna-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Scratch:
     """Named Parquet tables under one new folder of the shared storage; they cut lineage and survive lost executors."""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, texts
+from .common import Scratch, narrow, slices, texts
 from .logistic import fit_dense, sigmoid
 from .rules import SYMBOLS, repeat_words
 from .toxicity import held_out
@@ -125,7 +125,7 @@ def gather(docs: DataFrame, chosen: DataFrame) -> list:
             kind = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array(list(x), kind), pa.array(list(m), kind)], ["doc_id", "y", "x", "m"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", "lang", "source", "n_chars")
+    rows = narrow(docs, "doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")
     found = rows.mapInArrow(run, "doc_id long, y int, x array<double>, m array<double>").collect()
     return sorted(found, key=lambda r: (r["doc_id"], r["x"]))
 
@@ -149,7 +149,7 @@ def fit(
     test = np.array([zlib.crc32(f"calibrate {r['doc_id']}".encode()) % 4 == 0 for r in known])
     if len(set(y[test])) < 2 or len(set(y[~test])) < 2:
         test = np.arange(len(y)) % 4 == 0
-    data = [(np.array([r[v] for r in known]), np.array([r[v] for r in other]).reshape(len(other), -1)) for v in ("x", "m")]
+    data = [(own := np.array([r[v] for r in known]), np.array([r[v] for r in other]).reshape(len(other), own.shape[1])) for v in ("x", "m")]
     extra: list[dict[int, float]] = [{}, {}]  # by view: pseudo-labels of the pool that teach it
     fitted: list[View] = []
     for _ in range(rounds + 1):

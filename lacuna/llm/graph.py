@@ -9,7 +9,7 @@ from .common import Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
-    """``edges`` (a, b) of comparable ids -> (node, root): the smallest id that each linked node reaches.
+    """``edges`` (a, b) of comparable ids -> (node, root): the smallest id that each linked node reaches; roots themselves have no row.
 
     A large-star step ties every larger neighbour of a node to its smallest neighbour, a small-star step every smaller one; they
     end when all edges point at roots. The minima combine before the shuffle; joins are plain joins, so that adaptive execution

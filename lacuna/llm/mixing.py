@@ -105,8 +105,9 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5
 def take_mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: every document, with all its columns, as often as the mix takes it."""
     _, plan = plan_mix(docs, scratch, weights, share, cap)
-    taken = apply_mix(docs.withColumn("h", hashed()), plan)
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "source", hashed().alias("h"))
+    taken = apply_mix(whole, plan).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return taken.select("row.*")
 
 
 #: The same in DuckDB: documents in hash order, taken while the running sum comes nearer to the rest.

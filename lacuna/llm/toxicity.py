@@ -61,7 +61,7 @@ def swapped(text: str, terms: tuple[str, ...], swaps: int) -> list[str]:
     for term in found:
         whole = re.compile(rf"(?<![^\W_]){re.escape(term)}(?![^\W_])")
         others = [terms[(terms.index(term) + i) % len(terms)] for i in range(1, swaps + 1)]
-        sentences = SENTENCE.split(low)
+        sentences = [s for s in SENTENCE.split(low) if s]
         out += [" ".join(whole.sub(o, s) if term in s else s for s in sentences) for o in others if o != term]
     return out
 
