@@ -9,7 +9,7 @@ little-endian throughout:
     documents   int64 doc_id each, uint8 "doc_id is null" each, uint64 number of ids each
     blocks      uint32 base each (its minimum), uint8 width each (bits), uint16 number of exceptions each
     index       uint64 start each: the byte in the payload where the block begins
-    exceptions  uint64 id number in the frame each, uint32 value each
+    exceptions  uint16 place in their block each, uint32 value each, block by block
     payload     B values each, minus the base, `width` bits per value; of an exception only the low bits stand here
 
 The width of a block is that of its ``percentile`` value above the base; larger ones are exceptions. The last block is filled
@@ -78,7 +78,7 @@ def encode_frame(doc_ids: list[int | None], parts: list[bytes], block: int = BLO
             width.tobytes(),
             wide.sum(axis=1).astype("<u2").tobytes(),
             index[:-1].astype("<u8").tobytes(),
-            at.astype("<u8").tobytes(),
+            (at % block).astype("<u2").tobytes(),
             above.ravel()[at].astype("<u4").tobytes(),
             payload.tobytes(),
         ]
@@ -101,7 +101,8 @@ def decode_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     doc_ids, null, lengths = take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs)
     base, width, n_wide, index = take("<u4", n_blocks), take("u1", n_blocks), take("<u2", n_blocks), take("<u8", n_blocks)
     n_out = int(n_wide.sum(dtype=np.int64))
-    at, values = take("<u8", n_out), take("<u4", n_out)
+    places, values = take("<u2", n_out), take("<u4", n_out)
+    at = np.repeat(np.arange(n_blocks, dtype=np.int64) * block, n_wide) + places
     payload = np.frombuffer(data, np.uint8, offset=pos)
     rows = np.zeros((n_blocks, block), np.uint32)
     for w in np.unique(width[width > 0]):
@@ -110,7 +111,7 @@ def decode_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
         bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(which), block, int(w))
         rows[which] = bits @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
     flat = rows.ravel()
-    flat[at.astype(np.int64)] = values
+    flat[at] = values
     ids = (rows + base[:, None]).ravel()[:n]
     return [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], lengths.astype(np.int64), ids
 
@@ -123,8 +124,8 @@ def write_tokens(
     One range shuffle moves the texts; they are encoded after it, so each is encoded once. Null texts count as empty, null ids
     come first, rows with equal ids lie in the order of their texts, and an empty table gives a dataset without frames.
     """
-    if block % 8:
-        raise ValueError("the block size must be a multiple of 8")
+    if block % 8 or not 0 < block <= 1 << 16:
+        raise ValueError("the block size must be a multiple of 8, at most 65,536")
     end = end_id.to_bytes(4, "little")
 
     def frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
