@@ -40,9 +40,9 @@ WITH gold0 AS ({GOLD}), cells AS (SELECT entity, feature, value FROM gold0 WHERE
 blanks AS (SELECT entity, feature FROM gold0 WHERE {BLANKED}), gold AS (SELECT entity, feature, value FROM gold0 WHERE {BLANKED}),
 meta AS ({META}),
 book AS (SELECT feature, value, (dense_rank() OVER (ORDER BY feature) - 1)::INT AS fi, (row_number() OVER (PARTITION BY feature ORDER BY value) - 1)::INT AS vi,
-    count(*) OVER (PARTITION BY feature)::INT AS k, (row_number() OVER (ORDER BY feature, value) - 1)::INT AS gid FROM (SELECT DISTINCT feature, value FROM cells)),
+    count(*) OVER (PARTITION BY feature)::INT AS k, (row_number() OVER (ORDER BY feature, value) - 1)::INT AS gid FROM (SELECT feature, value FROM (SELECT DISTINCT feature, value FROM cells) QUALIFY count(*) OVER (PARTITION BY feature) >= 2)),
 counts AS (SELECT feature, value, count(*) AS n FROM cells GROUP BY feature, value),
-p AS (SELECT feature, value, (n + 0.5)::DOUBLE / sum(n + 0.5) OVER (PARTITION BY feature) AS p FROM counts),
+p AS (SELECT feature, value, (n + 0.5)::DOUBLE / sum(n + 0.5) OVER (PARTITION BY feature) AS p FROM counts WHERE feature IN (SELECT feature FROM book)),
 cooc AS (SELECT a.feature AS fi, a.value AS vi, b.feature AS fj, b.value AS vj, count(*) AS n FROM cells a JOIN cells b USING (entity) WHERE a.feature <> b.feature GROUP BY ALL),
 freq AS ({MODE.format(k="feature", j="")}), freqs AS (SELECT feature, value, n::DOUBLE / sum(n) OVER (PARTITION BY feature) AS score FROM counts JOIN (SELECT feature FROM freq) USING (feature) QUALIFY (feature, value) IN (SELECT (feature, value) FROM freq)),
 genus_mode AS ({MODE.format(k="genus, feature", j="JOIN meta USING (entity)")}), family_mode AS ({MODE.format(k="family, feature", j="JOIN meta USING (entity)")}),

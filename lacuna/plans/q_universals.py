@@ -79,7 +79,7 @@ def u7_mine_references(i):
     return universals.mine_references(docs, r"([a-z]+ing)\b", docs.select("id", F.lit("ing").alias("ref")))
 
 
-@query("SELECT o_custkey AS a, o_orderkey % 200 AS b, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 200 >= 150 THEN 'both unknown' WHEN o_custkey % 3 = 0 THEN 'a unknown' WHEN o_orderkey % 200 >= 150 THEN 'b unknown' END AS reason FROM orders")
+@query("SELECT o_custkey AS a, o_orderkey % 200 AS b, CASE WHEN o_custkey % 3 = 0 AND u.user_id IS NULL THEN 'both unknown' WHEN o_custkey % 3 = 0 THEN 'a unknown' WHEN u.user_id IS NULL THEN 'b unknown' END AS reason FROM orders LEFT JOIN (SELECT DISTINCT user_id FROM events) u ON u.user_id = o_orderkey % 200")
 def u8_verify_pairs(i):
     pairs = i.table("orders").selectExpr("o_custkey AS a", "o_orderkey % 200 AS b")
     known_a = i.table("customer").filter("c_custkey % 3 <> 0").selectExpr("c_custkey AS a")

@@ -14,23 +14,31 @@ def connection(folder):
     return con
 
 
-def plain(value):
-    if value is None or value != value:
-        return ""
-    if isinstance(value, bool):
-        return str(int(value))
-    if isinstance(value, (int, float)) or type(value).__name__ in ("Decimal",):
-        return f"{float(value):.5g}" if abs(float(value)) > 1e-9 else "0"
-    return str(value)
+def split(row):
+    """The parts of a row that must be equal, and its numbers with a fraction."""
+    exact, close = [], []
+    for value in row:
+        if value is None or value != value:
+            exact.append("")
+        elif isinstance(value, float) or type(value).__name__ == "Decimal":
+            exact.append("#")
+            close.append(float(value))
+        else:
+            exact.append(str(int(value) if isinstance(value, bool) else value))
+    return exact, close
 
 
 def rows_of(columns, rows):
     order = sorted(columns)
     at = [columns.index(c) for c in order]
-    return order, sorted(tuple(plain(r[i]) for i in at) for r in rows)
+    return order, sorted(split([r[i] for i in at]) for r in rows)
 
 
 def assert_same(df, con, sql):
     found = con.sql(sql)
-    expected = rows_of(found.columns, found.fetchall())
-    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == expected
+    columns, expected = rows_of(found.columns, found.fetchall())
+    names, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    assert names == columns and len(got) == len(expected)
+    for (e1, c1), (e2, c2) in zip(got, expected, strict=True):
+        assert e1 == e2
+        assert all(abs(x - y) <= 1e-5 * (1 + abs(y)) for x, y in zip(c1, c2, strict=True)), (e1, c1, c2)
