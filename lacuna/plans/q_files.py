@@ -24,7 +24,7 @@ def feature_file(i):
     raw = i.all_cells.select("entity", "feature", F.expr("CASE WHEN (entity * 31 + fno * 17) % 5 = 0 THEN '?' END").alias("q"), number.alias("n"))
     joined = raw.groupBy("entity").agg(F.array_sort(F.collect_list(F.concat(F.upper("feature"), F.lit("="), F.coalesce("q", "n")))).alias("l"))
     lines = i.meta.join(joined, "entity").select(F.concat_ws("\t", F.col("entity").cast("string"), F.lit("name"), F.col("latitude").cast("string"), F.col("longitude").cast("string"), "genus", "family", F.lit("XX"), F.array_join("l", "|")).alias("line"))
-    head = i.spark.createDataFrame([("wals_code\tname\tlatitude\tlongitude\tgenus\tfamily\tcountrycodes\tfeatures",)], "line string")
+    head = i.spark.createDataFrame([("code\tname\tlatitude\tlongitude\tgenus\tfamily\tcountrycodes\tfeatures",)], "line string")
     head.union(lines).write.text(path)
     return path
 

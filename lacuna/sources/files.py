@@ -35,11 +35,11 @@ META = ("entity", "name", "latitude", "longitude", "genus", "family", "countryco
 def read_feature_tsv(spark: SparkSession, path: str, repairs: tuple[tuple[str, str], ...] = REPAIRS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(meta, cells, blanks) of a table whose eighth field is a pipe-joined list of ``feature=value``.
 
-    The header and lines with fewer than eight fields are left out; further tabs belong to the list. ``?`` is a blank; other values
+    The header, whose eighth field is ``features``, and lines with fewer than eight fields are left out; further tabs belong to the list. ``?`` is a blank; other values
     must start with a number, which is the value, and the whole is ``raw``. Names are lower-cased, the last of equal ones counts.
     """
     lines = spark.read.text(path).select(F.split("value", "\t").alias("f")).filter(F.size("f") >= 8)
-    lines = lines.filter(~F.lower(F.col("f")[0]).isin("wals_code", "entity", "id"))
+    lines = lines.filter(F.lower(F.trim(F.col("f")[7])) != "features")
     meta = lines.select(*(F.col("f")[i].alias(c) for i, c in enumerate(META)))
     meta = meta.withColumns({c: F.expr(f"try_cast({c} AS DOUBLE)") for c in ("latitude", "longitude")})
     field = F.array_join(F.slice("f", 8, 1_000_000), "\t")

@@ -93,7 +93,7 @@ def test_formula_parts(spark):
 
 
 def test_feature_table_repairs_and_last_duplicate(spark, tmp_path):
-    (tmp_path / "f.tsv").write_text("wals_code\tname\tlatitude\tlongitude\tgenus\tfamily\tcountrycodes\tfeatures\n" "aaa\tA\t1\t2\tG\tF\tX\tOrd=1 first|Ord=2 second|Neg=?|Bad=x y|Neg2=3 double negationSVONeg_Order=4 q\n" "bbb\tB\tx\t2\tG\tF\tX\tOne=1 a\tb|Two=?\nshort\tline\n")
+    (tmp_path / "f.tsv").write_text("code\tname\tlatitude\tlongitude\tgenus\tfamily\tcountrycodes\tfeatures\n" "aaa\tA\t1\t2\tG\tF\tX\tOrd=1 first|Ord=2 second|Neg=?|Bad=x y|Neg2=3 double negationSVONeg_Order=4 q\n" "bbb\tB\tx\t2\tG\tF\tX\tOne=1 a\tb|Two=?\nshort\tline\n")
     meta, got, blanks = files.read_feature_tsv(spark, str(tmp_path / "f.tsv"))
     assert {(r["entity"], r["feature"], r["value"]) for r in got.collect()} == {("aaa", "ord", "2"), ("aaa", "neg2", "3"), ("aaa", "svoneg_order", "4"), ("bbb", "one", "1")}
     assert {(r["entity"], r["feature"]) for r in blanks.collect()} == {("aaa", "neg"), ("bbb", "two")}
