@@ -145,7 +145,11 @@ def keep_one(docs: DataFrame, scratch: Scratch, words: int = 3) -> DataFrame:
 
     Rows with equal ids count as one document, of which the first by text stays; rows without an id are no group's and stay.
     """
-    groups = near_duplicates(docs.filter("doc_id is not null"), scratch, words)
+    return keep_first(docs, near_duplicates(docs.filter("doc_id is not null"), scratch, words))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents that are the first of their group (doc_id, component_id), and those without an id."""
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     kept = docs.join(first, "doc_id", "left_semi").withColumn("_again", again).filter("_again = 1").drop("_again")
