@@ -57,11 +57,12 @@ def judge(line: str) -> str:
     n_words = len(data.split())
     if 5 * (len(data) - len(data.translate(None, SYMBOLS))) > n_words:
         return "symbols"
-    if len(line) >= 20 and line[:1].isupper() and line[1:2].isupper():  # a line of capitals starts with two
+    if len(line) >= 20:
         capitals = sum(map(str.isupper, line))
-        letters = sum(map(str.isalpha, line))
-        if letters >= 20 and 2 * capitals > letters:
-            return "shouting"
+        if capitals >= 11:  # more than half of 20 letters
+            letters = sum(map(str.isalpha, line))
+            if letters >= 20 and 2 * capitals > letters:
+                return "shouting"
     if not ENDS.search(line):
         return "punctuation"
     return ""
