@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -69,3 +71,23 @@ def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns of the input never clash with those an operator adds."""
     return docs.select(*(F.col(c) for c in columns))
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with underscores before it if the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def release() -> None:
+    """Gives memory back that a worker keeps from tasks of the token operators: called by tasks of the others, which need none of it."""
+    for module in ("encoding", "wordpiece"):
+        if loaded := sys.modules.get(f"{__package__}.{module}"):
+            loaded.forget()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)

@@ -135,3 +135,8 @@ def encoder(path: str) -> Encoder:
     """One per worker process and file; workers are reused, so the caches serve later tasks too."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
+
+
+def forget() -> None:
+    """Drops the encoders of this process and their caches."""
+    encoder.cache_clear()

@@ -12,8 +12,10 @@ among the strings are joined to one symbol, so few symbols remain. Their suffix
 string that occurs several times standing twice in the text; the longest prefix that a suffix shares with a neighbour tells, byte by
 byte, which windows start a repeat.
 
-An anchor with more than ``CROWD`` different strings is not gathered in one task: its windows are dealt out one by one, so each
-window meets just those that equal it.
+An anchor with more than ``CROWD`` different strings is not gathered in one task. Its windows are dealt out anew by more of their
+bytes: a window that reaches far enough to the left of the anchor by the anchor with half of the remaining bytes before it, others by the
+anchor with as many behind it. Equal windows take the same side, so they meet again; groups that are still too large are split in the same
+way, until a group's key is the whole window, of which there is only one. So a task never sorts more than ``CROWD`` strings at a time.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; equal texts share one verdict, and
 all their bytes go if they are long enough; repeats inside one text count; rows with equal ids stay separate rows; a null ``doc_id``
@@ -28,18 +30,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, narrow, raw, slices
+from .common import Scratch, narrow, raw, release, slices, unused
 from .lyndon import common_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 128
-#: Strings of one anchor that a task holds at most.
-CROWD = 32_768
+#: Different strings of one group that a task holds at most.
+CROWD = 512
+#: Bytes of a window beside the key below which a crowded group is dealt out by whole windows.
+RIM = 72
 #: Windows of a long text that are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
@@ -101,7 +105,7 @@ def runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
         end = np.append(start[1:], n)
         found.append((start + at, end - start, least[start].view(np.int64), span_hashes(prefix, start, end + length - 1).view(np.int64)))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -112,6 +116,22 @@ def anchor_place(string: bytes, gram: int = GRAM, length: int = LENGTH) -> int:
     return int(span_hashes(prefix_hashes(data), places, places + gram).argmin())
 
 
+class Places:
+    """Where the anchors of strings start; strings of one anchor nearly always hold the same bytes there."""
+
+    def __init__(self, gram: int, length: int):
+        self.gram, self.length, self.key = gram, length, {}
+
+    def of(self, group: int, string: bytes) -> int:
+        key = self.key.get(group)
+        at = string.find(key) if key else -1
+        if at < 0:
+            at = anchor_place(string, self.gram, self.length)
+            if not key:
+                self.key = {group: string[at : at + self.gram]}
+        return at
+
+
 def shared(a: bytes, b: bytes) -> int:
     """Bytes of the common prefix."""
     n = min(len(a), len(b))
@@ -130,16 +150,15 @@ def most_shared(parts: list[bytes]) -> list[int]:
     return out
 
 
-def repeated(strings: list[bytes], counts: list[int], length: int = LENGTH, gram: int = GRAM) -> list[list[tuple[int, int]]]:
-    """For each different string of one anchor, the parts covered by windows that repeat, given how often each string occurs."""
+def repeated(strings: list[bytes], counts: list[int], place: list[int], gram: int = GRAM, length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """For each different string of one group, the parts covered by windows that repeat. ``counts`` tell how often each string occurs,
+    ``place`` where its key of ``gram`` bytes begins, which all of its windows hold there."""
     out: list[list[tuple[int, int]]] = [[] for _ in strings]
-    first = anchor_place(strings[0], gram, length)
-    key = strings[0][first : first + gram]
-    place = [s.find(key) for s in strings]
-    if min(place) < 0:  # another gram with the same hash: such strings are a group of their own
-        for same in (True, False):
-            which = [i for i, p in enumerate(place) if (p >= 0) == same]
-            for i, spans in zip(which, repeated([strings[i] for i in which], [counts[i] for i in which], length, gram), strict=True):
+    keys = [s[p : p + gram] for s, p in zip(strings, place, strict=True)]
+    if len(different := dict.fromkeys(keys)) > 1:  # other keys with the same hash: groups of their own
+        for key in different:
+            which = [i for i, k in enumerate(keys) if k == key]
+            for i, spans in zip(which, repeated(*([x[i] for i in which] for x in (strings, counts, place)), gram, length), strict=True):
                 out[i] = spans
         return out
     right = most_shared([s[p:] for s, p in zip(strings, place, strict=True)])
@@ -220,14 +239,15 @@ def text_key(text: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def mark(docs: DataFrame, length: int) -> DataFrame:
+def mark(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """One row per document, without its text: key, size and SHA-256 of the text, and its runs."""
     names = ["doc_id", "key", "n_bytes", "sha256", "start", "n", "anchor", "content"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches):
             data = raw(batch)
-            found = [runs(t, length) for t in data]
+            found = [runs(t, length, gram) for t in data]
             columns = [
                 batch.column("doc_id").cast(pa.int64()),
                 pa.array([hashlib.md5(t).digest() for t in data], pa.binary()),
@@ -244,77 +264,123 @@ def mark(docs: DataFrame, length: int) -> DataFrame:
     return narrow(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
-def cut_strings(held: DataFrame, length: int) -> DataFrame:
-    """Strings of runs, from the texts that hold them: (anchor, content, copies, string)."""
+STRINGS = "group long, sub long, copies long, place int, gram int, string binary"
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of columns, whose names and types are those of ``schema``."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<struct<a:int,b:int>>": SPAN_TYPE}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names)
+
+
+def cut_strings(held: DataFrame, length: int, gram: int) -> DataFrame:
+    """Strings of runs, from the texts that hold them, by anchor (``group``) and content (``sub``); where the key begins is still to be found."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for text, wanted in zip(raw(batch), batch.column("wanted").to_pylist(), strict=True):
-                rows += [(w["anchor"], w["content"], w["copies"], text[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "content", "copies", "string"]
-            )
+                rows += [(w["anchor"], w["content"], w["copies"], None, gram, text[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
+            yield batch_of(rows, STRINGS)
 
-    return held.filter("wanted is not null").select("text", "wanted").mapInArrow(run, "anchor long, content long, copies long, string binary")
+    return held.filter("wanted is not null").select("text", "wanted").mapInArrow(run, STRINGS)
 
 
 def judge(strings: DataFrame, length: int) -> DataFrame:
-    """Repeated parts of each string, one anchor after the other: (anchor, content, spans)."""
+    """Repeated parts of each string, one group after the other: (group, sub, spans)."""
+    schema = f"group long, sub long, {SPANS}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def verdict(group: list[dict]) -> Iterator[tuple]:
             if len(group) > 1 or group[0]["copies"] > 1:
-                for row, spans in zip(group, repeated([r["string"] for r in group], [r["copies"] for r in group], length), strict=True):
+                places = Places(gram := group[0]["gram"], length)
+                at = [places.of(r["group"], r["string"]) if r["place"] is None else r["place"] for r in group]
+                found = repeated([r["string"] for r in group], [r["copies"] for r in group], at, gram, length)
+                for row, spans in zip(group, found, strict=True):
                     if spans:
-                        yield row["anchor"], row["content"], [{"a": a, "b": b} for a, b in spans]
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), SPAN_TYPE), strict=True)], ["anchor", "content", "spans"])
+                        yield row["group"], row["sub"], [{"a": a, "b": b} for a, b in spans]
 
         group: list[dict] = []
         for batch in slices(batches, "string"):
             rows = []
             for row in batch.to_pylist():
-                if group and row["anchor"] != group[0]["anchor"]:
+                if group and row["group"] != group[0]["group"]:
                     rows += verdict(group)
                     group = []
                 group.append(row)
-            yield out(rows)
+            yield batch_of(rows, schema)
         if group:
-            yield out(list(verdict(group)))
+            yield batch_of(list(verdict(group)), schema)
 
-    return strings.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(run, f"anchor long, content long, {SPANS}")
+    return strings.repartition("group").sortWithinPartitions("group", "sub").mapInArrow(run, schema)
 
 
-def judge_crowd(strings: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many strings: each window is dealt out by its content and meets those that equal it."""
+def sides(string: bytes, place: int, gram: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """The windows of a string dealt out by a longer key: (first window, number of windows, where the key begins, its size)."""
+    n, rest = len(string) - length + 1, length - gram
+    if rest <= RIM:
+        yield from ((w, 1, w, length) for w in range(n))
+        return
+    more = -(-rest // 2)
+    left = max(0, min(n, place - more + 1))  # the windows that hold the key and ``more`` bytes before it
+    if left:
+        yield 0, left, place - more, gram + more
+    if left < n:
+        yield left, n - left, place, gram + more
 
-    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "string", 50_000):
-            rows = [
-                (r["anchor"], r["content"], r["copies"], at, xxhash.xxh3_128_digest(r["string"][at : at + length]))
-                for r in batch.to_pylist()
-                for at in range(len(r["string"]) - length + 1)
-            ]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-                ["anchor", "content", "copies", "at", "window"],
-            )
 
-    each = strings.mapInArrow(windows, "anchor long, content long, copies long, at int, window binary")
-    often = each.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window")
-    span = F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    return each.join(often, "window").groupBy("anchor", "content").agg(F.collect_list(span).alias("spans"))
+def deal_out(strings: DataFrame, length: int) -> DataFrame:
+    """Strings of crowded groups cut into those of smaller groups, with the group and string they come from and their place in it (``base``)."""
+    schema = f"from_group long, from_sub long, base int, {STRINGS}"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = None
+        for batch in slices(batches, "string", 200_000):
+            rows = []
+            for r in batch.to_pylist():
+                string, own = r["string"], r["place"]
+                if own is None:
+                    places = places or Places(r["gram"], length)
+                    own = places.of(r["group"], string)
+                for at, n, key, gram in sides(string, own, r["gram"], length):
+                    part, place = string[at : at + n + length - 1], key - at
+                    group = xxhash.xxh3_64_intdigest(string[key : key + gram], key < own)
+                    sub = xxhash.xxh3_64_intdigest(part, place)
+                    rows.append((r["group"], r["sub"], at, signed(group), signed(sub), r["copies"], place, gram, part))
+            yield batch_of(rows, schema)
+
+    return strings.mapInArrow(run, schema)
+
+
+def signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
+
 
+def judge_all(strings: DataFrame, scratch: Scratch, length: int, crowd: int, level: int = 0) -> DataFrame:
+    """As ``judge``, with groups of more than ``crowd`` strings dealt out by longer keys, as often as it takes."""
+    crowded = scratch.table(strings.groupBy("group").count().filter(F.col("count") > crowd).select("group"), f"crowded{level}")
+    if crowded.isEmpty():
+        return judge(strings, length)
+    parts = scratch.table(deal_out(strings.join(crowded, "group", "left_semi"), length), f"parts{level}")
+    merged = parts.groupBy("group", "sub").agg(F.sum("copies").alias("copies"), F.first("place").alias("place"), F.first("gram").alias("gram"), F.first("string").alias("string"))
+    often = parts.groupBy("group").agg(F.sum("copies").alias("n")).filter("n > 1").select("group")
+    smaller = scratch.table(merged.join(often, "group", "left_semi"), f"smaller{level}")
+    below = scratch.table(judge_all(smaller, scratch, length, crowd, level + 1), f"below{level}")
+    found = parts.select("from_group", "from_sub", "base", "group", "sub").join(below, ["group", "sub"])
+    lifted = found.groupBy("from_group", "from_sub").agg(F.flatten(F.collect_list(moved("spans", "base"))).alias("spans"))
+    return judge(strings.join(crowded, "group", "left_anti"), length).union(lifted)
 
-def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+
+def moved(spans: str, by: str) -> Column:
+    return F.transform(spans, lambda s: F.struct((s["a"] + F.col(by)).alias("a"), (s["b"] + F.col(by)).alias("b")))
+
+
+def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(documents, cuts): per document its key, size and SHA-256; per different text with repeats its key, the spans of bytes that go,
-    and the bytes that stay (``kept``)."""
-    marked = scratch.table(mark(docs, length), "marked")
+    and the bytes that stay (``kept``). ``gram`` is the size of the anchors, less than ``length``."""
+    marked = scratch.table(mark(docs, length, gram), "marked")
     arrays = ["start", "n", "anchor", "content"]
     texts = marked.groupBy("key").agg(F.count("*").alias("copies"), F.first(F.arrays_zip(*arrays)).alias("runs"))
     each = scratch.table(texts.select("key", "copies", F.explode("runs").alias("r")).select("key", "copies", "r.*"), "runs")
@@ -324,18 +390,15 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, crowd:
     scratch.drop("runs", "often")
     strings = met.groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("key", "start", "n")).alias("at"))
     wanted = strings.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "content", "copies", "at.start", "at.n")).alias("wanted"))
-    touched = met.select("key").distinct().join(wanted, "key", "left")
-    whole = docs.select(text_key().alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
-    held = scratch.table(whole.join(touched, "key"), "held")
-    cut = scratch.table(cut_strings(held, length), "strings")
-    crowded = scratch.table(cut.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor"), "crowded")
-    spans = judge(cut.join(crowded, "anchor", "left_anti"), length)
-    if not crowded.isEmpty():
-        spans = spans.union(judge_crowd(cut.join(crowded, "anchor", "left_semi"), length))
+    touched = met.select("key").distinct()
+    # texts without a repeated anchor leave before texts are gathered; if the keys are few, adaptive execution does not shuffle any of them
+    whole = docs.select(text_key().alias("key"), "text").join(touched, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    held = scratch.table(whole.join(wanted, "key", "left"), "held")
+    cut = scratch.table(cut_strings(held, length, gram), "strings")
+    spans = judge_all(cut, scratch, length, crowd).select(F.col("group").alias("anchor"), F.col("sub").alias("content"), "spans")
     spans = scratch.table(spans, "spans")
     scratch.drop("strings")
-    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
-    by_text = met.select("key", "start", "anchor", "content").join(spans, ["anchor", "content"]).groupBy("key").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    by_text = met.select("key", "start", "anchor", "content").join(spans, ["anchor", "content"]).groupBy("key").agg(F.flatten(F.collect_list(moved("spans", "start"))).alias("spans"))
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -363,23 +426,23 @@ def digests(documents: DataFrame, cuts: DataFrame) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The documents, with all their columns, without their repeated strings; ``n_chars`` is counted anew.
 
     Bytes of a character that a cut has split go too. Documents of which no word is left are dropped; those that had none stay.
     """
-    _, cuts = find_repeats(docs, scratch, length)
-    cuts = cuts.select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    joined = docs.withColumn("_key", text_key()).join(cuts, "_key", "left")
+    _, cuts = find_repeats(docs, scratch, length, gram)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), text_key().alias("key"))
+    joined = whole.join(cuts.select("key", "kept"), "key", "left").select("row.*", F.col("kept").alias(column := unused("kept", docs)))
+    names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own, kept = batch.column("text").to_pylist(), batch.column("_kept").to_pylist()
+            own, kept = batch.column("text").to_pylist(), batch.column(column).to_pylist()
             new = [t if k is None else k.decode("utf-8", "ignore") for t, k in zip(own, kept, strict=True)]
             stays = pa.array([k is None or bool(k.split()) for k in kept], pa.bool_())
             columns = [pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(stays)
 
-    names = docs.columns
-    out = joined.select(*names, "_kept").mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else out

@@ -100,6 +100,11 @@ def automaton(path: str) -> tuple[Automaton, dict[bytes, int]]:
     return Automaton(byte_vocabulary(path)), {}
 
 
+def forget() -> None:
+    """Drops the automata of this process and their caches."""
+    automaton.cache_clear()
+
+
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every document. ``vocabulary`` is the path of a byte-level ``tokenizers`` file."""
 
