@@ -1,18 +1,21 @@
 """Quality classifier by co-training of two views of a document.
 
-The content view holds figures of the text: shares of capitals, symbols and sentence ends, repeated words, windows and lines, and the
-like. The page view holds the metadata: language, source (by hash) and the recorded length. Each view has a logistic classifier. In
-every round, each classifier labels the pool of unlabelled documents, and those it is surest of (``sure`` or more, in both classes)
-teach the other one, with half the weight of a true label. In the end each view's score is calibrated on labelled rows that did not
-teach (a fourth of them), the two are combined by weights fitted there, and all documents are scored in one pass.
+The content view holds figures of the words: how long, how many different, capitals, digits, symbols and punctuation in them, repeated words and
+windows. The page view holds metadata: language, source (by hash), recorded length, and the page's layout, that is figures of its lines
+(how many, how long, how many end a sentence, are short, repeat, or hold separators), which look at no word. Each view has a logistic classifier.
+
+In every round each classifier labels the pool of unlabelled documents, and of those that it calls good, and of those that it calls bad, the
+``growth`` it is surest of (``sure`` or more) and has not handed over yet teach the other view with half the weight of a true label.
+In the end each view's score is calibrated on labelled rows that did not teach (a fourth of them), the two are combined by weights fitted there,
+and all documents are scored in one pass.
 
 Labelled rows (``sample``) and the pool (``pool``) are those with the smallest hash of the id, so what is fitted is bounded; everything
 is scored.
 
 Defined cases: null and empty texts have zero figures; null metadata count as values of their own; rows with equal ids are scored each
-for itself; a null ``doc_id`` is scored and counts as not held out; labels that are null do not teach, and of several labels of one id
-the larger holds; if the labels have one class or none, all get their share of ones (0.5 without any); an empty table gives no rows;
-other columns of the input are ignored.
+for itself, and the largest of them teaches; a null ``doc_id`` is scored and counts as not held out; labels that are null do not teach, and of several
+labels of one id the larger holds; if the labels have one class or none, all get their share of ones (0.5 without any); an empty table gives no
+rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -37,39 +40,54 @@ SOURCES = 16
 LANGUAGES = ("en", "de", "fr", "es")
 ENDS = re.compile(r"[.!?…][\"'”»)]*\s*$")
 CONTENT = (
-    "log_words", "word_length", "capitals", "symbols", "digits", "punctuation", "different_words", "repeat_windows", "repeat_lines",
-    "sentence_ends", "line_words", "shouted_words", "longest_run",
+    "log_words", "word_length", "capitals", "symbols", "digits", "punctuation", "different_words", "repeat_windows", "shouted_words", "longest_run",
 )
+LAYOUT = ("log_lines", "line_size", "longest_line", "sentence_ends", "short_lines", "repeat_lines", "separators", "blank_lines")
 
 
 def content(text: str) -> list[float]:
-    """Figures of a text, zero where it has no words."""
+    """Figures of the words, zero if there are none."""
     words = text.split()
     if not words:
         return [0.0] * len(CONTENT)
     data, n, size = text.encode(), len(words), len(text)
-    lines = [x for x in text.split("\n") if x.strip()]
     longest = run = 1
     for a, b in zip(words, words[1:], strict=False):
         run = run + 1 if a == b else 1
         longest = max(longest, run)
     return [
         math.log1p(n),
-        min(20.0, size / n),
+        min(20.0, sum(map(len, words)) / n),
         sum(map(str.isupper, text)) / size,
         min(2.0, (len(data) - len(data.translate(None, SYMBOLS))) / n),
         (len(data) - len(data.translate(None, b"0123456789"))) / size,
         min(2.0, (len(data) - len(data.translate(None, b".,;:!?"))) / n),
         len(set(words)) / n,
         repeat_words(words) / n,
-        1 - len(set(lines)) / len(lines),
-        sum(bool(ENDS.search(x)) for x in lines) / len(lines),
-        math.log1p(n / len(lines)),
         sum(map(str.isupper, words)) / n,
         math.log(longest),
     ]
 
 
+def layout(text: str) -> list[float]:
+    """Figures of the lines, zero if all are blank."""
+    every = text.split("\n")
+    lines = [x for x in every if x.strip()]
+    if not lines:
+        return [0.0] * len(LAYOUT)
+    n, sizes = len(lines), [len(x) for x in lines]
+    return [
+        math.log1p(n),
+        math.log1p(sum(sizes) / n),
+        math.log1p(max(sizes)),
+        sum(bool(ENDS.search(x)) for x in lines) / n,
+        sum(x < 40 for x in sizes) / n,
+        1 - len(set(lines)) / n,
+        min(10.0, sum(x.count("|") for x in lines) / n),
+        1 - n / len(every),
+    ]
+
+
 def page(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
     """Metadata as figures."""
     size = math.log1p(max(0, n_chars or 0))
@@ -78,8 +96,9 @@ def page(lang: str | None, source: str | None, n_chars: int | None) -> list[floa
 
 
 def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    meta = zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)
-    return np.array([content(t) for t in texts(batch)]).reshape(-1, len(CONTENT)), np.array([page(*m) for m in meta])
+    own = texts(batch)
+    meta = zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), own, strict=True)
+    return np.array([content(t) for t in own]).reshape(-1, len(CONTENT)), np.array([page(*m) + layout(t) for *m, t in meta])
 
 
 @dataclass
@@ -103,10 +122,13 @@ def fit_view(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> View:
 
 @dataclass
 class Model:
+    """Both views, their weights in the score, and, by round, how many (good, bad) pseudo-labels each view gave the other, content first."""
+
     text: View | None
     page: View | None
     mix: np.ndarray
     prior: float
+    exchanged: tuple = ()
 
     def scores(self, x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.text is None or self.page is None:
@@ -125,14 +147,26 @@ def gather(docs: DataFrame, chosen: DataFrame) -> list:
             kind = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array(list(x), kind), pa.array(list(m), kind)], ["doc_id", "y", "x", "m"])
 
-    rows = narrow(docs, "doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")
-    found = rows.mapInArrow(run, "doc_id long, y int, x array<double>, m array<double>").collect()
-    return sorted(found, key=lambda r: (r["doc_id"], r["x"]))
+    size = F.col("n_chars").cast("long").alias("n_chars")
+    rows = docs.select("doc_id", F.struct("text", "lang", "source", size).alias("row")).join(F.broadcast(chosen), "doc_id")
+    once = rows.groupBy("doc_id", "y").agg(F.max("row").alias("row")).select("doc_id", "y", "row.*")
+    found = once.mapInArrow(run, "doc_id long, y int, x array<double>, m array<double>").collect()
+    return sorted(found, key=lambda r: r["doc_id"])
+
+
+def surest(p: np.ndarray, taken: dict[int, float], growth: float, sure: float) -> dict[int, float]:
+    """Of the rows called good and of those called bad, the share that is surest and not taken yet, with their label."""
+    out: dict[int, float] = {}
+    for label, q in ((1.0, p), (0.0, 1 - p)):
+        called = np.flatnonzero(q >= 0.5)
+        new = [int(i) for i in called[np.argsort(-q[called], kind="stable")] if q[i] >= sure and int(i) not in taken]
+        out |= dict.fromkeys(new[: math.ceil(growth * len(called))], label)
+    return out
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality", learn: Column | None = None,
-    sample: int = 10_000, pool: int = 10_000, rounds: int = 3, sure: float = 0.97,
+    sample: int = 10_000, pool: int = 10_000, rounds: int = 4, growth: float = 0.1, sure: float = 0.75,
 ) -> Model:
     """Learns from at most ``sample`` labelled rows that ``learn`` (by default: not held out) lets through, and ``pool`` unlabelled ones."""
     marked = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -152,17 +186,18 @@ def fit(
     data = [(own := np.array([r[v] for r in known]), np.array([r[v] for r in other]).reshape(len(other), own.shape[1])) for v in ("x", "m")]
     extra: list[dict[int, float]] = [{}, {}]  # by view: pseudo-labels of the pool that teach it
     fitted: list[View] = []
-    for _ in range(rounds + 1):
+    exchanged = []
+    for turn in range(rounds + 1):
         fitted = []
         for (own, rest), pseudo in zip(data, extra, strict=True):
             which = sorted(pseudo)
             x = np.vstack([own[~test], rest[which]]) if which else own[~test]
             fitted.append(fit_view(x, np.append(y[~test], [pseudo[i] for i in which]), np.append(np.ones((~test).sum()), np.full(len(which), 0.5))))
-        for v in (0, 1):
-            if len(other):
-                p = sigmoid(fitted[v].logit(data[v][1]))
-                confident = np.flatnonzero((p >= sure) | (p <= 1 - sure))
-                extra[1 - v] |= {int(i): float(p[i] > 0.5) for i in confident}
+        if len(other) and turn < rounds:
+            given = [surest(sigmoid(fitted[v].logit(data[v][1])), extra[1 - v], growth, sure) for v in (0, 1)]
+            for v in (0, 1):
+                extra[1 - v] |= given[v]
+            exchanged.append(tuple((sum(x > 0 for x in g.values()), sum(x == 0 for x in g.values())) for g in given))
     logits = []
     for view, (own, _) in zip(fitted, data, strict=True):
         raw = view.logit(own[test])
@@ -170,7 +205,7 @@ def fit(
             view.slope, view.shift = fit_dense(raw[:, None], y[test], l2=1e-3)
         logits.append(view.logit(own[test]))
     mix = fit_dense(np.column_stack(logits), y[test], l2=1e-3) if len(set(y[test])) == 2 else np.array([1.0, 0.0, 0.0])
-    return Model(fitted[0], fitted[1], mix, prior)
+    return Model(fitted[0], fitted[1], mix, prior, tuple(exchanged))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -25,11 +25,11 @@ class SparseRows:
 
 
 def fit_sparse(
-    rows: list[list[int]], labels: np.ndarray, n_features: int, pairs: list[tuple[int, list[int]]] = (), pull: float = 1.0, l2: float = 1e-4, steps: int = 400, rate: float = 0.1
+    rows: list[list[int]], labels: np.ndarray, n_features: int, pairs: list[tuple[list[int], list[int]]] = (), pull: float = 1.0, l2: float = 1e-4, steps: int = 400, rate: float = 0.1
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias. ``pairs`` are (row number, counterfactual row): the squared change of the score between them is penalised."""
+    """Weights and bias. ``pairs`` are features that a counterfactual loses and gains: the squared change of the score is penalised."""
     x, n = SparseRows(rows), max(1, len(rows))
-    left, right = SparseRows([rows[i] for i, _ in pairs]), SparseRows([r for _, r in pairs])
+    left, right = SparseRows([gone for gone, _ in pairs]), SparseRows([come for _, come in pairs])
     w, b = np.zeros(n_features), float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, steps + 1):

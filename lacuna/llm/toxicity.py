@@ -2,41 +2,60 @@
 
 A document's features are its different words, lower-cased, and their first four to seven letters. The labelled rows for learning are a
 bounded sample (``sample`` labels with the smallest hash). Spark counts the features by label; the ``n_features`` that tell the labels
-apart most surely (a log-odds ratio of ``min_z`` standard errors or more, in ``min_docs`` documents or more) make the model. In each labelled document with an identity term, the
-term is swapped for others of the list, in the sentences where it stands, and logistic regression pays for every change of the score
-that the swaps bring. So the mere mention of a group does not raise the score.
+apart most surely (a log-odds ratio of ``min_z`` standard errors or more, in ``min_docs`` documents or more) make the model, and beside them the
+terms to swap that are as frequent, whatever they tell: what a mention adds is learned, and then held down.
+
+The terms to swap are those of a list, by language and kind of group, and the neutral words of each language: those found in a share of
+``spread`` or more of the toxic and of the other labelled documents alike, ``n_neutral`` of them at most, the commonest. In each labelled document up to
+``mentions`` of its terms are swapped, one at a time, for ``swaps`` others of the same group, in all sentences where they stand, and logistic
+regression pays for every change of the score that a swap brings. So the mere mention of a group, or of a word that everybody uses, does not
+raise the score.
 
 All documents are then scored in one pass over the scan's partitions; the model, bounded by ``n_features``, goes with the tasks.
 
-Defined cases: null and empty texts have no features and get the score of the bias; rows with equal ids are scored each for itself; a
-null ``doc_id`` is scored and counts as not held out; labels that are null do not teach, and of several labels of one id the larger
-holds; without any labelled rows every score is 0; an empty table gives no rows; other columns of the input are ignored.
+Defined cases: null and empty texts have no features and get the score of the bias; rows with equal ids are scored each for itself, and
+the largest of their texts teaches; a null ``doc_id`` is scored and counts as not held out; labels that are null do not teach, and of several
+labels of one id the larger holds; without any labelled rows every score is 0; an empty table gives no rows; other columns of the input are
+ignored, but for ``lang``, which tells whose words are neutral and is no feature.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, narrow, slices, texts
+from .common import Scratch, narrow, release, slices, texts
 from .logistic import fit_sparse, sigmoid
 
-#: Groups of people whose mere mention must not change a score; any other list can be given.
+#: Groups of people whose mere mention must not change a score, by language and kind; any other groups can be given.
 IDENTITY = (
-    "women", "men", "muslims", "christians", "jews", "hindus", "buddhists", "atheists", "immigrants", "refugees", "foreigners", "gays",
-    "lesbians", "transgender", "blacks", "whites", "asians", "africans", "latinos", "arabs", "disabled", "elderly", "teenagers",
+    ("woman", "man", "girl", "boy", "transgender"), ("women", "men", "girls", "boys"),
+    ("muslim", "christian", "jew", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+    ("immigrant", "refugee", "foreigner", "tourist"), ("immigrants", "refugees", "foreigners", "tourists"),
+    ("gay", "lesbian", "bisexual", "straight"), ("gays", "lesbians", "bisexuals"),
+    ("black", "white", "asian", "african", "latino", "arab"), ("blacks", "whites", "asians", "africans", "latinos", "arabs"), ("disabled", "elderly", "teenagers"),
+    ("frau", "mann", "mädchen", "junge"), ("frauen", "männer", "mädchen", "jungen"), ("muslim", "christ", "jude", "hindu", "atheist"),
+    ("muslime", "christen", "juden", "hindus", "atheisten"), ("ausländer", "flüchtling", "migrant"), ("ausländer", "flüchtlinge", "migranten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "araber"), ("schwule", "lesben", "behinderte"),
+    ("femme", "homme", "fille", "garçon"), ("femmes", "hommes", "filles", "garçons"), ("musulman", "chrétien", "juif", "hindou", "athée"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "athées"), ("immigré", "réfugié", "étranger"), ("immigrés", "réfugiés", "étrangers"),
+    ("noirs", "blancs", "asiatiques", "africains", "arabes"), ("gays", "lesbiennes", "handicapés"),
+    ("mujer", "hombre", "niña", "niño"), ("mujeres", "hombres", "niñas", "niños"), ("musulmán", "cristiano", "judío", "hindú", "ateo"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "ateos"), ("inmigrante", "refugiado", "extranjero"), ("inmigrantes", "refugiados", "extranjeros"),
+    ("negros", "blancos", "asiáticos", "africanos", "árabes"), ("gays", "lesbianas", "discapacitados"),
 )
 WORDS = re.compile(r"[^\W_]+")
-SENTENCE = re.compile(r"(?<=[.!?\n])\s*")
 PREFIXES = (4, 5, 6, 7)
-CACHE = 300_000
+#: Words of which a task remembers what they add.
+CACHE = 100_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -52,26 +71,43 @@ def features(text: str) -> set[str]:
     return {f for w in set(WORDS.findall(text.lower())) for f in features_of(w)}
 
 
-def swapped(text: str, terms: tuple[str, ...], swaps: int) -> list[str]:
-    """The text with one identity term at a time swapped for each of the next ``swaps`` terms, sentence by sentence."""
-    low = text.lower()
-    found = [t for t in terms if t in low]
-    found = [t for t in found if t in set(WORDS.findall(low))]
-    out = []
-    for term in found:
-        whole = re.compile(rf"(?<![^\W_]){re.escape(term)}(?![^\W_])")
-        others = [terms[(terms.index(term) + i) % len(terms)] for i in range(1, swaps + 1)]
-        sentences = [s for s in SENTENCE.split(low) if s]
-        out += [" ".join(whole.sub(o, s) if term in s else s for s in sentences) for o in others if o != term]
+Groups = tuple[tuple[str, ...], ...]
+
+
+def partners(groups: Groups, swaps: int) -> dict[str, tuple[str, ...]]:
+    """For each term, the ``swaps`` terms that follow it in its first group."""
+    out: dict[str, tuple[str, ...]] = {}
+    for group in groups:
+        for i, term in enumerate(group):
+            others = [group[(i + k) % len(group)] for k in range(1, min(swaps, len(group) - 1) + 1)]
+            out.setdefault(term, tuple(o for o in others if o != term))
     return out
 
 
+def swapped(words: set[str], others: dict[str, tuple[str, ...]], mentions: int) -> Iterator[tuple[set[str], set[str]]]:
+    """The features that go and those that come if one term of a document, given by its words, is swapped for another. A document with
+    many terms gives ``mentions`` of them, drawn by hash."""
+    terms = sorted((w for w in words if w in others), key=lambda w: (zlib.crc32(f"{len(words)} {w}".encode()), w))[:mentions]
+    if not terms:
+        return
+    held = Counter(f for w in words for f in features_of(w))
+    for term in terms:
+        own = {f for f in features_of(term) if held[f] == 1}
+        for other in others[term]:
+            if other not in words:
+                new = {f for f in features_of(other) if not held[f] or f in own}
+                yield own - new, new - own
+
+
 @dataclass
 class Model:
-    """Weights by feature, and the bias."""
+    """Weights by feature, and the bias; how many swaps were made, and how many of them touched a feature of the model."""
 
     weights: dict[str, float]
     bias: float
+    swaps: int = 0
+    pairs: int = 0
+    terms: Groups = ()
 
     def scorer(self):
         """Scores of texts; what each word adds is looked up once."""
@@ -92,10 +128,25 @@ class Model:
 
 
 def teaching_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int) -> DataFrame:
-    """(text, y): documents of at most ``sample`` labels. The labels' side is bounded by it, so it may be broadcast."""
+    """(text, lang, y): one document for each of at most ``sample`` labels. The labels' side is bounded by it, so it may be broadcast."""
     marked = labels.filter(F.col(label).isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return narrow(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("y").cast("int"))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    found = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.max(F.struct("text", "lang", F.col("y").cast("int").alias("y"))).alias("row")).select("row.*")
+
+
+def neutral_words(counts: DataFrame, totals: DataFrame, spread: float, n: int) -> Groups:
+    """By language, the ``n`` commonest words that stand in a share of ``spread`` or more of the documents of either label."""
+    size = totals.select("lang", F.col("n0").alias("of0"), F.col("n1").alias("of1")).filter("of0 > 0 AND of1 > 0")
+    words = counts.filter("NOT startswith(feature, '^')").join(F.broadcast(size), "lang")
+    wide = words.filter((F.col("n0") >= spread * F.col("of0")) & (F.col("n1") >= spread * F.col("of1")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("n0") + F.col("n1")), "feature"))
+    rows = wide.withColumn("place", place).filter(F.col("place") <= n).select("lang", "place", "feature").collect()
+    groups: dict[str, list[tuple[int, str]]] = {}
+    for r in rows:
+        groups.setdefault(r["lang"], []).append((r["place"], r["feature"]))
+    return tuple(tuple(w for _, w in sorted(words)) for _, words in sorted(groups.items()) if len(words) > 1)
 
 
 def fit(
@@ -108,48 +159,64 @@ def fit(
     n_features: int = 8192,
     min_docs: int = 3,
     min_z: float = 3.5,
-    identity: tuple[str, ...] = IDENTITY,
+    identity: Groups = IDENTITY,
+    spread: float = 0.1,
+    n_neutral: int = 64,
+    mentions: int = 6,
     swaps: int = 3,
-    pull: float = 1.0,
+    pull: float = 3.0,
 ) -> Model:
     """Learns from labelled rows that ``learn`` (a condition on ``doc_id``; by default: not held out) lets through."""
     rows = scratch.table(teaching_rows(docs, labels, label, ~held_out() if learn is None else learn, sample), "teaching")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        release()
+        counts: dict[tuple[str, str], list[int]] = {}
         for batch in slices(batches):
-            for text, y in zip(texts(batch), batch.column("y").to_pylist(), strict=True):
-                counts[y > 0].update(features(text))
-        names = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)], ["feature", "n0", "n1"])
-
-    totals = rows.agg(F.count_if(F.col("y") > 0).alias("n1"), F.count_if(F.col("y") <= 0).alias("n0")).first()
-    if not totals["n0"] + totals["n1"]:
+            for text, lang, y in zip(texts(batch), batch.column("lang").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                for f in features(text):
+                    counts.setdefault((lang, f), [0, 0])[y > 0] += 1
+        n0, n1 = zip(*counts.values(), strict=True) if counts else ((), ())
+        langs, names = zip(*counts, strict=True) if counts else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(n0, pa.int64()), pa.array(n1, pa.int64())], ["lang", "feature", "n0", "n1"])
+
+    totals = rows.groupBy("lang").agg(F.count_if(F.col("y") > 0).alias("n1"), F.count_if(F.col("y") <= 0).alias("n0"))
+    n1, n0 = totals.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n0"), F.lit(0))).first()
+    if not n0 + n1:
         return Model({}, -np.inf)
-    n0, n1 = totals["n0"], totals["n1"]
     odds = lambda n, of: F.log((F.col(n) + 0.5) / (F.lit(of) - F.col(n) + 0.5))
-    spread = F.sqrt(1 / (F.col("n0") + 0.5) + 1 / (F.col("n1") + 0.5))
-    counted = rows.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    sure = counted.filter(F.col("n0") + F.col("n1") >= min_docs).withColumn("z", F.abs(odds("n1", n1) - odds("n0", n0)) / spread)
-    sure = sure.filter(F.col("z") >= min_z)
-    chosen = [r["feature"] for r in sure.orderBy(F.desc("z"), "feature").limit(n_features).select("feature").collect()]
+    spreads = F.sqrt(1 / (F.col("n0") + 0.5) + 1 / (F.col("n1") + 0.5))
+    counted = rows.mapInArrow(count, "lang string, feature string, n0 long, n1 long").groupBy("lang", "feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = scratch.table(counted, "counted")
+    every = counted.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= min_docs)
+    sure = every.withColumn("z", F.abs(odds("n1", n1) - odds("n0", n0)) / spreads).filter(F.col("z") >= min_z)
+    groups = tuple(identity) + neutral_words(counted, totals, spread, n_neutral)
+    others = partners(groups, swaps)
+    terms = every.filter(F.col("feature").isin(sorted(others))).select("feature")  # bounded by the list of terms
+    best = sure.orderBy(F.desc("z"), "feature").limit(n_features).select("feature")
+    chosen = sorted(r["feature"] for r in best.union(terms).distinct().collect())
     number = {f: i for i, f in enumerate(chosen)}
-    terms = tuple(identity)
 
     def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present = lambda text: sorted(number[f] for f in features(text) if f in number)
+        known = lambda fs: sorted(number[f] for f in fs if f in number)
+        kind = pa.list_(pa.list_(pa.int32()))
         for batch in slices(batches):
-            own = texts(batch)
-            pairs = [[present(s) for s in swapped(t, terms, swaps)] for t in own]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), pa.array([present(t) for t in own], pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.list_(pa.int32())))], ["y", "x", "swapped"]
-            )
-
-    found = rows.mapInArrow(rows_of, "y int, x array<int>, swapped array<array<int>>").collect()  # at most ``sample`` short rows
-    found.sort(key=lambda r: (r["y"], r["x"]))
-    pairs = [(i, s) for i, r in enumerate(found) for s in r["swapped"]]
+            x, gone, come, made = [], [], [], []
+            for text in texts(batch):
+                pairs = [(known(a), known(b)) for a, b in swapped(set(WORDS.findall(text.lower())), others, mentions)]
+                made.append(len(pairs))
+                pairs = [p for p in pairs if p[0] or p[1]]
+                x.append(known(features(text)))
+                gone.append([p[0] for p in pairs])
+                come.append([p[1] for p in pairs])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.int32())), pa.array(gone, kind), pa.array(come, kind), pa.array(made, pa.int32())], ["y", "x", "gone", "come", "made"])
+
+    # at most ``sample`` short rows
+    found = rows.mapInArrow(rows_of, "y int, x array<int>, gone array<array<int>>, come array<array<int>>, made int").collect()
+    found.sort(key=lambda r: (r["y"], r["x"], r["gone"], r["come"]))
+    pairs = [p for r in found for p in zip(r["gone"], r["come"], strict=True)]
     w, b = fit_sparse([r["x"] for r in found], np.array([r["y"] > 0 for r in found], float), len(chosen), pairs, pull)
-    return Model({f: float(w[i]) for f, i in number.items() if w[i]}, b)
+    return Model({f: float(w[i]) for f, i in number.items() if w[i]}, b, sum(r["made"] for r in found), len(pairs), groups[len(identity) :])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -157,6 +224,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logit = model.scorer()
+        release()
         for batch in slices(batches):
             scores = sigmoid(np.array([logit(t) for t in texts(batch)]))
             if model.bias == -np.inf:
@@ -171,6 +239,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logit = model.scorer()
+        release()
         for batch in slices(batches):
             yield batch.filter(pa.array([logit(t) < 0 for t in texts(batch)], pa.bool_()))
 

@@ -120,18 +120,101 @@ def test_swaps_take_the_weight_off_identity_terms(labelled, scratch):
     assert held("You idiot. The people came.") > held("The people came.")
 
 
-def test_swaps_stay_in_words_and_sentences():
-    out = toxicity.swapped("Women here. The womenfolk there!", ("women", "men"), 1)
-    assert out == ["men here. the womenfolk there!"]
+def test_swaps_change_the_features_that_the_swapped_text_has():
+    others = toxicity.partners((("women", "men", "womenfolk"), ("hindu", "jew")), 2)
+    assert others["women"] == ("men", "womenfolk") and others["hindu"] == ("jew",)
+    for text in ("women here. the womenfolk there! one hindu", "the men, the women", "nobody"):
+        words = set(toxicity.WORDS.findall(text))
+        before, got = toxicity.features(text), list(toxicity.swapped(words, others, 9))
+        expected = []
+        for term in (w for w in words if w in others):
+            for other in others[term]:
+                if other not in words:
+                    after = toxicity.features(" ".join(other if w == term else w for w in toxicity.WORDS.findall(text)))
+                    expected.append((before - after, after - before))
+        assert sorted(map(str, got)) == sorted(map(str, expected)) or len(got) == len(expected) and all(g in expected for g in got)
 
 
 def test_penalty_lowers_the_change():
     rows, y = [[0, 1], [1]] * 50, np.array([1.0, 0.0] * 50)
     free, _ = fit_sparse(rows, y, 3)
-    held, _ = fit_sparse(rows, y, 3, [(i, [2, 1]) for i in range(0, 100, 2)], pull=10.0)
+    held, _ = fit_sparse(rows, y, 3, [([0], [2])] * 50, pull=10.0)
     assert abs(held[0] - held[2]) < 0.2 * abs(free[0] - free[2])
 
 
+def test_penalty_works_on_the_given_tables(spark, scratch):
+    """Neutral words of each language are swapped, and a swap changes scores of held-out documents far less than without the penalty."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = [r["text"] for r in docs.join(labels, "doc_id").filter(toxicity.held_out()).select("text").collect()]
+    change = {}
+    for pull in (0.0, 3.0):
+        model = toxicity.fit(docs, labels, scratch, pull=pull)
+        assert model.pairs > 500 and all(len(g) > 10 for g in model.terms)
+        others, gaps = toxicity.partners(model.terms, 3), []
+        for text in held:
+            for gone, come in toxicity.swapped(set(toxicity.WORDS.findall(text.lower())), others, 4):
+                gaps.append(abs(sum(model.weights.get(f, 0) for f in come) - sum(model.weights.get(f, 0) for f in gone)))
+        change[pull] = np.mean(gaps)
+    assert change[3.0] < 0.3 * change[0.0]
+
+
+def plain_exchange(p, taken, growth, sure):
+    out = {}
+    for label, q in ((1.0, p), (0.0, 1 - p)):
+        called = [i for i in range(len(p)) if q[i] >= 0.5]
+        new = sorted((i for i in called if q[i] >= sure and i not in taken), key=lambda i: (-q[i], i))
+        out |= {i: label for i in new[: int(np.ceil(growth * len(called)))]}
+    return out
+
+
+def test_views_exchange_their_surest_labels(spark, scratch):
+    rng = np.random.default_rng(3)
+    taken, p = {}, rng.random(300)
+    for _ in range(3):
+        given = cotraining.surest(p, taken, 0.1, 0.75)
+        assert given == plain_exchange(p, taken, 0.1, 0.75) and given and not set(given) & set(taken)
+        taken |= given
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = cotraining.fit(docs, labels, scratch)
+    assert len(model.exchanged) == 4 and all(min(good, bad) > 0 for turn in model.exchanged for good, bad in turn)
+    scored = cotraining.score(docs, model).join(labels, "doc_id").filter(toxicity.held_out())
+    right = lambda c: F.avg(((F.col(c) >= 0.5).cast("int") == F.col("quality")).cast("double"))
+    text, page, both, share = scored.agg(right("text_score"), right("page_score"), right("score"), F.avg("quality")).first()
+    assert both >= max(text, page) - 0.02 and page > share and text > share
+
+
+def test_cotraining_equals_a_plain_version(spark, labelled, scratch):
+    """The same rounds over lists, on a table with repeated ids and a very long text."""
+    docs, labels = labelled
+    more = spark.createDataFrame([(0, "again", "en", "s0", 5), (5, "long words. " * 50_000, "en", "s1", 7)], docs.schema)
+    model = cotraining.fit(docs.union(more).repartition(3), labels.filter("doc_id < 400"), scratch, pool=150, rounds=2)
+    rows = {}
+    for r in docs.union(more).collect():
+        rows[r["doc_id"]] = max(rows.get(r["doc_id"], ("",)), (r["text"], r["lang"], r["source"], r["n_chars"]))
+    hashed = lambda ids: [r[0] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    known = sorted(i for i in range(400) if zlib.crc32(str(i).encode()) % 5)
+    free = sorted(hashed(range(400, 600))[:150])
+    y = np.array([float(i % 4 != 0) for i in known])
+    test = np.array([zlib.crc32(f"calibrate {i}".encode()) % 4 == 0 for i in known])
+    view = (lambda t, lang, s, n: cotraining.content(t), lambda t, lang, s, n: cotraining.page(lang, s, n) + cotraining.layout(t))
+    own, rest = ([np.array([v(*rows[i]) for i in ids]) for v in view] for ids in (known, free))
+    extra = [{}, {}]
+    for turn in range(3):
+        fitted = [
+            cotraining.fit_view(
+                np.array([*own[v][~test], *(rest[v][i] for i in sorted(extra[v]))]), np.array([*y[~test], *(extra[v][i] for i in sorted(extra[v]))]), np.array([1.0] * sum(~test) + [0.5] * len(extra[v]))
+            )
+            for v in (0, 1)
+        ]
+        if turn < 2:
+            given = [plain_exchange(cotraining.sigmoid(fitted[v].logit(rest[v])), extra[1 - v], 0.1, 0.75) for v in (0, 1)]
+            assert model.exchanged[turn] == tuple((sum(x > 0 for x in g.values()), sum(x == 0 for x in g.values())) for g in given)
+            extra = [extra[0] | given[1], extra[1] | given[0]]
+    assert np.allclose(model.text.weights, fitted[0].weights) and np.allclose(model.page.weights, fitted[1].weights)
+
+
 def test_classifiers_on_odd_tables(spark, odd, empty, labelled, scratch):
     docs, labels = labelled
     model = toxicity.fit(docs, labels, scratch)
