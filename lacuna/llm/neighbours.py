@@ -6,6 +6,9 @@ their ranks is the footrule distance between the two orders, where a pivot outsi
 
     footrule(q, v) = p (p + 1) - 2 * sum over common pivots of (p - max(rank in q, rank in v)),  ranks from 0, prefix p
 
+With prefixes of half the pivots a file names every second row, so a block stores each file as one array of ranks, with ``p`` for the rows
+that it does not name; those add nothing.
+
 The nearest ``share`` of the rows by footrule, ties included, are ranked again by the exact inner product.
 
 The rows are dealt into blocks by a hash of their id, each with its own inverted files, and the stated set of queries visits every
@@ -60,26 +63,21 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int):
         near = orders(vectors, pivots, prefix)
-        self.by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors, self.prefix = ids, vectors, near.shape[1]
-        flat = near.ravel()
-        order = np.argsort(flat, kind="stable")
-        bounds = np.searchsorted(flat[order], np.arange(len(pivots) + 1))
-        rows, ranks = order // self.prefix, (order % self.prefix).astype(np.int32)
-        self.files = [(rows[a:b], ranks[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        self.files = np.full((len(pivots), len(ids)), self.prefix, np.uint16)
+        self.files[near, np.arange(len(ids))[:, None]] = np.arange(self.prefix, dtype=np.uint16)
 
     def search(self, query_id: int, query: np.ndarray, near: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best ``k`` of the block."""
         n, p = len(self.ids), self.prefix
-        common = np.zeros(n, np.int32)
+        ranks, total = np.empty(n, np.uint16), np.zeros(n, np.uint32)
         for rank, pivot in enumerate(near):
-            rows, ranks = self.files[pivot]
-            common[rows] += p - np.maximum(ranks, rank)
-        footrule = p * (p + 1) - 2 * common
+            total += np.maximum(self.files[pivot], rank, out=ranks)
+        footrule = p * (p + 1) - 2 * (p * p - total.astype(np.int64))
         wanted = min(n, max(int(np.ceil(share * n)), 10 * k))
         rows = np.flatnonzero(footrule <= np.partition(footrule, wanted - 1)[wanted - 1])
         rows = rows[self.ids[rows] != query_id]
-        scores = self.vectors[rows] @ query
+        scores = (self.vectors[rows] * query).sum(axis=1)  # row by row, so that equal vectors have equal scores in any block
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows][best], scores[best]
 
@@ -102,10 +100,11 @@ def search(
     blocks = rows.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks"))
     # one length of vectors is the rule; each has its own pivots and blocks
     sizes = {r["dim"]: r["n_blocks"] for r in blocks.collect()}
-    pivots = {}
-    for dim in sizes:
-        chosen = rows.filter(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").collect()
-        pivots[dim] = choose_pivots(np.array([r["vec"] for r in chosen]), n_pivots)
+    place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id"))
+    chosen: dict[int, list] = {}
+    for r in rows.withColumn("place", place).filter(F.col("place") <= sample).select("dim", "place", "vec").collect():
+        chosen.setdefault(r["dim"], []).append((r["place"], r["vec"]))
+    pivots = {dim: choose_pivots(np.array([v for _, v in sorted(found)]), n_pivots) for dim, found in chosen.items()}
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n_blocks = F.lit(1)
