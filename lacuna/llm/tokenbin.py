@@ -34,6 +34,8 @@ MAGIC = b"PFR1"
 BLOCK = 128
 #: Ids after which a frame is closed.
 FRAME_TOKENS = 1 << 20
+#: Blocks whose bits are spread out at a time.
+CHUNK = 1024
 FRAMES = "shard int, frame int, n_docs long, n_tokens long, first_doc_id long, data binary"
 DOCS = "doc_id long, shard int, frame int, frame_offset long, n_tokens long, ids binary"
 
@@ -43,6 +45,14 @@ def bit_length(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
+def by_width(width: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The blocks of each width above 0, some at a time, so that a frame of one huge document needs little memory beside its ids."""
+    for w in np.unique(width[width > 0]):
+        which = np.flatnonzero(width == w)
+        for i in range(0, len(which), CHUNK):
+            yield int(w), which[i : i + CHUNK]
+
+
 def encode_frame(doc_ids: list[int | None], parts: list[bytes], block: int = BLOCK, percentile: float = 90.0) -> bytes:
     """One frame of documents, given their ids as little-endian unsigned 32-bit integers."""
     ids = np.frombuffer(b"".join(parts), "<u4")
@@ -61,8 +71,7 @@ def encode_frame(doc_ids: list[int | None], parts: list[bytes], block: int = BLO
     sizes = width.astype(np.uint64) * np.uint64(block) // np.uint64(8)
     index = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sizes)]).astype(np.uint64)
     payload = np.zeros(int(index[-1]), np.uint8)
-    for w in np.unique(width[width > 0]):
-        which = np.flatnonzero(width == w)
+    for w, which in by_width(width):
         bits = (above[which][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
         packed = np.packbits(bits.astype(np.uint8).reshape(len(which), -1), axis=1, bitorder="little")
         payload[index[which].astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
@@ -105,8 +114,7 @@ def decode_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     at = np.repeat(np.arange(n_blocks, dtype=np.int64) * block, n_wide) + places
     payload = np.frombuffer(data, np.uint8, offset=pos)
     rows = np.zeros((n_blocks, block), np.uint32)
-    for w in np.unique(width[width > 0]):
-        which = np.flatnonzero(width == w)
+    for w, which in by_width(width):
         packed = payload[index[which].astype(np.int64)[:, None] + np.arange(int(w) * block // 8)]
         bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(which), block, int(w))
         rows[which] = bits @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
@@ -122,7 +130,8 @@ def write_tokens(
     """Encodes every document, appends ``end_id`` and writes the dataset to ``path``, in ascending ``doc_id`` order.
 
     One range shuffle moves the texts; they are encoded after it, so each is encoded once. Null texts count as empty, null ids
-    come first, rows with equal ids lie in the order of their texts, and an empty table gives a dataset without frames.
+    come first, and an empty table gives a dataset without frames. The ranges go by id and hash of the text, so that rows without an id, or with
+    one id, spread over tasks; rows with equal ids lie in the order of those hashes, then of their texts.
     """
     if block % 8 or not 0 < block <= 1 << 16:
         raise ValueError("the block size must be a multiple of 8, at most 65,536")
@@ -152,8 +161,8 @@ def write_tokens(
         if keys:
             yield close()
 
-    rows = narrow(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(frames, FRAMES).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
+    rows = narrow(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    rows.drop("h").mapInArrow(frames, FRAMES).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
