@@ -6,7 +6,7 @@ running sum passes the rest is the boundary bucket, and only its documents are s
 The last bucket is a single hash value, taken if that comes nearer to the rest. Nothing is sorted but the at most 4096 buckets of a
 source, and documents are chosen by a filter on their hash.
 
-All of it is DataFrame expressions. The sums combine before the shuffle, so a source with most of the rows is no hot key. The plan
+All of it is DataFrame expressions. Targets depend on all sources, so the table of sources, one row each, passes through one task. The sums combine before the shuffle, so a source with most of the rows is no hot key. The plan
 has one row per source; Spark broadcasts it if its files are small, and otherwise joins by (source, hash prefix).
 
 Defined cases: null or empty text has size 0; a null source is a source of its own, last in order; a null ``doc_id`` is hashed by
@@ -16,6 +16,7 @@ have target 0. Reruns give the same rows, however the table is partitioned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,11 +86,12 @@ def plan_mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float], share:
     return docs, plan.select("source", "source_size", "target", "passes", (F.col("prefix") - F.when(nearer, 0).otherwise(1)).alias("cut"))
 
 
-def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds to documents with their hash ``h``: the source's size and target, and ``copies``, how often the mix takes each."""
+def apply_mix(docs: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
+    """Adds to documents with their hash ``h``: the source's size and target, and ``copies``, how often the mix takes each, ``cap`` times at most."""
     plan = plan.withColumnRenamed("source", "plan_source")
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    return joined.withColumn("copies", F.col("passes") + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)).drop("plan_source", "passes", "cut")
+    copies = F.least(F.col("passes") + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0), F.lit(math.ceil(cap)).cast("long"))
+    return joined.withColumn("copies", copies).drop("plan_source", "passes", "cut")
 
 
 def mix_sources(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -98,15 +100,14 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5
     Sources in code point order take ``weights`` in turn and share ``share`` times all words; none gets more than ``cap`` times its own.
     """
     docs, plan = plan_mix(docs, scratch, weights, share, cap)
-    return apply_mix(docs, plan).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
+    return apply_mix(docs, plan, cap).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def take_mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: every document, with all its columns, as often as the mix takes it."""
     _, plan = plan_mix(docs, scratch, weights, share, cap)
     whole = docs.select(F.struct(*docs.columns).alias("row"), "source", hashed().alias("h"))
-    taken = apply_mix(whole, plan).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    taken = apply_mix(whole, plan, cap).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return taken.select("row.*")
 
 
