@@ -139,7 +139,7 @@ WITH d AS (
         OR regexp_full_match(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '(?i)((?:{"|".join(MENU)})[ \t]*){{1,8}}')
         OR regexp_matches(line, '(?i){BOILER}')
         OR 5 * len(regexp_extract_all(line, '[#*$%&|<>]')) > n
-        OR (regexp_matches(line, '^\p{{Lu}}\p{{Lu}}') AND len(regexp_extract_all(line, '\p{{L}}')) >= 20
+        OR (len(regexp_extract_all(line, '\p{{L}}')) >= 20
             AND 2 * len(regexp_extract_all(line, '\p{{Lu}}')) > len(regexp_extract_all(line, '\p{{L}}')))
         OR NOT regexp_matches(line, '[.!?…]') AS bad
     FROM lines WHERE n > 0
