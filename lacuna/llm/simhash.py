@@ -152,5 +152,5 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The documents that are the first of their group (doc_id, component_id), and those without an id."""
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_again", again).filter("_again = 1").drop("_again")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    kept = docs.join(first, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), again.alias("place")).filter("place = 1")
+    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))
