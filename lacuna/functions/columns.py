@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bits of a draw, and of the range of draws that is sorted at a time.
+DRAW_BITS, RANGE_BITS = 60, 10
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product of two arrays."""
@@ -63,3 +66,27 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def nearest_step(x: Column, step: int) -> Column:
     """The nearest multiple of ``step``, halves to even."""
     return (F.bround(x / step) * step).cast("int")
+
+
+def draw(seed: int, *columns: str) -> Column:
+    """60 bits drawn by a hash of the columns: the first 15 hexadecimal digits of an MD5, which any engine can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
+def unit_draw(seed: int, *columns: str) -> Column:
+    """A drawn number in [0, 1)."""
+    return draw(seed, *columns) / float(1 << DRAW_BITS)
+
+
+def numbered(rows: DataFrame, order: Column, tie: str, *keys: str, name: str = "place") -> DataFrame:
+    """Adds the place (from 1) of each row of its keys in the order of a draw, then of ``tie``.
+
+    No task sorts all rows: they are dealt into ranges of the draw, sorted inside them, and moved up by the sizes of the ranges before.
+    """
+    dealt = rows.withColumn("_draw", order).withColumn("_range", F.shiftright("_draw", DRAW_BITS - RANGE_BITS))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*keys, "_range", before.alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_draw", tie))
+    return dealt.withColumn("_inside", inside).join(starts, [*keys, "_range"]).withColumn(name, F.col("_start") + F.col("_inside")).select(*rows.columns, name)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import average_rank, correlation, haversine_km
+from lacuna.functions.columns import average_rank, correlation, draw, haversine_km, numbered
+from lacuna.operators.search import top_k
 
 CELL = ("entity", "feature")
 
@@ -63,10 +64,10 @@ def oracle_ceiling(preds: DataFrame, gold: DataFrame) -> DataFrame:
 
 def bootstrap_draws(rows: DataFrame, n: int, order: str, seed: int = 42) -> DataFrame:
     """(replicate, row columns): ``n`` resamples with replacement. ``rows`` is a table of groups or entities, one row each."""
-    placed = rows.withColumn("_pos", F.row_number().over(Window.orderBy(order)) - 1)
+    placed = numbered(rows, draw(seed, order), order, name="_pos").withColumn("_pos", F.col("_pos") - 1)
     size = rows.agg(F.count("*").alias("_size"))
     draws = placed.select(F.col("_pos").alias("_i")).crossJoin(rows.sparkSession.range(n).withColumnRenamed("id", "replicate")).crossJoin(F.broadcast(size))
-    draws = draws.withColumn("_pos", F.pmod(F.xxhash64(F.lit(seed), "replicate", "_i"), F.col("_size")).cast("int"))
+    draws = draws.withColumn("_pos", F.pmod(draw(seed + 1, "replicate", "_i"), F.col("_size")))
     return draws.select("replicate", "_pos").join(placed, "_pos").drop("_pos")
 
 
@@ -75,7 +76,7 @@ def bootstrap_ci(by_entity: DataFrame, n: int = 1000, reference: str = "ref", se
 
     The p value compares resampled differences as they are, not centred under the null.
     """
-    draws = bootstrap_draws(by_entity, n, "entity", seed).groupBy("replicate").agg(F.avg("acc").alias("m"), F.avg(F.col("acc") - F.col(reference)).alias("d"))
+    draws = bootstrap_draws(by_entity, n, "entity", seed).groupBy("replicate").agg(F.avg("acc").alias("m"), F.round(F.avg(F.col("acc") - F.col(reference)), 12).alias("d"))
     below, above = F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))
     interval = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     out = draws.agg(F.avg("m").alias("mean"), interval.alias("_ci"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p"))
@@ -86,8 +87,7 @@ def permutation_test(rows: DataFrame, n: int = 1000, seed: int = 42) -> DataFram
     """One row from (id, arm 0/1, x): the difference of the arms' means and p = (at least as large + 1) / (n + 1)."""
     sizes = rows.agg(F.sum("arm").alias("_n1"), (F.avg(F.when(F.col("arm") == 1, F.col("x"))) - F.avg(F.when(F.col("arm") == 0, F.col("x")))).alias("diff"))
     each = rows.crossJoin(rows.sparkSession.range(n).withColumnRenamed("id", "replicate"))
-    place = F.row_number().over(Window.partitionBy("replicate").orderBy(F.xxhash64(F.lit(seed), "replicate", "id"), "id"))
-    dealt = each.withColumn("_p", place).crossJoin(F.broadcast(sizes)).withColumn("_a", F.col("_p") <= F.col("_n1"))
+    dealt = numbered(each, draw(seed, "replicate", "id"), "id", "replicate", name="_p").crossJoin(F.broadcast(sizes)).withColumn("_a", F.col("_p") <= F.col("_n1"))
     by = dealt.groupBy("replicate").agg((F.avg(F.when(F.col("_a"), F.col("x"))) - F.avg(F.when(~F.col("_a"), F.col("x")))).alias("d"), F.first("diff").alias("diff"))
     return by.agg(F.first("diff").alias("diff"), ((F.count_if(F.abs(F.col("d")) >= F.abs(F.col("diff"))) + 1) / (F.count("*") + 1)).alias("p"))
 
@@ -178,7 +178,7 @@ def partial_spearman(rows: DataFrame, x: str, y: str, z: str, *keys: str) -> Dat
     """Spearman of the residuals of x and y after a linear fit on z."""
     by = Window.partitionBy(*keys)
     fit = lambda v: F.col(v) - F.coalesce(F.regr_slope(v, z).over(by) * F.col(z) + F.regr_intercept(v, z).over(by), F.avg(v).over(by))
-    residual = rows.withColumn("_ex", F.round(fit(x), 12)).withColumn("_ey", F.round(fit(y), 12))
+    residual = rows.withColumn("_ex", F.round(fit(x), 6)).withColumn("_ey", F.round(fit(y), 6))
     return spearman(residual, "_ex", "_ey", *keys)
 
 
@@ -264,10 +264,15 @@ def aggregate_over_seeds(rows: DataFrame, *keys: str, sample: bool = False) -> D
 
 
 def min_haversine_km(entities: DataFrame, training: DataFrame) -> DataFrame:
-    """(entity, km): distance to the nearest training entity. The side of fewer rows is left to Spark to choose and broadcast."""
+    """(entity, km): distance to the nearest other training entity (entity, latitude, longitude). The nearest on the sphere is the nearest
+    in space, so it is found by a search among points of the unit sphere."""
+    lat, lon = F.radians("latitude"), F.radians("longitude")
+    point = F.array(F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+    points = lambda df: df.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.col("entity").alias("id"), point.alias("vec"))
+    near = top_k(points(entities), points(training), 1, "euclidean").select(F.col("source").alias("entity"), F.col("target").alias("_e"))
     there = training.select(F.col("entity").alias("_e"), F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"))
     km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("_la"), F.col("_lo"))
-    return entities.join(there, F.col("entity") != F.col("_e")).groupBy("entity").agg(F.min(km).alias("km"))
+    return near.join(entities.select("entity", "latitude", "longitude"), "entity").join(there, "_e").select("entity", km.alias("km"))
 
 
 def grid_search(cells: DataFrame, halves: DataFrame, book: DataFrame, cooc: DataFrame, counts: DataFrame, alphas: Sequence[float], leasts: Sequence[int]) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import cosine, euclidean
+from lacuna.functions.columns import cosine
+from lacuna.operators.search import top_k
 
 CELL = ("entity", "feature")
 
@@ -47,14 +48,16 @@ def impute_group_majority(cells: DataFrame, blanks: DataFrame, meta: DataFrame,
 
 
 def neighbours(cells: DataFrame, targets: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
-    """(entity, other, score): the ``k`` entities that share most observed cells with each target, by number or by weight of the feature."""
-    mine = cells.join(targets.select("entity").distinct(), "entity", "left_semi")
-    pairs = mine.join(cells.select(F.col("entity").alias("other"), "feature", "value"), ["feature", "value"]).filter("entity <> other")
-    score = F.count("*").cast("double") if weights is None else F.sum("idf")
-    pairs = pairs if weights is None else pairs.join(weights, "feature")
-    scored = pairs.groupBy("entity", "other").agg(score.alias("score")).filter("score > 0")
-    n = F.row_number().over(Window.partitionBy("entity").orderBy(F.col("score").desc(), "other"))
-    return scored.withColumn("_n", n).filter(F.col("_n") <= k).drop("_n")
+    """(entity, other, score): the ``k`` entities that share most observed cells with each target, by number or by weight of the feature.
+
+    Cells of an entity are a sparse vector, and shared ones an inner product: a value that half of the entities hold makes no pairs.
+    """
+    place = F.xxhash64("feature", "value")
+    weighted = cells.select("entity", "feature", "value", F.lit(1.0).alias("idf")) if weights is None else cells.join(weights.select("feature", "idf"), "feature")
+    lists = lambda df, w: df.groupBy(F.col("entity").alias("id")).agg(F.collect_list(place).alias("places"), F.collect_list(w).alias("weights"))
+    asked = lists(weighted.join(targets.select("entity").distinct(), "entity", "left_semi"), F.col("idf").cast("double"))
+    found = top_k(asked, lists(cells, F.lit(1.0)), k, "shared", positive=True)
+    return found.select(F.col("source").alias("entity"), F.col("target").alias("other"), "score")
 
 
 def votes(near: DataFrame, cells: DataFrame, blanks: DataFrame) -> DataFrame:
@@ -84,11 +87,11 @@ def idf_knn_distribution(cells: DataFrame, blanks: DataFrame, p: DataFrame, weig
 def impute_vector_knn(cells: DataFrame, blanks: DataFrame, vectors: DataFrame, meta: DataFrame, k: int = 1, group: str = "genus") -> DataFrame:
     """The value of the ``k`` entities outside the group, observed on the feature, whose vectors are nearest."""
     known = vectors.join(meta.select("entity", group), "entity")
-    there = cells.join(known, "entity").select("feature", "value", F.col("entity").alias("other"), F.col("vec").alias("v2"), F.col(group).alias("g2"))
-    here = blanks.select(*CELL).join(known, "entity")
-    pairs = here.join(there, "feature").filter(F.col(group) != F.col("g2")).withColumn("d", euclidean("vec", "v2"))
-    n = F.row_number().over(Window.partitionBy(*CELL).orderBy("d", "other"))
-    best = pairs.withColumn("_n", n).filter(F.col("_n") <= k).groupBy(*CELL, "value").agg(F.count("*").cast("double").alias("score"))
+    there = cells.join(known, "entity").select("feature", F.col("entity").alias("id"), "vec", F.col(group).alias("group"))
+    here = blanks.select(*CELL).join(known, "entity").select("feature", F.col("entity").alias("id"), "vec", F.col(group).alias("group"))
+    near = top_k(here, there, k, "euclidean", keys=["feature"], other_group=True)
+    held = near.join(cells.select(F.col("entity").alias("target"), "feature", "value"), ["target", "feature"]).withColumnRenamed("source", "entity")
+    best = held.groupBy(*CELL, "value").agg(F.count("*").cast("double").alias("score"))
     return or_else(best_value(best, *CELL), impute_freq(cells, blanks), blanks)
 
 
@@ -158,10 +161,13 @@ def impute_log_confidence(sources: DataFrame, blanks: DataFrame, confidence: Dat
     """Sums the ``top_k`` sources of the entity with the highest best score; blanks without a positive sum get the commonest value."""
     own = sources.select("entity", F.col("feature").alias("source"), F.col("value").alias("sv"))
     rows = blanks.select("entity", F.col("feature").alias("target")).join(own, "entity").join(confidence, ["source", "sv", "target"])
-    best = rows.groupBy("entity", "target", "source").agg(F.max("score").alias("best"))
-    n = F.row_number().over(Window.partitionBy("entity", "target").orderBy(F.col("best").desc(), "source"))
-    top = best.withColumn("_n", n).filter(F.col("_n") <= top_k).select("entity", "target", "source")
-    sums = rows.join(top, ["entity", "target", "source"]).groupBy("entity", F.col("target").alias("feature"), F.col("tv").alias("value")).agg(F.sum("score").alias("score"))
+    by = Window.partitionBy("entity", "target")
+    best = rows.withColumn("best", F.max("score").over(by.partitionBy("entity", "target", "source")))
+    place = F.dense_rank().over(by.orderBy(F.col("best").desc(), "source"))
+    top = best.withColumn("_n", place).filter(F.col("_n") <= top_k)
+    # whole numbers add up to the same sum in any order
+    whole = F.sum(F.round(F.col("score") * 1e9).cast("long"))
+    sums = top.groupBy("entity", F.col("target").alias("feature"), F.col("tv").alias("value")).agg((whole / 1e9).alias("score"))
     return or_else(best_value(sums, *CELL).filter("score <> 0"), impute_freq(cells, blanks).withColumn("score", F.lit(0.0)), blanks)
 
 

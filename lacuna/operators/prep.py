@@ -64,22 +64,21 @@ def classification_level(path: str, level: int = 2) -> Column:
     return F.try_element_at(nodes, F.greatest(F.least(F.lit(level + 1), F.size(nodes)), F.lit(1)))
 
 
-def ancestor_path(tree: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(id, name, parent) -> (id, path, depth): names from the root down to the node. A node met again ends the climb."""
+def ancestor_path(tree: DataFrame) -> DataFrame:
+    """(id, name, parent) -> (id, path, depth): names from the root down to the node. A node met again ends the climb, so every climb ends."""
     nodes = tree.select(F.col("id").alias("_i"), F.col("name").alias("_n"), F.col("parent").alias("_p"))
     open_ = tree.select("id", F.col("name").alias("path"), F.lit(0).alias("depth"), F.col("parent").alias("up"), F.array("id").alias("seen"))
     done = None
-    for _ in range(max_depth):
+    while True:
         step = written(open_.join(nodes, F.col("up") == F.col("_i"), "left").withColumn("stop", F.col("_i").isNull() | F.array_contains("seen", F.col("_i"))), "ancestors")
         ended = step.filter("stop").select("id", "path", "depth")
         done = ended if done is None else done.union(ended)
         going = step.filter("not stop")
         if going.isEmpty():
-            break
+            return done
         open_ = going.select(
             "id", F.concat_ws("/", "_n", "path").alias("path"), (F.col("depth") + 1).alias("depth"), F.col("_p").alias("up"), F.concat("seen", F.array("_i")).alias("seen")
         )
-    return done
 
 
 def genus_map(meta: DataFrame, tree: DataFrame | None = None, level: int = 2) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.functions.columns import draw, unit_draw
+
 
 def hash_order(seed: int, *columns: str) -> Column:
     """The usual order of a draw."""
-    return F.xxhash64(F.lit(seed), *columns)
+    return draw(seed, *columns)
 
 
 def qualifying_branches(meta: DataFrame, branch: str = "genus", least: int = 5, only: list[str] | None = None) -> DataFrame:
@@ -66,10 +68,9 @@ def context_target_halves(cells: DataFrame, order: Column, least: int = 4) -> Da
 def random_blanking(cells: DataFrame, reps: int = 5, low: float = 0.3, high: float = 0.7, seed: int = 42) -> DataFrame:
     """(rep, entity, feature, value, blanked): in each repetition each entity has a share of its features blanked."""
     each = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    unit = F.pmod(F.xxhash64(F.lit(seed), "rep", "entity"), F.lit(1_000_003)) / 1_000_003
     by = Window.partitionBy("rep", "entity")
-    place = F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed + 1), "rep", "entity", "feature"), "feature"))
-    blanks = F.floor(F.count("*").over(by) * (F.lit(low) + unit * (high - low)))
+    place = F.row_number().over(by.orderBy(draw(seed + 1, "rep", "entity", "feature"), "feature"))
+    blanks = F.floor(F.count("*").over(by) * (F.lit(low) + unit_draw(seed, "rep", "entity") * (high - low)))
     return each.select("rep", "entity", "feature", "value", (place <= blanks).alias("blanked"))
 
 
@@ -81,6 +82,6 @@ def random_val_fraction(rows: DataFrame, frac: float, order: Column) -> DataFram
     return ordered.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col("_o") < F.col("_c"), "val").otherwise("train")).drop("_o", "_c")
 
 
-def group_kfold(rows: DataFrame, group: str, folds: int) -> DataFrame:
+def group_kfold(rows: DataFrame, group: str, folds: int, seed: int = 42) -> DataFrame:
     """Adds ``fold``: all rows of a group are in one fold."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
+    return rows.withColumn("fold", F.pmod(draw(seed, group), F.lit(folds)).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import binary_entropy
+from lacuna.functions.columns import binary_entropy, draw
 from lacuna.functions.scratch import written
 
 SENT = ("lang", "split", "sent")
@@ -44,7 +44,7 @@ def profile_coverage(profile: DataFrame) -> DataFrame:
     return profile.groupBy("config").agg(F.count("*").alias("n_langs"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"))
 
 
-def linearise(tokens: DataFrame, direction: DataFrame, default: float = 0.5, max_depth: int = 100) -> DataFrame:
+def linearise(tokens: DataFrame, direction: DataFrame, default: float = 0.5) -> DataFrame:
     """(sentence, id, position): top-down order by direction probabilities (lang, config, p).
 
     Children with p of ``default`` or more stand before their head, by p descending, the others behind it by 1 - p descending; equal
@@ -59,13 +59,12 @@ def linearise(tokens: DataFrame, direction: DataFrame, default: float = 0.5, max
     edges = arc.select(*SENT, "id", "head", step.alias("step"))
     reached = tokens.filter("head = 0").select(*SENT, "id", F.array(F.struct(F.lit(1).alias("side"), F.lit(0.0).alias("weight"), F.col("id"))).alias("path"))
     done, level = reached, reached
-    for depth in range(max_depth):
+    depth = 0
+    while not level.isEmpty():  # no token is twice on a path, so the levels end
         parents = level.withColumnRenamed("id", "head")
-        level = edges.join(parents, [*SENT, "head"]).select(*SENT, "id", F.concat("path", F.array("step")).alias("path"))
-        level = written(level, f"level{depth}")
-        if level.isEmpty():
-            break
-        done = done.union(level)
+        below = edges.join(parents, [*SENT, "head"]).filter(~F.exists("path", lambda s: s["id"] == F.col("id")))
+        level = written(below.select(*SENT, "id", F.concat("path", F.array("step")).alias("path")), f"level{depth}")
+        done, depth = done.union(level), depth + 1
     here = F.struct(F.lit(0).alias("side"), F.lit(0.0).alias("weight"), F.lit(0).cast(dict(tokens.dtypes)["id"]).alias("id"))
     placed = tokens.select(*SENT, "id").join(done.withColumn("path", F.concat("path", F.array(here))), [*SENT, "id"], "left")
     order = Window.partitionBy(*SENT).orderBy(F.col("path").isNull(), "path", "id")
@@ -73,7 +72,8 @@ def linearise(tokens: DataFrame, direction: DataFrame, default: float = 0.5, max
 
 
 def random_order(tokens: DataFrame, seed: int = 42) -> DataFrame:
-    order = Window.partitionBy(*SENT).orderBy(F.xxhash64(F.lit(seed), *SENT, "id"), "id")
+    """(sentence, id, position): a drawn order of the tokens of each sentence."""
+    order = Window.partitionBy(*SENT).orderBy(draw(seed, *SENT, "id"), "id")
     return tokens.select(*SENT, "id", F.row_number().over(order).alias("position"))
 
 

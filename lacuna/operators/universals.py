@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import cosine
+from lacuna.functions.columns import cosine, draw, numbered
 
 TOKEN = r"GB\d+:\d+"
 
@@ -64,22 +64,23 @@ def missing_tokens(formulas: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def null_cosines(vectors: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """(cos): cosines of ``n`` hashed draws of two tokens of different features (token, feature, vec)."""
-    from pyspark.sql import Window
-
-    placed = vectors.select("feature", "vec", (F.row_number().over(Window.orderBy("token")) - 1).alias("_p"))
+    placed = numbered(vectors, draw(seed, "token"), "token", name="_p").select("feature", "vec", (F.col("_p") - 1).alias("_p"))
     draws = vectors.sparkSession.range(n).withColumnRenamed("id", "no").crossJoin(F.broadcast(vectors.agg(F.count("*").alias("_n"))))
-    at = lambda i: F.pmod(F.xxhash64(F.lit(seed + i), "no"), F.col("_n")).cast("int")
+    at = lambda i: F.pmod(draw(seed + 1 + i, "no"), F.col("_n"))
     x = draws.withColumn("_p", at(0)).join(placed, "_p").select("no", "_n", F.col("feature").alias("_f"), F.col("vec").alias("_a"))
     both = x.withColumn("_p", at(1)).join(placed, "_p")
     return both.filter("_f <> feature").select("no", cosine("_a", "vec").alias("cos"))
 
 
 def probe(m1: DataFrame, anti: DataFrame, null: DataFrame) -> DataFrame:
-    """(id, m1, z, p, margin): place of each formula's cosine in the null distribution, and its margin over the negated one (id, anti)."""
-    stats = null.agg(F.avg("cos").alias("_m"), F.stddev_pop("cos").alias("_s"))
-    shares = m1.join(null, F.lit(True)).groupBy("id", "m1").agg(F.avg((F.col("cos") >= F.col("m1")).cast("double")).alias("p"))
-    out = shares.crossJoin(F.broadcast(stats)).join(anti, "id", "left")
-    return out.select("id", "m1", F.try_divide(F.col("m1") - F.col("_m"), F.col("_s")).alias("z"), "p", (F.col("m1") - F.col("anti")).alias("margin"))
+    """(id, m1, z, p, margin): place of each formula's cosine in the null distribution, and its margin over the negated one (id, anti).
+
+    ``null`` is a sample of a given size (``null_cosines``): one sorted array, which every formula looks into.
+    """
+    stats = null.agg(F.avg("cos").alias("_m"), F.stddev_pop("cos").alias("_s"), F.sort_array(F.collect_list("cos")).alias("_all"))
+    out = m1.crossJoin(F.broadcast(stats)).join(anti, "id", "left")
+    share = F.try_divide(F.size(F.filter("_all", lambda x: x >= F.col("m1"))), F.size("_all"))
+    return out.select("id", "m1", F.try_divide(F.col("m1") - F.col("_m"), F.col("_s")).alias("z"), share.alias("p"), (F.col("m1") - F.col("anti")).alias("margin"))
 
 
 def mann_whitney(rows: DataFrame, x: str, first: str) -> DataFrame:

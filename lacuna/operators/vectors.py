@@ -1,16 +1,20 @@
 """Operators on vectors (id, vec): distances, neighbours, cohesion, alignment.
 
-Exact pair joins are meant for one small side; ``candidate_pairs`` offers hashed candidates for two large ones. Only d x d matrices
-come to the driver.
+Searches go by ``search.top_k``, which makes no pairs; a distance matrix has all pairs, by definition, and is made block by block.
+``candidate_pairs`` offers hashed candidates. Only d x d matrices come to the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import cosine, dot, euclidean, norm
+from lacuna.functions.columns import cosine, dot, draw, euclidean, norm, numbered, unit_draw
+from lacuna.operators.search import BLOCK, top_k
 
 
 def centroid(vectors: DataFrame, *keys: str) -> DataFrame:
@@ -26,25 +30,24 @@ def center(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.join(means, key).withColumn("vec", F.zip_with("vec", "_m", lambda x, m: x - m)).drop("_m")
 
 
-def sides(vectors: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
-    """The same vectors as source and as target of pairs."""
-    extra = [c for c in keep if c not in ("id", "vec")]
-    a = vectors.select(F.col("id").alias("source"), F.col("vec").alias("_a"), *(F.col(c).alias(f"{c}_a") for c in extra))
-    b = vectors.select(F.col("id").alias("target"), F.col("vec").alias("_b"), *(F.col(c).alias(f"{c}_b") for c in extra))
-    return a, b
-
-
 def pairwise_distance(vectors: DataFrame, metric: str = "cosine", space: str | None = None) -> DataFrame:
-    """(source, target, d) of all pairs, each once with ``source < target``; within each space if there is that column."""
-    a, b = sides(vectors, *([space] if space else []))
-    pairs = a.join(b, (F.col("source") < F.col("target")) & (F.col(f"{space}_a") == F.col(f"{space}_b") if space else F.lit(True)))
+    """(source, target, d) of all pairs, each once with ``source < target``; within each space if there is that column.
+
+    Rows are dealt into blocks, and each pair of blocks is a key of an equi-join, so that a task holds two blocks.
+    """
+    keys = [space] if space else []
+    n = max(1, -(-vectors.count() // BLOCK))
+    dealt = vectors.select(*keys, "id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("_own"))
+    upper = dealt.select(*keys, F.col("id").alias("_x"), F.col("vec").alias("_a"), F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.lit(n - 1))).alias("_j"))
+    lower = dealt.select(*keys, F.col("id").alias("_y"), F.col("vec").alias("_b"), F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), "_own")).alias("_i"))
+    pairs = upper.join(lower, [*keys, "_i", "_j"]).filter((F.col("_i") < F.col("_j")) & (F.col("_x") != F.col("_y")) | (F.col("_x") < F.col("_y")))
     if metric == "cosine":
         d = F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1 - cosine("_a", "_b")))
     elif metric == "euclidean":
         d = euclidean("_a", "_b")
     else:  # share of places that differ
         d = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x != y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size("_a")
-    return pairs.select(*([F.col(f"{space}_a").alias(space)] if space else []), "source", "target", d.alias("d"))
+    return pairs.select(*keys, F.least("_x", "_y").alias("source"), F.greatest("_x", "_y").alias("target"), d.alias("d"))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -59,17 +62,14 @@ def join_spaces(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def random_space(ids: DataFrame, dim: int, seed: int = 42) -> DataFrame:
     """A control space: hashed numbers in [-1, 1)."""
-    return ids.select("id", F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda p: F.pmod(F.xxhash64(F.lit(seed), "id", p), F.lit(2_000_003)) / 1_000_001.5 - 1).alias("vec"))
+    return ids.select("id", F.array(*(2 * unit_draw(seed + p, "id") - 1 for p in range(dim))).alias("vec"))
 
 
 def nearest_neighbours(vectors: DataFrame, targets: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """(source, target, cos, rank): the ``k`` nearest rows of each target id, itself excluded; with ``group``, rows of other groups only."""
-    a, b = sides(vectors, *([group] if group else []))
-    asked = a.join(targets.select(F.col("id").alias("source")), "source", "left_semi")
-    other = F.col("source") != F.col("target")
-    pairs = asked.join(b, other & (F.col(f"{group}_a") != F.col(f"{group}_b")) if group else other).withColumn("cos", F.round(cosine("_a", "_b"), 12))
-    n = F.row_number().over(Window.partitionBy("source").orderBy(F.col("cos").desc(), "target"))
-    return pairs.withColumn("rank", n).filter(F.col("rank") <= k).select("source", "target", "cos", "rank")
+    rows = vectors.select("id", "vec", *([F.col(group).alias("group")] if group else []))
+    asked = rows.join(targets.select("id"), "id", "left_semi")
+    return top_k(asked, rows, k, other_group=bool(group)).select("source", "target", F.col("score").alias("cos"), "rank")
 
 
 def candidate_pairs(vectors: DataFrame, length: float, tables: int = 4, seed: int = 42) -> DataFrame:
@@ -116,15 +116,15 @@ def group_preservation(near: DataFrame, groups: DataFrame, n: int = 500, seed: i
     sizes = groups.groupBy("group").agg(F.count("*").alias("_n")).filter("_n > 1").select("group")
     known = groups.join(sizes, "group", "left_semi").select("id", "group")
     pairs = near.select("source", "target").join(known.select(F.col("id").alias("source")), "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi")
-    reps = near.sparkSession.range(n + 1).withColumnRenamed("id", "replicate")  # replicate 0 is the truth
-    each = known.crossJoin(F.broadcast(reps))
-    place = F.row_number().over(Window.partitionBy("replicate").orderBy("id"))
-    drawn = F.row_number().over(Window.partitionBy("replicate").orderBy(F.when(F.col("replicate") == 0, 0).otherwise(F.xxhash64(F.lit(seed), "replicate", "id")), "id"))
-    labels = each.withColumn("_p", place).select("replicate", "id", "_p").join(each.withColumn("_p", drawn).select("replicate", "_p", "group"), ["replicate", "_p"])
+    here = numbered(known, draw(seed, "id"), "id", name="_p").select("id", "group", "_p")
+    each = here.crossJoin(F.broadcast(near.sparkSession.range(1, n + 1).withColumnRenamed("id", "replicate")))
+    there = numbered(each.select("replicate", "id", "group"), draw(seed, "replicate", "id"), "id", "replicate", name="_p").select("replicate", "_p", "group")
+    shuffled = here.select("id", "_p").join(there, "_p").select("replicate", "id", "group")
+    labels = shuffled.union(known.select(F.lit(0).cast("long").alias("replicate"), "id", "group"))  # replicate 0 is the truth
     a, b = (labels.select("replicate", F.col("id").alias(i), F.col("group").alias(g)) for i, g in (("source", "_ga"), ("target", "_gb")))
-    share = pairs.join(a, "source").join(b, ["replicate", "target"]).groupBy("replicate").agg(F.avg((F.col("_ga") == F.col("_gb")).cast("double")).alias("share"))
+    share = pairs.join(a, "source").join(b, ["replicate", "target"]).groupBy("replicate").agg(F.round(F.avg((F.col("_ga") == F.col("_gb")).cast("double")), 12).alias("share"))
     truth = F.max(F.when(F.col("replicate") == 0, F.col("share")))
-    out = share.withColumn("truth", truth.over(Window.partitionBy(F.lit(0))))
+    out = share.withColumn("truth", truth.over(Window.partitionBy(F.lit(0))))  # one row a replicate
     null = F.when(F.col("replicate") > 0, F.col("share"))
     return out.agg(F.first("truth").alias("share"), F.avg(null).alias("null_mean"), ((F.count_if((F.col("replicate") > 0) & (F.col("share") >= F.col("truth"))) + 1) / (F.count(null) + 1)).alias("p"))
 
@@ -134,10 +134,29 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def cross_products(pairs: DataFrame, *keys: str) -> list[tuple]:
-    """Sums over pairs (_a, _b) by key: n, sum a, sum b, aa, ab, bb, with matrices as flat lists; d x d numbers for each key."""
-    outer = lambda x, y: F.flatten(F.transform(x, lambda p: F.transform(y, lambda q: p * q)))
-    parts = pairs.select(*keys, F.lit(1.0).alias("_one"), F.concat(F.array(F.lit(1.0)), "_a", "_b", outer("_a", "_a"), outer("_a", "_b"), outer("_b", "_b")).alias("_all"), F.size("_a").alias("_da"), F.size("_b").alias("_db"))
-    each = parts.select(*keys, "_da", "_db", F.posexplode("_all").alias("_p", "_x")).groupBy(*keys, "_da", "_db", "_p").agg(F.sum("_x").alias("_x"))
+    """Sums over pairs (_a, _b) by key: n, sum a, sum b, aa, ab, bb. Tasks add up their rows first; d x d numbers for each key come back."""
+    types = dict(pairs.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "_da int, _db int, _p int, _x double"])
+
+    def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+            a_rows, b_rows = ([np.array(v) for v in batch.column(c).to_pylist()] for c in ("_a", "_b"))
+            places: dict[tuple, list[int]] = {}
+            for i, k in enumerate(own):
+                places.setdefault((*k, len(a_rows[i]), len(b_rows[i])), []).append(i)
+            for k, which in places.items():
+                a, b = (np.stack([rows[i] for i in which]) for rows in (a_rows, b_rows))
+                part = np.concatenate([[len(which)], a.sum(0), b.sum(0), (a.T @ a).ravel(), (a.T @ b).ravel(), (b.T @ b).ravel()])
+                sums[k] = sums[k] + part if k in sums else part
+        for k, part in sums.items():
+            columns = [pa.array([x] * len(part), t) for x, t in zip(k, [*kinds, pa.int32(), pa.int32()], strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(part), dtype=np.int32)), pa.array(part)], [*keys, "_da", "_db", "_p", "_x"])
+
+    each = pairs.select(*keys, "_a", "_b").mapInArrow(add_up, schema).groupBy(*keys, "_da", "_db", "_p").agg(F.sum("_x").alias("_x"))
     rows = each.groupBy(*keys, "_da", "_db").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda s: s["_x"]).alias("_s")).collect()
     out = []
     for r in rows:
@@ -169,12 +188,12 @@ def procrustes_disparity(a: DataFrame, b: DataFrame) -> DataFrame:
 def procrustes_permutation(a: DataFrame, b: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
     """One row: disparity, mean over ``n`` shuffles of b's rows, p. Each shuffle costs d x d numbers."""
     pairs = paired(a, b)
-    reps = a.sparkSession.range(n + 1).withColumnRenamed("id", "replicate")
-    each = pairs.crossJoin(F.broadcast(reps))
-    here = each.select("replicate", "_a", F.row_number().over(Window.partitionBy("replicate").orderBy("id")).alias("_p"))
-    order = F.when(F.col("replicate") == 0, 0).otherwise(F.xxhash64(F.lit(seed), "replicate", "id"))
-    there = each.select("replicate", "_b", F.row_number().over(Window.partitionBy("replicate").orderBy(order, "id")).alias("_p"))
-    found = {s[0][0]: disparity(s) for s in cross_products(here.join(there, ["replicate", "_p"]), "replicate")}
+    here = numbered(pairs, draw(seed, "id"), "id", name="_p")
+    each = here.select("id", "_b").crossJoin(F.broadcast(a.sparkSession.range(1, n + 1).withColumnRenamed("id", "replicate")))
+    there = numbered(each, draw(seed, "replicate", "id"), "id", "replicate", name="_p").select("replicate", "_p", "_b")
+    shuffled = here.select("_p", "_a").join(there, "_p").select("replicate", "_a", "_b")
+    shuffled = shuffled.union(pairs.select(F.lit(0).cast("long").alias("replicate"), "_a", "_b"))  # replicate 0 is the truth
+    found = {s[0][0]: disparity(s) for s in cross_products(shuffled, "replicate")}
     null = [d for r, d in found.items() if r]
     row = (found[0], float(np.mean(null)), (sum(d <= found[0] for d in null) + 1) / (len(null) + 1)) if found else (None, None, None)
     return a.sparkSession.createDataFrame([row], "disparity double, null_mean double, p double")
@@ -194,10 +213,8 @@ def rotate(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
 
 def rotate_and_match(a: DataFrame, b: DataFrame, items_a: DataFrame, items_b: DataFrame, k: int) -> DataFrame:
     """(source, target, cos, rank): items of a, rotated into b's space, with their ``k`` nearest items of b."""
-    turned = rotate(items_a, rotation(a, b)).select(F.col("id").alias("source"), F.col("vec").alias("_a"))
-    pairs = turned.crossJoin(items_b.select(F.col("id").alias("target"), F.col("vec").alias("_b"))).withColumn("cos", cosine("_a", "_b"))
-    n = F.row_number().over(Window.partitionBy("source").orderBy(F.col("cos").desc(), "target"))
-    return pairs.withColumn("rank", n).filter(F.col("rank") <= k).select("source", "target", "cos", "rank")
+    turned = rotate(items_a, rotation(a, b))
+    return top_k(turned, items_b, k, itself=True).select("source", "target", F.col("score").alias("cos"), "rank")
 
 
 def cca(a: DataFrame, b: DataFrame, n: int = 10, ridge: float = 1e-6) -> DataFrame:
@@ -240,21 +257,23 @@ def analogy_residual(quads: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def random_quads(ids: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """(a, b, c, d): ``n`` hashed draws of four ids."""
-    placed = ids.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("_p"))
+    placed = numbered(ids.select("id"), draw(seed, "id"), "id", name="_p").withColumn("_p", F.col("_p") - 1)
     size = ids.agg(F.count("*").alias("_n"))
     out = ids.sparkSession.range(n).withColumnRenamed("id", "no").crossJoin(F.broadcast(size))
     for i, c in enumerate("abcd"):
-        out = out.withColumn("_p", F.pmod(F.xxhash64(F.lit(seed + i), "no"), F.col("_n")).cast("int")).join(placed, "_p").withColumnRenamed("id", c).drop("_p")
+        out = out.withColumn("_p", F.pmod(draw(seed + i, "no"), F.col("_n"))).join(placed, "_p").withColumnRenamed("id", c).drop("_p")
     return out.select("no", "a", "b", "c", "d")
 
 
 def analogy_test(quads: DataFrame, vectors: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
-    """Residuals of quadruples with the mean, 5th percentile and median of random ones, and the share of those that are as small."""
+    """Residuals of quadruples with the mean, 5th percentile and median of ``n`` random ones, and the share of those that are as small.
+
+    The ``n`` residuals are one sorted array, which every quadruple looks into.
+    """
     null = analogy_residual(random_quads(vectors.select("id"), n, seed), vectors).select(F.col("residual").alias("_r"))
-    stats = null.agg(F.avg("_r").alias("null_mean"), F.percentile("_r", F.lit(0.05)).alias("null_p5"), F.median("_r").alias("null_median"))
-    found = analogy_residual(quads, vectors)
-    p = found.join(null, F.lit(True)).groupBy(*found.columns).agg(F.avg((F.col("_r") <= F.col("residual")).cast("double")).alias("p"))
-    return p.crossJoin(F.broadcast(stats))
+    stats = null.agg(F.avg("_r").alias("null_mean"), F.percentile("_r", F.lit(0.05)).alias("null_p5"), F.median("_r").alias("null_median"), F.sort_array(F.collect_list("_r")).alias("_all"))
+    found = analogy_residual(quads, vectors).crossJoin(F.broadcast(stats))
+    return found.withColumn("p", F.size(F.filter("_all", lambda x: x <= F.col("residual"))) / F.size("_all")).drop("_all")
 
 
 def expected_value_vector(profiles: DataFrame, values: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -336,8 +355,7 @@ def axis_centroid_accuracy(items: DataFrame, axis: str, cls: str) -> DataFrame:
 
 def shuffled_ordinal_null(items: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
     """(keys, mean, std): ordinal correlation over ``n`` shuffles of the places within each key; the replicate is one more key."""
-    each = items.crossJoin(F.broadcast(items.sparkSession.range(n).withColumnRenamed("id", "replicate")))
-    by = Window.partitionBy("replicate", *keys)
-    here = each.withColumn("_p", F.row_number().over(by.orderBy("id"))).drop("place")
-    drawn = each.withColumn("_p", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "replicate", "id"), "id"))).select("replicate", *keys, "_p", "place")
-    return ordinal_spearman(here.join(drawn, ["replicate", *keys, "_p"]), "replicate", *keys).groupBy(*keys).agg(F.avg("rho").alias("mean"), F.stddev_pop("rho").alias("std"))
+    here = numbered(items, draw(seed, *keys, "id"), "id", *keys, name="_p")
+    each = items.select(*keys, "id", "place").crossJoin(F.broadcast(items.sparkSession.range(n).withColumnRenamed("id", "replicate")))
+    drawn = numbered(each, draw(seed, "replicate", *keys, "id"), "id", "replicate", *keys, name="_p").select("replicate", *keys, "_p", "place")
+    return ordinal_spearman(here.drop("place").join(drawn, [*keys, "_p"]), "replicate", *keys).groupBy(*keys).agg(F.avg("rho").alias("mean"), F.stddev_pop("rho").alias("std"))

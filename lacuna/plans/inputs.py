@@ -11,6 +11,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def draw_sql(seed: int, *columns: str) -> str:
+    """``functions.columns.draw`` in SQL."""
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(columns)})), 1, 15))::BIGINT"
+
+
 #: name, SQL expression and number of each feature of database A
 FEATURES = (
     ("adj", "split_part(p_name, ' ', 1)", 1),
@@ -36,7 +41,7 @@ PREDS = {
 MODE = "SELECT {k}, value FROM (SELECT {k}, value, row_number() OVER (PARTITION BY {k} ORDER BY count(*) DESC, value) AS r FROM cells {j} GROUP BY {k}, value) WHERE r = 1"
 
 PRELUDE = f"""
-WITH gold0 AS ({GOLD}), cells AS (SELECT entity, feature, value FROM gold0 WHERE NOT {BLANKED}),
+WITH RECURSIVE gold0 AS ({GOLD}), cells AS (SELECT entity, feature, value FROM gold0 WHERE NOT {BLANKED}),
 blanks AS (SELECT entity, feature FROM gold0 WHERE {BLANKED}), gold AS (SELECT entity, feature, value FROM gold0 WHERE {BLANKED}),
 meta AS ({META}),
 book AS (SELECT feature, value, (dense_rank() OVER (ORDER BY feature) - 1)::INT AS fi, (row_number() OVER (PARTITION BY feature ORDER BY value) - 1)::INT AS vi,

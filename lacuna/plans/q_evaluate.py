@@ -3,13 +3,15 @@
 from pyspark.sql import functions as F
 
 from lacuna.operators import coding, evaluate, impute
+from lacuna.plans.inputs import draw_sql
 from lacuna.plans.q_coding import CATALOG
 from lacuna.plans.registry import query
 
 RIGHT = ", jd AS (SELECT g.entity, g.feature, g.value, coalesce(p.value = g.value, false) AS ok, m.genus, m.family FROM gold g LEFT JOIN (SELECT * FROM preds WHERE system = 'genus') p USING (entity, feature) JOIN meta m USING (entity))"
 EA = RIGHT + ", ea AS (SELECT entity, genus, avg(ok::INT) AS acc, count(*) AS n FROM jd GROUP BY entity, genus)"
 RUNS = """, runs AS (SELECT l_returnflag AS branch, l_linenumber % 3 AS frac, l_suppkey % 4 AS repeat, CASE l_linestatus WHEN 'O' THEN 'full' ELSE 'base' END AS model, l_discount AS f1, l_quantity AS w FROM lineitem)"""
-RANKS = """, rk AS (SELECT l_suppkey % 3 AS representation, l_suppkey AS target, l_orderkey * 10 + l_linenumber AS item, l_quantity AS truth, l_extendedprice AS score, l_tax AS z, l_returnflag AS stratum, 'A' AS own FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) <= 12)"""
+#: Each order ranks its lines.
+RANKS = """, rk AS (SELECT l_orderkey % 3 AS representation, l_orderkey AS target, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS item, l_quantity AS truth, l_extendedprice AS score, l_tax AS z, l_returnflag AS stratum, 'A' AS own FROM lineitem)"""
 AVGRANK = "rank() OVER (PARTITION BY {k} ORDER BY {x}) + (count(*) OVER (PARTITION BY {k}, {x}) - 1) / 2.0"
 RHO = "round(CASE WHEN count(*) >= 3 THEN covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) END, 8)"
 
@@ -31,11 +33,7 @@ def runs_of(i):
 
 
 def rankings_of(i):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber"))
-    rows = i.table("lineitem").withColumn("n", n).filter("n <= 12")
-    return rows.selectExpr("l_suppkey % 3 AS representation", "l_suppkey AS target", "l_orderkey * 10 + l_linenumber AS item", "l_quantity AS truth", "l_extendedprice AS score", "l_tax AS z", "l_returnflag AS stratum", "'A' AS own")
+    return i.table("lineitem").selectExpr("l_orderkey % 3 AS representation", "l_orderkey AS target", "(l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS item", "l_quantity AS truth", "l_extendedprice AS score", "l_tax AS z", "l_returnflag AS stratum", "'A' AS own")
 
 
 @query(CATALOG + """, pr AS (SELECT entity, feature, bin_col, pos, pos_value, neg_value, n_vals, ((entity * 7 + bin_col * 13) % 100) / 100.0 AS pp FROM blanks JOIN cat USING (feature))
@@ -76,15 +74,20 @@ def e7_oracle_ceiling(i):
     return evaluate.oracle_ceiling(i.preds, i.gold)
 
 
-@query()
+@query(EA + f""", fr AS (SELECT g.entity, avg(coalesce(p.value = g.value, false)::INT) AS ref FROM gold g LEFT JOIN (SELECT * FROM preds WHERE system = 'freq') p USING (entity, feature) GROUP BY g.entity), pl AS (SELECT acc, ref, row_number() OVER (ORDER BY {draw_sql(42, "entity")}, entity) - 1 AS p FROM ea JOIN fr USING (entity)),
+dr AS (SELECT rep, {draw_sql(43, "rep", "i.p")} % (SELECT count(*) FROM pl) AS p FROM pl i CROSS JOIN (SELECT unnest(range(0, 200)) AS rep)), mm AS (SELECT rep, avg(acc) AS m, round(avg(acc - ref), 12) AS d FROM dr JOIN pl USING (p) GROUP BY rep)
+SELECT round(avg(m), 8) AS mean, round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high, round(least(1.0, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))), 8) AS p FROM mm""")
 def e8_bootstrap_ci(i):
     base = evaluate.entity_accuracy(evaluate.judged(i.preds.filter("system = 'freq'"), i.gold)).select("entity", F.col("acc").alias("ref"))
-    return evaluate.bootstrap_ci(by_entity(i).join(base, "entity"), 200)
+    return rounded(evaluate.bootstrap_ci(by_entity(i).join(base, "entity"), 200), "mean", "low", "high", "p")
 
 
-@query()
+@query(f""", t AS (SELECT vec_id AS id, label < 5 AS arm, embedding[1]::DOUBLE AS x FROM embeddings), df AS (SELECT avg(x) FILTER (arm) - avg(x) FILTER (NOT arm) AS diff, count(*) FILTER (arm) AS n1 FROM t),
+pm AS (SELECT rep, x, row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(42, "rep", "id")}, id) <= (SELECT n1 FROM df) AS a FROM t CROSS JOIN (SELECT unnest(range(0, 200)) AS rep)), dd AS (SELECT rep, avg(x) FILTER (a) - avg(x) FILTER (NOT a) AS d FROM pm GROUP BY rep)
+SELECT round((SELECT diff FROM df), 8) AS diff, round((count(*) FILTER (abs(d) >= abs((SELECT diff FROM df))) + 1) / (count(*) + 1), 8) AS p FROM dd""")
 def e9_permutation_test(i):
-    return evaluate.permutation_test(i.table("embeddings").selectExpr("vec_id AS id", "CAST(label < 5 AS INT) AS arm", "CAST(embedding[0] AS DOUBLE) AS x"), 200)
+    rows = i.table("embeddings").selectExpr("vec_id AS id", "CAST(label < 5 AS INT) AS arm", "CAST(embedding[0] AS DOUBLE) AS x")
+    return rounded(evaluate.permutation_test(rows, 200), "diff", "p")
 
 
 @query(RUNS + "SELECT frac, model, round(avg(f1), 8) AS mean, round(stddev_samp(f1), 8) AS std, count(*) AS n FROM runs GROUP BY frac, model")
@@ -169,13 +172,13 @@ def e19_same_stratum_spearman(i):
 
 
 @query(RANKS + f""", f AS (SELECT target, regr_slope(truth, z) AS b1, regr_intercept(truth, z) AS a1, regr_slope(score, z) AS b2, regr_intercept(score, z) AS a2, avg(truth) AS mt, avg(score) AS ms FROM rk GROUP BY target),
-e AS (SELECT target, round(truth - coalesce(b1 * z + a1, mt), 9) AS x, round(score - coalesce(b2 * z + a2, ms), 9) AS y FROM rk JOIN f USING (target)), r AS (SELECT target, {AVGRANK.format(k='target', x='x')} AS rx, {AVGRANK.format(k='target', x='y')} AS ry FROM e) SELECT target, {RHO} AS rho, count(*) AS n FROM r GROUP BY target""")
+e AS (SELECT target, round(truth - coalesce(b1 * z + a1, mt), 6) AS x, round(score - coalesce(b2 * z + a2, ms), 6) AS y FROM rk JOIN f USING (target)), r AS (SELECT target, {AVGRANK.format(k='target', x='x')} AS rx, {AVGRANK.format(k='target', x='y')} AS ry FROM e) SELECT target, {RHO} AS rho, count(*) AS n FROM r GROUP BY target""")
 def e20_partial_spearman(i):
     return rounded(evaluate.partial_spearman(rankings_of(i), "truth", "score", "z", "target"), "rho")
 
 
-@query(RANKS + f""", r AS (SELECT target, {AVGRANK.format(k='target', x='truth')} AS rx, {AVGRANK.format(k='target', x='score')} AS ry FROM rk), m AS (SELECT * FROM (SELECT DISTINCT representation, target FROM rk) JOIN (SELECT target, covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) AS rho FROM r GROUP BY target) USING (target)
-    JOIN ({KENDALL}) USING (target) JOIN ({NDCG}) USING (target) JOIN ({REGRET}) USING (target))
+@query(RANKS + f""", r AS (SELECT target, {AVGRANK.format(k='target', x='truth')} AS rx, {AVGRANK.format(k='target', x='score')} AS ry FROM rk), m AS (SELECT * REPLACE (CASE WHEN n >= 3 THEN rho END AS rho, CASE WHEN n >= 3 THEN tau END AS tau) FROM (SELECT representation, target, count(*) AS n FROM rk GROUP BY ALL) JOIN (SELECT target, covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) AS rho FROM r GROUP BY target) USING (target)
+    LEFT JOIN ({KENDALL}) USING (target) JOIN ({NDCG}) USING (target) JOIN ({REGRET}) USING (target))
 SELECT representation, {", ".join(f"round(avg({m}), 7) AS {m}_mean, round(stddev_pop({m}), 7) AS {m}_std" for m in ("rho", "tau", "ndcg", "regret", "top1", "top3", "pairwise"))}, count(*) AS n_targets FROM m GROUP BY representation""")
 def e21_evaluate_rankings(i):
     out = evaluate.evaluate_rankings(rankings_of(i), "truth", "score", "item")
@@ -217,27 +220,27 @@ def e24_calibrate_temperature(i):
     return rounded(evaluate.calibrate_temperature(scores, i.gold, grid), "nll", digits=7)
 
 
-PARTS = ", parts AS (SELECT vec_id AS id, 'f' || k AS feature, embedding[k + 1]::DOUBLE AS x FROM embeddings CROSS JOIN range(0, 8) r(k)), gy AS (SELECT vec_id AS id, label::DOUBLE AS y FROM embeddings)"
+PARTS = ", parts AS (SELECT vec_id AS id, 'f' || k AS feature, embedding[k + 1]::DOUBLE AS x FROM embeddings CROSS JOIN range(0, 64) r(k)), gy AS (SELECT vec_id AS id, label::DOUBLE AS y FROM embeddings)"
 
 
 def parts_of(i):
-    parts = i.table("embeddings").select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 8)).alias("k", "x"))
+    parts = i.table("embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("k", "x"))
     gold = i.table("embeddings").selectExpr("vec_id AS id", "CAST(label AS DOUBLE) AS y")
     return parts.select("id", F.concat(F.lit("f"), "k").alias("feature"), F.col("x").cast("double").alias("x")), gold
 
 
-@query(PARTS + f""", lo AS (SELECT p.feature, p.id, (sum(p.x) OVER (PARTITION BY p.id) - p.x) / 7 AS m, y FROM parts p JOIN gy USING (id)), r AS (SELECT feature, {AVGRANK.format(k='feature', x='m')} AS rx, {AVGRANK.format(k='feature', x='y')} AS ry FROM lo),
+@query(PARTS + f""", lo AS (SELECT p.feature, p.id, (sum(p.x) OVER (PARTITION BY p.id) - p.x) / 63 AS m, y FROM parts p JOIN gy USING (id)), r AS (SELECT feature, {AVGRANK.format(k='feature', x='m')} AS rx, {AVGRANK.format(k='feature', x='y')} AS ry FROM lo),
 al AS (SELECT {AVGRANK.format(k='1', x='m')} AS rx, {AVGRANK.format(k='1', x='y')} AS ry FROM (SELECT id, avg(x) AS m, any_value(y) AS y FROM parts JOIN gy USING (id) GROUP BY id))
 SELECT feature, {RHO.replace(', 8)', ', 6)')} AS rho, round((SELECT corr(rx, ry) FROM al) - corr(rx, ry), 6) AS "drop" FROM r GROUP BY feature""")
 def e25_feature_importance(i):
     return rounded(evaluate.feature_importance(*parts_of(i)), "rho", "drop", digits=6)
 
 
-@query(PARTS + f""", d AS (SELECT feature, CASE WHEN feature < 'f3' THEN 'low' WHEN feature < 'f7' THEN 'high' ELSE 'one' END AS domain FROM (SELECT DISTINCT feature FROM parts)), m AS (SELECT domain, id, avg(x) AS m, any_value(y) AS y FROM parts JOIN d USING (feature) JOIN gy USING (id) GROUP BY domain, id),
+@query(PARTS + f""", d AS (SELECT feature, CASE WHEN feature < 'f3' THEN 'low' WHEN feature < 'f9' THEN 'high' ELSE 'one' END AS domain FROM (SELECT DISTINCT feature FROM parts)), m AS (SELECT domain, id, avg(x) AS m, any_value(y) AS y FROM parts JOIN d USING (feature) JOIN gy USING (id) GROUP BY domain, id),
 r AS (SELECT domain, {AVGRANK.format(k='domain', x='m')} AS rx, {AVGRANK.format(k='domain', x='y')} AS ry FROM m) SELECT domain, {RHO.replace(', 8)', ', 6)')} AS rho, (SELECT count(*) FROM d x WHERE x.domain = r.domain) AS n_features FROM r WHERE domain <> 'one' GROUP BY domain""")
 def e26_domain_subset_score(i):
     parts, gold = parts_of(i)
-    domains = parts.select("feature").distinct().withColumn("domain", F.expr("CASE WHEN feature < 'f3' THEN 'low' WHEN feature < 'f7' THEN 'high' ELSE 'one' END"))
+    domains = parts.select("feature").distinct().withColumn("domain", F.expr("CASE WHEN feature < 'f3' THEN 'low' WHEN feature < 'f9' THEN 'high' ELSE 'one' END"))
     return rounded(evaluate.domain_subset_score(parts, domains, gold), "rho", digits=6)
 
 
@@ -248,17 +251,17 @@ def e27_aggregate_over_seeds(i):
 
 
 @query("""SELECT a.entity, round(min(2 * 6371.0 * asin(sqrt(least(1.0, sin(radians(b.latitude - a.latitude) / 2) ** 2 + cos(radians(a.latitude)) * cos(radians(b.latitude)) * sin(radians(b.longitude - a.longitude) / 2) ** 2)))), 4) AS km
-    FROM meta a JOIN meta b ON a.entity <> b.entity WHERE a.entity % 20 = 1 AND b.entity % 4 = 0 GROUP BY a.entity""")
+    FROM meta a JOIN meta b ON a.entity <> b.entity GROUP BY a.entity""")
 def g1_min_haversine_km(i):
-    return rounded(evaluate.min_haversine_km(i.meta.filter("entity % 20 = 1"), i.meta.filter("entity % 4 = 0")), "km", digits=4)
+    return rounded(evaluate.min_haversine_km(i.meta, i.meta), "km", digits=4)
 
 
-@query(""", hv AS (SELECT *, CASE WHEN r <= floor(n / 2) THEN 'context' ELSE 'target' END AS half FROM (SELECT *, count(*) OVER (PARTITION BY entity) AS n, row_number() OVER (PARTITION BY entity ORDER BY feature) AS r FROM cells WHERE entity % 5 = 0) WHERE n >= 4),
+@query(""", hv AS (SELECT *, CASE WHEN r <= floor(n / 2) THEN 'context' ELSE 'target' END AS half FROM (SELECT *, count(*) OVER (PARTITION BY entity) AS n, row_number() OVER (PARTITION BY entity ORDER BY feature) AS r FROM cells) WHERE n >= 4),
 g AS (SELECT a.alpha, b.least FROM (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS alpha) a CROSS JOIN (SELECT unnest([2, 300])::INT AS least) b), tot AS (SELECT alpha, least, t.entity, t.feature, t.value AS truth, k.value, round(sum(ln((coalesce(x.n, 0) + alpha) / (ci.n + alpha * k.k) + 1e-12)), 9) AS score FROM hv t JOIN hv c ON c.entity = t.entity AND c.half = 'context'
     JOIN counts ci ON ci.feature = c.feature AND ci.value = c.value JOIN book k ON k.feature = t.feature LEFT JOIN cooc x ON x.fi = c.feature AND x.vi = c.value AND x.fj = k.feature AND x.vj = k.value CROSS JOIN g WHERE t.half = 'target' AND ci.n >= least GROUP BY ALL)
 SELECT alpha, least, round(avg((value = truth)::INT), 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY alpha, least, entity, feature ORDER BY score DESC, value) AS r FROM tot) WHERE r = 1 GROUP BY alpha, least""")
 def e14b_grid_search(i):
     from lacuna.operators import splits, stats
 
-    halves = splits.context_target_halves(i.cells.filter("entity % 5 = 0"), F.lit(0))
+    halves = splits.context_target_halves(i.cells, F.lit(0))
     return rounded(evaluate.grid_search(i.cells, halves, i.book, stats.cooccurrence(i.cells), i.counts, [0.1, 0.5, 1.0], [2, 300]), "score")

@@ -10,8 +10,6 @@ R = "round(score, 8) AS score"
 BEST = "SELECT entity, feature, value, score FROM (SELECT *, row_number() OVER (PARTITION BY entity, feature ORDER BY score DESC, value) AS r FROM {t}) WHERE r = 1"
 ELSE = "SELECT entity, feature, coalesce(a.value, f.value) AS value, round(CASE WHEN a.value IS NOT NULL THEN a.score ELSE {s} END, 8) AS score FROM blanks LEFT JOIN ({t}) a USING (entity, feature) JOIN freqs f USING (feature)"
 IDF = ", idf AS (SELECT feature, ln((SELECT count(DISTINCT entity) FROM cells) / (1 + count(DISTINCT entity))) AS idf FROM cells GROUP BY feature)"
-#: Only some blanks, so that the quadratic SQL stays small: the condition is part of the question.
-FEW = "entity % 8 = 0"
 KNN = """, few AS (SELECT * FROM blanks), near AS (SELECT entity, other, score FROM (SELECT a.entity, b.entity AS other, {w} AS score, row_number() OVER (PARTITION BY a.entity ORDER BY {w} DESC, b.entity) AS r
     FROM cells a JOIN cells b USING (feature, value) {j} WHERE a.entity <> b.entity AND a.entity IN (SELECT entity FROM few) GROUP BY a.entity, b.entity HAVING {w} > 0) WHERE r <= 5),
 votes AS (SELECT few.entity, few.feature, c.value, count(*) AS n, sum(score) AS weight FROM few JOIN near USING (entity) JOIN cells c ON c.entity = near.other AND c.feature = few.feature GROUP BY ALL)"""
@@ -59,16 +57,15 @@ def i4b_idf_knn_distribution(i):
     return impute.idf_knn_distribution(i.cells, i.blanks, i.p, stats.idf(i.cells)).withColumn("score", F.round("score", 6))
 
 
-VEC_KNN = """, b AS (SELECT * FROM blanks JOIN meta USING (entity) WHERE entity < 250 AND feature = 'size'), v AS (SELECT vec_id AS entity, embedding::DOUBLE[] AS vec FROM embeddings), pr AS (SELECT b.entity, b.feature, c.value, row_number() OVER (PARTITION BY b.entity, b.feature ORDER BY list_distance(v1.vec, v2.vec), c.entity) AS r
+VEC_KNN = """, b AS (SELECT * FROM blanks JOIN meta USING (entity)), v AS (SELECT vec_id AS entity, embedding::DOUBLE[] AS vec FROM embeddings), pr AS (SELECT b.entity, b.feature, c.value, row_number() OVER (PARTITION BY b.entity, b.feature ORDER BY list_distance(v1.vec, v2.vec), c.entity) AS r
     FROM b JOIN v v1 ON v1.entity = b.entity JOIN cells c ON c.feature = b.feature JOIN meta m2 ON m2.entity = c.entity AND m2.genus <> b.genus JOIN v v2 ON v2.entity = c.entity),
 vt AS (SELECT entity, feature, value, count(*)::DOUBLE AS score FROM pr WHERE r <= 3 GROUP BY ALL)
 """
 
 
-@query(VEC_KNN + BEST.format(t="vt"))
+@query(VEC_KNN + ELSE.format(t=BEST.format(t="vt"), s="f.score"))
 def i5_vector_knn(i):
-    blanks = i.blanks.filter("entity < 250 AND feature = 'size'")
-    return impute.impute_vector_knn(i.cells, blanks, i.vecs.select(F.col("id").alias("entity"), "vec"), i.meta, 3)
+    return rounded(impute.impute_vector_knn(i.cells, i.blanks, i.vecs.select(F.col("id").alias("entity"), "vec"), i.meta, 3))
 
 
 def scores_of(i):
@@ -116,11 +113,12 @@ CONF_ROWS = SOURCES + ", rows AS (SELECT b.entity, b.feature AS target, c.source
 
 
 @query(CONF_ROWS + """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, target ORDER BY best DESC, source) AS r FROM (SELECT entity, target, source, max(score) AS best FROM rows GROUP BY ALL)) WHERE r <= 5),
-t AS (SELECT entity, target AS feature, tv AS value, round(sum(score), 6) AS score FROM rows JOIN top USING (entity, target, source) GROUP BY ALL) """ + ELSE.format(t=BEST.format(t="t") + " AND score <> 0", s="0.0"))
+t AS (SELECT entity, target AS feature, tv AS value, sum(round(score * 1e9)::BIGINT) / 1e9::DOUBLE AS score FROM rows JOIN top USING (entity, target, source) GROUP BY ALL), bt AS (""" + BEST.format(t="t") + """ AND score <> 0)
+SELECT entity, feature, coalesce(a.value, f.value) AS value, coalesce(a.score, 0.0::DOUBLE) AS score FROM blanks LEFT JOIN bt a USING (entity, feature) JOIN freqs f USING (feature)""")
 def i11_log_confidence(i):
     own = sources(i)
-    conf = rounded(stats.log_confidence(stats.source_target_counts(own, i.cells), i.book))
-    return impute.impute_log_confidence(own, i.blanks, conf, i.cells).withColumn("score", F.round("score", 6))
+    conf = stats.log_confidence(stats.source_target_counts(own, i.cells), i.book).withColumn("score", F.round("score", 9))
+    return impute.impute_log_confidence(own, i.blanks, conf, i.cells)
 
 
 @query(CONF_ROWS + """, t AS (SELECT r.entity, r.target AS feature, r.tv AS value, coalesce(j.n_joint / r.n_st, 0) AS score FROM (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY entity, target ORDER BY score DESC, source, tv) = 1) r LEFT JOIN joint j USING (source, sv, target, tv)) """ + ELSE.format(t="SELECT * FROM t", s="0.0"))

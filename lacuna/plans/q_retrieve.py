@@ -58,12 +58,12 @@ def r5_rank_candidates(i):
     return out.withColumn("score", F.round("score", 8))
 
 
-SOFT = """, ev AS (SELECT vec_id AS entity, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id < 100), vv AS (SELECT feature, value, embedding::DOUBLE[] AS vec FROM book JOIN embeddings ON vec_id = gid + 200),
+SOFT = """, ev AS (SELECT vec_id AS entity, embedding::DOUBLE[] AS vec FROM embeddings), vv AS (SELECT feature, value, embedding::DOUBLE[] AS vec FROM book JOIN embeddings ON vec_id = gid + 200),
 sf AS (SELECT entity, feature, value, exp(3 * list_inner_product(ev.vec, vv.vec)) AS e FROM ev CROSS JOIN vv), sp AS (SELECT entity, feature, value, e / sum(e) OVER (PARTITION BY entity, feature) AS p FROM sf)"""
 
 
 def soft(i):
-    entities = i.vecs.filter("id < 100").select(F.col("id").alias("entity"), "vec")
+    entities = i.vecs.select(F.col("id").alias("entity"), "vec")
     return retrieve.predicted_profiles(entities, values_of(i), 3.0)
 
 
@@ -143,9 +143,9 @@ def r14_multi_seed_rank(i):
     return retrieve.multi_seed_rank(i.table("lineitem").selectExpr("l_suppkey AS k", "l_linenumber AS rank"), "k")
 
 
-@query(SOFT + ", l AS (SELECT concat_ws('=', feature, value) AS fv, entity, p FROM sp WHERE entity < 50 OR feature <> 'size') SELECT a.fv AS fv_a, b.fv AS fv_b, round(CASE WHEN count(*) >= 60 THEN sum(a.p * b.p) / sqrt(sum(a.p ** 2) * sum(b.p ** 2)) ELSE -2 END, 6) AS score FROM l a JOIN l b USING (entity) GROUP BY ALL")
+@query(SOFT + ", l AS (SELECT concat_ws('=', feature, value) AS fv, entity, p FROM sp) SELECT a.fv AS fv_a, b.fv AS fv_b, round(CASE WHEN count(*) >= 60 THEN sum(a.p * b.p) / sqrt(sum(a.p ** 2) * sum(b.p ** 2)) ELSE -2 END, 6) AS score FROM l a JOIN l b USING (entity) GROUP BY ALL")
 def r15_profile_cosine_common(i):
-    p = soft(i).filter("entity < 50 OR feature <> 'size'").select(coding.value_label("feature", "value").alias("fv"), "entity", "p")
+    p = soft(i).select(coding.value_label("feature", "value").alias("fv"), "entity", "p")
     return retrieve.common_cosine(p, p, "entity", "p", 60, -2.0).withColumn("score", F.round("score", 6))
 
 

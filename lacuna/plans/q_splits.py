@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lacuna.operators import splits
+from lacuna.plans.inputs import draw_sql
 from lacuna.plans.registry import query
 
 #: An order that another engine can repeat.
@@ -43,7 +44,8 @@ def b6_context_target_halves(i):
     return splits.context_target_halves(i.cells, F.expr(ORDER))
 
 
-@query()
+@query(f""", r AS (SELECT unnest(range(1, 6)) AS rep), x AS (SELECT rep, entity, feature, value, row_number() OVER (PARTITION BY rep, entity ORDER BY {draw_sql(43, "rep", "entity", "feature")}, feature) AS r, count(*) OVER (PARTITION BY rep, entity) AS n FROM cells CROSS JOIN r)
+SELECT rep::INT AS rep, entity, feature, value, r <= floor(n * (0.3::DOUBLE + {draw_sql(42, "rep", "entity")} / 1152921504606846976::DOUBLE * (0.7::DOUBLE - 0.3::DOUBLE))) AS blanked FROM x""")
 def b7_random_blanking(i):
     return splits.random_blanking(i.cells)
 
@@ -53,6 +55,6 @@ def b8_random_val_fraction(i):
     return splits.random_val_fraction(i.cells, 0.1, F.expr(ORDER).cast("double"))
 
 
-@query()
+@query(f"SELECT entity, genus, ({draw_sql(42, 'genus')} % 5)::INT AS fold FROM meta")
 def b9_group_kfold(i):
     return splits.group_kfold(i.meta.select("entity", "genus"), "genus", 5)

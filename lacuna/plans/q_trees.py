@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.columns import binary_entropy
 from lacuna.operators import trees
+from lacuna.plans.inputs import draw_sql
 from lacuna.plans.registry import query
 
-#: Words 1 to 12 of each document; word 1 is the root, the others hang on the next or on an earlier word.
-TOK = r""", w AS (SELECT lang, 'all' AS split, doc_id AS sent, unnest(range(1, least(12, len(string_split(text, ' '))) + 1))::INT AS id, string_split(text, ' ') AS ws FROM documents),
-n AS (SELECT lang, split, sent, id, regexp_replace(ws[id], '\s+', '_', 'g') AS form, max(id) OVER (PARTITION BY sent) AS last FROM w),
+#: Each twelve words in a row of a document are a sentence; word 1 is the root, the others hang on the next or on an earlier word.
+TOK = r""", w AS (SELECT lang, doc_id, unnest(range(0, len(string_split(text, ' ')))) AS k, unnest(string_split(text, ' ')) AS word FROM documents),
+n AS (SELECT lang, 'all' AS split, doc_id * 100000 + k // 12 AS sent, (k % 12 + 1)::INT AS id, regexp_replace(word, '\s+', '_', 'g') AS form, max(k % 12 + 1) OVER (PARTITION BY doc_id, k // 12) AS last FROM w),
 tok AS (SELECT lang, split, sent, id, form, CASE length(form) % 3 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' ELSE 'ADP' END AS upos, CASE WHEN id = 1 THEN 0 WHEN (sent + id) % 3 = 0 AND id < last THEN CASE WHEN (sent + id + 1) % 3 = 0 AND id + 1 < last THEN 1 ELSE id + 1 END ELSE id // 2 END::INT AS head,
     CASE WHEN (sent + id) % 2 = 0 THEN 'nsubj' ELSE 'obj' END AS deprel FROM n),
 arc AS (SELECT t.*, h.upos AS head_pos, t.id < t.head AS before, concat_ws('_', t.deprel, h.upos, t.upos) AS config FROM tok t JOIN tok h ON h.sent = t.sent AND h.lang = t.lang AND h.id = t.head),
@@ -18,8 +19,8 @@ prof AS (SELECT lang, config, count_if(before)::BIGINT AS k, count(*) AS n, coun
 def tokens(i):
     from pyspark.sql import Window
 
-    words = i.table("documents").select("lang", F.lit("all").alias("split"), F.col("doc_id").alias("sent"), F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("id", "form"))
-    rows = words.withColumn("id", F.col("id") + 1).withColumn("form", F.regexp_replace("form", r"\s+", "_"))
+    words = i.table("documents").select("lang", "doc_id", F.posexplode(F.split("text", " ")).alias("k", "form"))
+    rows = words.selectExpr("lang", "'all' AS split", "doc_id * 100000 + k DIV 12 AS sent", "k % 12 + 1 AS id", r"regexp_replace(form, r'\s+', '_') AS form")
     rows = rows.withColumn("last", F.max("id").over(Window.partitionBy("sent")))
     head = F.expr("CASE WHEN id = 1 THEN 0 WHEN (sent + id) % 3 = 0 AND id < last THEN CASE WHEN (sent + id + 1) % 3 = 0 AND id + 1 < last THEN 1 ELSE id + 1 END ELSE id DIV 2 END").cast("int")
     upos = F.expr("CASE length(form) % 3 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' ELSE 'ADP' END")
@@ -58,13 +59,16 @@ def d4b_profile_coverage(i):
 
 
 
+ED = """, ed AS (SELECT a.sent, a.id, a.head, {'side': CASE WHEN coalesce(p, 0.5) >= 0.5 THEN -1 ELSE 1 END, 'weight': CASE WHEN coalesce(p, 0.5) >= 0.5 THEN -coalesce(p, 0.5) ELSE coalesce(p, 0.5) - 1 END::DOUBLE, 'id': a.id} AS step FROM arc a LEFT JOIN prof USING (lang, config)),
+pt AS (SELECT sent, id, [{'side': 1, 'weight': 0::DOUBLE, 'id': id}] AS path FROM tok WHERE head = 0 UNION ALL SELECT ed.sent, ed.id, list_append(pt.path, ed.step) FROM pt JOIN ed ON ed.sent = pt.sent AND ed.head = pt.id)"""
 
-@query()
+
+@query(TOK + ED + "SELECT lang, split, t.sent, t.id, row_number() OVER (PARTITION BY t.sent ORDER BY pt.path IS NULL, list_append(pt.path, {'side': 0, 'weight': 0::DOUBLE, 'id': 0}), t.id)::INT AS position FROM tok t LEFT JOIN pt ON pt.sent = t.sent AND pt.id = t.id")
 def d5_linearise(i):
     return trees.linearise(tokens(i), profile(i))
 
 
-@query()
+@query(TOK + f"SELECT lang, split, sent, id, row_number() OVER (PARTITION BY sent ORDER BY {draw_sql(42, 'lang', 'split', 'sent', 'id')}, id)::INT AS position FROM tok")
 def d6_random_order(i):
     return trees.random_order(tokens(i))
 

@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from lacuna.operators import universals
+from lacuna.plans.inputs import draw_sql
 from lacuna.plans.registry import query
 
-FORM = """CASE s_suppkey % 5 WHEN 0 THEN 'GB' || s_suppkey || ':1 > GB' || (s_suppkey + 1) || ':0' WHEN 1 THEN 'GB' || s_suppkey || ':1 & GB' || (s_suppkey + 2) || ':1 > GB3:1' WHEN 2 THEN '(GB1:0 | GB' || s_suppkey || ':1) > (GB2:1 | GB4:1)'
+FORM = """CASE s_suppkey % 5 WHEN 0 THEN 'GB' || 3 * s_suppkey || ':1 > GB' || (3 * s_suppkey + 1) || ':0' WHEN 1 THEN 'GB' || 3 * s_suppkey || ':1 & GB' || (3 * s_suppkey + 2) || ':1 > GB3:1' WHEN 2 THEN '(GB1:0 | GB' || 3 * s_suppkey || ':1) > (GB2:1 | GB4:1)'
     WHEN 3 THEN 'sum(GB1:1, GB2:1) > 3' ELSE 'GB' || s_suppkey || ':1 and no arrow' END"""
 F_CTE = f", fm AS (SELECT s_suppkey AS id, {FORM} AS formula FROM supplier)"
-TOKV = ", tv AS (SELECT concat('GB', vec_id // 2, ':', vec_id % 2) AS token, concat('GB', vec_id // 2) AS feature, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id < 190)"
+TOKV = ", tv AS (SELECT concat('GB', vec_id // 2, ':', vec_id % 2) AS token, concat('GB', vec_id // 2) AS feature, embedding::DOUBLE[] AS vec FROM embeddings)"
 
 
 def formulas(i):
@@ -16,7 +17,7 @@ def formulas(i):
 
 
 def token_vectors(i):
-    return i.vecs.filter("id < 190").selectExpr("concat('GB', id DIV 2, ':', id % 2) AS token", "concat('GB', id DIV 2) AS feature", "vec")
+    return i.vecs.selectExpr("concat('GB', id DIV 2, ':', id % 2) AS token", "concat('GB', id DIV 2) AS feature", "vec")
 
 
 PARSED = F_CTE + r"""SELECT id, CASE WHEN id % 5 < 3 THEN array_to_string(regexp_extract_all(split_part(formula, '>', 1), 'GB\d+:\d+'), ' ') ELSE '' END AS ant, CASE WHEN id % 5 < 3 THEN array_to_string(regexp_extract_all(split_part(formula, '>', 2), 'GB\d+:\d+'), ' ') ELSE '' END AS con,
@@ -33,9 +34,9 @@ def u2_negation_map(i):
     return universals.negation_map(i.book)
 
 
-M1 = F_CTE + TOKV + """, m1 AS (SELECT id, list_cosine_similarity(a.vec, b.vec) AS m1 FROM fm JOIN tv a ON a.token = 'GB' || id || ':1' JOIN tv b ON b.token = 'GB' || (id + 1) || ':0' WHERE id % 5 = 0
-    UNION ALL SELECT id, list_cosine_similarity(list_transform(range(1, 65), lambda k: (coalesce(a.vec[k], c.vec[k]) + coalesce(c.vec[k], a.vec[k])) / 2), b.vec) FROM fm LEFT JOIN tv a ON a.token = 'GB' || id || ':1' LEFT JOIN tv c ON c.token = 'GB' || (id + 2) || ':1' JOIN tv b ON b.token = 'GB3:1' WHERE id % 5 = 1 AND (a.vec IS NOT NULL OR c.vec IS NOT NULL)
-    UNION ALL SELECT id, min(m) FROM (SELECT id, a.token, max(list_cosine_similarity(a.vec, b.vec)) AS m FROM fm JOIN tv a ON a.token IN ('GB1:0', 'GB' || id || ':1') JOIN tv b ON b.token IN ('GB2:1', 'GB4:1') WHERE id % 5 = 2 GROUP BY id, a.token) GROUP BY id)"""
+M1 = F_CTE + TOKV + """, m1 AS (SELECT id, list_cosine_similarity(a.vec, b.vec) AS m1 FROM fm JOIN tv a ON a.token = 'GB' || 3 * id || ':1' JOIN tv b ON b.token = 'GB' || (3 * id + 1) || ':0' WHERE id % 5 = 0
+    UNION ALL SELECT id, list_cosine_similarity(list_transform(range(1, 65), lambda k: (coalesce(a.vec[k], c.vec[k]) + coalesce(c.vec[k], a.vec[k])) / 2), b.vec) FROM fm LEFT JOIN tv a ON a.token = 'GB' || 3 * id || ':1' LEFT JOIN tv c ON c.token = 'GB' || (3 * id + 2) || ':1' JOIN tv b ON b.token = 'GB3:1' WHERE id % 5 = 1 AND (a.vec IS NOT NULL OR c.vec IS NOT NULL)
+    UNION ALL SELECT id, min(m) FROM (SELECT id, a.token, max(list_cosine_similarity(a.vec, b.vec)) AS m FROM fm JOIN tv a ON a.token IN ('GB1:0', 'GB' || 3 * id || ':1') JOIN tv b ON b.token IN ('GB2:1', 'GB4:1') WHERE id % 5 = 2 GROUP BY id, a.token) GROUP BY id)"""
 
 
 @query(M1 + "SELECT id, round(m1, 6) AS m1 FROM m1")
@@ -43,19 +44,19 @@ def u3_implication_cosine(i):
     return universals.implication_cosine(formulas(i), token_vectors(i)).withColumn("m1", F.round("m1", 6))
 
 
-@query()
+NULLS = f""", pl AS (SELECT *, row_number() OVER (ORDER BY {draw_sql(42, "token")}, token) - 1 AS p FROM tv), nl AS (SELECT no, list_cosine_similarity(a.vec, b.vec) AS cos FROM (SELECT unnest(range(0, 2000)) AS no)
+    JOIN pl a ON a.p = {draw_sql(43, "no")} % (SELECT count(*) FROM tv) JOIN pl b ON b.p = {draw_sql(44, "no")} % (SELECT count(*) FROM tv) WHERE a.feature <> b.feature)"""
+
+
+@query(TOKV + NULLS + "SELECT no, round(cos, 8) AS cos FROM nl")
 def u4_null_cosines(i):
-    return universals.null_cosines(token_vectors(i), 2000)
+    return universals.null_cosines(token_vectors(i), 2000).withColumn("cos", F.round("cos", 8))
 
 
-@query(M1 + """, nl AS (SELECT list_cosine_similarity(a.vec, b.vec) AS cos FROM tv a JOIN tv b ON a.token < b.token AND a.feature <> b.feature WHERE length(a.token) = 5 AND length(b.token) = 5)
+@query(M1 + NULLS + """
 SELECT id, round(m1, 6) AS m1, round((m1 - (SELECT avg(cos) FROM nl)) / (SELECT stddev_pop(cos) FROM nl), 5) AS z, round((SELECT avg((round(cos, 9) >= round(m1, 9))::INT) FROM nl), 6) AS p, round(m1 - 0.1, 6) AS margin FROM m1""")
 def u5_probe(i):
-    v = token_vectors(i).filter("length(token) = 5")
-    other = v.select(F.col("token").alias("t2"), F.col("feature").alias("f2"), F.col("vec").alias("v2"))
-    from lacuna.functions.columns import cosine
-
-    null = v.join(other, (F.col("token") < F.col("t2")) & (F.col("feature") != F.col("f2"))).select(F.round(cosine("vec", "v2"), 9).alias("cos"))
+    null = universals.null_cosines(token_vectors(i), 2000).select(F.round("cos", 9).alias("cos"))
     m1 = universals.implication_cosine(formulas(i), token_vectors(i)).withColumn("m1", F.round("m1", 9))
     out = universals.probe(m1, m1.select("id", F.lit(0.1).alias("anti")), null)
     return out.select("id", F.round("m1", 6).alias("m1"), F.round("z", 5).alias("z"), F.round("p", 6).alias("p"), F.round("margin", 6).alias("margin"))

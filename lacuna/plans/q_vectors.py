@@ -4,16 +4,18 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.columns import normalised
 from lacuna.operators import retrieve, vectors
+from lacuna.plans.inputs import draw_sql
 from lacuna.plans.q_retrieve import SOFT, soft, values_of
 from lacuna.plans.registry import query
 
-V = ", v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings WHERE vec_id < 150)"
+V = ", v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings)"
 COS = "list_cosine_similarity({a}, {b})"
-NEAR = V + ", nn AS (SELECT a.id AS source, b.id AS target, round(list_cosine_similarity(a.vec, b.vec), 10) AS cos, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 12) DESC, b.id)::INT AS rank FROM v a JOIN v b ON a.id <> b.id)"
+NEAR = V + ", nn AS (SELECT a.id AS source, b.id AS target, round(list_cosine_similarity(a.vec, b.vec), 10) AS cos, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 12) DESC, b.id)::INT AS rank FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0)"
 
 
-def some(i):
-    return i.vecs.filter("id < 150")
+def asked(i):
+    """The stated set of queries of a search."""
+    return i.vecs.filter("id % 50 = 0")
 
 
 def r(df, *columns, digits=6):
@@ -22,39 +24,40 @@ def r(df, *columns, digits=6):
 
 @query(V + "SELECT id, round(vec[1] / sqrt(list_inner_product(vec, vec)), 6) AS first FROM v")
 def v1_l2_normalise(i):
-    return some(i).select("id", normalised("vec").alias("u")).select("id", F.round(F.element_at("u", 1), 6).alias("first"))
+    return i.vecs.select("id", normalised("vec").alias("u")).select("id", F.round(F.element_at("u", 1), 6).alias("first"))
 
 
 @query(V + "SELECT a.id AS source, b.id AS target, round(greatest(0, least(2, 1 - list_cosine_similarity(a.vec, b.vec))), 6) AS d FROM v a JOIN v b ON a.id < b.id")
 def v2_pairwise_cosine(i):
-    return r(vectors.pairwise_distance(some(i)), "d")
+    return r(vectors.pairwise_distance(i.vecs), "d")
 
 
 @query(V + "SELECT a.id AS source, b.id AS target, round(list_distance(a.vec, b.vec), 6) AS d FROM v a JOIN v b ON a.id < b.id")
 def v2b_pairwise_euclidean(i):
-    return r(vectors.pairwise_distance(some(i), "euclidean"), "d")
+    return r(vectors.pairwise_distance(i.vecs, "euclidean"), "d")
 
 
 @query(V + "SELECT a.id AS source, b.id AS target, round(list_sum(list_transform(range(1, 65), lambda k: ((a.vec[k] > 0) <> (b.vec[k] > 0))::INT)) / 64, 6) AS d FROM v a JOIN v b ON a.id < b.id")
 def v2c_pairwise_hamming(i):
-    signs = some(i).withColumn("vec", F.transform("vec", lambda x: (x > 0).cast("int")))
+    signs = i.vecs.withColumn("vec", F.transform("vec", lambda x: (x > 0).cast("int")))
     return r(vectors.pairwise_distance(signs, "hamming"), "d")
 
 
 @query(V + "SELECT a.label AS space, a.id AS source, b.id AS target, round(list_distance(list_concat(a.vec, a.vec), list_concat(b.vec, b.vec)), 6) AS d FROM v a JOIN v b ON a.id < b.id AND a.label = b.label")
 def v3_distances_all(i):
-    joined = vectors.join_spaces(some(i), some(i)).join(some(i).select("id", F.col("label").alias("space")), "id")
+    joined = vectors.join_spaces(i.vecs, i.vecs).join(i.vecs.select("id", F.col("label").alias("space")), "id")
     return r(vectors.pairwise_distance(joined, "euclidean", "space"), "d")
 
 
-@query()
+@query("SELECT vec_id AS id, " + ", ".join(f"round(2 * ({draw_sql(42 + k, 'vec_id')} / 1152921504606846976::DOUBLE) - 1, 9) AS x{k}" for k in range(8)) + " FROM embeddings")
 def v3b_random_space(i):
-    return vectors.random_space(some(i), 8)
+    space = vectors.random_space(i.vecs, 8)
+    return space.select("id", *(F.round(F.element_at("vec", k + 1), 9).alias(f"x{k}") for k in range(8)))
 
 
 @query(NEAR + "SELECT source, target, round(cos, 6) AS cos, rank FROM nn WHERE rank <= 5")
 def v4_nearest_neighbours(i):
-    return r(vectors.nearest_neighbours(some(i), some(i), 5), "cos")
+    return r(vectors.nearest_neighbours(i.vecs, asked(i), 5), "cos")
 
 
 @query()
@@ -62,9 +65,9 @@ def v4b_candidate_pairs(i):
     return vectors.candidate_pairs(i.vecs, 0.5)
 
 
-@query(V + "SELECT source, target, round(cos, 6) AS cos, rank FROM (SELECT a.id AS source, b.id AS target, list_cosine_similarity(a.vec, b.vec) AS cos, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 12) DESC, b.id)::INT AS rank FROM v a JOIN v b ON a.id <> b.id AND a.label <> b.label) WHERE rank <= 5")
+@query(V + "SELECT source, target, round(cos, 6) AS cos, rank FROM (SELECT a.id AS source, b.id AS target, list_cosine_similarity(a.vec, b.vec) AS cos, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 12) DESC, b.id)::INT AS rank FROM v a JOIN v b ON a.id <> b.id AND a.label <> b.label WHERE a.id % 50 = 0) WHERE rank <= 5")
 def v5_cross_group_neighbours(i):
-    return r(vectors.nearest_neighbours(some(i), some(i), 5, "label"), "cos")
+    return r(vectors.nearest_neighbours(i.vecs, asked(i), 5, "label"), "cos")
 
 
 @query("SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS first, round(avg(embedding[64]::DOUBLE), 6) AS last FROM embeddings GROUP BY label")
@@ -80,26 +83,32 @@ def v6b_center(i):
 @query(V + """, d AS (SELECT a.id, a.label, b.label AS other, avg(1 - list_cosine_similarity(a.vec, b.vec)) AS d FROM v a JOIN v b ON a.id <> b.id WHERE a.label IN (SELECT label FROM v GROUP BY label HAVING count(*) > 1) AND b.label IN (SELECT label FROM v GROUP BY label HAVING count(*) > 1) GROUP BY ALL),
 s AS (SELECT id, label, max(d) FILTER (label = other) AS i, min(d) FILTER (label <> other) AS o FROM d GROUP BY id, label) SELECT id, label, round((o - i) / greatest(o, i), 5) AS s FROM s""")
 def v7_silhouette(i):
-    return r(vectors.silhouette(some(i), "label"), "s", digits=5)
+    return r(vectors.silhouette(i.vecs, "label"), "s", digits=5)
 
 
 @query(NEAR + """, k AS (SELECT 1 AS seed, source, list_sort(list(target)) AS t FROM nn WHERE rank <= 5 GROUP BY source UNION ALL SELECT 2, source, list_sort(list(target)) FROM nn WHERE rank BETWEEN 2 AND 6 GROUP BY source UNION ALL SELECT 3, source, list_sort(list(target)) FROM nn WHERE rank BETWEEN 4 AND 8 GROUP BY source)
 SELECT a.seed AS a, b.seed AS b, round(avg(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))), 6) AS mean, count(*) AS n FROM k a JOIN k b ON a.source = b.source AND a.seed < b.seed GROUP BY ALL""")
 def v8_neighbour_jaccard(i):
-    near = vectors.nearest_neighbours(some(i), some(i), 8)
+    near = vectors.nearest_neighbours(i.vecs, asked(i), 8)
     parts = [near.filter(F.col("rank").between(lo, hi)).withColumn("seed", F.lit(s)) for s, lo, hi in ((1, 1, 5), (2, 2, 6), (3, 4, 8))]
     return r(vectors.neighbour_jaccard(parts[0].union(parts[1]).union(parts[2])), "mean")
 
 
-@query()
+SHUFFLED = f""", known AS (SELECT id, label AS grp FROM v WHERE label IN (SELECT label FROM v GROUP BY label HAVING count(*) > 1)), reps AS (SELECT unnest(range(1, 101)) AS rep), here AS (SELECT id, row_number() OVER (ORDER BY {draw_sql(42, "id")}, id) AS p FROM known),
+there AS (SELECT rep, grp, row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(42, "rep", "id")}, id) AS p FROM known CROSS JOIN reps), lab AS (SELECT 0 AS rep, id, grp FROM known UNION ALL SELECT rep, id, grp FROM here JOIN there USING (p))"""
+
+
+@query(NEAR + SHUFFLED + """, sh AS (SELECT a.rep, round(avg((a.grp = b.grp)::INT), 12) AS share FROM nn JOIN lab a ON a.id = nn.source JOIN lab b ON b.id = nn.target AND b.rep = a.rep WHERE nn.rank <= 10 GROUP BY a.rep), tr AS (SELECT share AS truth FROM sh WHERE rep = 0)
+SELECT round(any_value(truth), 8) AS share, round(avg(share), 8) AS null_mean, round((count(*) FILTER (share >= truth) + 1) / (count(*) + 1), 8) AS p FROM sh CROSS JOIN tr WHERE rep > 0""")
 def v9_group_preservation(i):
-    near = vectors.nearest_neighbours(some(i), some(i), 10)
-    return vectors.group_preservation(near, some(i).select("id", F.col("label").alias("group")), 100)
+    near = vectors.nearest_neighbours(i.vecs, asked(i), 10)
+    return r(vectors.group_preservation(near, i.vecs.select("id", F.col("label").alias("group")), 100), "share", "null_mean", "p", digits=8)
 
 
 def halves(i):
-    a = i.vecs.select("id", F.slice("vec", 1, 8).alias("vec"))
-    return a, i.vecs.select("id", F.transform(F.slice("vec", 1, 8), lambda x: x * 2).alias("vec")), i.vecs.select("id", F.slice("vec", 9, 8).alias("vec"))
+    """Two spaces, the first and the last 32 numbers of each vector, and the first one again at twice the size."""
+    a = i.vecs.select("id", F.slice("vec", 1, 32).alias("vec"))
+    return a, a.select("id", F.transform("vec", lambda x: x * 2).alias("vec")), i.vecs.select("id", F.slice("vec", 33, 32).alias("vec"))
 
 
 @query("SELECT 0.0::DOUBLE AS disparity, count(*) AS n FROM embeddings")
@@ -114,21 +123,21 @@ def v11_procrustes_permutation(i):
     return vectors.procrustes_permutation(a, c, 20)
 
 
-@query("SELECT vec_id AS source, vec_id AS target, 1::INT AS rank FROM embeddings WHERE vec_id < 50")
+@query("SELECT vec_id AS source, vec_id AS target, 1::INT AS rank FROM embeddings")
 def v12_rotate_and_match(i):
     a, _, _ = halves(i)
     turned = a.select("id", F.reverse("vec").alias("vec"))
-    return vectors.rotate_and_match(a, turned, a.filter("id < 50"), turned.filter("id < 50"), 1).drop("cos")
+    return vectors.rotate_and_match(a, turned, a, turned, 1).drop("cos")
 
 
-@query("SELECT unnest(range(1, 9))::INT AS component, 1.0::DOUBLE AS correlation")
+@query("SELECT unnest(range(1, 11))::INT AS component, 1.0::DOUBLE AS correlation")
 def v13_cca(i):
     a, _, _ = halves(i)
     mixed = a.select("id", F.transform("vec", lambda x, p: x * (p + 1) + F.element_at("vec", 1)).alias("vec"))
     return r(vectors.cca(a, mixed), "correlation", digits=4)
 
 
-@query("""SELECT round(avg(n), 6) AS mean_a, round(stddev_pop(n), 6) AS std_a, round(avg(2 * n), 6) AS mean_b, round(2 * stddev_pop(n), 6) AS std_b, round(list_avg(quantile_cont(n, [(k + 0.5) / 200 for k in range(0, 200)])), 6) AS wasserstein, 0.5::DOUBLE AS ratio FROM (SELECT sqrt(list_sum(list_transform(embedding[1:8], lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)""")
+@query("""SELECT round(avg(n), 6) AS mean_a, round(stddev_pop(n), 6) AS std_a, round(avg(2 * n), 6) AS mean_b, round(2 * stddev_pop(n), 6) AS std_b, round(list_avg(quantile_cont(n, [(k + 0.5) / 200 for k in range(0, 200)])), 6) AS wasserstein, 0.5::DOUBLE AS ratio FROM (SELECT sqrt(list_sum(list_transform(embedding[1:32], lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)""")
 def v14_norm_summary(i):
     a, b, _ = halves(i)
     return r(vectors.norm_summary(a, b), "mean_a", "std_a", "mean_b", "std_b", "wasserstein", "ratio")
@@ -140,11 +149,12 @@ def v14b_cosine_summary(i):
     return r(vectors.cosine_summary(pairs), "mean", "std")
 
 
-QUADS = V + ", q AS (SELECT id AS a, id + 1 AS b, id + 2 AS c, id + 3 AS d FROM v WHERE id % 10 = 0 AND id < 140)"
+#: Each four vectors in a row.
+QUADS = V + ", q AS (SELECT id AS a, id + 1 AS b, id + 2 AS c, id + 3 AS d FROM v WHERE id % 4 = 0)"
 
 
 def quads(i):
-    return some(i).filter("id % 10 = 0 AND id < 140").selectExpr("id AS a", "id + 1 AS b", "id + 2 AS c", "id + 3 AS d")
+    return i.vecs.filter("id % 4 = 0").selectExpr("id AS a", "id + 1 AS b", "id + 2 AS c", "id + 3 AS d")
 
 
 @query(QUADS + "SELECT a, b, c, d, round(sqrt(list_sum(list_transform(range(1, 65), lambda k: ((va.vec[k] - vb.vec[k]) - (vc.vec[k] - vd.vec[k])) ** 2))), 5) AS residual FROM q JOIN v va ON va.id = a JOIN v vb ON vb.id = b JOIN v vc ON vc.id = c JOIN v vd ON vd.id = d")
@@ -152,9 +162,15 @@ def v15_analogy_residual(i):
     return r(vectors.analogy_residual(quads(i), i.vecs), "residual", digits=5)
 
 
-@query()
+RESIDUAL = "sqrt(list_sum(list_transform(range(1, 65), lambda k: ((va.vec[k] - vb.vec[k]) - (vc.vec[k] - vd.vec[k])) ** 2)))"
+OF = " JOIN v va ON va.id = {0} JOIN v vb ON vb.id = {1} JOIN v vc ON vc.id = {2} JOIN v vd ON vd.id = {3}"
+
+
+@query(QUADS + f""", pl AS (SELECT id, row_number() OVER (ORDER BY {draw_sql(42, "id")}, id) - 1 AS p FROM v), dr AS (SELECT no, {", ".join(f"{draw_sql(42 + k, 'no')} % (SELECT count(*) FROM v) AS p{k}" for k in range(4))} FROM (SELECT unnest(range(0, 200)) AS no)),
+nu AS (SELECT {RESIDUAL} AS x FROM dr JOIN pl l0 ON l0.p = p0 JOIN pl l1 ON l1.p = p1 JOIN pl l2 ON l2.p = p2 JOIN pl l3 ON l3.p = p3{OF.format("l0.id", "l1.id", "l2.id", "l3.id")}), rs AS (SELECT a, b, c, d, {RESIDUAL} AS residual FROM q{OF.format("a", "b", "c", "d")})
+SELECT a, b, c, d, round(residual, 5) AS residual, round((SELECT avg(x) FROM nu), 6) AS null_mean, round((SELECT quantile_cont(x, 0.05) FROM nu), 6) AS null_p5, round((SELECT median(x) FROM nu), 6) AS null_median, round((SELECT avg((x <= residual)::INT) FROM nu), 6) AS p FROM rs""")
 def v15b_analogy_test(i):
-    return vectors.analogy_test(quads(i), i.vecs, 200)
+    return r(r(vectors.analogy_test(quads(i), i.vecs, 200), "null_mean", "null_p5", "null_median", "p"), "residual", digits=5)
 
 
 @query(SOFT + ", w AS (SELECT DISTINCT feature, length(feature)::DOUBLE AS w FROM sp) SELECT entity, round(sum(p * w * vec[1]) / (SELECT sum(w) FROM w), 6) AS first FROM sp JOIN vv USING (feature, value) JOIN w USING (feature) GROUP BY entity")
@@ -175,12 +191,12 @@ def v17_onehot_prediction(i):
 
 @query(V + ", t AS (SELECT id AS a, id + 1 AS n, id + 7 AS f FROM v) SELECT round(avg((list_cosine_similarity(x.vec, y.vec) > list_cosine_similarity(x.vec, z.vec))::INT), 8) AS accuracy, count(z.id) AS n, count(*) - count(z.id) AS skipped FROM t JOIN v x ON x.id = a LEFT JOIN v y ON y.id = n LEFT JOIN v z ON z.id = f")
 def v18_triplet_accuracy(i):
-    triplets = some(i).selectExpr("id AS anchor", "id + 1 AS near", "id + 7 AS far")
-    return r(vectors.triplet_accuracy(triplets, some(i)), "accuracy", digits=8)
+    triplets = i.vecs.selectExpr("id AS anchor", "id + 1 AS near", "id + 7 AS far")
+    return r(vectors.triplet_accuracy(triplets, i.vecs), "accuracy", digits=8)
 
 
 def ordinal_items(i):
-    return some(i).select("label", "id", "vec", (F.col("id") * 7 % 11).alias("place"))
+    return i.vecs.select("label", "id", "vec", (F.col("id") * 7 % 11).alias("place"))
 
 
 @query(V + """, pr AS (SELECT a.label, abs(a.id * 7 % 11 - b.id * 7 % 11) AS g, round(1 - list_cosine_similarity(a.vec, b.vec), 12) AS d FROM v a JOIN v b ON a.label = b.label AND a.id < b.id),
@@ -211,20 +227,30 @@ sc AS (SELECT e.axis, e.id, e.cls, s.c, round(sum((s.s - CASE WHEN e.cls = s.c T
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY axis, id ORDER BY cos DESC, c) AS r FROM sc) WHERE r = 1)
 SELECT axis, round(avg((c = cls)::INT), 8) AS accuracy, count(*) AS n, (SELECT round(max(m) / sum(m), 8) FROM (SELECT count(*) AS m FROM it WHERE it.axis = b.axis GROUP BY cls)) AS chance FROM b GROUP BY axis""")
 def v21_axis_centroid_accuracy(i):
-    items = some(i).select((F.col("id") % 3).alias("axis"), "id", "vec", (F.col("label") % 4).alias("cls"))
+    items = i.vecs.select((F.col("id") % 3).alias("axis"), "id", "vec", (F.col("label") % 4).alias("cls"))
     return r(vectors.axis_centroid_accuracy(items, "axis", "cls"), "accuracy", "chance", digits=8)
 
 
-@query()
+ORDINAL = """r AS (SELECT {k}, rank() OVER (PARTITION BY {k} ORDER BY g) + (count(*) OVER (PARTITION BY {k}, g) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY {k} ORDER BY d) + (count(*) OVER (PARTITION BY {k}, d) - 1) / 2.0 AS ry FROM pr),
+rho AS (SELECT {k}, CASE WHEN count(*) >= 3 THEN covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) END AS rho FROM r GROUP BY {k})"""
+
+
+@query(V + f""", here AS (SELECT id, label, vec, row_number() OVER (PARTITION BY label ORDER BY {draw_sql(42, "label", "id")}, id) AS p FROM v), there AS (SELECT rep, label, id * 7 % 11 AS place, row_number() OVER (PARTITION BY rep, label ORDER BY {draw_sql(42, "rep", "label", "id")}, id) AS p FROM v CROSS JOIN (SELECT unnest(range(0, 20)) AS rep)),
+it AS (SELECT rep, label, id, vec, place FROM here JOIN there USING (label, p)), pr AS (SELECT a.rep, a.label, abs(a.place - b.place) AS g, round(1 - list_cosine_similarity(a.vec, b.vec), 12) AS d FROM it a JOIN it b ON a.rep = b.rep AND a.label = b.label AND a.id < b.id),
+{ORDINAL.format(k="rep, label")} SELECT label, round(avg(rho), 6) AS mean, round(stddev_pop(rho), 6) AS std FROM rho GROUP BY label""")
 def v22_shuffled_null(i):
-    return vectors.shuffled_ordinal_null(ordinal_items(i), 20, "label")
+    return r(vectors.shuffled_ordinal_null(ordinal_items(i), 20, "label"), "mean", "std")
 
 
-@query()
+@query(V + f""", pr AS (SELECT a.label, abs(a.id * 7 % 11 - b.id * 7 % 11) AS g, round(1 - list_cosine_similarity(a.vec, b.vec), 12) AS d FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE a.label % 2 = 0), {ORDINAL.format(k="label")},
+it AS (SELECT label, id, vec, id % 3 AS cls FROM v WHERE label % 2 = 1), e AS (SELECT label, id, cls, k, vec[k] AS x FROM it CROSS JOIN range(1, 65) r(k)), s AS (SELECT label, cls AS c, k, sum(x) AS s, count(*) AS n FROM e GROUP BY ALL),
+sc AS (SELECT e.label, e.id, e.cls, s.c, round(sum((s.s - CASE WHEN e.cls = s.c THEN e.x ELSE 0 END) * e.x) / sqrt(sum((s.s - CASE WHEN e.cls = s.c THEN e.x ELSE 0 END) ** 2) * sum(e.x ** 2)), 12) AS cos FROM e JOIN s USING (label, k) WHERE e.cls <> s.c OR s.n > 1 GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, id ORDER BY cos DESC, c) AS r FROM sc) WHERE r = 1)
+SELECT label, 'ordinal' AS type, round(rho, 6) AS x FROM rho UNION ALL SELECT label, 'permutation', round(avg((c = cls)::INT), 6) FROM b GROUP BY label""")
 def v23_diagnose_by_type(i):
     """Each group of items goes to the diagnostic of its annotated type; one union plan keyed by group."""
     kind = F.col("label") % 2
     ordinal = vectors.ordinal_spearman(ordinal_items(i).filter(kind == 0), "label").select("label", F.lit("ordinal").alias("type"), F.col("rho").alias("x"))
-    items = some(i).filter(kind == 1).select("label", "id", "vec", (F.col("id") % 3).alias("cls"))
+    items = i.vecs.filter(kind == 1).select("label", "id", "vec", (F.col("id") % 3).alias("cls"))
     axis = vectors.axis_centroid_accuracy(items, "label", "cls").select("label", F.lit("permutation").alias("type"), F.col("accuracy").alias("x"))
-    return ordinal.unionByName(axis)
+    return r(ordinal.unionByName(axis), "x")
