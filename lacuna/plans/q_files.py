@@ -17,6 +17,26 @@ def s1_read_categorical_csv(i):
     return files.read_categorical_csv(i.spark, path)
 
 
+@query("SELECT p_partkey::VARCHAR AS entity, p_type AS family, 'feature ' || (p_size % 3) AS feature, 'value ' || p_brand AS label FROM part")
+def s2b_read_codebook_dataset(i):
+    """Languages, values, codes and parameters, written and joined again."""
+    folder, part = scratch_path(i.spark, "codebook"), i.table("part")
+    feature = F.concat(F.lit("F"), F.col("p_size") % 3)
+    tables = {
+        "languages": part.select(F.col("p_partkey").alias("ID"), F.col("p_type").alias("Family")),
+        "parameters": part.select(feature.alias("ID"), F.concat(F.lit("feature "), F.col("p_size") % 3).alias("Name")).distinct(),
+        "codes": part.select(F.col("p_brand").alias("ID"), F.concat(F.lit("value "), "p_brand").alias("Name")).distinct(),
+        "values": part.select(F.col("p_partkey").alias("Language_ID"), feature.alias("Parameter_ID"), F.col("p_brand").alias("Code_ID")),
+    }
+    for name, rows in tables.items():
+        rows.write.csv(f"{folder}/{name}.csv", header=True)
+    t = files.read_codebook_dataset(i.spark, folder)
+    joined = t["values"].join(t["languages"].select(F.col("ID").alias("Language_ID"), "Family"), "Language_ID")
+    joined = joined.join(t["parameters"].select(F.col("ID").alias("Parameter_ID"), F.col("Name").alias("feature")), "Parameter_ID")
+    joined = joined.join(t["codes"].select(F.col("ID").alias("Code_ID"), F.col("Name").alias("label")), "Code_ID")
+    return joined.select(F.col("Language_ID").alias("entity"), F.col("Family").alias("family"), "feature", "label")
+
+
 def feature_file(i):
     """Parts as a feature table; each cell is ``number label``, blanked ones are ``?``."""
     path = scratch_path(i.spark, "tsv")
@@ -39,25 +59,34 @@ def s3b_feature_tsv_blanks(i):
     return files.read_feature_tsv(i.spark, feature_file(i))[2]
 
 
-@query("SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE lang <> 'de' GROUP BY lang")
+@query("SELECT 'lang=' || lang AS folder, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
 def s4_read_verse_corpus(i):
     path = scratch_path(i.spark, "verses")
-    docs = i.table("documents").select(F.regexp_replace("text", "\r", "\n").alias("text"), "lang")
-    docs.filter("lang <> 'de'").write.partitionBy("lang").option("lineSep", "\f").text(path)
-    folders = i.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    lang = F.regexp_extract(F.col("_metadata.file_path"), "lang=([a-z]+)", 1)
-    each = folders.select(lang.alias("lang"), F.explode(F.split(F.regexp_replace("value", "\f$", ""), "\f")).alias("text"))
-    assert files.read_verse_corpus(i.spark, path).columns == ["file", "text"]
-    return each.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
-
-
-@query(TOK + "SELECT lang, split, sent, id, form, upos, head, deprel FROM tok")
-def s5_parse_conllu(i):
-    rows = tokens(i)
+    docs = i.table("documents").select(F.regexp_replace("text", "[\r\f]", "\n").alias("text"), "lang")
+    docs.write.partitionBy("lang").option("lineSep", "\f").text(path)
+    read = files.read_verse_corpus(i.spark, path)
+    each = read.select("folder", F.explode(F.split(F.regexp_replace("text", "\f$", ""), "\f")).alias("text"))
+    return each.groupBy("folder").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+SENTENCES = "SELECT lang, split, string_agg({id} || '/' || form || '/' || upos || '/' || {head} || '/' || deprel, ' ' ORDER BY {id}) AS tokens FROM {t} GROUP BY lang, split, sent"
+
+
+def sentences(tokens):
+    token = F.concat_ws("/", F.col("id").cast("string"), "form", "upos", F.col("head").cast("string"), "deprel")
+    listed = tokens.groupBy("lang", "split", "sent").agg(F.array_sort(F.collect_list(F.struct("id", token.alias("token")))).alias("l"))
+    return listed.select("lang", "split", F.array_join(F.transform("l", lambda s: s["token"]), " ").alias("tokens"))
+
+
+@query(TOK + SENTENCES.format(id="id", head="head", t="tok"))
+def s5_read_conllu(i):
+    """Sentences with comments, split tokens and subtypes of relations, in one file for each language."""
+    rows, path = tokens(i), scratch_path(i.spark, "treebank")
     text = sinks.conllu_sentences(rows, rows.select("lang", "split", "sent", "id", F.col("id").alias("position")))
-    noisy = text.select("lang", "split", F.col("sent").alias("doc"), F.concat(F.lit("# a comment\n1-2\tsplit\t_\t_\t_\t_\t0\troot\t_\t_\n"), F.regexp_replace("text", "\tobj\t", "\tobj:sub\t")).alias("text"))
-    parsed = files.parse_conllu(noisy.select(F.concat_ws("/", "lang", "doc").alias("lang"), "split", "text"))
-    return parsed.select(F.substring_index("lang", "/", 1).alias("lang"), "split", F.substring_index("lang", "/", -1).cast("long").alias("sent"), "id", "form", "upos", "head", "deprel")
+    noisy = F.concat(F.lit("# a comment\n1-2\tsplit\t_\t_\t_\t_\t0\troot\t_\t_\n"), F.regexp_replace("text", "\tobj\t", "\tobj:sub\t"))
+    noisy = F.when(F.col("sent") % 2 == 0, F.regexp_replace(noisy, "\n", "\r\n")).otherwise(noisy)
+    text.select("lang", "split", noisy.alias("text")).write.partitionBy("lang", "split").text(path)
+    return sentences(files.read_conllu(i.spark, path))
 
 
 @query("SELECT round(avg((e.vec_id IS NOT NULL AND e.vec_id % 2 = 0)::INT), 8) AS coverage FROM part LEFT JOIN embeddings e ON e.vec_id = p_partkey")
@@ -125,10 +154,15 @@ def w2_write_wide(i):
     return i.spark.read.csv(path, header=True)
 
 
-@query("SELECT lang, doc_id, least(length(text), 500)::INT AS n_chars FROM documents")
+@query(r"""SELECT lang, least(length(text), 500)::INT AS n_chars, CASE WHEN trim(regexp_replace(substr(text, 1, 500), '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(substr(text, 1, 500), '\s+', ' ', 'g')), ' ')) END::INT AS n_tokens FROM documents
+    UNION ALL SELECT 'file ' || lang, sum(least(length(text), 500) + 1)::INT, NULL FROM documents GROUP BY lang""")
 def w3_corpus_with_manifest(i):
-    texts, manifest = sinks.corpus_with_manifest(i.table("documents").select(F.concat_ws("/", "lang", "doc_id").alias("lang"), "text"), 500)
-    return manifest.select(F.substring_index("lang", "/", 1).alias("lang"), F.substring_index("lang", "/", -1).cast("long").alias("doc_id"), "n_chars")
+    path = scratch_path(i.spark, "corpus")
+    sinks.write_corpus_with_manifest(i.table("documents").select("lang", "text"), path, 500)
+    manifest = i.spark.read.csv(f"{path}/manifest", header=True, schema="lang string, n_chars int, n_tokens int")
+    lines = i.spark.read.text(f"{path}/texts")  # as many line ends as lines
+    files_ = lines.groupBy("lang").agg(F.sum(F.length("value") + 1).cast("int").alias("n_chars"))
+    return manifest.unionByName(files_.select(F.concat(F.lit("file "), "lang").alias("lang"), "n_chars", F.lit(None).cast("int").alias("n_tokens")))
 
 
 @query("SELECT p_partkey AS entity, e.vec_id IS NOT NULL AS has, coalesce(len(e.embedding), 64)::INT AS dim FROM part LEFT JOIN embeddings e ON vec_id = p_partkey")
@@ -139,11 +173,11 @@ def w4_write_vectors(i):
     return i.spark.read.parquet(path).select("entity", "has", F.size("vec").alias("dim"))
 
 
-@query(REVERSED + "SELECT t.lang, t.sent, o.position AS id, t.form, coalesce(h.position, 0) AS head, t.deprel FROM tok t JOIN ord o USING (lang, split, sent, id) LEFT JOIN ord h ON h.lang = t.lang AND h.sent = t.sent AND h.id = t.head")
+@query(REVERSED + ", rv AS (SELECT t.lang, t.split, t.sent, o.position AS id, t.form, t.upos, coalesce(h.position, 0) AS head, t.deprel FROM tok t JOIN ord o USING (lang, split, sent, id) LEFT JOIN ord h ON h.lang = t.lang AND h.sent = t.sent AND h.id = t.head) " + SENTENCES.format(id="id", head="head", t="rv"))
 def w5_write_conllu(i):
-    text = sinks.conllu_sentences(tokens(i), reversed_order(i)).select(F.concat_ws("/", "lang", "sent").alias("lang"), "split", "text")
-    back = files.parse_conllu(text)
-    return back.select(F.substring_index("lang", "/", 1).alias("lang"), F.substring_index("lang", "/", -1).cast("long").alias("sent"), "id", "form", "head", "deprel")
+    path = scratch_path(i.spark, "treebank")
+    sinks.write_conllu(tokens(i), reversed_order(i), path)
+    return sentences(files.read_conllu(i.spark, path))
 
 
 @query("SELECT n_nationkey AS k, n_nationkey * 2 AS y FROM nation")

@@ -55,18 +55,30 @@ def read_feature_tsv(spark: SparkSession, path: str, repairs: tuple[tuple[str, s
 
 
 def read_verse_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, text): one row per text file, in all folders below; reference and manifest files are left out, unreadable ones skipped."""
+    """(folder, file, text): one row per text file, in all folders below; reference and manifest files are left out, unreadable ones skipped.
+
+    ``folder`` is the name of the one that the file lies in.
+    """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("ignoreCorruptFiles", True).text(folder, wholetext=True)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    rows = files.select(name.alias("file"), F.col("value").alias("text"))
+    place = F.split(F.col("_metadata.file_path"), "/")
+    rows = files.select(F.try_element_at(place, F.lit(-2)).alias("folder"), F.element_at(place, -1).alias("file"), F.col("value").alias("text"))
     return rows.filter(~F.lower("file").rlike("^(vref|manifest)"))
 
 
 def parse_conllu(texts: DataFrame, min_cols: int = 8) -> DataFrame:
     """Tokens of texts (lang, split, text): sentences are set apart by blank lines, comments and split or empty tokens are skipped,
-    subtypes of relations are cut. With ten columns, tokens without a tag are dropped too."""
-    sentences = texts.select("lang", "split", F.posexplode(F.split("text", r"\r?\n[ \t]*\r?\n\s*")).alias("sent", "s"))
-    rows = sentences.select("lang", "split", F.col("sent").cast("long").alias("sent"), F.explode(F.split("s", r"\r?\n")).alias("line")).withColumn("line", F.trim("line"))
+    subtypes of relations are cut. With ten columns, tokens without a tag are dropped too. ``sent`` numbers the sentences of a text."""
+    sentences = texts.select("lang", "split", F.posexplode(F.split("text", BLANK_LINES)).alias("sent", "s"))
+    return parse_sentences(sentences.withColumn("sent", F.col("sent").cast("long")), min_cols)
+
+
+#: What stands between sentences.
+BLANK_LINES = r"\r?\n[ \t]*\r?\n\s*"
+
+
+def parse_sentences(sentences: DataFrame, min_cols: int) -> DataFrame:
+    """Tokens of sentences (lang, split, sent, s)."""
+    rows = sentences.select("lang", "split", "sent", F.explode(F.split("s", r"\r?\n")).alias("line")).withColumn("line", F.trim("line"))
     f = rows.filter((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("f", F.split("line", "\t")).filter(F.size("f") >= min_cols)
     tokens = f.select(
         "lang", "split", "sent", F.expr("try_cast(f[0] AS INT)").alias("id"), F.col("f")[1].alias("form"), F.col("f")[3].alias("upos"),
@@ -77,11 +89,19 @@ def parse_conllu(texts: DataFrame, min_cols: int = 8) -> DataFrame:
 
 
 def read_conllu(spark: SparkSession, path: str, min_cols: int = 8) -> DataFrame:
-    """Tokens of treebank files named ``<lang>-<split>.conllu``."""
-    files = spark.read.option("pathGlobFilter", "*.conllu").option("recursiveFileLookup", True).text(path, wholetext=True)
-    stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.conllu$", "")
-    named = files.select(F.substring_index(stem, "-", 1).alias("lang"), F.coalesce(F.nullif(F.regexp_extract(stem, "-(.*)$", 1), F.lit("")), F.lit("all")).alias("split"), F.col("value").alias("text"))
-    return parse_conllu(named, min_cols)
+    """Tokens of treebank files named ``<lang>-<split>.conllu``, or of those that ``sinks.write_conllu`` writes.
+
+    A row is read for each sentence, so a large file is read by many tasks; ``sent`` tells sentences apart but does not count them.
+    Files with other line ends or with spaces in blank lines are cut at those afterwards.
+    """
+    files = spark.read.option("pathGlobFilter", "*.{conllu,txt}").option("recursiveFileLookup", True).option("lineSep", "\n\n").text(path)
+    place = F.col("_metadata.file_path")
+    stem = F.regexp_replace(F.element_at(F.split(place, "/"), -1), r"\.(conllu|txt)$", "")
+    folder = lambda name: F.nullif(F.regexp_extract(place, f"/{name}=([^/]+)/", 1), F.lit(""))
+    lang = F.coalesce(folder("lang"), F.substring_index(stem, "-", 1))
+    split = F.coalesce(folder("split"), F.nullif(F.regexp_extract(stem, "-(.*)$", 1), F.lit("")), F.lit("all"))
+    sentences = files.select(lang.alias("lang"), split.alias("split"), F.explode(F.split("value", BLANK_LINES)).alias("s"))
+    return parse_sentences(sentences.withColumn("sent", F.monotonically_increasing_id()), min_cols)
 
 
 def read_vectors(spark: SparkSession, path: str, entities: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
