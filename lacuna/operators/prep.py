@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.scratch import written
+from lacuna.functions.climb import chains
 
 
 def resolve_column(df: DataFrame, aliases: dict[str, Sequence[str]]) -> DataFrame:
@@ -66,19 +66,9 @@ def classification_level(path: str, level: int = 2) -> Column:
 
 def ancestor_path(tree: DataFrame) -> DataFrame:
     """(id, name, parent) -> (id, path, depth): names from the root down to the node. A node met again ends the climb, so every climb ends."""
-    nodes = tree.select(F.col("id").alias("_i"), F.col("name").alias("_n"), F.col("parent").alias("_p"))
-    open_ = tree.select("id", F.col("name").alias("path"), F.lit(0).alias("depth"), F.col("parent").alias("up"), F.array("id").alias("seen"))
-    done = None
-    while True:
-        step = written(open_.join(nodes, F.col("up") == F.col("_i"), "left").withColumn("stop", F.col("_i").isNull() | F.array_contains("seen", F.col("_i"))), "ancestors")
-        ended = step.filter("stop").select("id", "path", "depth")
-        done = ended if done is None else done.union(ended)
-        going = step.filter("not stop")
-        if going.isEmpty():
-            return done
-        open_ = going.select(
-            "id", F.concat_ws("/", "_n", "path").alias("path"), (F.col("depth") + 1).alias("depth"), F.col("_p").alias("up"), F.concat("seen", F.array("_i")).alias("seen")
-        )
+    nodes = tree.select("id", F.col("parent").alias("up"), F.struct("id", "name").alias("node"))
+    names = F.reverse(F.transform("chain", lambda x: x["name"]))
+    return chains(nodes).select("id", F.array_join(names, "/").alias("path"), (F.size("chain") - 1).alias("depth"))
 
 
 def genus_map(meta: DataFrame, tree: DataFrame | None = None, level: int = 2) -> DataFrame:

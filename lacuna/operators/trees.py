@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import binary_entropy, draw
-from lacuna.functions.scratch import written
+from lacuna.functions.climb import chains
 
 SENT = ("lang", "split", "sent")
 
@@ -48,8 +48,8 @@ def linearise(tokens: DataFrame, direction: DataFrame, default: float = 0.5) ->
     """(sentence, id, position): top-down order by direction probabilities (lang, config, p).
 
     Children with p of ``default`` or more stand before their head, by p descending, the others behind it by 1 - p descending; equal
-    ones in token order. Tokens that no root reaches come last, in input order. Every token gets a sort path from the root, one step
-    of the tree at a time for all sentences together; a path then orders by comparing arrays.
+    ones in token order. Tokens that no root reaches come last, in input order. Every token gets a sort path from the root, for all
+    sentences together; a path then orders by comparing arrays.
     """
     arc = arcs(tokens).withColumn("config", config()).join(direction.select("lang", "config", "p"), ["lang", "config"], "left")
     p = F.coalesce("p", F.lit(default))
@@ -57,16 +57,15 @@ def linearise(tokens: DataFrame, direction: DataFrame, default: float = 0.5) ->
     # before the head: -1 and -p; behind it: 1 and -(1 - p); the head itself takes (0)
     step = F.struct(F.when(early, -1).otherwise(1).alias("side"), F.when(early, -p).otherwise(p - 1).alias("weight"), "id")
     edges = arc.select(*SENT, "id", "head", step.alias("step"))
-    reached = tokens.filter("head = 0").select(*SENT, "id", F.array(F.struct(F.lit(1).alias("side"), F.lit(0.0).alias("weight"), F.col("id"))).alias("path"))
-    done, level = reached, reached
-    depth = 0
-    while not level.isEmpty():  # no token is twice on a path, so the levels end
-        parents = level.withColumnRenamed("id", "head")
-        below = edges.join(parents, [*SENT, "head"]).filter(~F.exists("path", lambda s: s["id"] == F.col("id")))
-        level = written(below.select(*SENT, "id", F.concat("path", F.array("step")).alias("path")), f"level{depth}")
-        done, depth = done.union(level), depth + 1
-    here = F.struct(F.lit(0).alias("side"), F.lit(0.0).alias("weight"), F.lit(0).cast(dict(tokens.dtypes)["id"]).alias("id"))
-    placed = tokens.select(*SENT, "id").join(done.withColumn("path", F.concat("path", F.array(here))), [*SENT, "id"], "left")
+    id_type = dict(tokens.dtypes)["id"]
+    nodes = tokens.select(*SENT, "id", "head").join(edges.drop("head"), [*SENT, "id"], "left")
+    root = F.col("head") == 0
+    top = F.struct(F.lit(1).alias("side"), F.lit(0.0).alias("weight"), F.col("id"))
+    node = F.struct("id", root.alias("root"), F.when(root, top).otherwise(F.col("step")).alias("step"))
+    climbed = chains(nodes.select(*SENT, "id", F.when(F.col("step").isNotNull(), F.col("head")).alias("up"), node.alias("node")), *SENT)
+    here = F.struct(F.lit(0).alias("side"), F.lit(0.0).alias("weight"), F.lit(0).cast(id_type).alias("id"))
+    path = F.concat(F.reverse(F.transform("chain", lambda x: x["step"])), F.array(here))
+    placed = climbed.select(*SENT, "id", F.when(F.element_at("chain", -1)["root"], path).alias("path"))
     order = Window.partitionBy(*SENT).orderBy(F.col("path").isNull(), "path", "id")
     return placed.select(*SENT, "id", F.row_number().over(order).alias("position"))
 

@@ -1,9 +1,13 @@
 """Invariants and small cases worked out by hand."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import coding, evaluate, impute, splits, stats, trees, universals, vectors
+from lacuna.functions import columns
+from lacuna.operators import coding, evaluate, impute, prep, search, splits, stats, trees, universals, vectors
 from lacuna.sources import files, sinks
 
 
@@ -85,6 +89,79 @@ def test_linearise_by_hand(spark):
     assert order == [3, 4, 2, 1, 9]
 
 
+def test_long_chains_and_cycles_keep_all_rows(spark):
+    rows = [(i, f"n{i}", i - 1 if i else None) for i in range(301)] + [(1000, "a", 1001), (1001, "b", 1002), (1002, "c", 1000), (1003, "d", 1001), (1004, "e", 9999)]
+    got = {r["id"]: (r["path"], r["depth"]) for r in prep.ancestor_path(spark.createDataFrame(rows, "id long, name string, parent long")).collect()}
+    assert len(got) == len(rows) and got[300] == ("/".join(f"n{i}" for i in range(301)), 300)
+    assert got[1000] == ("c/b/a", 2) and got[1003] == ("a/c/b/d", 3) and got[1004] == ("e", 0)
+    tokens = spark.createDataFrame([("x", "s", 0, i, "w", "X", i - 1, "dep") for i in range(1, 301)], "lang string, split string, sent long, id int, form string, upos string, head int, deprel string")
+    behind = spark.createDataFrame([("x", "dep_X_X", 0.2)], "lang string, config string, p double")
+    assert [r["id"] for r in trees.linearise(tokens, behind).orderBy("position").collect()] == list(range(1, 301))
+
+
+def test_treebank_files_of_any_line_ends(spark, tmp_path):
+    line = lambda i, form, head: f"{i}\t{form}\t_\tX\t_\t_\t{head}\tdep:sub\t_\t_"
+    (tmp_path / "aa-train.conllu").write_text(f"# c\n{line(1, 'a', 0)}\n1-2\tx\t_\t_\t_\t_\t_\t_\t_\t_\n{line(2, 'b', 1)}\n\n{line(1, 'c', 0)}\n")
+    (tmp_path / "bb.conllu").write_bytes(f"{line(1, 'd', 0)}\r\n\r\n{line(1, 'e', 0)}\r\n \r\n{line(1, 'f', 0)}".encode())
+    (tmp_path / "other.csv").write_text("x")
+    got = sorted((r["lang"], r["split"], r["id"], r["form"], r["head"], r["deprel"]) for r in files.read_conllu(spark, str(tmp_path)).collect())
+    assert got == [("aa", "train", 1, "a", 0, "dep"), ("aa", "train", 1, "c", 0, "dep"), ("aa", "train", 2, "b", 1, "dep"), *(("bb", "all", 1, f, 0, "dep") for f in "def")]
+    assert files.read_conllu(spark, str(tmp_path)).select("lang", "sent").distinct().count() == 5
+
+
+def test_verse_files_without_references(spark, tmp_path):
+    (tmp_path / "eng").mkdir()
+    (tmp_path / "eng" / "eng-a.txt").write_text("one\ntwo")
+    (tmp_path / "vref.txt").write_text("GEN 1:1")
+    (tmp_path / "notes.md").write_text("x")
+    assert [(r["folder"], r["file"], r["text"]) for r in files.read_verse_corpus(spark, str(tmp_path)).collect()] == [("eng", "eng-a.txt", "one\ntwo")]
+
+
+def test_search_equals_comparing_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    vecs = rng.integers(-2, 3, (90, 4)).astype(float)  # many equal and some zero vectors
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(vecs)] + [(500, None, 1)], "id long, vec array<double>, group int")
+    size = np.linalg.norm(vecs, axis=1)
+    cos = np.round(np.divide(vecs @ vecs.T, np.outer(size, size), out=np.zeros((90, 90)), where=np.outer(size, size) > 0), 12)
+    for metric, s in (("cosine", cos), ("euclidean", -np.sqrt(((vecs[:, None] - vecs) ** 2).sum(2)))):
+        got = {}
+        for r in search.top_k(rows.filter("id % 4 = 0"), rows, 5, metric, other_group=True, block=16).collect():
+            got.setdefault(r["source"], []).append((r["rank"], r["target"]))
+        for q in range(0, 90, 4):
+            best = sorted((j for j in range(90) if j % 3 != q % 3), key=lambda j: (-s[q, j], j))[:5]
+            assert [t for _, t in sorted(got[q])] == best
+    assert search.top_k(rows.limit(0), rows, 5).count() == 0
+
+
+def test_places_are_those_of_one_sort(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 3).alias("k")).withColumn("o", columns.draw(7, "id"))
+    got = columns.numbered(rows, F.col("o"), "id", "k").collect()
+    for k in range(3):
+        own = sorted((r for r in got if r["k"] == k), key=lambda r: (r["o"], r["id"]))
+        assert [r["place"] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_procrustes_permutation_and_cca_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=(60, 3))
+    y[:, 0] += x[:, 0]
+    table = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, vec array<double>")
+
+    def disparity(a, b):
+        a, b = a - a.mean(0), b - b.mean(0)
+        return 1 - (np.linalg.svd(a.T @ b, compute_uv=False).sum() / (np.linalg.norm(a) * np.linalg.norm(b))) ** 2
+
+    drawn = lambda *key: int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:15], 16)
+    here = sorted(range(60), key=lambda i: drawn(42, i))
+    null = [disparity(x[here], y[sorted(range(60), key=lambda i: drawn(42, r, i))]) for r in range(1, 11)]
+    row = vectors.procrustes_permutation(table(x), table(y), 10).first()
+    assert abs(row["disparity"] - disparity(x, y)) < 1e-9 and abs(row["null_mean"] - np.mean(null)) < 1e-9
+    assert row["p"] == (sum(d <= disparity(x, y) for d in null) + 1) / 11
+    a, b = x - x.mean(0), y - y.mean(0)
+    q = [np.linalg.qr(m)[0] for m in (a, b)]
+    assert np.allclose([r["correlation"] for r in vectors.cca(table(x), table(y)).orderBy("component").collect()], np.linalg.svd(q[0].T @ q[1], compute_uv=False))
+
+
 def test_formula_parts(spark):
     rows = spark.createDataFrame([(1, "GB1:1 & GB2:0 > GB3:1"), (2, "sum(GB1:1) > 2"), (3, "GB1:1"), (4, "(GB1:1 | GB2:1) > GB3:0 & GB4:0")], "id long, formula string")
     out = {r["id"]: (r["ant"], r["ftype"], r["status"]) for r in universals.parse_formula(rows).collect()}
