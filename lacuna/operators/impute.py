@@ -5,6 +5,8 @@ Ties go to the smaller value, and neighbours with equal scores to the smaller en
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -285,34 +287,67 @@ def override_on_agreement(base: DataFrame, preds: DataFrame, enough: int) -> Dat
     return base.join(plural, list(CELL), "left").select(*CELL, F.when(F.col("n_agree") >= enough, F.col("plurality")).otherwise(F.col("value")).alias("value"))
 
 
-def candidate_rows(cells: DataFrame, blanks: DataFrame, book: DataFrame, p: DataFrame, entropy: DataFrame, preds: DataFrame, meta: DataFrame) -> DataFrame:
-    """One row per (blank, candidate value) with figures for a meta-classifier.
+def candidate_rows(
+    cells: DataFrame, blanks: DataFrame, book: DataFrame, p: DataFrame, entropy: DataFrame, preds: DataFrame, meta: DataFrame, systems: Sequence[str] = (), controlled: Sequence[str] = ()
+) -> DataFrame:
+    """One row per (blank, candidate value) with figures for a meta-classifier: those of ``FIGURES``, and by system those of ``system_figures``.
 
-    Marginal, entropy, number of values, votes and mean score of the systems for the candidate, agreement figures of the cell, the
-    candidate's share in the genus and family, the entity's number of observed features, and its distance to the nearest entity that
-    is observed on anything (0 if itself is).
+    Of the entity: place, distance to the nearest other entity that has cells, its number of cells, whether its genus and family have any, and whether
+    the genus is ``controlled``. Of the feature: number of values and of entities, entropy, number of the commonest value. Of the cell: votes for the
+    first and the second value, numbers of systems and values, whether all agree. Of the candidate: number in the code book, marginal, votes and their
+    share and mean score, whether it leads, is the feature's commonest, and its share in the genus and the family.
     """
-    base = blanks.select(*CELL).join(book.select("feature", "value", "k"), "feature").join(p, ["feature", "value"]).join(entropy, "feature")
+    from lacuna.operators.evaluate import min_haversine_km
+
+    base = blanks.select(*CELL).join(book.select("feature", "value", "k", F.col("vi").alias("value_no")), "feature").join(p, ["feature", "value"]).join(entropy, "feature")
     said = preds.groupBy(*CELL, "value").agg(F.count("*").alias("n_votes"), F.avg("score").alias("mean_score"))
+    order = F.row_number().over(Window.partitionBy(*CELL).orderBy(F.col("n_votes").desc(), "value"))
+    second = said.withColumn("_n", order).filter("_n = 2").select(*CELL, F.col("n_votes").alias("n_second"))
     cell = agreement_features(preds).select(*CELL, "n_agree", "share", "n_systems", "n_values", "plurality")
-    rows = base.join(said, [*CELL, "value"], "left").join(cell, list(CELL), "left").join(meta.select("entity", "genus", "family", "latitude", "longitude"), "entity", "left")
+    places = meta.select("entity", "genus", "family", "latitude", "longitude")
+    rows = base.join(said, [*CELL, "value"], "left").join(cell, list(CELL), "left").join(second, list(CELL), "left").join(places, "entity", "left")
     for group in ("genus", "family"):
         counts = cells.join(meta.select("entity", group), "entity").groupBy(group, "feature", "value").agg(F.count("*").alias("_n"))
         total = Window.partitionBy(group, "feature")
         shares = counts.withColumn(f"{group}_share", F.col("_n") / F.sum("_n").over(total)).drop("_n")
-        rows = rows.join(shares, [group, "feature", "value"], "left")
+        known = counts.select(group, F.lit(1).alias(f"{group}_known")).distinct()
+        rows = rows.join(shares, [group, "feature", "value"], "left").join(known, group, "left")
     known = cells.groupBy("entity").agg(F.count("*").alias("n_known"))
-    rows = rows.join(known, "entity", "left").withColumn("is_plurality", (F.col("value") == F.col("plurality")).cast("int"))
-    zero = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FIGURES}
+    commonest = modes(cells, "feature").join(book.select("feature", "value", F.col("vi").alias("majority_no")), ["feature", "value"]).select("feature", F.col("value").alias("_common"), "majority_no")
+    spread = cells.groupBy("feature").agg(F.countDistinct("entity").alias("n_entities"))
+    rows = rows.join(known, "entity", "left").join(commonest, "feature", "left").join(spread, "feature", "left")
+    rows = rows.join(min_haversine_km(places.join(blanks.select("entity").distinct(), "entity", "left_semi"), places.join(known, "entity", "left_semi")), "entity", "left")
+    by_system = preds.groupBy(*CELL).pivot("system", list(systems)).agg(F.first("value")) if systems else None
+    if by_system is not None:
+        rows = rows.join(by_system.select(*CELL, *(F.col(s).alias(f"_{s}") for s in systems)), list(CELL), "left")
+    rows = rows.withColumns(
+        {
+            "is_plurality": (F.col("value") == F.col("plurality")).cast("int"),
+            "is_majority": (F.col("value") == F.col("_common")).cast("int"),
+            "controlled": F.col("genus").isin(list(controlled)).cast("int") if controlled else F.lit(0),
+            "all_agree": (F.col("n_agree") == F.col("n_systems")).cast("int"),
+            "vote_share": F.col("n_votes") / F.col("n_systems"),
+            **{f"said_{s}": (F.col(f"_{s}") == F.col("value")).cast("int") for s in systems},
+            **{f"leads_{s}": (F.col(f"_{s}") == F.col("plurality")).cast("int") for s in systems},
+            **{f"agree_{s}_{t}": (F.col(f"_{s}") == F.col(f"_{t}")).cast("int") for i, s in enumerate(systems) for t in systems[i + 1 :]},
+        }
+    )
+    zero = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in (*FIGURES, *system_figures(systems))}
     return rows.select(*CELL, "value", "genus", *(e.alias(c) for c, e in zero.items()))
 
 
 #: Columns of ``candidate_rows`` that a meta-classifier may use.
 FIGURES = (
     "p", "h", "k", "n_votes", "mean_score", "n_agree", "share", "n_systems", "n_values", "is_plurality", "genus_share", "family_share", "n_known", "latitude", "longitude",
+    "km", "genus_known", "family_known", "controlled", "n_entities", "majority_no", "value_no", "is_majority", "all_agree", "n_second", "vote_share",
 )
 
 
+def system_figures(systems: Sequence[str]) -> list[str]:
+    """Whether a system says the candidate, whether it says the leading value, and whether two say the same."""
+    return [*(f"said_{s}" for s in systems), *(f"leads_{s}" for s in systems), *(f"agree_{s}_{t}" for i, s in enumerate(systems) for t in systems[i + 1 :])]
+
+
 def stack_systems(train: DataFrame, test: DataFrame, kind: str = "gbt", seed: int = 42) -> DataFrame:
     """Best value of each blank by a meta-classifier over candidate rows; ``train`` has a column ``right`` (0/1).
 
@@ -323,7 +358,7 @@ def stack_systems(train: DataFrame, test: DataFrame, kind: str = "gbt", seed: in
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    columns = list(FIGURES)
+    columns = [c for c in train.columns if c in FIGURES or c.startswith(("said_", "leads_", "agree_"))]
     steps = []
     if kind == "forest":
         steps.append(StringIndexer(inputCol="feature", outputCol="feature_no", handleInvalid="keep"))

@@ -246,6 +246,27 @@ def cosine_summary(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.avg(cosine("_a", "_b")).alias("mean"), F.stddev_pop(cosine("_a", "_b")).alias("std"), F.count("*").alias("n"))
 
 
+def sampled_cosines(vectors: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(no, cos): cosines of ``n`` drawn pairs of rows (id, vec); draws of the same row twice are left out."""
+    placed = numbered(vectors.select("id", "vec"), draw(seed, "id"), "id", name="_p").select("id", "vec", (F.col("_p") - 1).alias("_p"))
+    draws = vectors.sparkSession.range(n).withColumnRenamed("id", "no").crossJoin(F.broadcast(vectors.agg(F.count("*").alias("_n"))))
+    at = lambda i: F.pmod(draw(seed + i, "no"), F.col("_n"))
+    first = draws.withColumn("_p", at(1)).join(placed, "_p").select("no", "_n", F.col("id").alias("_i"), F.col("vec").alias("_a"))
+    both = first.withColumn("_p", at(2)).join(placed, "_p")
+    return both.filter("id <> _i").select("no", cosine("_a", "vec").alias("cos"))
+
+
+def alignment_rule(a: DataFrame, b: DataFrame, n: int = 1000, seed: int = 42, low: float = 0.5, high: float = 2.0, most: float = 0.2) -> DataFrame:
+    """One row: whether two spaces can be compared as they are. They can if the ratio of the mean norms (b to a) is between ``low`` and ``high``
+    and the distance of the sorted cosines of ``n`` drawn pairs of each (1-d Wasserstein, over quantiles) is below ``most``."""
+    grid = F.array(*(F.lit((i + 0.5) / 100) for i in range(100)))
+    drawn = lambda df, s: sampled_cosines(df, n, seed).agg(F.avg("cos").alias(f"cos_{s}"), F.percentile("cos", grid).alias(f"_{s}"))
+    gap = F.aggregate(F.zip_with("_a", "_b", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, v: s + v) / 100
+    rows = norm_summary(a, b).select((1 / F.col("ratio")).alias("ratio")).crossJoin(drawn(a, "a")).crossJoin(drawn(b, "b")).withColumn("distance", gap)
+    sound = F.col("ratio").between(low, high) & (F.col("distance") < most)
+    return rows.select("ratio", "cos_a", "cos_b", "distance", F.coalesce(sound, F.lit(False)).alias("sound"))
+
+
 def analogy_residual(quads: DataFrame, vectors: DataFrame) -> DataFrame:
     """(quad columns, residual): length of (a - b) - (c - d)."""
     out = quads

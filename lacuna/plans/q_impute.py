@@ -214,19 +214,25 @@ def i24_override_on_agreement(i):
 
 def candidates(i):
     entropy = mi_and_entropy(i)[1]
-    rows = impute.candidate_rows(i.cells, i.blanks, i.book, i.p, entropy, i.preds, i.meta)
+    rows = impute.candidate_rows(i.cells, i.blanks, i.book, i.p, entropy, i.preds, i.meta, ["freq", "genus", "family"], ["Brand#1", "Brand#2"])
     truth = i.gold.select("entity", "feature", F.col("value").alias("truth"))
     return rows.join(truth, ["entity", "feature"]).withColumn("right", (F.col("value") == F.col("truth")).cast("int")).drop("truth")
 
 
 @query(MI + AGREE + """, said AS (SELECT entity, feature, value, count(*) AS v, avg(score) AS s FROM preds GROUP BY ALL), gs AS (SELECT genus, feature, value, n / sum(n) OVER (PARTITION BY genus, feature) AS gsh FROM (SELECT genus, feature, value, count(*) AS n FROM cells JOIN meta USING (entity) GROUP BY genus, feature, value)),
-fs AS (SELECT family, feature, value, n / sum(n) OVER (PARTITION BY family, feature) AS fsh FROM (SELECT family, feature, value, count(*) AS n FROM cells JOIN meta USING (entity) GROUP BY family, feature, value)), kn AS (SELECT entity, count(*) AS n FROM cells GROUP BY entity)
+fs AS (SELECT family, feature, value, n / sum(n) OVER (PARTITION BY family, feature) AS fsh FROM (SELECT family, feature, value, count(*) AS n FROM cells JOIN meta USING (entity) GROUP BY family, feature, value)), kn AS (SELECT entity, count(*) AS n FROM cells GROUP BY entity), sy AS (SELECT entity, feature, max(value) FILTER (system = 'freq') AS a, max(value) FILTER (system = 'genus') AS b, max(value) FILTER (system = 'family') AS c FROM preds GROUP BY ALL),
+sn AS (SELECT entity, feature, v FROM (SELECT *, row_number() OVER (PARTITION BY entity, feature ORDER BY v DESC, value) AS r FROM said) WHERE r = 2), ne AS (SELECT feature, count(DISTINCT entity) AS n FROM cells GROUP BY feature),
+km AS (SELECT a.entity, min(2 * 6371.0 * asin(sqrt(least(1.0, sin(radians(b.latitude - a.latitude) / 2) ** 2 + cos(radians(a.latitude)) * cos(radians(b.latitude)) * sin(radians(b.longitude - a.longitude) / 2) ** 2)))) AS km FROM meta a JOIN meta b ON a.entity <> b.entity AND b.entity IN (SELECT entity FROM cells) GROUP BY a.entity)
 SELECT b.entity, b.feature, k.value, round(p.p, 7) AS p, round(h.h, 7) AS h, k.k::DOUBLE AS k, coalesce(said.v, 0)::DOUBLE AS n_votes, round(coalesce(said.s, 0), 7) AS mean_score, agr.n_agree::DOUBLE AS n_agree, (k.value = agr.plurality)::INT::DOUBLE AS is_plurality,
-    round(coalesce(gsh, 0), 7) AS genus_share, round(coalesce(fsh, 0), 7) AS family_share, coalesce(kn.n, 0)::DOUBLE AS n_known FROM blanks b JOIN book k USING (feature) JOIN p ON p.feature = k.feature AND p.value = k.value JOIN h ON h.feature = b.feature JOIN meta m ON m.entity = b.entity
-    LEFT JOIN said ON said.entity = b.entity AND said.feature = b.feature AND said.value = k.value LEFT JOIN agr ON agr.entity = b.entity AND agr.feature = b.feature LEFT JOIN gs ON gs.genus = m.genus AND gs.feature = b.feature AND gs.value = k.value LEFT JOIN fs ON fs.family = m.family AND fs.feature = b.feature AND fs.value = k.value LEFT JOIN kn ON kn.entity = b.entity""")
+    round(coalesce(gsh, 0), 7) AS genus_share, round(coalesce(fsh, 0), 7) AS family_share, coalesce(kn.n, 0)::DOUBLE AS n_known, round(km.km, 4) AS km, 1.0::DOUBLE AS genus_known, 1.0::DOUBLE AS family_known, (m.genus IN ('Brand#1', 'Brand#2'))::INT::DOUBLE AS controlled, ne.n::DOUBLE AS n_entities, mk.vi::DOUBLE AS majority_no, k.vi::DOUBLE AS value_no,
+    (k.value = freq.value)::INT::DOUBLE AS is_majority, (agr.n_agree = agr.n_systems)::INT::DOUBLE AS all_agree, coalesce(sn.v, 0)::DOUBLE AS n_second, round(coalesce(said.v, 0) / agr.n_systems, 7) AS vote_share,
+    coalesce(sy.a = k.value, false)::INT::DOUBLE AS said_freq, coalesce(sy.b = k.value, false)::INT::DOUBLE AS said_genus, coalesce(sy.c = k.value, false)::INT::DOUBLE AS said_family, coalesce(sy.a = agr.plurality, false)::INT::DOUBLE AS leads_freq, coalesce(sy.b = agr.plurality, false)::INT::DOUBLE AS leads_genus,
+    coalesce(sy.c = agr.plurality, false)::INT::DOUBLE AS leads_family, coalesce(sy.a = sy.b, false)::INT::DOUBLE AS agree_freq_genus, coalesce(sy.a = sy.c, false)::INT::DOUBLE AS agree_freq_family, coalesce(sy.b = sy.c, false)::INT::DOUBLE AS agree_genus_family FROM blanks b JOIN book k USING (feature) JOIN p ON p.feature = k.feature AND p.value = k.value JOIN h ON h.feature = b.feature JOIN meta m ON m.entity = b.entity
+    LEFT JOIN said ON said.entity = b.entity AND said.feature = b.feature AND said.value = k.value LEFT JOIN agr ON agr.entity = b.entity AND agr.feature = b.feature LEFT JOIN gs ON gs.genus = m.genus AND gs.feature = b.feature AND gs.value = k.value LEFT JOIN fs ON fs.family = m.family AND fs.feature = b.feature AND fs.value = k.value LEFT JOIN kn ON kn.entity = b.entity LEFT JOIN sy ON sy.entity = b.entity AND sy.feature = b.feature
+    LEFT JOIN sn ON sn.entity = b.entity AND sn.feature = b.feature JOIN ne ON ne.feature = b.feature JOIN freq ON freq.feature = b.feature JOIN book mk ON mk.feature = b.feature AND mk.value = freq.value JOIN km ON km.entity = b.entity""")
 def g2_cell_candidate_rows(i):
-    rows = candidates(i).select("entity", "feature", "value", "p", "h", "k", "n_votes", "mean_score", "n_agree", "is_plurality", "genus_share", "family_share", "n_known")
-    return rows.withColumns({c: F.round(c, 7) for c in ("p", "h", "mean_score", "genus_share", "family_share")})
+    rows = candidates(i).drop("genus", "right", "latitude", "longitude", "share", "n_systems", "n_values")
+    return rows.withColumns({c: F.round(c, 7) for c in ("p", "h", "mean_score", "genus_share", "family_share", "vote_share")} | {"km": F.round("km", 4)})
 
 
 @query()

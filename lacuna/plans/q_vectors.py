@@ -149,6 +149,24 @@ def v14b_cosine_summary(i):
     return r(vectors.cosine_summary(pairs), "mean", "std")
 
 
+def drawn_sql(name: str, table: str) -> str:
+    return f"""{name}p AS (SELECT id, vec, row_number() OVER (ORDER BY {draw_sql(42, "id")}, id) - 1 AS p FROM {table}), {name} AS (SELECT list_cosine_similarity(x.vec, y.vec) AS c FROM (SELECT unnest(range(0, 500)) AS no)
+    JOIN {name}p x ON x.p = {draw_sql(43, "no")} % (SELECT count(*) FROM {table}) JOIN {name}p y ON y.p = {draw_sql(44, "no")} % (SELECT count(*) FROM {table}) WHERE x.id <> y.id)"""
+
+
+QUANTILES = "[" + ", ".join(str((k + 0.5) / 100) for k in range(100)) + "]"
+
+
+@query(f""", va AS (SELECT vec_id AS id, embedding[1:32]::DOUBLE[] AS vec FROM embeddings), vb AS (SELECT vec_id AS id, list_transform(embedding[33:64]::DOUBLE[], lambda x: 3 * x) AS vec FROM embeddings), {drawn_sql("ca", "va")}, {drawn_sql("cb", "vb")},
+d AS (SELECT avg(abs(x)) AS distance FROM (SELECT unnest((SELECT quantile_cont(c, {QUANTILES}) FROM ca)) - unnest((SELECT quantile_cont(c, {QUANTILES}) FROM cb)) AS x)),
+m AS (SELECT (SELECT avg(sqrt(list_inner_product(vec, vec))) FROM vb) / (SELECT avg(sqrt(list_inner_product(vec, vec))) FROM va) AS ratio, (SELECT avg(c) FROM ca) AS cos_a, (SELECT avg(c) FROM cb) AS cos_b, distance FROM d)
+SELECT round(ratio, 6) AS ratio, round(cos_a, 6) AS cos_a, round(cos_b, 6) AS cos_b, round(distance, 6) AS distance, ratio BETWEEN 0.5 AND 2 AND distance < 0.2 AS sound FROM m""")
+def v14c_alignment_rule(i):
+    a, _, b = halves(i)
+    b = b.select("id", F.transform("vec", lambda x: x.cast("double") * 3).alias("vec"))
+    return r(vectors.alignment_rule(a, b, 500), "ratio", "cos_a", "cos_b", "distance")
+
+
 #: Each four vectors in a row.
 QUADS = V + ", q AS (SELECT id AS a, id + 1 AS b, id + 2 AS c, id + 3 AS d FROM v WHERE id % 4 = 0)"
 
