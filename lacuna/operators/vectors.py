@@ -72,14 +72,21 @@ def nearest_neighbours(vectors: DataFrame, targets: DataFrame, k: int, group: st
     return top_k(asked, rows, k, other_group=bool(group)).select("source", "target", F.col("score").alias("cos"), "rank")
 
 
-def candidate_pairs(vectors: DataFrame, length: float, tables: int = 4, seed: int = 42) -> DataFrame:
-    """(source, target, d): pairs that share a bucket of random projections, scored exactly: the approximate way for two large sides."""
+def candidate_pairs(vectors: DataFrame, length: float, tables: int = 16, joint: int = 4, seed: int = 42) -> DataFrame:
+    """(source, target, d): pairs that share a bucket of random projections, scored exactly: the approximate way for two large sides.
+
+    A bucket is ``joint`` projections that agree, and ``tables`` buckets give a pair its chances. Vectors without near neighbours, as those of
+    the given tables, gain nothing by it: see the README for recall and share of pairs.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     points = vectors.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("point"), "vec")
-    model = BucketedRandomProjectionLSH(inputCol="point", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(points)
-    keyed = model.transform(points).select("id", "vec", F.posexplode("hashes").alias("_t", "_h")).withColumn("_k", F.hash("_t", F.col("_h").cast("string")))
+    model = BucketedRandomProjectionLSH(inputCol="point", outputCol="hashes", bucketLength=length, numHashTables=tables * joint, seed=seed).fit(points)
+    # each hash is a vector of one number
+    hashed = model.transform(points).select("id", "vec", *(vector_to_array(F.col("hashes")[p])[0].alias(f"_h{p}") for p in range(tables * joint)))
+    keys = F.array(*(F.struct(F.lit(t).alias("t"), F.array(*(F.col(f"_h{t * joint + p}") for p in range(joint))).alias("h")) for t in range(tables)))
+    keyed = hashed.select("id", "vec", F.explode(keys).alias("_k"))
     a, b = (keyed.select(F.col("id").alias(i), F.col("vec").alias(v), "_k") for i, v in (("source", "_a"), ("target", "_b")))
     return a.join(b, "_k").filter("source < target").dropDuplicates(["source", "target"]).select("source", "target", euclidean("_a", "_b").alias("d"))
 

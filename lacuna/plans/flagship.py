@@ -31,21 +31,18 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = cells.join(coding.codebook(cells).select("feature", "value"), ["feature", "value"], "left_semi")
     with_branch = coded.join(i.meta.select("entity", F.col("genus").alias("branch")), "entity")
     branches = splits.qualifying_branches(with_branch.select("entity", F.col("branch").alias("genus")))
-    # the split is used on both sides of every join below, so it is computed once
+    # the split trains and tests, so it is computed once
     parts = written(splits.split_by_branch(with_branch, branches, 0.5, F.expr(ORDER), eval_share=0.5), "parts")
     train, test = (parts.filter(F.col("part") == p).select("branch", "entity", "feature", "value") for p in ("train", "eval"))
-    meta = i.meta.select("entity", "genus")
-    known = train.select("entity", "feature", "value")
-    blanks = test.select("entity", "feature")
-    both = None
-    for name, preds in (("freq", impute.impute_freq(known, blanks)), ("group", impute.impute_group_majority(known, blanks, meta))):
-        named = preds.select(F.lit(name).alias("system"), "entity", "feature", "value")
-        both = named if both is None else both.unionByName(named)
-    # a missing prediction is wrong, so the denominators come from the test cells
-    right = both.join(test, ["entity", "feature", "value"]).groupBy("branch", "entity").agg(*(F.count_if(F.col("system") == s).alias(s) for s in ("freq", "group")))
-    sizes = test.groupBy("branch", "entity").agg(F.count("*").alias("n"))
-    share = lambda c: F.round(F.avg(F.coalesce(F.col(c), F.lit(0)) / F.col("n")), 8).alias(f"{c}_acc")
-    return sizes.join(right, ["branch", "entity"], "left").groupBy("branch").agg(share("freq"), share("group"), F.count("*").alias("n_entities"))
+    # one count serves both imputers: the group's commonest value, and the feature's where the group has none
+    counts = train.groupBy("branch", "feature", "value").agg(F.count("*").alias("n"))
+    overall = impute.best_value(counts.groupBy("feature", "value").agg(F.sum("n").alias("n")), "feature", score="n").select("feature", F.col("value").alias("freq"))
+    grouped = impute.best_value(counts, "branch", "feature", score="n").select("branch", "feature", F.col("value").alias("group"))
+    filled = test.join(overall, "feature", "left").join(grouped, ["branch", "feature"], "left").withColumn("group", F.coalesce("group", "freq"))
+    right = lambda c: F.avg(F.coalesce(F.col(c) == F.col("value"), F.lit(False)).cast("double")).alias(c)
+    by_entity = filled.groupBy("branch", "entity").agg(right("freq"), right("group"))
+    share = lambda c: F.round(F.avg(c), 8).alias(f"{c}_acc")
+    return by_entity.groupBy("branch").agg(share("freq"), share("group"), F.count("*").alias("n_entities"))
 
 
 QUERIES["flagship"] = run

@@ -62,7 +62,7 @@ def v4_nearest_neighbours(i):
 
 @query()
 def v4b_candidate_pairs(i):
-    return vectors.candidate_pairs(i.vecs, 0.5)
+    return vectors.candidate_pairs(i.vecs, 0.3)
 
 
 @query(V + "SELECT source, target, round(cos, 6) AS cos, rank FROM (SELECT a.id AS source, b.id AS target, list_cosine_similarity(a.vec, b.vec) AS cos, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 12) DESC, b.id)::INT AS rank FROM v a JOIN v b ON a.id <> b.id AND a.label <> b.label WHERE a.id % 50 = 0) WHERE rank <= 5")

@@ -162,6 +162,53 @@ def test_procrustes_permutation_and_cca_equal_numpy(spark):
     assert np.allclose([r["correlation"] for r in vectors.cca(table(x), table(y)).orderBy("component").collect()], np.linalg.svd(q[0].T @ q[1], compute_uv=False))
 
 
+def test_hashed_pairs_find_planted_neighbours(spark):
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(40, 16))
+    vecs = np.repeat(centers / np.linalg.norm(centers, axis=1, keepdims=True), 5, axis=0) + rng.normal(size=(200, 16)) * 0.01
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    got = {(r["source"], r["target"]): r["d"] for r in vectors.candidate_pairs(rows, 0.3).collect()}
+    near = {(i, j) for i in range(200) for j in range(i + 1, 200) if i // 5 == j // 5}
+    assert len(near & set(got)) >= 0.98 * len(near) and len(got) < 0.35 * 200 * 199 / 2
+    assert all(abs(d - np.linalg.norm(vecs[i] - vecs[j])) < 1e-9 for (i, j), d in got.items())
+
+
+def test_clusters_are_those_of_the_nearest_center(spark):
+    rng = np.random.default_rng(8)
+    places = np.concatenate([rng.normal(c, 1, (30, 2)) for c in ((0, 0), (40, 40), (-40, 60))])
+    meta = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(places)] + [(999, None, 1.0)], "entity long, latitude double, longitude double")
+    got = {r["entity"]: r["cluster"] for r in coding.geo_clusters(meta, 3).collect()}
+    assert 999 not in got and [len({got[i] for i in range(30 * k, 30 * k + 30)}) for k in range(3)] == [1, 1, 1] and len(set(got.values())) == 3
+    means = {c: places[[i for i in got if got[i] == c]].mean(0) for c in set(got.values())}
+    assert all(got[i] == min(means, key=lambda c: np.linalg.norm(places[i] - means[c])) for i in got)
+
+
+def test_low_rank_filling_follows_planted_blocks(spark):
+    """Entities of two kinds answer alike; the commonest value is wrong for the smaller kind."""
+    kind = lambda e: e % 3 == 0
+    every = [(e, f"f{f}", f"v{int(kind(e)) * 2 + f % 2}") for e in range(60) for f in range(8)]
+    hidden = {(e, f"f{f}") for e in range(60) for f in range(8) if (e * 7 + f * 5) % 11 == 0}
+    known = cells(spark, [r for r in every if r[:2] not in hidden])
+    blanks = spark.createDataFrame(sorted(hidden), "entity long, feature string")
+    truth = {r[:2]: r[2] for r in every if r[:2] in hidden}
+    right = lambda preds: sum(truth[r["entity"], r["feature"]] == r["value"] for r in preds.collect()) / len(truth)
+    assert right(impute.impute_factorised(known, blanks, coding.codebook(known), 4)) > 0.95 > right(impute.impute_freq(known, blanks))
+
+
+@pytest.mark.parametrize("kind", ["gbt", "forest"])
+def test_stack_follows_the_system_that_is_right(spark, kind):
+    rows = []
+    for e in range(120):
+        truth = e * 7 % 3
+        for v in range(3):
+            rows.append((e, "f", f"v{v}", f"g{e % 4}", float(v == truth), float(v == (e // 2) % 3), float(v == 0), int(v == truth)))
+    table = spark.createDataFrame(rows, "entity long, feature string, value string, genus string, said_good double, said_bad double, p double, right int")
+    best = impute.stack_systems(table.filter("entity < 80"), table.filter("entity >= 80"), kind)
+    assert all(r["value"] == f"v{r['entity'] * 7 % 3}" for r in best.collect()) and best.count() == 40
+    folds = impute.cross_validate_stack(table, 2, kind).collect()
+    assert sum(r["n"] for r in folds) == 120 and all(r["acc"] == 1.0 for r in folds)
+
+
 def test_formula_parts(spark):
     rows = spark.createDataFrame([(1, "GB1:1 & GB2:0 > GB3:1"), (2, "sum(GB1:1) > 2"), (3, "GB1:1"), (4, "(GB1:1 | GB2:1) > GB3:0 & GB4:0")], "id long, formula string")
     out = {r["id"]: (r["ant"], r["ftype"], r["status"]) for r in universals.parse_formula(rows).collect()}

@@ -18,6 +18,4 @@ def test_equals_sql(spark, data, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, data, name):
-    if name in ("i23_stack_systems", "i23b_stack_forest_cv"):
-        pytest.skip("slow here; run by the bench and the checks")
     assert QUERIES[name](spark, data).limit(1).count() == 1
