@@ -78,22 +78,28 @@ def top_k(
     schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "source long", "target long", "score double"])
 
     def meet(both: pd.DataFrame) -> pd.DataFrame:
-        a, b, found = both[both["_asks"]], both[~both["_asks"]], []
-        if len(a) and len(b):
-            targets = b["id"].to_numpy()
-            for start in range(0, len(a), 1024):
-                part = a.iloc[start : start + 1024]
-                s = scores(part, b, metric)
-                if not itself:
-                    s[part["id"].to_numpy()[:, None] == targets] = -np.inf
-                if other_group:
-                    s[part["group"].to_numpy()[:, None] == b["group"].to_numpy()] = -np.inf
-                if positive:
-                    s[s <= 0] = -np.inf
-                for source, line in zip(part["id"], s, strict=True):
-                    best = best_of(line, targets, k)
-                    found.append(pd.DataFrame({**{c: [a[c].iloc[0]] * len(best) for c in keys}, "source": source, "target": targets[best], "score": line[best]}))
-        return pd.concat(found) if found else pd.DataFrame({c: [] for c in [*keys, "source", "target", "score"]})
+        a, b = both[both["_asks"]], both[~both["_asks"]]
+        sources, places, found = [], [], []
+        targets = b["id"].to_numpy()
+        for start in range(0, len(a) if len(b) else 0, 1024):
+            part = a.iloc[start : start + 1024]
+            asks = part["id"].to_numpy()
+            s = scores(part, b, metric)
+            if not itself:
+                s[asks[:, None] == targets] = -np.inf
+            if other_group:
+                s[part["group"].to_numpy()[:, None] == b["group"].to_numpy()] = -np.inf
+            if positive:
+                s[s <= 0] = -np.inf
+            for source, line in zip(asks, s, strict=True):
+                best = best_of(line, targets, k)
+                sources.append(np.full(len(best), source))
+                places.append(best)
+                found.append(line[best])
+        none = np.zeros(0, np.int64)
+        at = np.concatenate([none, *places])
+        same = {c: [both[c].iloc[0]] * len(at) for c in keys}
+        return pd.DataFrame({**same, "source": np.concatenate([none, *sources]), "target": targets[at], "score": np.concatenate([none.astype(float), *found])})
 
     by = [*keys, "_i", "_j"]
     hits = x.unionByName(y).groupBy(*by).applyInPandas(meet, schema)
