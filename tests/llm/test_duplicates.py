@@ -150,6 +150,30 @@ def test_repeats_equal_counting_all_windows(spark, scratch, mixed_texts, crowd):
     assert got == dict(enumerate(plain_repeats([(t or "").encode() for t in mixed_texts])))
 
 
+def test_nested_repeats_equal_counting_all_windows(spark, scratch, mixed_texts):
+    texts = [*mixed_texts, mixed_texts[3], "é" * 300 + "abc", "é" * 300 + "abd", "z" * 250, "z" * 250 + "q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = substrings.digests(*substrings.find_nested(docs, scratch)).collect()
+    data = [(t or "").encode() for t in texts]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
+    assert got == dict(enumerate(plain_repeats(data)))
+    assert {r["doc_id"]: r["passage_bytes"] for r in rows} == {d: n for d, (_, n, _, _) in enumerate(plain_repeats(data, substrings.PASSAGE))}
+
+
+def test_query_equals_counting_all_windows(spark, data):
+    from lacuna.llm.queries import QUERIES
+
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op8_substrings"](spark, data).collect()}
+    assert got == dict(zip(docs, plain_repeats(list(docs.values())), strict=True))
+
+
+def test_nested_repeats_of_odd_tables(odd, empty, scratch):
+    rows = substrings.digests(*substrings.find_nested(odd, scratch)).collect()
+    assert len(rows) == 10 and {r["doc_id"]: r["n_removed"] for r in rows}[5] == 150_000
+    assert substrings.digests(*substrings.find_nested(empty, scratch)).count() == 0
+
+
 def test_repeats_of_odd_tables(odd, empty, scratch):
     rows = substrings.digests(*substrings.find_repeats(odd, scratch)).collect()
     assert len(rows) == 10 and {r["doc_id"]: r["n_removed"] for r in rows}[5] == 150_000

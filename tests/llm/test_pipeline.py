@@ -7,6 +7,7 @@ import pytest
 from test_duplicates import plain_repeats
 from test_models import plain_mix
 
+from lacuna.llm import substrings
 from lacuna.llm.common import Scratch
 
 
@@ -49,7 +50,7 @@ def test_stages(spark, data):
     assert {r["doc_id"] for r in single} == plain_near_copies([(r["doc_id"], r["text"]) for r in clean])
 
     texts = {r["doc_id"]: r["text"].encode() for r in single}
-    removed = {d: n for d, (_, n, _, _) in zip(texts, plain_repeats(list(texts.values()), corpus_pipeline.PASSAGE), strict=True)}
+    removed = {d: n for d, (_, n, _, _) in zip(texts, plain_repeats(list(texts.values()), substrings.PASSAGE), strict=True)}
     after = {r["doc_id"]: r["text"] for r in cut}
     for d, text in texts.items():
         if not removed[d]:
