@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -12,10 +14,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class SparseRows:
     """Rows of feature numbers that are present."""
 
-    def __init__(self, rows: list[list[int]]):
-        self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.feature = np.array([f for r in rows for f in r], dtype=np.int64)
+    def __init__(self, row: np.ndarray, feature: np.ndarray, n: int):
+        self.row, self.feature, self.n = row, feature.astype(np.int64), n
+
+    @classmethod
+    def of(cls, rows: list[list[int]] | pa.ListArray) -> SparseRows:
+        """From lists, or from an Arrow array of lists."""
+        if isinstance(rows, pa.ListArray):
+            sizes = pa.compute.list_value_length(rows).to_numpy(zero_copy_only=False)
+            return cls(np.repeat(np.arange(len(rows)), sizes), rows.flatten().to_numpy(zero_copy_only=False), len(rows))
+        return cls(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([f for r in rows for f in r], dtype=np.int64), len(rows))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.feature], self.n)
@@ -25,11 +33,11 @@ class SparseRows:
 
 
 def fit_sparse(
-    rows: list[list[int]], labels: np.ndarray, n_features: int, pairs: list[tuple[list[int], list[int]]] = (), pull: float = 1.0, l2: float = 1e-4, steps: int = 400, rate: float = 0.1
+    x: SparseRows, labels: np.ndarray, n_features: int, gone: SparseRows | None = None, come: SparseRows | None = None, pull: float = 1.0, l2: float = 1e-4, steps: int = 400, rate: float = 0.1
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias. ``pairs`` are features that a counterfactual loses and gains: the squared change of the score is penalised."""
-    x, n = SparseRows(rows), max(1, len(rows))
-    left, right = SparseRows([gone for gone, _ in pairs]), SparseRows([come for _, come in pairs])
+    """Weights and bias. ``gone`` and ``come`` are features that counterfactuals lose and gain: the squared change of the score is penalised."""
+    none = SparseRows.of([])
+    n, left, right = max(1, x.n), gone or none, come or none
     w, b = np.zeros(n_features), float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, steps + 1):

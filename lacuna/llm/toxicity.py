@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, release, slices, texts
-from .logistic import fit_sparse, sigmoid
+from .logistic import SparseRows, fit_sparse, sigmoid
 
 #: Groups of people whose mere mention must not change a score, by language and kind; any other groups can be given.
 IDENTITY = (
@@ -162,7 +162,7 @@ def fit(
     identity: Groups = IDENTITY,
     spread: float = 0.1,
     n_neutral: int = 64,
-    mentions: int = 6,
+    mentions: int = 4,
     swaps: int = 3,
     pull: float = 3.0,
 ) -> Model:
@@ -209,14 +209,18 @@ def fit(
                 x.append(known(features(text)))
                 gone.append([p[0] for p in pairs])
                 come.append([p[1] for p in pairs])
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.int32())), pa.array(gone, kind), pa.array(come, kind), pa.array(made, pa.int32())], ["y", "x", "gone", "come", "made"])
-
-    # at most ``sample`` short rows
-    found = rows.mapInArrow(rows_of, "y int, x array<int>, gone array<array<int>>, come array<array<int>>, made int").collect()
-    found.sort(key=lambda r: (r["y"], r["x"], r["gone"], r["come"]))
-    pairs = [p for r in found for p in zip(r["gone"], r["come"], strict=True)]
-    w, b = fit_sparse([r["x"] for r in found], np.array([r["y"] > 0 for r in found], float), len(chosen), pairs, pull)
-    return Model({f: float(w[i]) for f, i in number.items() if w[i]}, b, sum(r["made"] for r in found), len(pairs), groups[len(identity) :])
+            order = [zlib.crc32(repr(r).encode()) for r in zip(x, gone, come, strict=True)]
+            columns = [batch.column("y"), pa.array(x, pa.list_(pa.int32())), pa.array(gone, kind), pa.array(come, kind), pa.array(made, pa.int32()), pa.array(order, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["y", "x", "gone", "come", "made", "place"])
+
+    # at most ``sample`` short rows; in an order of their own, so that the sums do not depend on how they were dealt
+    schema = "y int, x array<int>, gone array<array<int>>, come array<array<int>>, made int, place long"
+    found = rows.mapInArrow(rows_of, schema).toArrow().sort_by([("place", "ascending"), ("y", "ascending")]).combine_chunks()
+    lists = {c: found.column(c).combine_chunks() for c in ("x", "gone", "come")}
+    gone, come = (SparseRows.of(lists[c].flatten()) for c in ("gone", "come"))
+    labels_of = (found.column("y").to_numpy() > 0).astype(float)
+    w, b = fit_sparse(SparseRows.of(lists["x"]), labels_of, len(chosen), gone, come, pull)
+    return Model({f: float(w[i]) for f, i in number.items() if w[i]}, b, int(found.column("made").to_numpy().sum()), gone.n, groups[len(identity) :])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -9,7 +9,7 @@ from compare import assert_same, connection
 from pyspark.sql import functions as F
 
 from lacuna.llm import cotraining, mixing, neighbours, rules, toxicity
-from lacuna.llm.logistic import fit_sparse
+from lacuna.llm.logistic import SparseRows, fit_sparse
 from lacuna.llm.queries import ORACLES, QUERIES
 
 
@@ -137,8 +137,8 @@ def test_swaps_change_the_features_that_the_swapped_text_has():
 
 def test_penalty_lowers_the_change():
     rows, y = [[0, 1], [1]] * 50, np.array([1.0, 0.0] * 50)
-    free, _ = fit_sparse(rows, y, 3)
-    held, _ = fit_sparse(rows, y, 3, [([0], [2])] * 50, pull=10.0)
+    free, _ = fit_sparse(SparseRows.of(rows), y, 3)
+    held, _ = fit_sparse(SparseRows.of(rows), y, 3, SparseRows.of([[0]] * 50), SparseRows.of([[2]] * 50), pull=10.0)
     assert abs(held[0] - held[2]) < 0.2 * abs(free[0] - free[2])
 
 
