@@ -6,8 +6,8 @@ windows. The page view holds metadata: language, source (by hash), recorded leng
 
 In every round each classifier labels the pool of unlabelled documents, and of those that it calls good, and of those that it calls bad, the
 ``growth`` it is surest of (``sure`` or more) and has not handed over yet teach the other view with half the weight of a true label.
-In the end each view's score is calibrated on labelled rows that did not teach (a fourth of them), the two are combined by weights fitted there,
-and all documents are scored in one pass.
+In the end each view's score is calibrated on labelled rows that did not teach (a fourth of them), the two are combined by weights fitted on all
+labelled rows, and all documents are scored in one pass.
 
 Labelled rows (``sample``) and the pool (``pool``) are those with the smallest hash of the id, so what is fitted is bounded; everything
 is scored.
@@ -203,8 +203,8 @@ def fit(
         raw = view.logit(own[test])
         if len(set(y[test])) == 2:
             view.slope, view.shift = fit_dense(raw[:, None], y[test], l2=1e-3)
-        logits.append(view.logit(own[test]))
-    mix = fit_dense(np.column_stack(logits), y[test], l2=1e-3) if len(set(y[test])) == 2 else np.array([1.0, 0.0, 0.0])
+        logits.append(view.logit(own))
+    mix = fit_dense(np.column_stack(logits), y, l2=1e-3)
     return Model(fitted[0], fitted[1], mix, prior, tuple(exchanged))
 
 
