@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import copy
 import ctypes
 import sys
 import uuid
@@ -32,12 +31,6 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def inside(self, name: str) -> Scratch:
-        """A folder of this one, with names of its own."""
-        other = copy.copy(self)
-        other.root = self.path(name)
-        return other
-
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns a frame that reads it back."""
         df.write.mode("overwrite").parquet(self.path(name))

@@ -57,7 +57,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.digests(*substrings.find_nested(table(spark, sf_dir, "documents"), Scratch(spark, "op8")))
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "op8")
+    return substrings.digests(*substrings.find_repeats(docs, scratch), substrings.shared_anchors(docs, scratch))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

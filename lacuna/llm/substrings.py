@@ -43,7 +43,7 @@ PASSAGE, PASSAGE_GRAM = 240, 96
 #: Different strings of one group that a task holds at most.
 CROWD = 512
 #: Bytes of a window beside the key below which a crowded group is dealt out by whole windows.
-RIM = 72
+RIM = 16
 #: Windows of a long text that are hashed at a time.
 PIECE = 1 << 18
 
@@ -277,7 +277,7 @@ STRINGS = "group long, sub long, copies long, place int, gram int, string binary
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     """Rows as a batch of columns, whose names and types are those of ``schema``."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<struct<a:int,b:int>>": SPAN_TYPE}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<struct<a:int,b:int>>": SPAN_TYPE}
     names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names)
@@ -385,9 +385,9 @@ def moved(spans: str, by: str) -> Column:
     return F.transform(spans, lambda s: F.struct((s["a"] + F.col(by)).alias("a"), (s["b"] + F.col(by)).alias("b")))
 
 
-def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, gone: bool = False) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(documents, cuts): per document its key, size and SHA-256; per different text with repeats its key, the spans of bytes that go,
-    and the bytes that stay (``kept``) and, if wanted, go (``gone``, by span). ``gram`` is the size of the anchors, less than ``length``."""
+    and the bytes that stay (``kept``). ``gram`` is the size of the anchors, less than ``length``."""
     marked = scratch.table(mark(docs, length, gram), "marked")
     arrays = ["start", "n", "anchor", "content"]
     texts = marked.groupBy("key").agg(F.count("*").alias("copies"), F.first(F.arrays_zip(*arrays)).alias("runs"))
@@ -410,67 +410,40 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            merged, kept, cut_out = [], [], []
+            merged, kept = [], []
             for text, found in zip(raw(batch), batch.column("spans").to_pylist(), strict=True):
                 found = merge((s["a"], s["b"]) for s in found)
                 kept.append(without(text, found))
-                cut_out.append([text[a:b] for a, b in found] if gone else None)
                 merged.append([{"a": a, "b": b} for a, b in found])
-            columns = [batch.column("key"), pa.array(merged, SPAN_TYPE), pa.array(kept, pa.binary()), pa.array(cut_out, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "spans", "kept", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(merged, SPAN_TYPE), pa.array(kept, pa.binary())], ["key", "spans", "kept"])
 
-    cuts = held.select("key", "text").join(by_text, "key").mapInArrow(keep, f"key binary, {SPANS}, kept binary, gone array<binary>")
+    cuts = held.select("key", "text").join(by_text, "key").mapInArrow(keep, f"key binary, {SPANS}, kept binary")
     cuts = scratch.table(cuts, "cuts")
     scratch.drop("held", "met", "spans")
     return marked.select("doc_id", "key", "n_bytes", "sha256"), cuts
 
 
-def find_nested(docs: DataFrame, scratch: Scratch, length: int = LENGTH, passage: int = PASSAGE, gram: int = PASSAGE_GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents, cuts): as ``find_repeats`` for strings of ``length``, and how many bytes repeated strings of ``passage`` bytes cover.
+def shared_anchors(docs: DataFrame, scratch: Scratch, length: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """(key, n): of each different text with any, the runs of windows of ``length`` whose anchor is found anywhere else too.
 
-    All passages of a longer string that repeats do so too, at both of its places, so it lies in one run of bytes that repeated passages cover. The
-    longer strings are therefore looked for among these runs, each as often as its text is there, but twice at most.
+    Texts that hold a string of ``length`` bytes which repeats are all among them; so are a few that share no more than an anchor of ``gram`` bytes.
     """
-    documents, cuts = find_repeats(docs, scratch.inside("passages"), passage, gram, gone=True)
-    copies = documents.groupBy("key").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"))
-    runs = cuts.join(copies, "key").select("key", "copies", F.explode(F.arrays_zip("spans", "gone")).alias("r")).select("key", "copies", F.col("r.spans.a").alias("a"), F.col("r.gone").alias("text"))
-    runs = scratch.table(runs.filter(F.octet_length("text") >= length).withColumn("run", text_key()), "passage_runs")
-    again = runs.select(F.explode(F.array_repeat(F.lit(0).cast("long"), F.col("copies"))).alias("doc_id"), "text")
-    _, inner = find_repeats(again, scratch.inside("strings"), length)
-    found = runs.select("key", "a", "run").join(inner.select(F.col("key").alias("run"), F.col("spans").alias("s")), "run")
-    by_text = found.groupBy("key").agg(F.flatten(F.collect_list(moved("s", "a"))).alias("inner"))
-    schema = "key binary, n_removed long, n_spans long, kept_sha256 string, passage_bytes long"
-
-    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "kept"):
-            rows = []
-            for key, spans, kept, gone, strings in zip(*(batch.column(c).to_pylist() for c in ("key", "spans", "kept", "gone", "inner")), strict=True):
-                size = sum(map(len, gone))
-                if not strings:
-                    rows.append((key, 0, 0, None, size))
-                    continue
-                text, at = [], 0
-                for s, cut in zip(spans, gone, strict=True):
-                    held = s["a"] - sum(map(len, text))
-                    text += [kept[at : at + held], cut]
-                    at += held
-                text.append(kept[at:])
-                cutting = merge((s["a"], s["b"]) for s in strings)
-                left = hashlib.sha256(without(b"".join(text), cutting)).hexdigest()
-                rows.append((key, sum(b - a for a, b in cutting), len(cutting), left, size))
-            yield batch_of(rows, schema)
-
-    return documents, cuts.join(by_text, "key", "left").mapInArrow(finish, schema)
+    marked = mark(docs, length, gram).select("key", "anchor")
+    texts = marked.groupBy("key").agg(F.count("*").alias("copies"), F.first("anchor").alias("anchors"))
+    each = scratch.table(texts.select("key", "copies", F.explode("anchors").alias("anchor")), "anchors")
+    often = scratch.table(each.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor"), "often_anchors")
+    return scratch.table(each.join(often, "anchor").groupBy("key").agg(F.count("*").alias("n")), "shared_anchors")
 
 
-def digests(documents: DataFrame, cuts: DataFrame) -> DataFrame:
-    """One row per document: bytes and runs of bytes that went, and SHA-256 of those that stayed; of ``find_nested`` also ``passage_bytes``."""
-    more = [c for c in ("passage_bytes",) if c in cuts.columns]
-    if "n_removed" not in cuts.columns:
-        removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-        cuts = cuts.select("key", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+def digests(documents: DataFrame, cuts: DataFrame, passages: DataFrame | None = None) -> DataFrame:
+    """One row per document: bytes and runs of bytes that went, SHA-256 of those that stayed, and, with ``passages``, its shared anchors."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    cuts = cuts.select("key", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     number = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return documents.join(cuts, "key", "left").select("doc_id", "n_bytes", number("n_removed"), number("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *map(number, more))
+    rows, more = documents.join(cuts, "key", "left"), []
+    if passages is not None:
+        rows, more = rows.join(passages.select("key", F.col("n").alias("n_passages")), "key", "left"), ["n_passages"]
+    return rows.select("doc_id", "n_bytes", number("n_removed"), number("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *map(number, more))
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -150,14 +150,13 @@ def test_repeats_equal_counting_all_windows(spark, scratch, mixed_texts, crowd):
     assert got == dict(enumerate(plain_repeats([(t or "").encode() for t in mixed_texts])))
 
 
-def test_nested_repeats_equal_counting_all_windows(spark, scratch, mixed_texts):
-    texts = [*mixed_texts, mixed_texts[3], "é" * 300 + "abc", "é" * 300 + "abd", "z" * 250, "z" * 250 + "q"]
+def test_texts_with_repeated_passages_share_anchors(spark, scratch, mixed_texts):
+    rng = random.Random(12)
+    texts = [*mixed_texts, mixed_texts[3], "z" * 239, "q" * 250, *("".join(rng.choice("ijklmnopqr ") for _ in range(700)) for _ in range(30))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    rows = substrings.digests(*substrings.find_nested(docs, scratch)).collect()
-    data = [(t or "").encode() for t in texts]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
-    assert got == dict(enumerate(plain_repeats(data)))
-    assert {r["doc_id"]: r["passage_bytes"] for r in rows} == {d: n for d, (_, n, _, _) in enumerate(plain_repeats(data, substrings.PASSAGE))}
+    keys = {hashlib.md5((t or "").encode()).digest() for t, (_, n, _, _) in zip(texts, plain_repeats([(t or "").encode() for t in texts], 240), strict=True) if n}
+    got = {bytes(r["key"]): r["n"] for r in substrings.shared_anchors(docs, scratch).collect()}
+    assert keys <= set(got) and not {hashlib.md5(t.encode()).digest() for t in texts[-30:]} & set(got)
 
 
 def test_query_equals_counting_all_windows(spark, data):
@@ -168,16 +167,10 @@ def test_query_equals_counting_all_windows(spark, data):
     assert got == dict(zip(docs, plain_repeats(list(docs.values())), strict=True))
 
 
-def test_nested_repeats_of_odd_tables(odd, empty, scratch):
-    rows = substrings.digests(*substrings.find_nested(odd, scratch)).collect()
-    assert len(rows) == 10 and {r["doc_id"]: r["n_removed"] for r in rows}[5] == 150_000
-    assert substrings.digests(*substrings.find_nested(empty, scratch)).count() == 0
-
-
 def test_repeats_of_odd_tables(odd, empty, scratch):
-    rows = substrings.digests(*substrings.find_repeats(odd, scratch)).collect()
-    assert len(rows) == 10 and {r["doc_id"]: r["n_removed"] for r in rows}[5] == 150_000
-    assert substrings.digests(*substrings.find_repeats(empty, scratch)).count() == 0
+    rows = substrings.digests(*substrings.find_repeats(odd, scratch), substrings.shared_anchors(odd, scratch)).collect()
+    assert len(rows) == 10 and {r["doc_id"]: r["n_passages"] > 0 for r in rows}[6] and {r["doc_id"]: r["n_removed"] for r in rows}[5] == 150_000
+    assert substrings.digests(*substrings.find_repeats(empty, scratch), substrings.shared_anchors(empty, scratch)).count() == 0
     left = substrings.remove_repeats(odd, scratch)
     assert left.columns == odd.columns
     # documents that lose all go, those without words stay
