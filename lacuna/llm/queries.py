@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, mixing, neighbours, packing, rules, simhash, substrings, tokenbin, toxicity, wordpiece
+from . import cotraining, mixing, neighbours, packing, periods, rules, simhash, substrings, tokenbin, toxicity, wordpiece
 from .common import Scratch
 
 
@@ -71,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.collapse_runs(table(spark, sf_dir, "documents"), prepare=periods.repeat_tail))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op12_runs": op12_runs,
 }
 
 ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL, "op10_quality_rules": rules.SQL}
