@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, mixing, neighbours, packing, periods, rules, simhash, substrings, tokenbin, toxicity, wordpiece
+from . import cotraining, mixing, neighbours, packing, periods, rules, simhash, substrings, tokenbin, toxicity, treap, wordpiece
 from .common import Scratch
 
 
@@ -75,6 +75,11 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.collapse_runs(table(spark, sf_dir, "documents"), prepare=periods.repeat_tail))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op13")
+    return treap.search(treap.build(table(spark, sf_dir, "documents"), scratch), table(spark, sf_dir, "benchmark"), scratch)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
     "op12_runs": op12_runs,
+    "op13_search": op13_search,
 }
 
-ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL, "op10_quality_rules": rules.SQL}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL, "op10_quality_rules": rules.SQL, "op13_search": treap.SQL}
