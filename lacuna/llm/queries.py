@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, mixing, neighbours, packing, periods, rules, simhash, substrings, tokenbin, toxicity, treap, wordpiece
+from . import brown, cotraining, mixing, neighbours, packing, periods, rules, simhash, substrings, tokenbin, toxicity, treap, wordpiece
 from .common import Scratch
 
 
@@ -71,6 +71,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return brown.score(docs, brown.fit(docs, Scratch(spark, "op11")))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.collapse_runs(table(spark, sf_dir, "documents"), prepare=periods.repeat_tail))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lm_score": op11_lm_score,
     "op12_runs": op12_runs,
     "op13_search": op13_search,
 }
