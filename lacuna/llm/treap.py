@@ -3,7 +3,7 @@
 The documents are dealt into blocks of about ``postings`` grid points. A block numbers its terms by falling document frequency and its documents
 by rising id, and keeps the grid as a compressed quadtree: a node covers as many terms as documents, its mask of four bits names the quarters that
 are not empty, and its top is the largest impact inside. Nodes are stored level by level, so the first child of a node comes after as
-many nodes as the masks before it have bits; nothing but masks and tops is stored. All terms and documents are indexed, and an index answers any items.
+many nodes as the masks before it have bits; nothing but masks and tops is stored, each top as what it lacks to that of the node above, compressed. All terms and documents are indexed, and an index answers any items.
 
 An item's terms are looked up in the blocks' term lists by a join, so a block gets, for each item, just the rows of the terms that it has. There the
 row paths of all terms go down the quadtree together, over ranges of documents: the sum of weight times top of the terms' nodes bounds the
@@ -65,6 +65,10 @@ def spread(a: np.ndarray) -> np.ndarray:
     return a
 
 
+def zstd(a: np.ndarray) -> bytes:
+    return pa.compress(a, "zstd", asbytes=True)
+
+
 @dataclass
 class Treap:
     """The quadtree of a block: ``height`` levels below the root, masks of the inner nodes, tops of all."""
@@ -90,6 +94,24 @@ class Treap:
             code = parent[starts]
         return cls(height, np.concatenate(masks[::-1]), np.concatenate(tops[::-1]))
 
+    def packed(self) -> tuple[bytes, bytes]:
+        """Masks and tops, compressed."""
+        above = np.repeat(np.arange(len(self.masks)), BITS[self.masks, 4])
+        lacks = np.r_[self.tops[:1], self.tops[above] - self.tops[1:]].astype(np.int32)
+        return zstd(self.masks), zstd(lacks)
+
+    @classmethod
+    def unpacked(cls, height: int, nodes: int, leaves: int, masks: pa.Buffer, tops: pa.Buffer) -> Treap:
+        masks = np.frombuffer(pa.decompress(masks, nodes - leaves, "zstd"), np.uint8)
+        tops = np.frombuffer(pa.decompress(tops, 4 * nodes, "zstd"), np.int32).copy()
+        start, end = 0, 1  # the nodes of a level
+        for _ in range(height):
+            bits = BITS[masks[start:end], 4]
+            below = slice(end, end + int(bits.sum()))
+            tops[below] = np.repeat(tops[start:end], bits) - tops[below]
+            start, end = below.start, below.stop
+        return cls(height, masks, tops)
+
     def opened(self) -> Treap:
         """With the place of each node's first child, and one empty node at the end (place -1)."""
         self.first = np.append(1 + np.cumsum(BITS[self.masks, 4]) - BITS[self.masks, 4], 0)
@@ -130,8 +152,10 @@ class Treap:
         return found, scores
 
 
-INDEX = "block long, height int, masks binary, tops binary, ids array<long>, term binary, row int, df long"
-ARROW_INDEX = pa.schema([("block", pa.int64()), ("height", pa.int32()), ("masks", pa.binary()), ("tops", pa.binary()), ("ids", pa.list_(pa.int64())), ("term", pa.binary()), ("row", pa.int32()), ("df", pa.int64())])
+#: What is stored of a quadtree.
+SHAPE = ("height", "nodes", "leaves", "masks", "tops", "ids")
+INDEX = "block long, height int, nodes int, leaves int, masks binary, tops binary, ids array<long>, term binary, row int, df long"
+ARROW_INDEX = pa.schema([("block", pa.int64()), ("height", pa.int32()), ("nodes", pa.int32()), ("leaves", pa.int32()), ("masks", pa.binary()), ("tops", pa.binary()), ("ids", pa.list_(pa.int64())), ("term", pa.binary()), ("row", pa.int32()), ("df", pa.int64())])
 
 
 class Block:
@@ -165,9 +189,10 @@ class Block:
         order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i] or 0, i))
         column_of[order] = np.arange(len(order))
         tree = Treap.of(row_of[term], column_of[doc], impacts(tf, np.array(self.length)[doc], n_docs, n_terms))
-        grid = {"block": [block], "height": [tree.height], "masks": [tree.masks.tobytes()], "tops": [tree.tops.tobytes()], "ids": [[self.ids[i] for i in order]], "term": [None], "row": [None], "df": [None]}
+        masks, tops = tree.packed()
+        grid = {"block": [block], "height": [tree.height], "nodes": [len(tree.tops)], "leaves": [len(term)], "masks": [masks], "tops": [tops], "ids": [[self.ids[i] for i in order]], "term": [None], "row": [None], "df": [None]}
         yield pa.RecordBatch.from_pydict(grid, ARROW_INDEX)
-        none = {c: pa.nulls(len(df), ARROW_INDEX.field(c).type) for c in ("height", "masks", "tops", "ids")}
+        none = {c: pa.nulls(len(df), ARROW_INDEX.field(c).type) for c in ("height", "nodes", "leaves", "masks", "tops", "ids")}
         terms = {"block": pa.array(np.full(len(df), block)), **none, "term": pa.array(list(self.number), pa.binary()), "row": pa.array(row_of.astype(np.int32)), "df": pa.array(df.astype(np.int64))}
         whole = pa.RecordBatch.from_pydict(terms, ARROW_INDEX)
         yield from (whole.slice(i, 50_000) for i in range(0, whole.num_rows, 50_000))
@@ -182,7 +207,7 @@ class Index:
     n_terms: int
 
 
-def build(docs: DataFrame, scratch: Scratch, postings: int = 1_500_000, doc_id: str = "doc_id", text: str = "text") -> Index:
+def build(docs: DataFrame, scratch: Scratch, postings: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> Index:
     """Indexes every term of every document."""
     docs = narrow(docs, doc_id, text)
 
@@ -207,6 +232,7 @@ def build(docs: DataFrame, scratch: Scratch, postings: int = 1_500_000, doc_id:
             if block.size >= postings or len(block.ids) >= BLOCK_DOCS:
                 yield from block.rows((part << 32) + done, n_docs, n_terms)
                 done, block = done + 1, Block()
+                release()
         if block.size:
             yield from block.rows((part << 32) + done, n_docs, n_terms)
 
@@ -231,7 +257,7 @@ def search(index: Index, items: DataFrame, scratch: Scratch, k: int = 50, item_i
     paths = wanted.join(weights, "term").join(places.select("term", "block", "row"), "term")
     paths = paths.groupBy("block", "item_id").agg(F.sort_array(F.collect_list(F.struct("row", "weight"))).alias("path"))
     asked = paths.select("block", F.lit(1).alias("kind"), "item_id", F.col("path.row").alias("rows"), F.col("path.weight").alias("weights"))
-    grid = index.table.filter("height IS NOT NULL").select("block", "height", "masks", "tops", "ids")
+    grid = index.table.filter("height IS NOT NULL").select("block", *SHAPE)
     n_blocks = grid.select("block").count()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +269,8 @@ def search(index: Index, items: DataFrame, scratch: Scratch, k: int = 50, item_i
             taken, docs, scores = [], [], []
             for i, kind in enumerate(batch.column("kind").to_pylist()):
                 if kind == 0:
-                    masks, tops = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("masks", np.uint8), ("tops", np.int32)))
-                    tree, ids = Treap(batch.column("height")[i].as_py(), masks, tops).opened(), batch.column("ids")[i].values
+                    shape = [batch.column(c)[i] for c in SHAPE]
+                    tree, ids = Treap.unpacked(*(x.as_py() for x in shape[:3]), *(x.as_buffer() for x in shape[3:5])).opened(), shape[5].values
                     continue
                 rows, weights = (batch.column(c)[i].values.to_numpy().astype(np.int64) for c in ("rows", "weights"))
                 columns, score = tree.best(rows, weights, k)
@@ -255,10 +281,10 @@ def search(index: Index, items: DataFrame, scratch: Scratch, k: int = 50, item_i
                 out = [names.take(pa.array(np.concatenate(taken))), pa.concat_arrays(docs), pa.array(np.concatenate(scores))]
                 yield pa.RecordBatch.from_arrays(out, ["item_id", "doc_id", "score"])
 
-    empty = {"item_id": kind, "rows": "array<int>", "weights": "array<bigint>", "height": "int", "masks": "binary", "tops": "binary", "ids": "array<bigint>"}
+    empty = {"item_id": kind, "rows": "array<int>", "weights": "array<bigint>", "height": "int", "nodes": "int", "leaves": "int", "masks": "binary", "tops": "binary", "ids": "array<bigint>"}
     columns = ["block", "kind", *empty]
     held = grid.withColumn("kind", F.lit(0)).withColumns({c: F.lit(None).cast(empty[c]) for c in ("item_id", "rows", "weights")})
-    asked = asked.withColumns({c: F.lit(None).cast(empty[c]) for c in ("height", "masks", "tops", "ids")})
+    asked = asked.withColumns({c: F.lit(None).cast(empty[c]) for c in SHAPE})
     both = held.select(columns).union(asked.select(columns)).repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "kind")
     hits = both.mapInArrow(run, f"item_id {kind}, doc_id long, score long")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
