@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import cosine
+from lacuna.operators.postings import shared_top_k
 from lacuna.operators.search import top_k
 
 CELL = ("entity", "feature")
@@ -49,16 +50,20 @@ def impute_group_majority(cells: DataFrame, blanks: DataFrame, meta: DataFrame,
     return or_else(own, impute_freq(cells, blanks), blanks)
 
 
+def place_of(feature: str, value: str) -> Column:
+    """The number of a cell's inverted list."""
+    return F.xxhash64(feature, value)
+
+
 def neighbours(cells: DataFrame, targets: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
     """(entity, other, score): the ``k`` entities that share most observed cells with each target, by number or by weight of the feature.
 
-    Cells of an entity are a sparse vector, and shared ones an inner product: a value that half of the entities hold makes no pairs.
+    Cells are places of inverted lists; see ``postings``.
     """
-    place = F.xxhash64("feature", "value")
-    weighted = cells.select("entity", "feature", "value", F.lit(1.0).alias("idf")) if weights is None else cells.join(weights.select("feature", "idf"), "feature")
-    lists = lambda df, w: df.groupBy(F.col("entity").alias("id")).agg(F.collect_list(place).alias("places"), F.collect_list(w).alias("weights"))
-    asked = lists(weighted.join(targets.select("entity").distinct(), "entity", "left_semi"), F.col("idf").cast("double"))
-    found = top_k(asked, lists(cells, F.lit(1.0)), k, "shared", positive=True)
+    place = place_of("feature", "value").alias("place")
+    weighted = cells.withColumn("idf", F.lit(1.0)) if weights is None else cells.join(weights.select("feature", "idf"), "feature")
+    asked = weighted.join(targets.select("entity").distinct(), "entity", "left_semi").select(F.col("entity").alias("id"), place, F.col("idf").alias("weight"))
+    found = shared_top_k(asked, cells.select(F.col("entity").alias("id"), place), k)
     return found.select(F.col("source").alias("entity"), F.col("target").alias("other"), "score")
 
 
@@ -288,7 +293,8 @@ def override_on_agreement(base: DataFrame, preds: DataFrame, enough: int) -> Dat
 
 
 def candidate_rows(
-    cells: DataFrame, blanks: DataFrame, book: DataFrame, p: DataFrame, entropy: DataFrame, preds: DataFrame, meta: DataFrame, systems: Sequence[str] = (), controlled: Sequence[str] = ()
+    cells: DataFrame, blanks: DataFrame, book: DataFrame, p: DataFrame, entropy: DataFrame, preds: DataFrame, meta: DataFrame, systems: Sequence[str] = (), controlled: Sequence[str] = (),
+    left_out: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (blank, candidate value) with figures for a meta-classifier: those of ``FIGURES``, and by system those of ``system_figures``.
 
@@ -296,6 +302,8 @@ def candidate_rows(
     the genus is ``controlled``. Of the feature: number of values and of entities, entropy, number of the commonest value. Of the cell: votes for the
     first and the second value, numbers of systems and values, whether all agree. Of the candidate: number in the code book, marginal, votes and their
     share and mean score, whether it leads, is the feature's commonest, and its share in the genus and the family.
+
+    If the blanks are observed cells that ``preds`` leaves out, ``left_out`` has the figures without each cell (``leave_out.own_counts``); the entropy stays that of all.
     """
     from lacuna.operators.evaluate import min_haversine_km
 
@@ -317,6 +325,10 @@ def candidate_rows(
     spread = cells.groupBy("feature").agg(F.countDistinct("entity").alias("n_entities"))
     rows = rows.join(known, "entity", "left").join(commonest, "feature", "left").join(spread, "feature", "left")
     rows = rows.join(min_haversine_km(places.join(blanks.select("entity").distinct(), "entity", "left_semi"), places.join(known, "entity", "left_semi")), "entity", "left")
+    if left_out is not None:
+        own = left_out.join(book.select("feature", F.col("value").alias("majority"), F.col("vi").alias("_no")), ["feature", "majority"], "left")
+        names = {"p": "p", "genus_share": "genus_share", "family_share": "family_share", "genus_known": "genus_known", "family_known": "family_known", "n_known": "n_known", "n_entities": "n_entities", "_common": "majority", "majority_no": "_no"}
+        rows = rows.drop(*names).join(own.select(*CELL, "value", *(F.col(c).alias(n) for n, c in names.items())), [*CELL, "value"])
     by_system = preds.groupBy(*CELL).pivot("system", list(systems)).agg(F.first("value")) if systems else None
     if by_system is not None:
         rows = rows.join(by_system.select(*CELL, *(F.col(s).alias(f"_{s}") for s in systems)), list(CELL), "left")

@@ -22,24 +22,8 @@ def dense(vectors: pd.Series) -> np.ndarray:
     return np.array([v for v in vectors], dtype=np.float64).reshape(len(vectors), -1)
 
 
-def spread(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse rows (places, weights) of both sides as dense ones over the places that either has."""
-    px, py = (np.concatenate([*df["places"], np.zeros(0, np.int64)]).astype(np.int64) for df in (x, y))
-    names = np.unique(np.concatenate([px, py]))
-    out = []
-    for df, places in ((x, px), (y, py)):
-        table = np.zeros((len(df), len(names)))
-        rows = np.repeat(np.arange(len(df)), [len(p) for p in df["places"]])
-        np.add.at(table, (rows, np.searchsorted(names, places)), np.concatenate([*df["weights"], np.zeros(0)]).astype(np.float64))
-        out.append(table)
-    return out[0], out[1]
-
-
 def scores(x: pd.DataFrame, y: pd.DataFrame, metric: str) -> np.ndarray:
     """The larger the nearer. Cosines are 0 if a side is zero; distances are negative."""
-    if metric == "shared":
-        a, b = spread(x, y)
-        return np.round(a @ b.T, 9)
     a, b = dense(x["vec"]), dense(y["vec"])
     if metric == "cosine":
         size = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
@@ -56,18 +40,16 @@ def best_of(s: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
 
 
 def top_k(
-    queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", keys: Sequence[str] = (), other_group: bool = False, itself: bool = False, positive: bool = False,
+    queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", keys: Sequence[str] = (), other_group: bool = False, itself: bool = False,
     block: int = BLOCK,
 ) -> DataFrame:
     """(keys, source, target, score, rank) of the ``k`` best rows for each query of the same keys, itself excluded unless ``itself``.
 
-    Both sides have the keys, an integer ``id``, and ``vec`` (or, for ``shared``, ``places`` and ``weights``: the sum of products over
-    common places). With ``other_group`` both have ``group`` too and partners are of another one; with ``positive`` their score is above 0.
+    Both sides have the keys, an integer ``id``, and ``vec``. With ``other_group`` both have ``group`` too and partners are of another one.
     Ties go to the smaller id. Null vectors take no part.
     """
-    held = ["places", "weights"] if metric == "shared" else ["vec"]
-    columns = [*keys, "id", *held, *(["group"] if other_group else [])]
-    ready = lambda df: df.select(*columns).filter(F.col(held[0]).isNotNull() & F.col("id").isNotNull())
+    columns = [*keys, "id", "vec", *(["group"] if other_group else [])]
+    ready = lambda df: df.select(*columns).filter(F.col("vec").isNotNull() & F.col("id").isNotNull())
     x, y = ready(queries), ready(rows)
     n_x, n_y = (max(1, -(-df.count() // block)) for df in (x, y))
     at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -89,8 +71,6 @@ def top_k(
                 s[asks[:, None] == targets] = -np.inf
             if other_group:
                 s[part["group"].to_numpy()[:, None] == b["group"].to_numpy()] = -np.inf
-            if positive:
-                s[s <= 0] = -np.inf
             for source, line in zip(asks, s, strict=True):
                 best = best_of(line, targets, k)
                 sources.append(np.full(len(best), source))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lacuna.operators import impute, stats
+from lacuna.functions.scratch import written
+from lacuna.operators import impute, leave_out, stats
 from lacuna.plans.q_stats import MI, SOURCES, mi_and_entropy, sources
 from lacuna.plans.registry import query
 
@@ -235,12 +236,58 @@ def g2_cell_candidate_rows(i):
     return rows.withColumns({c: F.round(c, 7) for c in ("p", "h", "mean_score", "genus_share", "family_share", "vote_share")} | {"km": F.round("km", 4)})
 
 
+def left_out(i):
+    return leave_out.predictions(i.cells, i.meta, i.book, stats.cooccurrence(i.cells), i.counts, stats.idf(i.cells))
+
+
+def stack_rows(i):
+    """Candidate rows of observed cells, each left out, and of the blanks, both with what the same systems say."""
+    entropy = mi_and_entropy(i)[1]
+    blank_preds = None
+    for system, rows in {
+        "freq": impute.impute_freq(i.cells, i.blanks),
+        "genus": impute.impute_group_majority(i.cells, i.blanks, i.meta),
+        "knn": impute.impute_knn(i.cells, i.blanks),
+        "idf_knn": impute.impute_knn(i.cells, i.blanks, weights=stats.idf(i.cells)),
+        "condprob": impute.impute_condprob(i.cells, i.blanks, i.book, stats.cooccurrence(i.cells), i.counts),
+    }.items():
+        rows = rows.select(F.lit(system).alias("system"), "entity", "feature", "value", "score")
+        blank_preds = rows if blank_preds is None else blank_preds.unionByName(rows)
+    known = written(left_out(i), "left-out")
+    common = (i.book, i.p, entropy)
+    train = impute.candidate_rows(i.cells, i.cells, *common, known, i.meta, leave_out.SYSTEMS, left_out=leave_out.own_counts(i.cells, i.meta, i.book))
+    test = impute.candidate_rows(i.cells, i.blanks, *common, written(blank_preds, "said"), i.meta, leave_out.SYSTEMS)
+    truth = i.cells.select("entity", "feature", F.col("value").alias("truth"))
+    train = train.join(truth, ["entity", "feature"]).withColumn("right", (F.col("value") == F.col("truth")).cast("int")).drop("truth")
+    return train, test
+
+
+@query("""
+, lo AS (SELECT a.entity, a.feature, a.value AS own, m.genus FROM cells a JOIN meta m USING (entity)),
+fr AS (SELECT entity, feature, value, n::DOUBLE / sum(n) OVER (PARTITION BY entity, feature) AS score FROM (SELECT lo.entity, lo.feature, o.value, count(*) AS n FROM lo JOIN cells o ON o.feature = lo.feature AND o.entity <> lo.entity GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY entity, feature ORDER BY n DESC, value) = 1),
+ge AS (SELECT lo.entity, lo.feature, o.value, count(*)::DOUBLE AS score FROM lo JOIN cells o ON o.feature = lo.feature AND o.entity <> lo.entity JOIN meta m ON m.entity = o.entity AND m.genus = lo.genus GROUP BY ALL),
+idf AS (SELECT feature, ln((SELECT count(DISTINCT entity) FROM cells) / (1 + count(DISTINCT entity))) AS idf FROM cells GROUP BY feature),
+sh AS (SELECT lo.entity, lo.feature, b.entity AS other, count(*)::DOUBLE AS s1, round(sum(idf), 9) AS s2 FROM lo JOIN cells a ON a.entity = lo.entity AND a.feature <> lo.feature JOIN cells b ON b.feature = a.feature AND b.value = a.value AND b.entity <> a.entity JOIN idf ON idf.feature = a.feature GROUP BY ALL),
+kn AS (SELECT n.entity, n.feature, c.value, count(*)::DOUBLE AS score FROM (SELECT * FROM sh WHERE s1 > 0 QUALIFY row_number() OVER (PARTITION BY entity, feature ORDER BY s1 DESC, other) <= 5) n JOIN cells c ON c.entity = n.other AND c.feature = n.feature GROUP BY ALL),
+ik AS (SELECT n.entity, n.feature, c.value, count(*)::DOUBLE AS score FROM (SELECT * FROM sh WHERE s2 > 0 QUALIFY row_number() OVER (PARTITION BY entity, feature ORDER BY s2 DESC, other) <= 5) n JOIN cells c ON c.entity = n.other AND c.feature = n.feature GROUP BY ALL),
+bk AS (SELECT *, count(*) OVER (PARTITION BY entity, feature) AS k FROM (SELECT DISTINCT lo.entity, lo.feature, o.value FROM lo JOIN cells o ON o.feature = lo.feature AND o.entity <> lo.entity) QUALIFY k >= 2),
+jo AS (SELECT lo.entity, lo.feature, c.feature AS fi, o.value, count(*) AS n FROM lo JOIN cells c ON c.entity = lo.entity AND c.feature <> lo.feature JOIN cells x ON x.feature = c.feature AND x.value = c.value AND x.entity <> lo.entity JOIN cells o ON o.entity = x.entity AND o.feature = lo.feature GROUP BY ALL),
+cp AS (SELECT lo.entity, lo.feature, bk.value, round(sum(ln((coalesce(jo.n, 0) + 0.5) / (ci.n + 0.5 * bk.k) + 1e-12)), 9) AS score FROM lo JOIN cells c ON c.entity = lo.entity AND c.feature <> lo.feature JOIN counts ci ON ci.feature = c.feature AND ci.value = c.value AND ci.n >= 5
+    JOIN bk ON bk.entity = lo.entity AND bk.feature = lo.feature LEFT JOIN jo ON jo.entity = lo.entity AND jo.feature = lo.feature AND jo.fi = c.feature AND jo.value = bk.value GROUP BY ALL),
+al AS (SELECT 'genus' AS system, * FROM ge UNION ALL SELECT 'knn', * FROM kn UNION ALL SELECT 'idf_knn', * FROM ik UNION ALL SELECT 'condprob', * FROM cp),
+be AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY system, entity, feature ORDER BY score DESC, value) = 1)
+SELECT s.system, fr.entity, fr.feature, coalesce(be.value, fr.value) AS value, round(coalesce(be.score, fr.score), 8) AS score FROM fr CROSS JOIN (SELECT unnest(['freq', 'genus', 'knn', 'idf_knn', 'condprob']) AS system) s
+    LEFT JOIN be ON be.system = s.system AND be.entity = fr.entity AND be.feature = fr.feature""")
+def i23a_leave_one_out(i):
+    return rounded(left_out(i))
+
+
 @query()
 def i23_stack_systems(i):
-    rows = candidates(i)
-    return impute.stack_systems(rows.filter("entity % 2 = 0"), rows.filter("entity % 2 = 1"))
+    return impute.stack_systems(*stack_rows(i))
 
 
 @query()
 def i23b_stack_forest_cv(i):
-    return impute.cross_validate_stack(candidates(i), 2, "forest")
+    return impute.cross_validate_stack(written(stack_rows(i)[0], "stack-rows"), 2, "forest")
