@@ -133,8 +133,25 @@ def vocabulary(docs: DataFrame, scratch: Scratch, known_share: float, unit_share
     return Vocabulary(found.column("word").to_pylist(), counts, int((counts >= unit_share * n_tokens).sum()), n_docs, n_tokens, n_different + (n_docs > 0))
 
 
+NEAR = "unit int, code array<int>, n array<long>"
+
+
+def listed(unit: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of units, which come in order, with the lists of their codes and counts."""
+    starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    offsets = pa.array(np.append(starts, len(unit)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (code.astype(np.int32), n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(unit[starts].astype(np.int32)), *lists], ["unit", "code", "n"])
+
+
+def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, with the sum of its counts."""
+    code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+
+
 def neighbours(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, near): each unit's neighbours (code, n), code being twice the other unit, and one more if it follows."""
+    """(unit, code, n): the lists of each unit's neighbours, code being twice the other unit, and one more if it follows, and of their numbers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -142,13 +159,11 @@ def neighbours(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         held, waiting = [], 0
 
         def give() -> Iterator[pa.RecordBatch]:
-            keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
-            keys, inverse = np.unique(keys, return_inverse=True)
-            counts, before, after = np.bincount(inverse, counts).astype(np.int64), keys // size, keys % size
-            for unit, code in ((before, 2 * after + 1), (after, 2 * before)):
-                for i in range(0, len(keys), 100_000):
-                    part = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(unit[part].astype(np.int32)), pa.array(code[part].astype(np.int32)), pa.array(counts[part])], ["unit", "code", "n"])
+            keys, counts = summed(*map(list, zip(*held, strict=True)))
+            before, after = keys // size, keys % size
+            yield listed(before, 2 * after + 1, counts)
+            order = np.argsort(after, kind="stable")
+            yield listed(after[order], 2 * before[order], counts[order])
 
         for batch in slices(batches):
             _, units, _, _ = encode([words_of(t) for t in raw(batch)])
@@ -161,16 +176,34 @@ def neighbours(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         if held:
             yield from give()
 
-    pairs = docs.select("text").mapInArrow(run, "unit int, code int, n long").repartition("unit")
-    return pairs.groupBy("unit", "code").agg(F.sum("n").alias("n")).groupBy("unit").agg(F.collect_list(F.struct("code", "n")).alias("near"))
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All lists of a unit come one after the other."""
+        unit, codes, counts, waiting = None, [], [], 0
+        for batch in batches:
+            units, starts, code, n = flattened(batch)
+            for i, u in enumerate(units.tolist()):
+                if u != unit or waiting > HELD_PAIRS:
+                    if codes:
+                        codes, counts = ([x] for x in summed(codes, counts))
+                    if u != unit and codes:
+                        yield listed(np.full(len(codes[0]), unit), codes[0], counts[0])
+                        codes, counts = [], []
+                    unit, waiting = u, 0
+                part = slice(starts[i], starts[i + 1])
+                codes.append(code[part])
+                counts.append(n[part])
+                waiting += starts[i + 1] - starts[i]
+        if codes:
+            code, n = summed(codes, counts)
+            yield listed(np.full(len(code), unit), code, n)
+
+    return docs.select("text").mapInArrow(run, NEAR).repartition("unit").sortWithinPartitions("unit").mapInArrow(merge, NEAR)
 
 
 def flattened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(units, start of each unit's neighbours, codes, counts) of a batch of neighbour rows."""
-    near = batch.column("near")
-    offsets = near.offsets.to_numpy()
-    values = near.values.slice(offsets[0], offsets[-1] - offsets[0])
-    return batch.column("unit").to_numpy(), offsets - offsets[0], values.field("code").to_numpy(), values.field("n").to_numpy()
+    offsets = batch.column("code").offsets.to_numpy()
+    return batch.column("unit").to_numpy(), offsets - offsets[0], batch.column("code").flatten().to_numpy(), batch.column("n").flatten().to_numpy()
 
 
 def class_counts(near: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
