@@ -423,27 +423,13 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
     return marked.select("doc_id", "key", "n_bytes", "sha256"), cuts
 
 
-def shared_anchors(docs: DataFrame, scratch: Scratch, length: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
-    """(key, n): of each different text with any, the runs of windows of ``length`` whose anchor is found anywhere else too.
-
-    Texts that hold a string of ``length`` bytes which repeats are all among them; so are a few that share no more than an anchor of ``gram`` bytes.
-    """
-    marked = mark(docs, length, gram).select("key", "anchor")
-    texts = marked.groupBy("key").agg(F.count("*").alias("copies"), F.first("anchor").alias("anchors"))
-    each = scratch.table(texts.select("key", "copies", F.explode("anchors").alias("anchor")), "anchors")
-    often = scratch.table(each.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor"), "often_anchors")
-    return scratch.table(each.join(often, "anchor").groupBy("key").agg(F.count("*").alias("n")), "shared_anchors")
-
-
-def digests(documents: DataFrame, cuts: DataFrame, passages: DataFrame | None = None) -> DataFrame:
-    """One row per document: bytes and runs of bytes that went, SHA-256 of those that stayed, and, with ``passages``, its shared anchors."""
+def digests(documents: DataFrame, cuts: DataFrame) -> DataFrame:
+    """One row per document: bytes and runs of bytes that went, and SHA-256 of those that stayed."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     cuts = cuts.select("key", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     number = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    rows, more = documents.join(cuts, "key", "left"), []
-    if passages is not None:
-        rows, more = rows.join(passages.select("key", F.col("n").alias("n_passages")), "key", "left"), ["n_passages"]
-    return rows.select("doc_id", "n_bytes", number("n_removed"), number("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *map(number, more))
+    rows = documents.join(cuts, "key", "left")
+    return rows.select("doc_id", "n_bytes", number("n_removed"), number("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
