@@ -5,18 +5,21 @@ bounded sample (``sample`` labels with the smallest hash). Spark counts the feat
 apart most surely (a log-odds ratio of ``min_z`` standard errors or more, in ``min_docs`` documents or more) make the model, and beside them the
 terms to swap that are as frequent, whatever they tell: what a mention adds is learned, and then held down.
 
-The terms to swap are those of a list, by language and kind of group, and the neutral words of each language: those found in a share of
-``spread`` or more of the toxic and of the other labelled documents alike, ``n_neutral`` of them at most, the commonest. In each labelled document up to
-``mentions`` of its terms are swapped, one at a time, for ``swaps`` others of the same group, in all sentences where they stand, and logistic
+The terms to swap are those of a list, by language and kind of group, and neutral words: those found in a share of ``spread`` or more of the toxic and of the other
+labelled documents alike, ``n_neutral`` of them at most, the commonest; a term's partners are the ``swaps`` that follow it in each of its groups. In each labelled document up to
+``mentions`` of its terms are swapped, one at a time, in all sentences where they stand, and logistic
 regression pays for every change of the score that a swap brings. So the mere mention of a group, or of a word that everybody uses, does not
-raise the score.
+raise the score. ``n_features``, ``n_neutral``, ``mentions`` and ``swaps`` shape the model; all of them count within the labelled rows that teach.
+
+First, ``tune`` of those rows at most are dealt into quarters by hash, and each quarter is judged by what the others teach: so the strength of the prior is chosen, by log loss, and then the highest price of changes (``pull``) that calls
+no more rows wrongly than a free model does and whose log loss isn't higher by more than a twentieth. Then all rows teach. The prior is worth a fixed number of rows, so few rows can't make large weights.
 
 All documents are then scored in one pass over the scan's partitions; the model, bounded by ``n_features``, goes with the tasks.
 
 Defined cases: null and empty texts have no features and get the score of the bias; rows with equal ids are scored each for itself, and
 the largest of their texts teaches; a null ``doc_id`` is scored and counts as not held out; labels that are null do not teach, and of several
-labels of one id the larger holds; without any labelled rows every score is 0; an empty table gives no rows; other columns of the input are
-ignored, but for ``lang``, which tells whose words are neutral and is no feature.
+labels of one id the larger holds; without any labelled rows every score is 0; an empty table gives no rows; a very long text is one set of words like any other; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -75,13 +78,13 @@ Groups = tuple[tuple[str, ...], ...]
 
 
 def partners(groups: Groups, swaps: int) -> dict[str, tuple[str, ...]]:
-    """For each term, the ``swaps`` terms that follow it in its first group."""
-    out: dict[str, tuple[str, ...]] = {}
+    """For each term, the ``swaps`` terms that follow it in each of its groups."""
+    out: dict[str, dict[str, None]] = {}
     for group in groups:
         for i, term in enumerate(group):
             others = [group[(i + k) % len(group)] for k in range(1, min(swaps, len(group) - 1) + 1)]
-            out.setdefault(term, tuple(o for o in others if o != term))
-    return out
+            out.setdefault(term, {}).update((o, None) for o in others if o != term)
+    return {term: tuple(others) for term, others in out.items()}
 
 
 def swapped(words: set[str], others: dict[str, tuple[str, ...]], mentions: int) -> Iterator[tuple[set[str], set[str]]]:
@@ -108,6 +111,8 @@ class Model:
     swaps: int = 0
     pairs: int = 0
     terms: Groups = ()
+    prior: float = 0.0
+    pull: float = 0.0
 
     def scorer(self):
         """Scores of texts; what each word adds is looked up once."""
@@ -128,25 +133,70 @@ class Model:
 
 
 def teaching_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int) -> DataFrame:
-    """(text, lang, y): one document for each of at most ``sample`` labels. The labels' side is bounded by it, so it may be broadcast."""
+    """(text, y): one document for each of at most ``sample`` labels. The labels' side is bounded by it, so it may be broadcast."""
     marked = labels.filter(F.col(label).isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    found = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
-    return found.groupBy("doc_id").agg(F.max(F.struct("text", "lang", F.col("y").cast("int").alias("y"))).alias("row")).select("row.*")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.max(F.struct("text", F.col("y").cast("int").alias("y"))).alias("row")).select("row.*")
+
+
+def neutral_words(counts: DataFrame, n0: int, n1: int, spread: float, n: int) -> Groups:
+    """The ``n`` commonest words that stand in a share of ``spread`` or more of the documents of either label."""
+    wide = counts.filter(~F.startswith("feature", F.lit("^")) & (F.col("n0") >= spread * n0) & (F.col("n1") >= spread * n1))
+    words = tuple(r["feature"] for r in wide.orderBy(F.desc(F.col("n0") + F.col("n1")), "feature").limit(n).collect())
+    return (words,) if n0 and n1 and len(words) > 1 else ()
+
+
+@dataclass
+class Lessons:
+    """Bounded rows that teach: their features, labels, and what each swap takes and brings."""
+
+    x: list[list[int]]
+    y: np.ndarray
+    gone: list[list[list[int]]]
+    come: list[list[list[int]]]
+
+    def part(self, rows: Iterable[int]) -> Lessons:
+        rows = list(rows)
+        return Lessons([self.x[i] for i in rows], self.y[rows], [self.gone[i] for i in rows], [self.come[i] for i in rows])
+
+    def fit(self, n_features: int, prior: float, pull: float) -> tuple[np.ndarray, float]:
+        gone, come = (SparseRows.of([p for row in swaps for p in row]) for swaps in (self.gone, self.come))
+        return fit_sparse(SparseRows.of(self.x), self.y, n_features, gone, come, pull, l2=prior / max(1, len(self.y)))
+
+    def losses(self, w: np.ndarray, b: float) -> tuple[float, int]:
+        """Log loss, and how many are called wrongly."""
+        p = sigmoid(SparseRows.of(self.x).dot(w) + b)
+        loss = -np.log(np.where(self.y > 0, p, 1 - p)).mean()
+        return float(loss), int(((p >= 0.5) != (self.y > 0)).sum())
+
+
+PRIORS, PULLS = (0.1, 0.5, 2.0, 8.0), (0.3, 1.0, 3.0, 10.0)
+FOLDS = 4
+
+
+def tuned(lessons: Lessons, n_features: int, tune: int, prior: float | None, pull: float | None) -> tuple[float, float]:
+    """(prior, pull), chosen on rows that did not teach if not given; the middle ones if the rows are too few or of one class."""
+    rows = range(min(tune, len(lessons.y)))
+    folds = [(lessons.part(i for i in rows if i % FOLDS == f), lessons.part(i for i in rows if i % FOLDS != f)) for f in range(FOLDS)]
+    if any(len(set(taught.y.tolist())) < 2 or not len(held.y) for held, taught in folds):
+        return PRIORS[2] if prior is None else prior, PULLS[1] if pull is None else pull
 
+    def losses(prior: float, pull: float) -> tuple[float, int]:
+        found = [held.losses(*taught.fit(n_features, prior, pull)) for held, taught in folds]
+        return sum(loss for loss, _ in found), sum(wrong for _, wrong in found)
 
-def neutral_words(counts: DataFrame, totals: DataFrame, spread: float, n: int) -> Groups:
-    """By language, the ``n`` commonest words that stand in a share of ``spread`` or more of the documents of either label."""
-    size = totals.select("lang", F.col("n0").alias("of0"), F.col("n1").alias("of1")).filter("of0 > 0 AND of1 > 0")
-    words = counts.filter("NOT startswith(feature, '^')").join(F.broadcast(size), "lang")
-    wide = words.filter((F.col("n0") >= spread * F.col("of0")) & (F.col("n1") >= spread * F.col("of1")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("n0") + F.col("n1")), "feature"))
-    rows = wide.withColumn("place", place).filter(F.col("place") <= n).select("lang", "place", "feature").collect()
-    groups: dict[str, list[tuple[int, str]]] = {}
-    for r in rows:
-        groups.setdefault(r["lang"], []).append((r["place"], r["feature"]))
-    return tuple(tuple(w for _, w in sorted(words)) for _, words in sorted(groups.items()) if len(words) > 1)
+    if prior is None:
+        prior = min(PRIORS, key=lambda p: losses(p, PULLS[1] if pull is None else pull)[0])
+    if pull is None:
+        loss, wrong = losses(prior, 0.0)
+        for pull in reversed(PULLS):
+            other, more = losses(prior, pull)
+            if more <= wrong and other <= 1.05 * loss:
+                break
+        else:
+            pull = 0.0
+    return prior, pull
 
 
 def fit(
@@ -164,33 +214,32 @@ def fit(
     n_neutral: int = 64,
     mentions: int = 4,
     swaps: int = 3,
-    pull: float = 3.0,
+    pull: float | None = None,
+    prior: float | None = None,
+    tune: int = 1_000,
 ) -> Model:
     """Learns from labelled rows that ``learn`` (a condition on ``doc_id``; by default: not held out) lets through."""
     rows = scratch.table(teaching_rows(docs, labels, label, ~held_out() if learn is None else learn, sample), "teaching")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        counts: dict[tuple[str, str], list[int]] = {}
+        counts: dict[str, list[int]] = {}
         for batch in slices(batches):
-            for text, lang, y in zip(texts(batch), batch.column("lang").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            for text, y in zip(texts(batch), batch.column("y").to_pylist(), strict=True):
                 for f in features(text):
-                    counts.setdefault((lang, f), [0, 0])[y > 0] += 1
+                    counts.setdefault(f, [0, 0])[y > 0] += 1
         n0, n1 = zip(*counts.values(), strict=True) if counts else ((), ())
-        langs, names = zip(*counts, strict=True) if counts else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(n0, pa.int64()), pa.array(n1, pa.int64())], ["lang", "feature", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(n0, pa.int64()), pa.array(n1, pa.int64())], ["feature", "n0", "n1"])
 
-    totals = rows.groupBy("lang").agg(F.count_if(F.col("y") > 0).alias("n1"), F.count_if(F.col("y") <= 0).alias("n0"))
-    n1, n0 = totals.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n0"), F.lit(0))).first()
+    n1, n0 = rows.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
     if not n0 + n1:
         return Model({}, -np.inf)
     odds = lambda n, of: F.log((F.col(n) + 0.5) / (F.lit(of) - F.col(n) + 0.5))
     spreads = F.sqrt(1 / (F.col("n0") + 0.5) + 1 / (F.col("n1") + 0.5))
-    counted = rows.mapInArrow(count, "lang string, feature string, n0 long, n1 long").groupBy("lang", "feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = scratch.table(counted, "counted")
-    every = counted.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= min_docs)
+    counted = rows.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    every = scratch.table(counted.filter(F.col("n0") + F.col("n1") >= min_docs), "counted")
     sure = every.withColumn("z", F.abs(odds("n1", n1) - odds("n0", n0)) / spreads).filter(F.col("z") >= min_z)
-    groups = tuple(identity) + neutral_words(counted, totals, spread, n_neutral)
+    groups = tuple(identity) + neutral_words(every, n0, n1, spread, n_neutral)
     others = partners(groups, swaps)
     terms = every.filter(F.col("feature").isin(sorted(others))).select("feature")  # bounded by the list of terms
     best = sure.orderBy(F.desc("z"), "feature").limit(n_features).select("feature")
@@ -216,11 +265,13 @@ def fit(
     # at most ``sample`` short rows; in an order of their own, so that the sums do not depend on how they were dealt
     schema = "y int, x array<int>, gone array<array<int>>, come array<array<int>>, made int, place long"
     found = rows.mapInArrow(rows_of, schema).toArrow().sort_by([("place", "ascending"), ("y", "ascending")]).combine_chunks()
-    lists = {c: found.column(c).combine_chunks() for c in ("x", "gone", "come")}
-    gone, come = (SparseRows.of(lists[c].flatten()) for c in ("gone", "come"))
-    labels_of = (found.column("y").to_numpy() > 0).astype(float)
-    w, b = fit_sparse(SparseRows.of(lists["x"]), labels_of, len(chosen), gone, come, pull)
-    return Model({f: float(w[i]) for f, i in number.items() if w[i]}, b, int(found.column("made").to_numpy().sum()), gone.n, groups[len(identity) :])
+    scratch.drop("teaching", "counted")
+    lists = {c: found.column(c).to_pylist() for c in ("x", "gone", "come")}
+    lessons = Lessons(lists["x"], (found.column("y").to_numpy() > 0).astype(float), lists["gone"], lists["come"])
+    prior, pull = tuned(lessons, len(chosen), tune, prior, pull)
+    w, b = lessons.fit(len(chosen), prior, pull)
+    weights = {f: float(w[i]) for f, i in number.items() if w[i]}
+    return Model(weights, b, int(found.column("made").to_numpy().sum()), sum(map(len, lessons.gone)), groups[len(identity) :], prior, pull)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,5 +1,7 @@
 """Classifiers, rules, mixing, neighbours, and the pipeline."""
 
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -143,7 +145,7 @@ def test_penalty_lowers_the_change():
 
 
 def test_penalty_works_on_the_given_tables(spark, scratch):
-    """Neutral words of each language are swapped, and a swap changes scores of held-out documents far less than without the penalty."""
+    """Neutral words are swapped, and a swap changes scores of held-out documents far less than without the penalty."""
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     held = [r["text"] for r in docs.join(labels, "doc_id").filter(toxicity.held_out()).select("text").collect()]
@@ -159,6 +161,78 @@ def test_penalty_works_on_the_given_tables(spark, scratch):
     assert change[3.0] < 0.3 * change[0.0]
 
 
+def plain_toxicity(rows, given, identity, spread, n_neutral, mentions, swaps, pull, prior, min_docs=3, min_z=3.5):
+    """Scores of texts ``given`` by a model of ``rows`` (text, y): features, counts, swaps and descent over dense rows, one thing after the other."""
+    words = lambda t: {w for w in re.findall(r"[^\W_]+", t.lower())}
+    parts = lambda ws: {f for w in ws for f in (w, *(f"^{w[:k]}" for k in range(4, 8) if len(w) >= k))}
+    n = [sum(y == v for _, y in rows) for v in (0, 1)]
+    counts = [Counter(f for t, y in rows if y == v for f in parts(words(t))) for v in (0, 1)]
+    every = {f for f in {*counts[0], *counts[1]} if counts[0][f] + counts[1][f] >= min_docs}
+
+    def z(f):
+        odds = [math.log((counts[v][f] + 0.5) / (n[v] - counts[v][f] + 0.5)) for v in (0, 1)]
+        return abs(odds[1] - odds[0]) / math.sqrt(sum(1 / (counts[v][f] + 0.5) for v in (0, 1)))
+
+    wide = sorted((f for f in every if f[0] != "^" and all(counts[v][f] >= spread * n[v] for v in (0, 1))), key=lambda f: (-counts[0][f] - counts[1][f], f))[:n_neutral]
+    groups = [*identity, *([wide] if len(wide) > 1 else [])]
+    partners = {}
+    for group in groups:
+        for i, term in enumerate(group):
+            for k in range(1, min(swaps, len(group) - 1) + 1):
+                if (other := group[(i + k) % len(group)]) not in partners.setdefault(term, []):
+                    partners[term].append(other)
+    chosen = sorted({f for f in every if z(f) >= min_z} | {t for t in partners if t in every})
+    vector = lambda ws: np.array([float(f in parts(ws)) for f in chosen])
+    x, y, moved = np.array([vector(words(t)) for t, _ in rows]), np.array([float(y) for _, y in rows]), []
+    for t, _ in rows:
+        ws = words(t)
+        for term in sorted((w for w in ws if w in partners), key=lambda w: (zlib.crc32(f"{len(ws)} {w}".encode()), w))[:mentions]:
+            for other in partners[term]:
+                if other not in ws and (vector(ws) != vector(ws - {term} | {other})).any():
+                    moved.append(vector(ws) - vector(ws - {term} | {other}))
+    w, b, m, v = np.zeros(len(chosen)), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    moved = np.array(moved)
+    for step in range(1, 401):
+        off = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        grad = np.append(x.T @ off + prior / len(y) * w + 2 * pull * moved.T @ (moved @ w) / len(moved), off.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        change = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, b = w - change[:-1], b - change[-1]
+    return np.array([1 / (1 + math.exp(-(vector(words(t)) @ w + b))) for t in given]), len(moved)
+
+
+@pytest.mark.parametrize("pull", [0.0, 2.0])
+def test_toxicity_equals_a_plain_version(spark, labelled, scratch, pull):
+    docs, labels = labelled
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 9 == 2, F.concat("text", F.lit("A muslim and two hindus met."))).otherwise(F.col("text")))
+    more = spark.createDataFrame([(4, "again", "en", "s0", 5), (9, "You idiot, long words. " * 20_000, "de", "s1", 7), (700, None, None, None, None), (701, "", "", "", 0)], docs.schema)
+    docs = docs.union(more).repartition(3)
+    model = toxicity.fit(docs, labels, scratch, spread=0.05, n_neutral=6, mentions=2, swaps=2, pull=pull, prior=1.5)
+    texts, known = {}, {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    for r in docs.collect():
+        texts[r["doc_id"]] = max(texts.get(r["doc_id"], ""), r["text"] or "")
+    taught = [(texts[d], y) for d, y in known.items() if zlib.crc32(str(d).encode()) % 5]
+    given = [r["text"] or "" for r in docs.collect()]
+    expected, moved = plain_toxicity(taught, given, toxicity.IDENTITY, 0.05, 6, 2, 2, pull, 1.5)
+    assert model.pairs == moved > 100 and (model.prior, model.pull) == (1.5, pull)
+    by_id = sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs, model).collect())
+    assert np.allclose([s for _, s in by_id], [s for _, s in sorted(zip((r["doc_id"] for r in docs.collect()), expected, strict=True))], atol=1e-5)
+
+
+def test_prior_and_pull_are_chosen_on_rows_that_did_not_teach():
+    """A mention that tells nothing in new rows gets the highest price; one that does tell keeps a low one."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(400) < 0.5).astype(float)
+    noise = [int(v) for v in rng.integers(0, 2, 400)]
+    x = [[0] * int(v > 0) + [1] * m + [3 + int(k)] for v, m, k in zip(y, noise, rng.integers(0, 60, 400), strict=True)]
+    swaps = lambda at: [[[at]] if at in row else [] for row in x]
+    come = lambda at: [[[2]] if at in row else [] for row in x]
+    idle = toxicity.tuned(toxicity.Lessons(x, y, swaps(1), come(1)), 63, 400, None, None)
+    telling = toxicity.tuned(toxicity.Lessons(x, y, swaps(0), come(0)), 63, 400, None, None)
+    assert idle[1] == max(toxicity.PULLS) and telling[1] < idle[1]
+    assert toxicity.tuned(toxicity.Lessons([[0]], np.array([1.0]), [[]], [[]]), 1, 400, None, None) == (toxicity.PRIORS[2], toxicity.PULLS[1])
+
+
 def plain_exchange(p, taken, growth, sure):
     out = {}
     for label, q in ((1.0, p), (0.0, 1 - p)):
