@@ -16,7 +16,7 @@ block; a task holds one block. Each block gives a query's best ``k``, and the be
 a bounded sample (``sample`` rows with the smallest hash); every row is indexed.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components are neither indexed nor queried; vectors of
-another length than the query are no candidates; rows with the same id count once, with the smallest vector, and a query is not its own
+another length than the query are no candidates, and those of a length that the sample lacks have no pivots, so they are all compared; rows with the same id count once, with the smallest vector, and a query is not its own
 candidate; null ids take no part; a query with fewer candidates than ``k`` gets all; equal scores go to the smaller id; an empty table
 gives no rows.
 """
@@ -74,7 +74,7 @@ class Block:
         for rank, pivot in enumerate(near):
             total += np.maximum(self.files[pivot], rank, out=ranks)
         footrule = p * (p + 1) - 2 * (p * p - total.astype(np.int64))
-        wanted = min(n, max(int(np.ceil(share * n)), 10 * k))
+        wanted = min(n, max(int(np.ceil(share * n)), k))
         rows = np.flatnonzero(footrule <= np.partition(footrule, wanted - 1)[wanted - 1])
         rows = rows[self.ids[rows] != query_id]
         scores = (self.vectors[rows] * query).sum(axis=1)  # row by row, so that equal vectors have equal scores in any block
@@ -100,11 +100,11 @@ def search(
     blocks = rows.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks"))
     # one length of vectors is the rule; each has its own pivots and blocks
     sizes = {r["dim"]: r["n_blocks"] for r in blocks.collect()}
-    place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id"))
-    chosen: dict[int, list] = {}
-    for r in rows.withColumn("place", place).filter(F.col("place") <= sample).select("dim", "place", "vec").collect():
-        chosen.setdefault(r["dim"], []).append((r["place"], r["vec"]))
-    pivots = {dim: choose_pivots(np.array([v for _, v in sorted(found)]), n_pivots) for dim, found in chosen.items()}
+    # a sort with a limit: no task sees more than its own rows and ``sample`` of each other's
+    chosen: dict[int, list] = {dim: [] for dim in sizes}
+    for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("dim", "vec").collect():
+        chosen[r["dim"]].append(r["vec"])
+    pivots = {dim: choose_pivots(np.array(found).reshape(-1, dim), n_pivots) for dim, found in chosen.items()}
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n_blocks = F.lit(1)

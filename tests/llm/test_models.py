@@ -100,6 +100,23 @@ def test_neighbours_recall_and_cases(spark, data, scratch):
     assert neighbours.search(both.limit(0), scratch, F.col("id") % 20 == 0).count() == 0
 
 
+def test_neighbours_ties_and_lengths(spark, scratch):
+    """Equal vectors under many ids, over several blocks, come by id; a few vectors of another length, that have no pivots, are compared all the same."""
+    rng = np.random.default_rng(9)
+    kinds = rng.normal(size=(6, 16))
+    rows = [(i, kinds[i % 6].tolist()) for i in range(240)] + [(1000 + i, [float(i), 1.0]) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in neighbours.search(table, scratch, F.col("id") % 20 == 0, k=20, block_rows=32, sample=40, n_pivots=6, prefix=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+    vectors = dict(rows)
+    for q, found in got.items():
+        same = [i for i, v in rows if len(v) == len(vectors[q]) and i != q]
+        best = sorted(same, key=lambda i: (-round(float(np.dot(vectors[i], vectors[q])), 9), i))[:20]
+        assert found == best
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     """Toxic texts say 'idiot'; women are mentioned in most of them, and in a few others."""
