@@ -8,16 +8,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import cosine, dot
+from lacuna.functions.scratch import written
 
 Kernel = Callable[[Column, Column, Column, Column], Column]
 
 
-def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(fv_a, fv_b, n11, n10, n01, n00) over entities that both profiles (fv, entity, present) observe. Filter queries first."""
-    x = a.select(F.col("fv").alias("fv_a"), "entity", F.col("present").alias("_x"))
-    y = b.select(F.col("fv").alias("fv_b"), "entity", F.col("present").alias("_y"))
-    cell = lambda p, q: F.count_if((F.col("_x") == p) & (F.col("_y") == q))
-    return x.join(y, "entity").groupBy("fv_a", "fv_b").agg(cell(True, True).alias("n11"), cell(True, False).alias("n10"), cell(False, True).alias("n01"), cell(False, False).alias("n00"))
+#: Entities of a chunk on average, and of a word of its bitmaps.
+CHUNK, WORD = 1024, 64
+
+
+def bitmaps(profile: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(chunk, fv, observed, present): one row per value and chunk of entities, with the two sets as lists of 64-bit words. ``numbers`` is (entity, chunk, number)."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("number") % WORD).cast("int"))
+    words = profile.join(numbers, "entity").withColumn("word", F.floor(F.col("number") / WORD).cast("int")).groupBy("chunk", "fv", "word")
+    words = words.agg(F.bit_or(bit).alias("o"), F.bit_or(F.when(F.col("present"), bit).otherwise(F.lit(0).cast("long"))).alias("p"))
+    by_word = words.groupBy("chunk", "fv").agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct("o", "p")))).alias("words"))
+    filled = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("words"))), lambda w: F.try_element_at("words", w))
+    pick = lambda part: F.transform(filled, lambda w: F.coalesce(w[part], F.lit(0).cast("long")))
+    return by_word.select("chunk", "fv", pick("o").alias("observed"), pick("p").alias("present"))
+
+
+def shared_bits(a: str, b: str) -> Column:
+    """How many bits two lists of words have in common; the shorter one ends with zeros."""
+    both = F.zip_with(a, b, lambda x, y: F.coalesce(F.bit_count(x.bitwiseAND(y)).cast("long"), F.lit(0).cast("long")))
+    return F.aggregate(both, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def numbered_entities(a: DataFrame, b: DataFrame, chunk: int) -> DataFrame:
+    """(entity, chunk, number): the entities that both profiles have, dealt into chunks by hash and numbered inside."""
+    shared = written(a.select("entity").distinct().join(b.select("entity").distinct(), "entity", "left_semi"), "shared-entities")
+    n_chunks = max(1, -(-shared.count() // chunk))
+    dealt = shared.withColumn("chunk", F.pmod(F.xxhash64("entity"), F.lit(n_chunks)).cast("int"))
+    return dealt.withColumn("number", F.row_number().over(Window.partitionBy("chunk").orderBy("entity")) - 1)
+
+
+def contingency(a: DataFrame, b: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(fv_a, fv_b, n11, n10, n01, n00) over entities that both profiles (fv, entity, present) observe. Filter queries first.
+
+    Values are bitmaps over chunks of entities, and the counts are bits of intersections: what is joined is one row per value and chunk, and values that are observed in no
+    common chunk are never paired.
+    """
+    numbers = written(numbered_entities(a, b, chunk), "entity-numbers")
+    x, y = (bitmaps(p, numbers).select("chunk", F.col("fv").alias(f"fv_{n}"), F.col("observed").alias(f"o_{n}"), F.col("present").alias(f"p_{n}")) for p, n in ((a, "a"), (b, "b")))
+    pairs = x.join(y, "chunk").select("fv_a", "fv_b", shared_bits("o_a", "o_b").alias("n"), shared_bits("p_a", "p_b").alias("n11"), shared_bits("p_a", "o_b").alias("na"), shared_bits("o_a", "p_b").alias("nb"))
+    sums = pairs.filter("n > 0").groupBy("fv_a", "fv_b").agg(*(F.sum(c).alias(c) for c in ("n", "n11", "na", "nb")))
+    return sums.selectExpr("fv_a", "fv_b", "n11", "na - n11 AS n10", "nb - n11 AS n01", "n - na - nb + n11 AS n00")
 
 
 def k_cosine(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:

@@ -32,9 +32,12 @@ def profile(i):
     return trees.direction_profile(trees.arcs(tokens(i)))
 
 
-@query(TOK + "SELECT lang, split, sent, id, head, deprel, head_pos, upos AS dep_pos, before FROM arc")
+@query(TOK + "SELECT lang, split, sent, count(*) AS n, string_agg(concat_ws(' ', id, head, deprel, head_pos, upos, before), '\n' ORDER BY id) AS arcs FROM arc GROUP BY lang, split, sent")
 def d1_arcs(i):
-    return trees.arcs(tokens(i))
+    """A row per sentence, with all its arcs listed: the arcs themselves are too many rows for a row-by-row comparison."""
+    line = F.concat_ws(" ", "id", "head", "deprel", "head_pos", "dep_pos", "before")
+    listed = F.sort_array(F.collect_list(F.struct("id", line.alias("line"))))
+    return trees.arcs(tokens(i)).groupBy("lang", "split", "sent").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("arcs"))
 
 
 @query(TOK + "SELECT lang, config, k, n, round(p, 8) AS p FROM prof")
