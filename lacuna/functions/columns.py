@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Bits of a draw, and of the range of draws that is sorted at a time.
 DRAW_BITS, RANGE_BITS = 60, 10
@@ -90,3 +93,32 @@ def numbered(rows: DataFrame, order: Column, tie: str, *keys: str, name: str = "
     starts = sizes.select(*keys, "_range", before.alias("_start"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_draw", tie))
     return dealt.withColumn("_inside", inside).join(starts, [*keys, "_range"]).withColumn(name, F.col("_start") + F.col("_inside")).select(*rows.columns, name)
+
+
+#: Rounds of ``permuted``, and the prime under which its numbers are mixed.
+ROUNDS, PRIME = 16, 2147483647
+
+
+@F.pandas_udf(LongType())
+def moved_places(place: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+    """Whole batches at a time; see ``permuted``."""
+    mix = lambda v: v * (v % 65521 + 7) % PRIME
+    at, size, key = (x.to_numpy(dtype=np.int64) for x in (place, n, key))
+    for r in range(ROUNDS):
+        turn = (key * 40503 + r * 7919) % PRIME
+        other = (mix(turn) % size - at) % size
+        swap = mix((np.maximum(at, other) * 2654435 + turn) % PRIME) // 4096 % 2 == 1
+        at = np.where(swap, other, at)
+    return pd.Series(at)
+
+
+def permuted(place: str, n: str, seed: int, *keys: str) -> Column:
+    """Where a permutation of 0 .. n-1 puts a place; each value of the integer keys has a permutation of its own.
+
+    Arithmetic on the row alone, so nothing is sorted or moved. In each round a place and its mirror image about a point that the keys give
+    change places or not, as one bit of a hash of the larger of the two says: a bijection, whatever the hash. ``plans.inputs.permuted_sql`` is the same in SQL.
+    """
+    key = F.lit(seed).cast("long")
+    for c in keys:
+        key = (key * 1000003 + F.col(c).cast("long")) % PRIME
+    return moved_places(F.col(place).cast("long"), F.col(n).cast("long"), key)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import average_rank, correlation, draw, haversine_km, numbered
+from lacuna.functions.columns import average_rank, correlation, draw, haversine_km, numbered, permuted
+from lacuna.functions.scratch import written
 from lacuna.operators.search import top_k
 
 CELL = ("entity", "feature")
@@ -84,10 +85,14 @@ def bootstrap_ci(by_entity: DataFrame, n: int = 1000, reference: str = "ref", se
 
 
 def permutation_test(rows: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
-    """One row from (id, arm 0/1, x): the difference of the arms' means and p = (at least as large + 1) / (n + 1)."""
-    sizes = rows.agg(F.sum("arm").alias("_n1"), (F.avg(F.when(F.col("arm") == 1, F.col("x"))) - F.avg(F.when(F.col("arm") == 0, F.col("x")))).alias("diff"))
-    each = rows.crossJoin(rows.sparkSession.range(n).withColumnRenamed("id", "replicate"))
-    dealt = numbered(each, draw(seed, "replicate", "id"), "id", "replicate", name="_p").crossJoin(F.broadcast(sizes)).withColumn("_a", F.col("_p") <= F.col("_n1"))
+    """One row from (id, arm 0/1, x): the difference of the arms' means and p = (at least as large + 1) / (n + 1).
+
+    In each replicate the rows that a permutation puts among the first places are the arm, so each row knows its arms by arithmetic and only sums of replicates are shuffled.
+    """
+    sizes = rows.agg(F.sum("arm").alias("_n1"), F.count("*").alias("_n"), (F.avg(F.when(F.col("arm") == 1, F.col("x"))) - F.avg(F.when(F.col("arm") == 0, F.col("x")))).alias("diff"))
+    placed = written(numbered(rows, draw(seed, "id"), "id", name="_p").select("x", (F.col("_p") - 1).alias("_p")), "permutation-rows")
+    each = placed.crossJoin(F.broadcast(sizes)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))  # one row beside each row, and n numbers
+    dealt = each.withColumn("_a", permuted("_p", "_n", seed, "replicate") < F.col("_n1"))
     by = dealt.groupBy("replicate").agg((F.avg(F.when(F.col("_a"), F.col("x"))) - F.avg(F.when(~F.col("_a"), F.col("x")))).alias("d"), F.first("diff").alias("diff"))
     return by.agg(F.first("diff").alias("diff"), ((F.count_if(F.abs(F.col("d")) >= F.abs(F.col("diff"))) + 1) / (F.count("*") + 1)).alias("p"))
 

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import cosine, dot, draw, euclidean, norm, numbered, unit_draw
+from lacuna.functions.columns import cosine, dot, draw, euclidean, norm, numbered, permuted, unit_draw
+from lacuna.functions.scratch import written
 from lacuna.operators.search import BLOCK, top_k
 
 
@@ -123,13 +124,17 @@ def group_preservation(near: DataFrame, groups: DataFrame, n: int = 500, seed: i
     sizes = groups.groupBy("group").agg(F.count("*").alias("_n")).filter("_n > 1").select("group")
     known = groups.join(sizes, "group", "left_semi").select("id", "group")
     pairs = near.select("source", "target").join(known.select(F.col("id").alias("source")), "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi")
-    here = numbered(known, draw(seed, "id"), "id", name="_p").select("id", "group", "_p")
-    each = here.crossJoin(F.broadcast(near.sparkSession.range(1, n + 1).withColumnRenamed("id", "replicate")))
-    there = numbered(each.select("replicate", "id", "group"), draw(seed, "replicate", "id"), "id", "replicate", name="_p").select("replicate", "_p", "group")
-    shuffled = here.select("id", "_p").join(there, "_p").select("replicate", "id", "group")
-    labels = shuffled.union(known.select(F.lit(0).cast("long").alias("replicate"), "id", "group"))  # replicate 0 is the truth
-    a, b = (labels.select("replicate", F.col("id").alias(i), F.col("group").alias(g)) for i, g in (("source", "_ga"), ("target", "_gb")))
-    share = pairs.join(a, "source").join(b, ["replicate", "target"]).groupBy("replicate").agg(F.round(F.avg((F.col("_ga") == F.col("_gb")).cast("double")), 12).alias("share"))
+    here = written(numbered(known, draw(seed, "id"), "id", name="_p").select("id", "group", (F.col("_p") - 1).alias("_p")), "preservation-places")
+    size = F.broadcast(here.agg(F.count("*").alias("_size")))
+    for end, p in (("source", "_ps"), ("target", "_pt")):
+        pairs = pairs.join(here.select(F.col("id").alias(end), F.col("_p").alias(p)), end)
+    # replicate 0 is the truth; in the others the label of a row is that of the row where a permutation puts it
+    each = pairs.select("_ps", "_pt").crossJoin(size).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    for p in ("_ps", "_pt"):
+        each = each.withColumn(p, F.when(F.col("replicate") > 0, permuted(p, "_size", seed, "replicate")).otherwise(F.col(p)))
+    for p, g in (("_ps", "_ga"), ("_pt", "_gb")):
+        each = each.join(here.select(F.col("_p").alias(p), F.col("group").alias(g)), p)
+    share = each.groupBy("replicate").agg(F.round(F.avg((F.col("_ga") == F.col("_gb")).cast("double")), 12).alias("share"))
     truth = F.max(F.when(F.col("replicate") == 0, F.col("share")))
     out = share.withColumn("truth", truth.over(Window.partitionBy(F.lit(0))))  # one row a replicate
     null = F.when(F.col("replicate") > 0, F.col("share"))
@@ -194,12 +199,12 @@ def procrustes_disparity(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def procrustes_permutation(a: DataFrame, b: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
     """One row: disparity, mean over ``n`` shuffles of b's rows, p. Each shuffle costs d x d numbers."""
-    pairs = paired(a, b)
-    here = numbered(pairs, draw(seed, "id"), "id", name="_p")
-    each = here.select("id", "_b").crossJoin(F.broadcast(a.sparkSession.range(1, n + 1).withColumnRenamed("id", "replicate")))
-    there = numbered(each, draw(seed, "replicate", "id"), "id", "replicate", name="_p").select("replicate", "_p", "_b")
-    shuffled = here.select("_p", "_a").join(there, "_p").select("replicate", "_a", "_b")
-    shuffled = shuffled.union(pairs.select(F.lit(0).cast("long").alias("replicate"), "_a", "_b"))  # replicate 0 is the truth
+    here = written(numbered(paired(a, b), draw(seed, "id"), "id", name="_p").select("_a", "_b", (F.col("_p") - 1).alias("_p")), "procrustes-rows")
+    size = F.broadcast(here.agg(F.count("*").alias("_size")))
+    # replicate 0 is the truth; in the others a row meets the row where a permutation puts it
+    each = here.select("_a", "_p").crossJoin(size).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    moved = each.withColumn("_p", F.when(F.col("replicate") > 0, permuted("_p", "_size", seed, "replicate")).otherwise(F.col("_p")))
+    shuffled = moved.join(here.select("_p", "_b"), "_p").select(F.col("replicate").cast("long").alias("replicate"), "_a", "_b")
     found = {s[0][0]: disparity(s) for s in cross_products(shuffled, "replicate")}
     null = [d for r, d in found.items() if r]
     row = (found[0], float(np.mean(null)), (sum(d <= found[0] for d in null) + 1) / (len(null) + 1)) if found else (None, None, None)
@@ -383,7 +388,8 @@ def axis_centroid_accuracy(items: DataFrame, axis: str, cls: str) -> DataFrame:
 
 def shuffled_ordinal_null(items: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
     """(keys, mean, std): ordinal correlation over ``n`` shuffles of the places within each key; the replicate is one more key."""
-    here = numbered(items, draw(seed, *keys, "id"), "id", *keys, name="_p")
-    each = items.select(*keys, "id", "place").crossJoin(F.broadcast(items.sparkSession.range(n).withColumnRenamed("id", "replicate")))
-    drawn = numbered(each, draw(seed, "replicate", *keys, "id"), "id", "replicate", *keys, name="_p").select("replicate", *keys, "_p", "place")
-    return ordinal_spearman(here.drop("place").join(drawn, [*keys, "_p"]), "replicate", *keys).groupBy(*keys).agg(F.avg("rho").alias("mean"), F.stddev_pop("rho").alias("std"))
+    here = written(numbered(items, draw(seed, *keys, "id"), "id", *keys, name="_p").withColumn("_p", F.col("_p") - 1), "ordinal-places")
+    sizes = here.groupBy(*keys).agg(F.count("*").alias("_size"))
+    each = here.drop("place").join(sizes, list(keys)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    moved = each.withColumn("_p", permuted("_p", "_size", seed, "replicate")).drop("_size")
+    return ordinal_spearman(moved.join(here.select(*keys, "_p", "place"), [*keys, "_p"]), "replicate", *keys).groupBy(*keys).agg(F.avg("rho").alias("mean"), F.stddev_pop("rho").alias("std"))

@@ -11,11 +11,26 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.functions.columns import PRIME, ROUNDS
+
+
 def draw_sql(seed: int, *columns: str) -> str:
     """``functions.columns.draw`` in SQL."""
     return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(columns)})), 1, 15))::BIGINT"
 
 
+def permuted_sql(place: str, n: str, seed: int, *keys: str) -> str:
+    """``functions.columns.permuted`` in SQL."""
+    key = f"{seed}::BIGINT"
+    for c in keys:
+        key = f"(({key} * 1000003 + ({c})::BIGINT) % {PRIME})"
+    mix = lambda v: f"(({v}) * (({v}) % 65521 + 7) % {PRIME})"
+    turn = f"(({key} * 40503 + _r * 7919) % {PRIME})"
+    other = f"(({mix(turn)} % ({n}) - _at + ({n})) % ({n}))"
+    bit = f"(({mix(f'(greatest(_at, {other}) * 2654435 + {turn}) % {PRIME}')} // 4096) % 2)"
+    return f"list_reduce(list_prepend(({place})::BIGINT, range(0, {ROUNDS})), lambda _at, _r: CASE WHEN {bit} = 1 THEN {other} ELSE _at END)"
+
+
 #: name, SQL expression and number of each feature of database A
 FEATURES = (
     ("adj", "split_part(p_name, ' ', 1)", 1),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lacuna.operators import coding, evaluate, impute
-from lacuna.plans.inputs import draw_sql
+from lacuna.plans.inputs import draw_sql, permuted_sql
 from lacuna.plans.q_coding import CATALOG
 from lacuna.plans.registry import query
 
@@ -83,7 +83,7 @@ def e8_bootstrap_ci(i):
 
 
 @query(f""", t AS (SELECT vec_id AS id, label < 5 AS arm, embedding[1]::DOUBLE AS x FROM embeddings), df AS (SELECT avg(x) FILTER (arm) - avg(x) FILTER (NOT arm) AS diff, count(*) FILTER (arm) AS n1 FROM t),
-pm AS (SELECT rep, x, row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(42, "rep", "id")}, id) <= (SELECT n1 FROM df) AS a FROM t CROSS JOIN (SELECT unnest(range(0, 200)) AS rep)), dd AS (SELECT rep, avg(x) FILTER (a) - avg(x) FILTER (NOT a) AS d FROM pm GROUP BY rep)
+pl AS (SELECT x, row_number() OVER (ORDER BY {draw_sql(42, "id")}, id) - 1 AS p, count(*) OVER () AS n FROM t), pm AS (SELECT rep, x, {permuted_sql("p", "n", 42, "rep")} < (SELECT n1 FROM df) AS a FROM pl CROSS JOIN (SELECT unnest(range(0, 200)) AS rep)), dd AS (SELECT rep, avg(x) FILTER (a) - avg(x) FILTER (NOT a) AS d FROM pm GROUP BY rep)
 SELECT round((SELECT diff FROM df), 8) AS diff, round((count(*) FILTER (abs(d) >= abs((SELECT diff FROM df))) + 1) / (count(*) + 1), 8) AS p FROM dd""")
 def e9_permutation_test(i):
     rows = i.table("embeddings").selectExpr("vec_id AS id", "CAST(label < 5 AS INT) AS arm", "CAST(embedding[0] AS DOUBLE) AS x")

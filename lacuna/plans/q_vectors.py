@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.columns import normalised
 from lacuna.operators import retrieve, vectors
-from lacuna.plans.inputs import draw_sql
+from lacuna.plans.inputs import draw_sql, permuted_sql
 from lacuna.plans.q_retrieve import SOFT, soft, values_of
 from lacuna.plans.registry import query
 
@@ -94,8 +94,8 @@ def v8_neighbour_jaccard(i):
     return r(vectors.neighbour_jaccard(parts[0].union(parts[1]).union(parts[2])), "mean")
 
 
-SHUFFLED = f""", known AS (SELECT id, label AS grp FROM v WHERE label IN (SELECT label FROM v GROUP BY label HAVING count(*) > 1)), reps AS (SELECT unnest(range(1, 101)) AS rep), here AS (SELECT id, row_number() OVER (ORDER BY {draw_sql(42, "id")}, id) AS p FROM known),
-there AS (SELECT rep, grp, row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(42, "rep", "id")}, id) AS p FROM known CROSS JOIN reps), lab AS (SELECT 0 AS rep, id, grp FROM known UNION ALL SELECT rep, id, grp FROM here JOIN there USING (p))"""
+SHUFFLED = f""", known AS (SELECT id, label AS grp FROM v WHERE label IN (SELECT label FROM v GROUP BY label HAVING count(*) > 1)), reps AS (SELECT unnest(range(1, 101)) AS rep), here AS (SELECT id, grp, row_number() OVER (ORDER BY {draw_sql(42, "id")}, id) - 1 AS p, count(*) OVER () AS n FROM known),
+there AS (SELECT rep, id, {permuted_sql("p", "n", 42, "rep")} AS p FROM here CROSS JOIN reps), lab AS (SELECT 0 AS rep, id, grp FROM known UNION ALL SELECT rep, there.id, here.grp FROM there JOIN here USING (p))"""
 
 
 @query(NEAR + SHUFFLED + """, sh AS (SELECT a.rep, round(avg((a.grp = b.grp)::INT), 12) AS share FROM nn JOIN lab a ON a.id = nn.source JOIN lab b ON b.id = nn.target AND b.rep = a.rep WHERE nn.rank <= 10 GROUP BY a.rep), tr AS (SELECT share AS truth FROM sh WHERE rep = 0)
@@ -117,6 +117,17 @@ def v10_procrustes_disparity(i):
     return r(vectors.procrustes_disparity(a, b), "disparity")
 
 
+@query(V + f""", here AS (SELECT vec[1] AS a1, vec[2] AS a2, vec[33] AS b1, vec[34] AS b2, row_number() OVER (ORDER BY {draw_sql(42, "id")}, id) - 1 AS p, count(*) OVER () AS n FROM v),
+there AS (SELECT rep, a1, a2, CASE WHEN rep = 0 THEN p ELSE {permuted_sql("p", "n", 42, "rep")} END AS p FROM here CROSS JOIN (SELECT unnest(range(0, 51)) AS rep)),
+s AS (SELECT rep, covar_pop(a1, h.b1) AS m11, covar_pop(a1, h.b2) AS m12, covar_pop(a2, h.b1) AS m21, covar_pop(a2, h.b2) AS m22, (var_pop(a1) + var_pop(a2)) * (var_pop(h.b1) + var_pop(h.b2)) AS t FROM there JOIN here_b h USING (p) GROUP BY rep),
+d AS (SELECT rep, 1 - (m11 ** 2 + m12 ** 2 + m21 ** 2 + m22 ** 2 + 2 * abs(m11 * m22 - m12 * m21)) / t AS d FROM s)
+SELECT round((SELECT d FROM d WHERE rep = 0), 7) AS disparity, round(avg(d), 7) AS null_mean, round((count(*) FILTER (d <= (SELECT d FROM d WHERE rep = 0)) + 1) / (count(*) + 1), 7) AS p FROM d WHERE rep > 0""".replace("JOIN here_b h", "JOIN (SELECT p, b1, b2 FROM here) h"))
+def v11b_procrustes_permutation_plane(i):
+    """Planes, whose singular values SQL can give: their sum, squared, is that of all squares and twice the determinant."""
+    a, b = (i.vecs.select("id", F.slice("vec", start, 2).alias("vec")) for start in (1, 33))
+    return r(vectors.procrustes_permutation(a, b, 50), "disparity", "null_mean", "p", digits=7)
+
+
 @query()
 def v11_procrustes_permutation(i):
     a, _, c = halves(i)
@@ -253,8 +264,8 @@ ORDINAL = """r AS (SELECT {k}, rank() OVER (PARTITION BY {k} ORDER BY g) + (coun
 rho AS (SELECT {k}, CASE WHEN count(*) >= 3 THEN covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) END AS rho FROM r GROUP BY {k})"""
 
 
-@query(V + f""", here AS (SELECT id, label, vec, row_number() OVER (PARTITION BY label ORDER BY {draw_sql(42, "label", "id")}, id) AS p FROM v), there AS (SELECT rep, label, id * 7 % 11 AS place, row_number() OVER (PARTITION BY rep, label ORDER BY {draw_sql(42, "rep", "label", "id")}, id) AS p FROM v CROSS JOIN (SELECT unnest(range(0, 20)) AS rep)),
-it AS (SELECT rep, label, id, vec, place FROM here JOIN there USING (label, p)), pr AS (SELECT a.rep, a.label, abs(a.place - b.place) AS g, round(1 - list_cosine_similarity(a.vec, b.vec), 12) AS d FROM it a JOIN it b ON a.rep = b.rep AND a.label = b.label AND a.id < b.id),
+@query(V + f""", here AS (SELECT id, label, vec, id * 7 % 11 AS place, row_number() OVER (PARTITION BY label ORDER BY {draw_sql(42, "label", "id")}, id) - 1 AS p, count(*) OVER (PARTITION BY label) AS n FROM v),
+there AS (SELECT rep, label, id, vec, {permuted_sql("p", "n", 42, "rep")} AS p FROM here CROSS JOIN (SELECT unnest(range(0, 20)) AS rep)), it AS (SELECT rep, t.label, t.id, t.vec, h.place FROM there t JOIN here h ON h.label = t.label AND h.p = t.p), pr AS (SELECT a.rep, a.label, abs(a.place - b.place) AS g, round(1 - list_cosine_similarity(a.vec, b.vec), 12) AS d FROM it a JOIN it b ON a.rep = b.rep AND a.label = b.label AND a.id < b.id),
 {ORDINAL.format(k="rep, label")} SELECT label, round(avg(rho), 6) AS mean, round(stddev_pop(rho), 6) AS std FROM rho GROUP BY label""")
 def v22_shuffled_null(i):
     return r(vectors.shuffled_ordinal_null(ordinal_items(i), 20, "label"), "mean", "std")
