@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -122,3 +124,16 @@ def permuted(place: str, n: str, seed: int, *keys: str) -> Column:
     for c in keys:
         key = (key * 1000003 + F.col(c).cast("long")) % PRIME
     return moved_places(F.col(place).cast("long"), F.col(n).cast("long"), key)
+
+
+#: How likely a Poisson number of mean 1 is at most 0, 1, 2, ...; beyond the last nothing is drawn.
+POISSON = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9))
+
+
+def poisson_counts(key: str, replicate: str) -> Column:
+    """A hashed Poisson number of mean 1 for each row's key (of 60 bits, as from ``draw``) and replicate. ``plans.inputs.poisson_sql`` is the same in SQL."""
+    mix = lambda v: (v * (v % 65521 + 7)) % PRIME
+    start = (F.col(key) % PRIME + (F.col(replicate).cast("long") + 1) * 7368787) % PRIME
+    u = F.transform(F.array(start), lambda v: mix(v) + F.shiftright(F.col(key), 31))
+    u = F.transform(u, lambda v: (v % PRIME * 48271 + 11) % PRIME)
+    return F.transform(F.transform(u, mix), lambda v: F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda t: v >= t)))[0]

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import average_rank, correlation, draw, haversine_km, numbered, permuted
+from lacuna.functions.columns import average_rank, correlation, draw, haversine_km, numbered, permuted, poisson_counts
+from lacuna.functions.ranks import ranked
 from lacuna.functions.scratch import written
 from lacuna.operators.search import top_k
 
@@ -75,12 +76,16 @@ def bootstrap_draws(rows: DataFrame, n: int, order: str, seed: int = 42) -> Data
 def bootstrap_ci(by_entity: DataFrame, n: int = 1000, reference: str = "ref", seed: int = 42) -> DataFrame:
     """One row from (entity, acc, ref): mean, its 95 % interval, and the two-sided p of the difference from the reference.
 
-    The p value compares resampled differences as they are, not centred under the null.
+    A row counts in each replicate as often as a hashed Poisson number says, so no resample is ever a table: tasks add up their rows' contributions to ``n`` replicates, and only these sums
+    are shuffled. A replicate's mean is over as many rows as it drew, so its spread is that of a resample of the same size up to terms of one in the number of rows
+    (``bootstrap_draws`` makes such resamples). The p value compares resampled differences as they are, not centred under the null.
     """
-    draws = bootstrap_draws(by_entity, n, "entity", seed).groupBy("replicate").agg(F.avg("acc").alias("m"), F.round(F.avg(F.col("acc") - F.col(reference)), 12).alias("d"))
+    keyed = by_entity.select("acc", (F.col("acc") - F.col(reference)).alias("_d"), draw(seed, "entity").alias("_key"))
+    drawn = keyed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("replicate", "acc", "_d", poisson_counts("_key", "replicate").alias("_n"))
+    sums = drawn.filter("_n > 0").groupBy("replicate").agg((F.sum(F.col("_n") * F.col("acc")) / F.sum("_n")).alias("m"), F.round(F.sum(F.col("_n") * F.col("_d")) / F.sum("_n"), 12).alias("d"))
     below, above = F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))
     interval = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    out = draws.agg(F.avg("m").alias("mean"), interval.alias("_ci"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p"))
+    out = sums.agg(F.avg("m").alias("mean"), interval.alias("_ci"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p"))
     return out.select("mean", F.col("_ci")[0].alias("low"), F.col("_ci")[1].alias("high"), "p")
 
 
@@ -136,8 +141,11 @@ def threshold_sweep(a: DataFrame, b: DataFrame, gold: DataFrame, grid: DataFrame
 
 def spearman(rows: DataFrame, x: str, y: str, *keys: str, least: int = 3) -> DataFrame:
     """(keys, rho): correlation of average ranks; null with fewer than ``least`` points or a constant side."""
-    ranked = rows.withColumn("_rx", average_rank(x, *keys)).withColumn("_ry", average_rank(y, *keys))
-    return ranked.groupBy(*keys).agg(F.when(F.count("*") >= least, correlation("_rx", "_ry")).alias("rho"), F.count("*").alias("n"))
+    if keys:
+        both = rows.withColumn("_rx", average_rank(x, *keys)).withColumn("_ry", average_rank(y, *keys))
+    else:
+        both = ranked(ranked(rows, x, name="_rx"), y, name="_ry")
+    return both.groupBy(*keys).agg(F.when(F.count("*") >= least, correlation("_rx", "_ry")).alias("rho"), F.count("*").alias("n"))
 
 
 def kendall(rows: DataFrame, x: str, y: str, item: str, *keys: str, least: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import cosine, draw, numbered
+from lacuna.functions.ranks import ranked
 
 TOKEN = r"GB\d+:\d+"
 
@@ -85,10 +86,7 @@ def probe(m1: DataFrame, anti: DataFrame, null: DataFrame) -> DataFrame:
 
 def mann_whitney(rows: DataFrame, x: str, first: str) -> DataFrame:
     """One row: U of the rows where ``first`` holds, one-sided p by the normal approximation, and the means of both groups."""
-    from lacuna.functions.columns import average_rank
-
-    ranked = rows.withColumn("_r", average_rank(x)).withColumn("_g", F.expr(first))
-    s = ranked.agg(
+    s = ranked(rows.withColumn("_g", F.expr(first)), x, name="_r").agg(
         F.sum(F.when(F.col("_g"), F.col("_r"))).alias("_w"), F.count_if(F.col("_g")).alias("n1"), F.count_if(~F.col("_g")).alias("n0"),
         F.avg(F.when(F.col("_g"), F.col(x))).alias("mean1"), F.avg(F.when(~F.col("_g"), F.col(x))).alias("mean0"),
     )

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import PRIME, ROUNDS
+from lacuna.functions.columns import POISSON, PRIME, ROUNDS
 
 
 def draw_sql(seed: int, *columns: str) -> str:
@@ -31,6 +31,14 @@ def permuted_sql(place: str, n: str, seed: int, *keys: str) -> str:
     return f"list_reduce(list_prepend(({place})::BIGINT, range(0, {ROUNDS})), lambda _at, _r: CASE WHEN {bit} = 1 THEN {other} ELSE _at END)"
 
 
+def poisson_sql(key: str, replicate: str) -> str:
+    """``functions.columns.poisson_counts`` in SQL."""
+    mix = lambda v: f"(({v}) * (({v}) % 65521 + 7) % {PRIME})"
+    start = f"((({key}) % {PRIME} + (({replicate}) + 1) * 7368787) % {PRIME})"
+    u = f"(({mix(start)} + (({key}) >> 31)) % {PRIME} * 48271 + 11) % {PRIME}"
+    return f"len(list_filter({list(POISSON)}, lambda _t: {mix(u)} >= _t))"
+
+
 #: name, SQL expression and number of each feature of database A
 FEATURES = (
     ("adj", "split_part(p_name, ' ', 1)", 1),
