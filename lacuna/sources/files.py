@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_categorical_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table with trimmed headers, everything a string; quoted fields may span lines."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
-    return df.toDF(*(c.strip() for c in df.columns))
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, text): the records of CSV files, numbered from 1 in each file; quoted fields may span lines, and large files are read in splits.
+
+    A line begins a record if an even number of quotes stands before it in its file. Splits are counted first; a running sum of their quotes and of the records that begin in
+    them then tells each line its record, whichever split it lies in, and lines of one record are put together again. Quotes inside unquoted fields are not CSV and not known here.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.withColumn("no", F.monotonically_increasing_id()).withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'))))
+    inside = Window.partitionBy("file", "block").orderBy("no")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # splits, not lines
+    odd = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"))
+    odd = odd.select("file", "block", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).alias("open"))
+    placed = lines.withColumn("so_far", F.sum("quotes").over(inside) - F.col("quotes")).join(odd, ["file", "block"])
+    placed = placed.withColumn("begins", ((F.col("open") + F.col("so_far")) % 2 == 0).cast("int"))
+    starts = placed.groupBy("file", "block").agg(F.sum("begins").alias("n"))
+    starts = starts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    numbered = placed.withColumn("own", F.sum("begins").over(inside)).join(starts, ["file", "block"]).withColumn("record", F.col("earlier") + F.col("own"))
+    whole = numbered.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "no", "value"))).alias("lines"))
+    return whole.select("file", "record", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("text"))
+
+
+def read_categorical_csv(spark: SparkSession, path: str, number: str | None = None) -> DataFrame:
+    """A CSV table with trimmed headers, everything a string; every file begins with the header, empty records are left out, and line ends inside fields are ``\\n``.
+
+    ``number`` names a column for the order of the records, by file and record.
+    """
+    schema = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"').schema  # reads the first record
+    records = csv_records(spark, path).filter("record > 1").withColumn("text", F.regexp_replace(F.regexp_replace("text", r"\r\n", "\n"), r"\r$", "")).filter("text <> ''")
+    ddl = ", ".join(f"`c{i}` string" for i in range(len(schema)))
+    rows = records.select("file", "record", F.from_csv("text", ddl, {"escape": '"'}).alias("row"))
+    columns = [F.col(f"row.c{i}").alias(f.name.strip()) for i, f in enumerate(schema)]
+    if number is None:
+        return rows.select(*columns)
+    files = rows.select("file").distinct().agg(F.sort_array(F.collect_list("file")).alias("files"))  # names of files
+    place = (F.array_position("files", F.col("file")) - 1) * F.lit(1 << 40) + F.col("record")
+    return rows.crossJoin(F.broadcast(files)).select(*columns, place.alias(number))
 
 
 def read_codebook_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """languages, values, codes and parameters of a folder. ``values`` gets its line order as ``no``."""
-    tables = {t: read_categorical_csv(spark, f"{folder}/{t}.csv") for t in ("languages", "values", "codes", "parameters")}
-    tables["values"] = tables["values"].withColumn("no", F.monotonically_increasing_id())
-    return tables
+    return {t: read_categorical_csv(spark, f"{folder}/{t}.csv", "no" if t == "values" else None) for t in ("languages", "values", "codes", "parameters")}
 
 
 #: Slips in feature fields and what they stand for.

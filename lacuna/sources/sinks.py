@@ -75,8 +75,8 @@ def conllu_sentences(tokens: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def write_conllu(tokens: DataFrame, order: DataFrame, path: str) -> None:
-    """Text files by language and split; sentences are in order within a file."""
-    rows = conllu_sentences(tokens, order).repartition("lang", "split").sortWithinPartitions("lang", "split", "sent")
+    """Text files by language and split, each of a range of sentences; sentences are in order within a file and from file to file."""
+    rows = conllu_sentences(tokens, order).repartitionByRange("lang", "split", "sent").sortWithinPartitions("lang", "split", "sent")
     rows.select("lang", "split", "text").write.mode("overwrite").partitionBy("lang", "split").text(path)
 
 
