@@ -153,7 +153,19 @@ def test_procrustes_permutation_and_cca_equal_numpy(spark):
 
     drawn = lambda *key: int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:15], 16)
     here = sorted(range(60), key=lambda i: drawn(42, i))
-    null = [disparity(x[here], y[sorted(range(60), key=lambda i: drawn(42, r, i))]) for r in range(1, 11)]
+
+    def moved(at, n, seed, key):
+        """The keyed permutation, place by place."""
+        prime, key = 2**31 - 1, (seed * 1000003 + key) % (2**31 - 1)
+        mix = lambda v: v * (v % 65521 + 7) % prime
+        for r in range(16):
+            turn = (key * 40503 + r * 7919) % prime
+            other = (mix(turn) % n - at) % n
+            if mix((max(at, other) * 2654435 + turn) % prime) // 4096 % 2:
+                at = other
+        return at
+
+    null = [disparity(x[here], y[[here[moved(p, 60, 42, r)] for p in range(60)]]) for r in range(1, 11)]
     row = vectors.procrustes_permutation(table(x), table(y), 10).first()
     assert abs(row["disparity"] - disparity(x, y)) < 1e-9 and abs(row["null_mean"] - np.mean(null)) < 1e-9
     assert row["p"] == (sum(d <= disparity(x, y) for d in null) + 1) / 11
