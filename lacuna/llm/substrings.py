@@ -287,7 +287,8 @@ def cut_strings(held: DataFrame, length: int, gram: int) -> DataFrame:
     """Strings of runs, from the texts that hold them, by anchor (``group``) and content (``sub``); where the key begins is still to be found."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        release()
+        for batch in slices(batches, chars=500_000):
             rows = []
             for text, wanted in zip(raw(batch), batch.column("wanted").to_pylist(), strict=True):
                 rows += [(w["anchor"], w["content"], w["copies"], None, gram, text[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
@@ -310,8 +311,9 @@ def judge(strings: DataFrame, length: int) -> DataFrame:
                     if spans:
                         yield row["group"], row["sub"], [{"a": a, "b": b} for a, b in spans]
 
+        release()
         group: list[dict] = []
-        for batch in slices(batches, "string"):
+        for batch in slices(batches, "string", 200_000):
             rows = []
             for row in batch.to_pylist():
                 if group and row["group"] != group[0]["group"]:
@@ -409,6 +411,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
     by_text = met.select("key", "start", "anchor", "content").join(spans, ["anchor", "content"]).groupBy("key").agg(F.flatten(F.collect_list(moved("spans", "start"))).alias("spans"))
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches):
             merged, kept = [], []
             for text, found in zip(raw(batch), batch.column("spans").to_pylist(), strict=True):
