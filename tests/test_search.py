@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lacuna.operators import search
+from lacuna.operators import evaluate, search
 
 
 def table(spark, vectors, groups=None, keys=None):
@@ -61,6 +61,30 @@ def test_most_blocks_are_skipped_on_clusters(spark):
     assert n_blocks > 30 and visits.count() < 0.15 * len(queries) * n_blocks
 
 
+def test_places_at_poles_and_date_line(spark):
+    """The nearest place across the date line and around the poles, with a hot place that many share; queries visit few blocks."""
+    rng = np.random.default_rng(8)
+    places = {i: (float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180))) for i in range(500)}
+    places |= {500 + i: (10.0, 20.0) for i in range(60)}
+    places |= {600: (0.0, 179.9), 601: (0.0, -179.9), 602: (89.9, 0.0), 603: (89.9, 180.0), 604: (-90.0, 5.0), 605: (-90.0, -100.0), 606: (None, 1.0)}
+    rows = spark.createDataFrame([(i, *p) for i, p in places.items()], "entity long, latitude double, longitude double").repartition(3)
+    got = {r["entity"]: r["km"] for r in evaluate.min_haversine_km(rows, rows).collect()}
+    known = {i: np.radians(p) for i, p in places.items() if p[0] is not None}
+    at = np.array(list(known.values()))
+
+    def km(i):
+        lat, lon = known[i]
+        a = np.sin((at[:, 0] - lat) / 2) ** 2 + np.cos(lat) * np.cos(at[:, 0]) * np.sin((at[:, 1] - lon) / 2) ** 2
+        d = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(1, a)))
+        return min(x for x, j in zip(d, known, strict=True) if j != i)
+
+    assert set(got) == set(known) and all(abs(got[i] - km(i)) < 1e-3 for i in known)
+    assert got[600] < 30 and got[602] < 30 and got[604] < 1e-3 and got[520] < 1e-3
+    points = {i: np.array([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)]) for i, (a, b) in known.items()}
+    _, visits, blocks = search.phases(table(spark, points), table(spark, points), 1, "euclidean", block=16, n_centres=36)
+    assert visits.count() < 0.12 * len(points) * blocks.rings.selectExpr("sum(parts)").first()[0]
+
+
 def test_keys_are_kept_apart(spark):
     rng = np.random.default_rng(5)
     rows = {i: rng.normal(size=3) for i in range(60)}
