@@ -24,13 +24,14 @@ stays null; an empty table gives no rows; other columns of the input are ignored
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, raw, release, slices, unused
@@ -387,10 +388,23 @@ def moved(spans: str, by: str) -> Column:
     return F.transform(spans, lambda s: F.struct((s["a"] + F.col(by)).alias("a"), (s["b"] + F.col(by)).alias("b")))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Texts go to tasks in Python by few rows at a time, so that neither side ever holds thousands of them beside what it makes of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(documents, cuts): per document its key, size and SHA-256; per different text with repeats its key, the spans of bytes that go,
     and the bytes that stay (``kept``). ``gram`` is the size of the anchors, less than ``length``."""
-    marked = scratch.table(mark(docs, length, gram), "marked")
+    with small_batches(docs.sparkSession):
+        marked = scratch.table(mark(docs, length, gram), "marked")
     arrays = ["start", "n", "anchor", "content"]
     texts = marked.groupBy("key").agg(F.count("*").alias("copies"), F.first(F.arrays_zip(*arrays)).alias("runs"))
     each = scratch.table(texts.select("key", "copies", F.explode("runs").alias("r")).select("key", "copies", "r.*"), "runs")
@@ -404,7 +418,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
     # texts without a repeated anchor leave before texts are gathered; if the keys are few, adaptive execution does not shuffle any of them
     whole = docs.select(text_key().alias("key"), "text").join(touched, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     held = scratch.table(whole.join(wanted, "key", "left"), "held")
-    cut = scratch.table(cut_strings(held, length, gram), "strings")
+    with small_batches(docs.sparkSession):
+        cut = scratch.table(cut_strings(held, length, gram), "strings")
     spans = judge_all(cut, scratch, length, crowd).select(F.col("group").alias("anchor"), F.col("sub").alias("content"), "spans")
     spans = scratch.table(spans, "spans")
     scratch.drop("strings")
@@ -421,7 +436,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(merged, SPAN_TYPE), pa.array(kept, pa.binary())], ["key", "spans", "kept"])
 
     cuts = held.select("key", "text").join(by_text, "key").mapInArrow(keep, f"key binary, {SPANS}, kept binary")
-    cuts = scratch.table(cuts, "cuts")
+    with small_batches(docs.sparkSession):
+        cuts = scratch.table(cuts, "cuts")
     scratch.drop("held", "met", "spans")
     return marked.select("doc_id", "key", "n_bytes", "sha256"), cuts
 
@@ -446,6 +462,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches):
             own, kept = batch.column("text").to_pylist(), batch.column(column).to_pylist()
             new = [t if k is None else k.decode("utf-8", "ignore") for t, k in zip(own, kept, strict=True)]
