@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.scratch import scratch_path
 from lacuna.operators import impute
-from lacuna.plans.q_trees import REVERSED, TOK, reversed_order, tokens
+from lacuna.plans.q_trees import REVERSED, TOK, reversed_order, treebank
 from lacuna.plans.registry import query
 from lacuna.sources import files, sinks
 
@@ -72,21 +72,22 @@ def s4_read_verse_corpus(i):
 SENTENCES = "SELECT lang, split, string_agg({id} || '/' || form || '/' || upos || '/' || {head} || '/' || deprel, ' ' ORDER BY {id}) AS tokens FROM {t} GROUP BY lang, split, sent"
 
 
-def sentences(tokens):
-    token = F.concat_ws("/", F.col("id").cast("string"), "form", "upos", F.col("head").cast("string"), "deprel")
-    listed = tokens.groupBy("lang", "split", "sent").agg(F.array_sort(F.collect_list(F.struct("id", token.alias("token")))).alias("l"))
-    return listed.select("lang", "split", F.array_join(F.transform("l", lambda s: s["token"]), " ").alias("tokens"))
+def sentences(treebank):
+    token = lambda t: F.concat_ws("/", t["id"].cast("string"), t["form"], t["upos"], t["head"].cast("string"), t["deprel"])
+    listed = F.array_sort(F.transform("tokens", lambda t: F.struct(t["id"].alias("id"), token(t).alias("token"))))
+    return treebank.select("lang", "split", F.array_join(F.transform(listed, lambda s: s["token"]), " ").alias("tokens"))
 
 
 @query(TOK + SENTENCES.format(id="id", head="head", t="tok"))
 def s5_read_conllu(i):
     """Sentences with comments, split tokens and subtypes of relations, in one file for each language."""
-    rows, path = tokens(i), scratch_path(i.spark, "treebank")
-    text = sinks.conllu_sentences(rows, rows.select("lang", "split", "sent", "id", F.col("id").alias("position")))
+    path = scratch_path(i.spark, "treebank")
+    same = F.transform("tokens", lambda t: F.struct(t["id"].alias("id"), t["id"].alias("position")))
+    text = sinks.conllu_sentences(treebank(i).withColumn("order", same))
     noisy = F.concat(F.lit("# a comment\n1-2\tsplit\t_\t_\t_\t_\t0\troot\t_\t_\n"), F.regexp_replace("text", "\tobj\t", "\tobj:sub\t"))
     noisy = F.when(F.col("sent") % 2 == 0, F.regexp_replace(noisy, "\n", "\r\n")).otherwise(noisy)
     text.select("lang", "split", noisy.alias("text")).write.partitionBy("lang", "split").text(path)
-    return sentences(files.read_conllu(i.spark, path))
+    return sentences(files.read_treebank(i.spark, path))
 
 
 @query("SELECT round(avg((e.vec_id IS NOT NULL AND e.vec_id % 2 = 0)::INT), 8) AS coverage FROM part LEFT JOIN embeddings e ON e.vec_id = p_partkey")
@@ -176,8 +177,8 @@ def w4_write_vectors(i):
 @query(REVERSED + ", rv AS (SELECT t.lang, t.split, t.sent, o.position AS id, t.form, t.upos, coalesce(h.position, 0) AS head, t.deprel FROM tok t JOIN ord o USING (lang, split, sent, id) LEFT JOIN ord h ON h.lang = t.lang AND h.sent = t.sent AND h.id = t.head) " + SENTENCES.format(id="id", head="head", t="rv"))
 def w5_write_conllu(i):
     path = scratch_path(i.spark, "treebank")
-    sinks.write_conllu(tokens(i), reversed_order(i), path)
-    return sentences(files.read_conllu(i.spark, path))
+    sinks.write_conllu(reversed_order(i), path)
+    return sentences(files.read_treebank(i.spark, path))
 
 
 @query("SELECT n_nationkey AS k, n_nationkey * 2 AS y FROM nation")

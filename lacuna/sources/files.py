@@ -99,7 +99,7 @@ def parse_conllu(texts: DataFrame, min_cols: int = 8) -> DataFrame:
     """Tokens of texts (lang, split, text): sentences are set apart by blank lines, comments and split or empty tokens are skipped,
     subtypes of relations are cut. With ten columns, tokens without a tag are dropped too. ``sent`` numbers the sentences of a text."""
     sentences = texts.select("lang", "split", F.posexplode(F.split("text", BLANK_LINES)).alias("sent", "s"))
-    return parse_sentences(sentences.withColumn("sent", F.col("sent").cast("long")), min_cols)
+    return parse_sentences(sentences.withColumn("sent", F.col("sent").cast("long")), min_cols).select("lang", "split", "sent", F.inline("tokens"))
 
 
 #: What stands between sentences.
@@ -107,19 +107,22 @@ BLANK_LINES = r"\r?\n[ \t]*\r?\n\s*"
 
 
 def parse_sentences(sentences: DataFrame, min_cols: int) -> DataFrame:
-    """Tokens of sentences (lang, split, sent, s)."""
-    rows = sentences.select("lang", "split", "sent", F.explode(F.split("s", r"\r?\n")).alias("line")).withColumn("line", F.trim("line"))
-    f = rows.filter((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("f", F.split("line", "\t")).filter(F.size("f") >= min_cols)
-    tokens = f.select(
-        "lang", "split", "sent", F.expr("try_cast(f[0] AS INT)").alias("id"), F.col("f")[1].alias("form"), F.col("f")[3].alias("upos"),
-        F.expr("try_cast(f[6] AS INT)").alias("head"), F.substring_index(F.col("f")[7], ":", 1).alias("deprel"), F.col("f")[0].alias("raw_id"),
-    )
-    tokens = tokens.filter(~F.col("raw_id").rlike("[-.]") & F.col("id").isNotNull() & F.col("head").isNotNull()).drop("raw_id")
-    return tokens.filter("upos <> '_'") if min_cols >= 10 else tokens
+    """(lang, split, sent, tokens) of sentences (lang, split, sent, s): their tokens as a list of structs in the order of the lines."""
+    lines = F.filter(F.transform(F.split("s", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+    rows = sentences.withColumn("_f", F.filter(F.transform(lines, lambda x: F.split(x, "\t")), lambda f: F.size(f) >= min_cols))
+    token = """transform(_f, f -> named_struct('id', try_cast(f[0] AS INT), 'form', f[1], 'upos', f[3], 'head', try_cast(f[6] AS INT), 'deprel', substring_index(f[7], ':', 1), 'raw_id', f[0]))"""
+    kept = "NOT t.raw_id RLIKE '[-.]' AND t.id IS NOT NULL AND t.head IS NOT NULL" + (" AND t.upos <> '_'" if min_cols >= 10 else "")
+    rows = rows.withColumn("_t", F.expr(f"filter({token}, t -> {kept})"))
+    return rows.select("lang", "split", "sent", F.transform("_t", lambda t: t.dropFields("raw_id")).alias("tokens")).filter(F.size("tokens") > 0)
 
 
 def read_conllu(spark: SparkSession, path: str, min_cols: int = 8) -> DataFrame:
-    """Tokens of treebank files named ``<lang>-<split>.conllu``, or of those that ``sinks.write_conllu`` writes.
+    """The tokens of ``read_treebank``, a row each."""
+    return read_treebank(spark, path, min_cols).select("lang", "split", "sent", F.inline("tokens"))
+
+
+def read_treebank(spark: SparkSession, path: str, min_cols: int = 8) -> DataFrame:
+    """Sentences (lang, split, sent, tokens) of treebank files named ``<lang>-<split>.conllu``, or of those that ``sinks.write_conllu`` writes.
 
     A row is read for each sentence, so a large file is read by many tasks; ``sent`` tells sentences apart but does not count them.
     Files with other line ends or with spaces in blank lines are cut at those afterwards.

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.columns import let
 from lacuna.sources.files import META
 
 HEADER = "\t".join([*META, "features"])
@@ -63,20 +64,20 @@ def write_vectors(vectors: DataFrame, path: str, allowed: Sequence[str], dims: d
     filled.write.mode("overwrite").parquet(path)
 
 
-def conllu_sentences(tokens: DataFrame, order: DataFrame) -> DataFrame:
-    """(lang, split, sent, text): sentences with ids and heads renumbered by position; an unknown head is 0."""
-    keys = ["lang", "split", "sent"]
-    new = order.select(*keys, "id", "position")
-    rows = tokens.join(new, [*keys, "id"]).join(new.select(*keys, F.col("id").alias("head"), F.col("position").alias("_h")), [*keys, "head"], "left")
+def conllu_sentences(treebank: DataFrame) -> DataFrame:
+    """(lang, split, sent, text): sentences (lang, split, sent, tokens, order) with ids and heads renumbered by position; an unknown head is 0."""
+    at = lambda order, i: F.filter(order, lambda o: o["id"] == i)
     blank = F.lit("_")
-    line = F.concat_ws("\t", F.col("position").cast("string"), "form", blank, "upos", blank, blank, F.coalesce("_h", F.lit(0)).cast("string"), "deprel", blank, blank)
-    joined = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("_l"))
-    return joined.select(*keys, F.concat(F.array_join(F.transform("_l", lambda s: s["line"]), "\n"), F.lit("\n")).alias("text"))
+    line = lambda t, at, head: F.concat_ws("\t", at.cast("string"), t["form"], blank, t["upos"], blank, blank, head.cast("string"), t["deprel"], blank, blank)
+    head = lambda order, t: F.coalesce(F.try_element_at(at(order, t["head"]), F.lit(1))["position"], F.lit(0))
+    placed = lambda order, t: F.transform(at(order, t["id"]), lambda o: F.struct(o["position"].alias("position"), line(t, o["position"], head(order, t)).alias("line")))
+    rows = F.array_sort(F.flatten(let("order", lambda order: F.transform("tokens", lambda t: placed(order, t)))))
+    return treebank.select("lang", "split", "sent", F.concat(F.array_join(F.transform(rows, lambda s: s["line"]), "\n"), F.lit("\n")).alias("text"))
 
 
-def write_conllu(tokens: DataFrame, order: DataFrame, path: str) -> None:
-    """Text files by language and split, each of a range of sentences; sentences are in order within a file and from file to file."""
-    rows = conllu_sentences(tokens, order).repartitionByRange("lang", "split", "sent").sortWithinPartitions("lang", "split", "sent")
+def write_conllu(treebank: DataFrame, path: str) -> None:
+    """Text files by language and split, each of a range of sentences (lang, split, sent, tokens, order); sentences are in order within a file and from file to file."""
+    rows = conllu_sentences(treebank).repartitionByRange("lang", "split", "sent").sortWithinPartitions("lang", "split", "sent")
     rows.select("lang", "split", "text").write.mode("overwrite").partitionBy("lang", "split").text(path)
 
 
