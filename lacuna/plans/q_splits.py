@@ -25,7 +25,7 @@ def b1_split_by_branch(i):
 
 @query("SELECT entity, genus, CASE WHEN row_number() OVER (PARTITION BY genus ORDER BY entity * 7919 % 1009, entity) <= greatest(1, floor(round(count(*) OVER (PARTITION BY genus) * 0.2, 9))) THEN 'test' ELSE 'train' END AS part FROM meta")
 def b3_stratified_holdout(i):
-    return splits.stratified_holdout(i.meta.select("entity", "genus"), "genus", F.expr("(entity * 7919 % 1009) * 1000000 + entity"))
+    return splits.stratified_holdout(i.meta.select("entity", "genus"), "genus", F.expr("struct(entity * 7919 % 1009, entity)"))
 
 
 @query("SELECT f.family AS fold, entity, CASE WHEN m.family = f.family THEN 'test' ELSE 'train' END AS part FROM meta m CROSS JOIN (SELECT family FROM meta GROUP BY family HAVING (SELECT count(*) FROM meta) - count(*) >= 5) f")
