@@ -20,7 +20,7 @@ CHUNK, WORD = 1024, 64
 def bitmaps(profile: DataFrame, numbers: DataFrame) -> DataFrame:
     """(chunk, fv, observed, present): one row per value and chunk of entities, with the two sets as lists of 64-bit words. ``numbers`` is (entity, chunk, number)."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("number") % WORD).cast("int"))
-    words = profile.join(numbers, "entity").withColumn("word", F.floor(F.col("number") / WORD).cast("int")).groupBy("chunk", "fv", "word")
+    words = profile.join(numbers.hint("shuffle_hash"), "entity").withColumn("word", F.floor(F.col("number") / WORD).cast("int")).groupBy("chunk", "fv", "word")
     words = words.agg(F.bit_or(bit).alias("o"), F.bit_or(F.when(F.col("present"), bit).otherwise(F.lit(0).cast("long"))).alias("p"))
     by_word = words.groupBy("chunk", "fv").agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct("o", "p")))).alias("words"))
     filled = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("words"))), lambda w: F.try_element_at("words", w))
@@ -136,8 +136,8 @@ def recall_mrr(ranks: DataFrame, cutoffs: Sequence[int] = (1, 3, 5, 10)) -> Data
 
 def family_prevalence(profiles: DataFrame, families: DataFrame, family: str = "family", least_coded: int = 1, least_size: int = 2) -> DataFrame:
     """(fv, family, share): share of a family's coded entities that have the value; families of ``least_size`` entities or more."""
-    sizes = families.groupBy(family).agg(F.countDistinct("entity").alias("_n")).filter(F.col("_n") >= least_size).select(family)
-    rows = profiles.join(families.select("entity", family), "entity").join(sizes, family)
+    sizes = written(families.groupBy(family).agg(F.countDistinct("entity").alias("_n")).filter(F.col("_n") >= least_size).select(family), "family-sizes")
+    rows = profiles.join(families.select("entity", family).join(sizes, family).hint("shuffle_hash"), "entity")
     out = rows.groupBy("fv", family).agg(F.avg(F.col("present").cast("double")).alias("share"), F.count("*").alias("_c"))
     return out.filter(F.col("_c") >= least_coded).drop("_c")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lacuna.functions.scratch import written
 from lacuna.operators import coding, retrieve
 from lacuna.plans.registry import query
 
@@ -27,7 +28,7 @@ def table(i):
 
 
 def phi(i):
-    return retrieve.apply_kernel(table(i), retrieve.k_phi, 10).withColumn("score", F.round("score", 9))
+    return written(retrieve.apply_kernel(table(i), retrieve.k_phi, 10).withColumn("score", F.round("score", 9)), "phi")
 
 
 @query(PROF + "SELECT * FROM ct")
@@ -53,7 +54,7 @@ for n, k in ((1, "cosine"), (2, "phi"), (3, "jaccard"), (4, "ppmi"), (4, "log_od
 @query(PROF + f"SELECT q.fv AS fv_a, c.fv AS fv_b, coalesce(round(CASE WHEN n11 + n10 + n01 + n00 >= 1350 THEN {SCORE['phi']} END, 8), -2) AS score FROM (SELECT DISTINCT fv FROM pa WHERE fv LIKE 's%') q CROSS JOIN (SELECT DISTINCT fv FROM pb) c LEFT JOIN ct ON fv_a = q.fv AND fv_b = c.fv")
 def r5_rank_candidates(i):
     a, b = profiles(i)
-    queries = a.filter("fv LIKE 's%'").select(F.col("fv").alias("fv_a")).distinct()
+    queries = written(a.filter("fv LIKE 's%'").select(F.col("fv").alias("fv_a")).distinct(), "queries")
     out = retrieve.rank_candidates(retrieve.contingency(a.join(queries, F.col("fv") == F.col("fv_a"), "left_semi"), b), queries, b.select(F.col("fv").alias("fv_b")).distinct(), retrieve.k_phi, 1350)
     return out.withColumn("score", F.round("score", 8))
 
