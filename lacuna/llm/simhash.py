@@ -132,14 +132,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 3) -> DataFr
     """One row per document: (doc_id, fp, component_id), the smallest ``doc_id`` that links reach."""
     marked = scratch.table(fingerprints(docs, words), "marked")
     entries = scratch.table(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "entries")
-    roots = components(scratch.table(links(entries.select("fp"), scratch), "links"), scratch).withColumnRenamed("node", "fp")
-    rooted = entries.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = entries.join(roots(entries, scratch), "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = scratch.table(rooted.join(least, "root").select("fp", "component_id"), "groups")
     scratch.drop("links", "lists")
     return marked.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
+def roots(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, root) of different fingerprints: one root for all that links join."""
+    found = components(scratch.table(links(entries.select("fp"), scratch), "links"), scratch).withColumnRenamed("node", "fp")
+    return entries.select("fp").join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def keep_one(docs: DataFrame, scratch: Scratch, words: int = 3) -> DataFrame:
     """The documents, with all their columns, of which each group keeps the one with the smallest id.
 

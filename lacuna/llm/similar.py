@@ -1,10 +1,11 @@
-"""Near-duplicate groups by the similarity of word shingles: MinHash bands give candidates, whole shingle sets verify them.
+"""Near-duplicate groups by the similarity of word shingles: SimHash fingerprints and MinHash bands give candidates, whole shingle sets verify them.
 
-This is operator 6 for a similarity that its fingerprints can't tell: two texts of similarity 0.8 differ in ten of 64 bits on average, so byte
-positions guarantee no shared one. The pipeline uses it; ``simhash`` keeps to three bits.
+Operator 6 comes first: fingerprints of the same shingles, linked by its inverted index of byte positions with the count filter, make groups, and each group is a
+list of candidates. Two texts of similarity 0.8 differ in ten of 64 bits on average, so byte positions guarantee no shared one; for those that
+fingerprints can't link, bands add lists. A list that a group of fingerprints already is, is not compared again. The pipeline uses it; ``simhash`` keeps to three bits.
 
 Each text is lower-cased (A-Z only) and cut into words; its set has the 64-bit hashes of its shingles of five words. Two texts are linked
-if the Jaccard similarity of their sets is 0.8 or more. Candidates share all ``ROWS`` minima of one of ``BANDS`` bands: a pair of similarity
+if the Jaccard similarity of their sets is 0.8 or more. Other candidates share all ``ROWS`` minima of one of ``BANDS`` bands: a pair of similarity
 0.8 is missed with a chance of 3 in 100,000, a more similar one less often. Every candidate is then compared by its whole set.
 
 Equal sets are one entry, so exact copies cost nothing, and bands that hold the same entries are compared once. Bands with many shingles
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, raw, release, slices
 from .graph import components
-from .simhash import SEED, keep_first
+from .simhash import BYTES, SEED, fingerprint, keep_first, roots
 
 BANDS, ROWS = 20, 4
 #: Shingles that one block of a band holds on average.
@@ -72,17 +73,19 @@ def name_of(own: np.ndarray) -> int:
 
 
 def marks(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, own, n, keys): the name and size of each row's set, and its bands."""
+    """(doc_id, own, n, fp, keys): the name and size of each row's set, its fingerprint and its bands. Equal sets are one entry, whichever row's fingerprint it has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in slices(batches):
-            sets = [shingles(t, words) for t in raw(batch)]
+            texts = list(raw(batch))
+            sets = [shingles(t, words) for t in texts]
+            fps = np.frombuffer(b"".join([fingerprint(t, words) for t in texts]), f">i{BYTES}").astype(np.int64)
             keys = pa.array([bands(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "n", "keys"])
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "n", "fp", "keys"])
 
-    return narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id long, own long, n long, keys array<long>")
+    return narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id long, own long, n long, fp long, keys array<long>")
 
 
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -115,9 +118,19 @@ def trees(names: list[int], sets: list[np.ndarray], percent: int) -> Iterator[tu
             left = left[~near]
 
 
+def candidates(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """(own, first, n, band, key): the lists in which entries meet. Band 0 has the groups of linked fingerprints, the others MinHash; empty sets are in none."""
+    held = entries.filter("n > 0")
+    groups = scratch.table(roots(held.select("fp").distinct(), scratch), "fingerprints")
+    by_fingerprint = held.join(groups, "fp").select("own", "first", "n", F.lit(0).alias("band"), F.col("root").alias("key"))
+    by_band = held.select("own", "first", "n", F.posexplode("keys").alias("band", "key")).withColumn("band", F.col("band") + 1)
+    scratch.drop("links", "lists")
+    return by_fingerprint.unionByName(by_band)
+
+
 def links(entries: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
     """Verified links (a, b) between different sets, enough of them to join all that are linked."""
-    posted = entries.select("own", "first", "n", F.posexplode("keys").alias("band", "key"))
+    posted = candidates(entries, scratch)
     lists = posted.groupBy("band", "key").agg(F.count("*").alias("held"), F.bit_xor("own").alias("x"), F.min("own").alias("low"), F.max("own").alias("high"), F.sum("n").alias("size")).filter("held > 1")
     lists = lists.groupBy("held", "x", "low", "high", "size").agg(F.min(F.struct("band", "key")).alias("at"))
     lists = scratch.table(lists.select("at.band", "at.key", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks")), "lists")
@@ -146,13 +159,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     """One row per document with an id: (doc_id, own, component_id), the smallest ``doc_id`` that links reach."""
     docs = docs.filter("doc_id is not null")
     marked = scratch.table(marks(docs, words), "marked")
-    entries = marked.groupBy("own").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    entries = marked.groupBy("own").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
     entries = scratch.table(entries, "entries")
     roots = components(scratch.table(links(entries, docs, scratch, words, percent), "links"), scratch).withColumnRenamed("node", "own")
     rooted = entries.select("own", "first").join(roots, "own", "left").withColumn("root", F.coalesce("root", "own"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = scratch.table(rooted.join(least, "root").select("own", "component_id"), "groups")
-    scratch.drop("links", "lists", "met", "sets", "entries")
+    scratch.drop("links", "lists", "met", "sets", "entries", "fingerprints")
     return marked.join(groups, "own").select("doc_id", "own", "component_id")
 
 
