@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.columns import cosine, dot
 from lacuna.functions.scratch import written
+from lacuna.operators.coding import value_label
 
 Kernel = Callable[[Column, Column, Column, Column], Column]
 
@@ -55,6 +56,25 @@ def contingency(a: DataFrame, b: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return sums.selectExpr("fv_a", "fv_b", "n11", "na - n11 AS n10", "nb - n11 AS n01", "n - na - nb + n11 AS n00")
 
 
+def contingency_of_cells(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The same from cells (entity, feature, value), where a feature that is observed observes all its values: those of ``a`` in shared entities, all of ``b``.
+
+    An entity gives a row for each pair of its values, one of them or both replaced by null for 'any'; tasks add them up, so what moves is a row for each pair of values.
+    """
+    each = lambda n: F.explode_outer(F.array_union("items", F.transform("items", lambda x: F.struct(x["feature"].alias("feature"), F.lit(None).cast("string").alias("value"))))).alias(n)
+    whole = lambda df: df.filter("feature IS NOT NULL AND value IS NOT NULL").groupBy("entity").agg(F.collect_set(F.struct("feature", F.col("value").cast("string").alias("value"))).alias("items"))
+    both = whole(b).select("entity", each("b")).join(whole(a), "entity", "left").select("b", each("a"))
+    keys = {"fa": F.col("a.feature"), "va": F.col("a.value"), "fb": F.col("b.feature"), "vb": F.col("b.value")}
+    counts = written(both.groupBy(*(e.alias(n) for n, e in keys.items())).agg(F.count("*").alias("n")), "pair-counts")
+    some = lambda x, y, name: counts.filter(f"va IS {x} NULL AND vb IS {y} NULL AND fa IS NOT NULL").withColumnRenamed("n", name)
+    values = lambda f, v: counts.filter(f"{v} IS NOT NULL").select(f, v).distinct()
+    table = some("", "", "n").select("fa", "fb", "n").join(values("fa", "va"), "fa").join(values("fb", "vb"), "fb")
+    for keep, x, y, name in ((("fa", "va", "fb"), "NOT", "", "na"), (("fa", "fb", "vb"), "", "NOT", "nb"), (("fa", "va", "fb", "vb"), "NOT", "NOT", "n11")):
+        table = table.join(some(x, y, name).select(*keep, name), list(keep), "left")
+    table = table.fillna(0, ["na", "nb", "n11"])
+    return table.select(value_label("fa", "va").alias("fv_a"), value_label("fb", "vb").alias("fv_b"), "n11", F.expr("na - n11").alias("n10"), F.expr("nb - n11").alias("n01"), F.expr("n - na - nb + n11").alias("n00"))
+
+
 def k_cosine(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
     return F.coalesce(F.try_divide(n11.cast("double"), F.sqrt((n11 + n10) * (n11 + n01))), F.lit(0.0))
 
@@ -142,6 +162,18 @@ def family_prevalence(profiles: DataFrame, families: DataFrame, family: str = "f
     return out.filter(F.col("_c") >= least_coded).drop("_c")
 
 
+def prevalence_of_cells(cells: DataFrame, families: DataFrame, family: str = "family", least_coded: int = 1, least_size: int = 2) -> DataFrame:
+    """The same from cells (entity, feature, value), where a feature that is observed observes all its values. Tasks count values by family before anything moves."""
+    sizes = written(families.groupBy(family).agg(F.countDistinct("entity").alias("_n")).filter(F.col("_n") >= least_size).select(family), "family-sizes")
+    # null for 'any value'
+    held = cells.filter("feature IS NOT NULL AND value IS NOT NULL").select("entity", "feature", F.explode(F.array("value", F.lit(None))).alias("value")).distinct()
+    counts = held.join(families.select("entity", family), "entity", "left").groupBy("feature", "value", family).agg(F.count("*").alias("_n"))
+    counts = written(counts, "family-counts")
+    coded = counts.filter(F.col("value").isNull() & (F.col("_n") >= least_coded)).join(sizes, family, "left_semi").select("feature", family, F.col("_n").alias("_c"))
+    rows = coded.join(counts.filter("value IS NOT NULL").select("feature", "value").distinct(), "feature").join(counts, ["feature", "value", family], "left")
+    return rows.select(value_label("feature", "value").alias("fv"), family, (F.coalesce("_n", F.lit(0)) / F.col("_c")).alias("share"))
+
+
 def prevalence_cosine(a: DataFrame, b: DataFrame, group: str = "family") -> DataFrame:
     """(fv_a, fv_b, score): cosine of prevalences over all groups, where an uncoded one counts 0: a sparse join and sums."""
     size = lambda df, name: df.groupBy("fv").agg(F.sqrt(F.sum(F.col("share") * F.col("share"))).alias("_n")).select(F.col("fv").alias(name), F.col("_n").alias(f"_{name}"))

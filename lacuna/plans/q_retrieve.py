@@ -19,12 +19,12 @@ SCORE = {
 PHI = PROF + f", sc AS (SELECT fv_a, fv_b, round({SCORE['phi']}, 9) AS score FROM ct WHERE n11 + n10 + n01 + n00 >= 10)"
 
 
-def profiles(i):
-    return coding.observed_profiles(i.cells, i.other.select("entity").distinct()), coding.observed_profiles(i.other)
+def shared_cells(i):
+    return i.cells.join(i.other.select("entity").distinct(), "entity", "left_semi")
 
 
 def table(i):
-    return retrieve.contingency(*profiles(i))
+    return retrieve.contingency_of_cells(i.cells, i.other)
 
 
 def phi(i):
@@ -53,9 +53,9 @@ for n, k in ((1, "cosine"), (2, "phi"), (3, "jaccard"), (4, "ppmi"), (4, "log_od
 
 @query(PROF + f"SELECT q.fv AS fv_a, c.fv AS fv_b, coalesce(round(CASE WHEN n11 + n10 + n01 + n00 >= 1350 THEN {SCORE['phi']} END, 8), -2) AS score FROM (SELECT DISTINCT fv FROM pa WHERE fv LIKE 's%') q CROSS JOIN (SELECT DISTINCT fv FROM pb) c LEFT JOIN ct ON fv_a = q.fv AND fv_b = c.fv")
 def r5_rank_candidates(i):
-    a, b = profiles(i)
-    queries = written(a.filter("fv LIKE 's%'").select(F.col("fv").alias("fv_a")).distinct(), "queries")
-    out = retrieve.rank_candidates(retrieve.contingency(a.join(queries, F.col("fv") == F.col("fv_a"), "left_semi"), b), queries, b.select(F.col("fv").alias("fv_b")).distinct(), retrieve.k_phi, 1350)
+    pairs = written(table(i).filter("fv_a LIKE 's%'"), "pairs")
+    candidates = written(i.other.select(coding.value_label("feature", "value").alias("fv_b")).distinct(), "candidates")
+    out = retrieve.rank_candidates(pairs, pairs.select("fv_a").distinct(), candidates, retrieve.k_phi, 1350)
     return out.withColumn("score", F.round("score", 8))
 
 
@@ -109,8 +109,7 @@ PREV = PROF + ", fa AS (SELECT fv, family, avg(present::INT) AS share, count(*)
 
 
 def prevalences(i, least):
-    a, b = profiles(i)
-    return tuple(retrieve.family_prevalence(p, i.meta, least_coded=least) for p in (a, b))
+    return tuple(retrieve.prevalence_of_cells(cells, i.meta, least_coded=least) for cells in (shared_cells(i), i.other))
 
 
 @query(PREV.format(c=1) + """SELECT fv_a, fv_b, round(coalesce(d / nullif(na * nb, 0), 0), 7) AS score FROM (SELECT a.fv AS fv_a, b.fv AS fv_b, sum(a.share * b.share) AS d FROM fa a JOIN fb b USING (family) GROUP BY ALL)
@@ -127,7 +126,8 @@ def r11b_group_prevalence_cosine(i):
 @query(PROF + """, v AS (SELECT vec_id AS entity, embedding::DOUBLE[] AS vec FROM embeddings), e AS (SELECT entity, k, vec[k] AS x FROM v CROSS JOIN range(1, 65) r(k)), ca AS (SELECT fv, k, avg(x) AS x, count(*) AS n FROM pa JOIN e USING (entity) WHERE present GROUP BY fv, k HAVING count(*) >= 3), cb AS (SELECT fv, k, avg(x) AS x FROM pb JOIN e USING (entity) WHERE present GROUP BY fv, k HAVING count(*) >= 3)
 SELECT a.fv AS fv_a, b.fv AS fv_b, round(sum(a.x * b.x) / sqrt(sum(a.x ** 2) * sum(b.x ** 2)), 6) AS score FROM ca a JOIN cb b USING (k) GROUP BY ALL""")
 def r12_centroid_cosine(i):
-    return retrieve.centroid_cosine(*profiles(i), i.vecs.select(F.col("id").alias("entity"), "vec")).withColumn("score", F.round("score", 6))
+    held = (cells.select(coding.value_label("feature", "value").alias("fv"), "entity", F.lit(True).alias("present")) for cells in (shared_cells(i), i.other))
+    return retrieve.centroid_cosine(*held, i.vecs.select(F.col("id").alias("entity"), "vec")).withColumn("score", F.round("score", 6))
 
 
 @query(PHI + """, x AS (SELECT fv_a, fv_b, row_number() OVER (PARTITION BY fv_a ORDER BY score DESC, fv_b) AS r FROM sc), y AS (SELECT fv_a, fv_b, row_number() OVER (PARTITION BY fv_b ORDER BY score DESC, fv_a) AS r FROM sc)
