@@ -1,11 +1,12 @@
 """What leave-one-out predictions and the stack work on grows with what differs, not with copies, and no task gets all of it."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import leave_out, postings, stats
+from lacuna.operators import evaluate, leave_out, postings, stats
 from lacuna.operators.coding import codebook
 from test_leave_out import known_to
 from test_postings import plain, tables
@@ -47,3 +48,25 @@ def test_queries_of_a_block_go_to_several_tasks(spark, monkeypatch, leave_out):
     got = postings.shared_top_k(*tables(spark, queries, rows), k=3, leave_out=leave_out)
     assert sorted((tuple(x) for x in got.collect()), key=str) == plain(queries, rows, 3, leave_out)
     assert tasks[0] > 4
+
+
+def test_shared_places_are_not_searched(spark, monkeypatch):
+    rng = random.Random(6)
+    at = {e: (float(rng.randint(-3, 3)), float(rng.randint(0, 5))) for e in range(60)}
+    known = {e: p for e, p in at.items() if e % 3}
+    table = lambda d: spark.createDataFrame([(e, *p) for e, p in d.items()], "entity long, latitude double, longitude double")
+    asked, real = [], evaluate.top_k
+    monkeypatch.setattr(evaluate, "top_k", lambda q, r, *more: (asked.append((q.count(), r.count())), real(q, r, *more))[1])
+    got = {r["entity"]: r["km"] for r in evaluate.min_haversine_km(table(at), table(known)).collect()}
+
+    def km(a, b):
+        (la, lo), (lb, lp) = (tuple(map(math.radians, x)) for x in (a, b))
+        return 2 * 6371.0 * math.asin(math.sqrt(math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lp - lo) / 2) ** 2))
+
+    assert got.keys() == at.keys()
+    assert all(abs(got[e] - min(km(p, q) for o, q in known.items() if o != e)) < 1e-6 for e, p in at.items())
+    alone = {p for e, p in at.items() if not any(q == p for o, q in known.items() if o != e)}
+    assert asked == [(len(alone), len(set(known.values())))]
+    # everybody shares a place: nothing is left to search
+    both = {e: at[e // 2] for e in range(120)}
+    assert {r["km"] for r in evaluate.min_haversine_km(table(both), table(both)).collect()} == {0.0}
