@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import evaluate, leave_out, postings, stats
+from lacuna.operators import evaluate, impute, leave_out, postings, stats
 from lacuna.operators.coding import codebook
+from lacuna.plans import q_impute
+from lacuna.plans.inputs import Inputs
 from test_leave_out import known_to
 from test_postings import plain, tables
 
@@ -70,3 +72,12 @@ def test_shared_places_are_not_searched(spark, monkeypatch):
     # everybody shares a place: nothing is left to search
     both = {e: at[e // 2] for e in range(120)}
     assert {r["km"] for r in evaluate.min_haversine_km(table(both), table(both)).collect()} == {0.0}
+
+
+def test_cross_validation_asks_for_no_blanks(spark, data, monkeypatch):
+    def refuse(*args, **more):
+        raise AssertionError("blanks were predicted")
+
+    monkeypatch.setattr(impute, "impute_knn", refuse)
+    stack = q_impute.Stack(Inputs(spark, data))
+    assert stack.train().filter("right = 1").count() == stack.i.cells.join(stack.i.book, ["feature", "value"], "left_semi").count()
