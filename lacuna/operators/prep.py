@@ -35,10 +35,11 @@ def first_value_per_cell(cells: DataFrame, order: str) -> DataFrame:
     return cells.filter("value is not null").groupBy("entity", "feature").agg(F.min_by("value", order).alias("value"))
 
 
-def attach_meta(cells: DataFrame, meta: DataFrame, order: str) -> DataFrame:
-    """Inner join with the first metadata row of each entity."""
-    first = F.row_number().over(Window.partitionBy("entity").orderBy(order))
-    return cells.join(meta.withColumn("_n", first).filter("_n = 1").drop("_n", order), "entity")
+def attach_meta(cells: DataFrame, meta: DataFrame, *order: str) -> DataFrame:
+    """Inner join with the first metadata row of each entity; later columns of the order settle ties of the earlier ones. Rows without a value of the first don't count; entities that have no others get nulls."""
+    kept = [c for c in meta.columns if c not in ("entity", *order)]
+    first = meta.groupBy("entity").agg(F.min_by(F.struct(*kept), F.when(F.col(order[0]).isNotNull(), F.struct(*order))).alias("_m"))
+    return cells.join(first.select("entity", "_m.*"), "entity")
 
 
 def min_features_per_entity(cells: DataFrame, n: int = 10) -> DataFrame:

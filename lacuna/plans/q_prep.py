@@ -42,8 +42,10 @@ def p4_first_value_per_cell(i):
 
 @query("SELECT c.entity, c.feature, c.value, m.genus FROM cells c JOIN (SELECT l_partkey AS entity, arg_min(concat('g', l_suppkey), l_orderkey * 10 + l_linenumber) AS genus FROM lineitem GROUP BY l_partkey) m USING (entity)")
 def p5_attach_meta(i):
-    meta = i.table("lineitem").selectExpr("l_partkey AS entity", "concat('g', l_suppkey) AS genus", "l_orderkey * 10 + l_linenumber AS no")
-    return prep.attach_meta(i.cells, meta, "no").select("entity", "feature", "value", "genus")
+    # of lines with one number SQL takes the one that the table has first; those without a number don't count
+    place = ["_metadata.file_path AS file", "_metadata.row_index AS row"]
+    meta = i.table("lineitem").selectExpr("l_partkey AS entity", "concat_ws('', 'g', l_suppkey) AS genus", "l_orderkey * 10 + l_linenumber AS no", *place)
+    return prep.attach_meta(i.cells, meta, "no", "file", "row").select("entity", "feature", "value", "genus")
 
 
 @query("SELECT * FROM cells WHERE entity IN (SELECT entity FROM cells GROUP BY entity HAVING count(*) >= 5)")
