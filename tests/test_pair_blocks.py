@@ -43,7 +43,7 @@ def test_equals_pair_by_pair(spark, monkeypatch, metric, space):
         assert not space or r["space"] == s
 
 
-@pytest.mark.parametrize("name", ["v2b_pairwise_euclidean", "v2c_pairwise_hamming", "v2_pairwise_cosine", "v3_distances_all"])
+@pytest.mark.parametrize("name", ["v2_pairwise_cosine", "v2b_pairwise_euclidean", "v2c_pairwise_hamming", "v3_distances_all", "v4b_candidate_pairs"])
 def test_no_pair_goes_through_functions_of_lists(spark, data, name):
     plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "bround" not in plan
