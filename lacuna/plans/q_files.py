@@ -1,10 +1,12 @@
 """Queries of sources and sinks: files that Spark writes from the given tables, and reads back."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from lacuna.functions.scratch import scratch_path
-from lacuna.operators import impute
-from lacuna.plans.q_trees import REVERSED, TOK, reversed_order, treebank
+from lacuna.operators import impute, trees
+from lacuna.plans.q_trees import REVERSED, TOK, reversed_lists, treebank_lists
 from lacuna.plans.registry import query
 from lacuna.sources import files, sinks
 
@@ -73,21 +75,27 @@ SENTENCES = "SELECT lang, split, string_agg({id} || '/' || form || '/' || upos |
 
 
 def sentences(treebank):
-    token = lambda t: F.concat_ws("/", t["id"].cast("string"), t["form"], t["upos"], t["head"].cast("string"), t["deprel"])
-    listed = F.array_sort(F.transform("tokens", lambda t: F.struct(t["id"].alias("id"), token(t).alias("token"))))
-    return treebank.select("lang", "split", F.array_join(F.transform(listed, lambda s: s["token"]), " ").alias("tokens"))
+    """(lang, split, tokens): tokens in order as one text, a batch of sentences at a time."""
+
+    def list_tokens(batches):
+        for batch in batches:
+            ids, flat = trees.Lists(batch.column("ids")), {c: batch.column(c).flatten() for c in ("ids", "forms", "tags", "heads", "deprels")}
+            texts = pc.binary_join_element_wise(flat["ids"].cast(pa.string()), flat["forms"], flat["tags"], flat["heads"].cast(pa.string()), flat["deprels"], "/", null_handling="skip")
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("split"), sinks.joined(texts, flat["ids"], ids.row, batch.num_rows, " ")], ["lang", "split", "tokens"])
+
+    return trees.with_lists(treebank, "ids", "forms", "tags", "heads", "deprels", whole=False).mapInArrow(list_tokens, "lang string, split string, tokens string")
 
 
 @query(TOK + SENTENCES.format(id="id", head="head", t="tok"))
 def s5_read_conllu(i):
     """Sentences with comments, split tokens and subtypes of relations, in one file for each language."""
     path = scratch_path(i.spark, "treebank")
-    same = F.transform("tokens", lambda t: F.struct(t["id"].alias("id"), t["id"].alias("position")))
-    text = sinks.conllu_sentences(treebank(i).withColumn("order", same))
+    same = {"order_ids": F.col("ids"), "positions": F.col("ids")}
+    text = sinks.conllu_sentences(treebank_lists(i, "ids", "forms", "tags", "heads", "deprels").withColumns(same))
     noisy = F.concat(F.lit("# a comment\n1-2\tsplit\t_\t_\t_\t_\t0\troot\t_\t_\n"), F.regexp_replace("text", "\tobj\t", "\tobj:sub\t"))
     noisy = F.when(F.col("sent") % 2 == 0, F.regexp_replace(noisy, "\n", "\r\n")).otherwise(noisy)
     text.select("lang", "split", noisy.alias("text")).write.partitionBy("lang", "split").text(path)
-    return sentences(files.read_treebank(i.spark, path))
+    return sentences(files.read_treebank(i.spark, path, lists=True))
 
 
 @query("SELECT round(avg((e.vec_id IS NOT NULL AND e.vec_id % 2 = 0)::INT), 8) AS coverage FROM part LEFT JOIN embeddings e ON e.vec_id = p_partkey")
@@ -177,8 +185,8 @@ def w4_write_vectors(i):
 @query(REVERSED + ", rv AS (SELECT t.lang, t.split, t.sent, o.position AS id, t.form, t.upos, coalesce(h.position, 0) AS head, t.deprel FROM tok t JOIN ord o USING (lang, split, sent, id) LEFT JOIN ord h ON h.lang = t.lang AND h.sent = t.sent AND h.id = t.head) " + SENTENCES.format(id="id", head="head", t="rv"))
 def w5_write_conllu(i):
     path = scratch_path(i.spark, "treebank")
-    sinks.write_conllu(reversed_order(i), path)
-    return sentences(files.read_treebank(i.spark, path))
+    sinks.write_conllu(reversed_lists(i, "forms", "tags", "heads", "deprels"), path)
+    return sentences(files.read_treebank(i.spark, path, lists=True))
 
 
 @query("SELECT n_nationkey AS k, n_nationkey * 2 AS y FROM nation")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,14 +112,45 @@ def parse_conllu(texts: DataFrame, min_cols: int = 8) -> DataFrame:
 BLANK_LINES = r"\r?\n[ \t]*\r?\n\s*"
 
 
-def parse_sentences(sentences: DataFrame, min_cols: int) -> DataFrame:
-    """(lang, split, sent, tokens) of sentences (lang, split, sent, s): their tokens as a list of structs in the order of the lines."""
-    lines = F.filter(F.transform(F.split("s", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
-    rows = sentences.withColumn("_f", F.filter(F.transform(lines, lambda x: F.split(x, "\t")), lambda f: F.size(f) >= min_cols))
-    token = """transform(_f, f -> named_struct('id', try_cast(f[0] AS INT), 'form', f[1], 'upos', f[3], 'head', try_cast(f[6] AS INT), 'deprel', substring_index(f[7], ':', 1), 'raw_id', f[0]))"""
-    kept = "NOT t.raw_id RLIKE '[-.]' AND t.id IS NOT NULL AND t.head IS NOT NULL" + (" AND t.upos <> '_'" if min_cols >= 10 else "")
-    rows = rows.withColumn("_t", F.expr(f"filter({token}, t -> {kept})"))
-    return rows.select("lang", "split", "sent", F.transform("_t", lambda t: t.dropFields("raw_id")).alias("tokens")).filter(F.size("tokens") > 0)
+def parse_sentences(sentences: DataFrame, min_cols: int, lists: bool = False) -> DataFrame:
+    """(lang, split, sent, tokens) of sentences (lang, split, sent, s): their tokens as a list of structs in the order of the lines, or with ``lists`` the fields of ``trees.LISTS``, which cost less.
+
+    The lines of a batch of sentences are parsed at a time.
+    """
+    fields = {"ids": "int", "forms": "string", "tags": "string", "heads": "int", "deprels": "string"}
+
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = pc.split_pattern(pc.replace_substring(batch.column("s").fill_null(""), "\r\n", "\n"), "\n")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+            lines = pc.utf8_trim(cut.flatten(), " ")
+            plain = pc.and_(pc.not_equal(lines, ""), pc.invert(pc.starts_with(lines, "#")))
+            row, parts = row[plain.to_numpy(zero_copy_only=False)], pc.split_pattern(lines.filter(plain), "\t")
+            size, flat = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64), parts.flatten()
+            start = np.cumsum(size) - size
+            whole = size >= min_cols
+            row, start = row[whole], start[whole]
+            raw, form, upos, head, deprel = (flat.take(pa.array(start + at)) for at in (0, 1, 3, 6, 7))
+            number, up = whole_numbers(raw), whole_numbers(head)
+            kept = pc.and_(pc.and_(number.is_valid(), up.is_valid()), pc.invert(pc.match_substring_regex(raw, "[-.]")))
+            if min_cols >= 10:
+                kept = pc.and_(kept, pc.not_equal(upos, "_"))
+            values = [x.filter(kept) for x in (number, form, upos, up, pc.replace_substring_regex(deprel, "(?s):.*", ""))]
+            n = np.bincount(row[kept.to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
+            held, offsets = pa.array(np.flatnonzero(n)), pa.array(np.append(0, np.cumsum(n[n > 0])).astype(np.int32))
+            flats = dict(zip(fields, values, strict=True)) if lists else {"tokens": pa.StructArray.from_arrays(values, ["id", "form", "upos", "head", "deprel"])}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(held) for c in ("lang", "split", "sent")), *(pa.ListArray.from_arrays(offsets, x) for x in flats.values())], ["lang", "split", "sent", *flats])
+
+    made = ", ".join(f"{f} array<{t}>" for f, t in fields.items()) if lists else "tokens array<struct<id: int, form: string, upos: string, head: int, deprel: string>>"
+    return sentences.select("lang", "split", "sent", "s").mapInArrow(parse, f"lang string, split string, sent bigint, {made}")
+
+
+def whole_numbers(texts: pa.Array) -> pa.Array:
+    """What a cast to int makes of texts, null where it makes nothing; different texts are few."""
+    known = texts.dictionary_encode()
+    found = [re.fullmatch(r"[\x00-\x20\x7f]*([+-]?[0-9]+)[\x00-\x20\x7f]*", t) for t in known.dictionary.to_pylist()]
+    numbers = [int(m[1]) if m and -(1 << 31) <= int(m[1]) < 1 << 31 else None for m in found]
+    return pa.array(numbers, pa.int32()).take(known.indices)
 
 
 def read_conllu(spark: SparkSession, path: str, min_cols: int = 8) -> DataFrame:
@@ -121,8 +158,8 @@ def read_conllu(spark: SparkSession, path: str, min_cols: int = 8) -> DataFrame:
     return read_treebank(spark, path, min_cols).select("lang", "split", "sent", F.inline("tokens"))
 
 
-def read_treebank(spark: SparkSession, path: str, min_cols: int = 8) -> DataFrame:
-    """Sentences (lang, split, sent, tokens) of treebank files named ``<lang>-<split>.conllu``, or of those that ``sinks.write_conllu`` writes.
+def read_treebank(spark: SparkSession, path: str, min_cols: int = 8, lists: bool = False) -> DataFrame:
+    """Sentences (lang, split, sent, tokens, or lists of the fields) of treebank files named ``<lang>-<split>.conllu``, or of those that ``sinks.write_conllu`` writes.
 
     A row is read for each sentence, so a large file is read by many tasks; ``sent`` tells sentences apart but does not count them.
     Files with other line ends or with spaces in blank lines are cut at those afterwards.
@@ -134,7 +171,7 @@ def read_treebank(spark: SparkSession, path: str, min_cols: int = 8) -> DataFram
     lang = F.coalesce(folder("lang"), F.substring_index(stem, "-", 1))
     split = F.coalesce(folder("split"), F.nullif(F.regexp_extract(stem, "-(.*)$", 1), F.lit("")), F.lit("all"))
     sentences = files.select(lang.alias("lang"), split.alias("split"), F.explode(F.split("value", BLANK_LINES)).alias("s"))
-    return parse_sentences(sentences.withColumn("sent", F.monotonically_increasing_id()), min_cols)
+    return parse_sentences(sentences.withColumn("sent", F.monotonically_increasing_id()), min_cols, lists)
 
 
 def read_vectors(spark: SparkSession, path: str, entities: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import let
+from lacuna.operators.trees import PLACES, SENT, Lists, with_lists
 from lacuna.sources.files import META
 
 HEADER = "\t".join([*META, "features"])
@@ -65,14 +68,37 @@ def write_vectors(vectors: DataFrame, path: str, allowed: Sequence[str], dims: d
 
 
 def conllu_sentences(treebank: DataFrame) -> DataFrame:
-    """(lang, split, sent, text): sentences (lang, split, sent, tokens, order) with ids and heads renumbered by position; an unknown head is 0."""
-    at = lambda order, i: F.filter(order, lambda o: o["id"] == i)
-    blank = F.lit("_")
-    line = lambda t, at, head: F.concat_ws("\t", at.cast("string"), t["form"], blank, t["upos"], blank, blank, head.cast("string"), t["deprel"], blank, blank)
-    head = lambda order, t: F.coalesce(F.try_element_at(at(order, t["head"]), F.lit(1))["position"], F.lit(0))
-    placed = lambda order, t: F.transform(at(order, t["id"]), lambda o: F.struct(o["position"].alias("position"), line(t, o["position"], head(order, t)).alias("line")))
-    rows = F.array_sort(F.flatten(let("order", lambda order: F.transform("tokens", lambda t: placed(order, t)))))
-    return treebank.select("lang", "split", "sent", F.concat(F.array_join(F.transform(rows, lambda s: s["line"]), "\n"), F.lit("\n")).alias("text"))
+    """(lang, split, sent, text): sentences (lang, split, sent, tokens, order, or the lists of these) with ids and heads renumbered by position; an unknown head is 0. A batch of sentences is written at a time."""
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, heads, order, position = (Lists(batch.column(c)) for c in PLACES)
+            held = np.flatnonzero(ids.known)
+            asked, own = order.find(ids.row[held], ids.values[held])
+            token = held[asked]
+            asked, other = order.find(ids.row[token], heads.values[token])
+            asked, first = np.unique(asked, return_index=True)
+            asked, other = (x[heads.known[token[asked]] & position.known[other[first]]] for x in (asked, other[first]))
+            head = np.zeros(len(token), np.int64)
+            head[asked] = position.values[other]
+            at = pa.array(position.values[own], mask=~position.known[own])
+            forms, tags, deprels = (batch.column(c).flatten().take(pa.array(token)) for c in ("forms", "tags", "deprels"))
+            lines = pc.binary_join_element_wise(at.cast(pa.string()), forms, "_", tags, "_", "_", pa.array(head).cast(pa.string()), deprels, "_", "_", "\t", null_handling="skip")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in SENT), pc.binary_join_element_wise(joined(lines, at, ids.row[token], batch.num_rows, "\n"), "\n", "")], [*SENT, "text"])
+
+    types = dict(treebank.dtypes)
+    rows = with_lists(treebank, *PLACES, "forms", "tags", "deprels", whole=False)
+    return rows.mapInArrow(write, ", ".join([*(f"{c} {types[c]}" for c in SENT), "text string"]))
+
+
+def joined(texts: pa.Array, at: pa.Array, row: np.ndarray, n: int, between: str) -> pa.Array:
+    """The texts of each of ``n`` rows, in the order of their places and of the texts, unknown places first."""
+    place = np.where(at.is_valid().to_numpy(zero_copy_only=False), at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.iinfo(np.int64).min)
+    order = np.lexsort((place, row))
+    if len(order) and ((np.diff(row[order]) == 0) & (np.diff(place[order]) == 0)).any():
+        order = np.lexsort((pc.rank(texts, tiebreaker="first").to_numpy(), place, row))
+    ends = np.cumsum(np.bincount(row, minlength=n))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), texts.take(pa.array(order))), between)
 
 
 def write_conllu(treebank: DataFrame, path: str) -> None:
